@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wheelmark.llm.shared import BROADCAST_BYTES, NOT_SPACE, bloom, bloom_has, chunks, field, mixed, picked, token_hashes, tokens, utf8, written
+from wheelmark.llm.shared import BROADCAST_BYTES, NOT_SPACE, bloom, bloom_has, chunks, field, mixed, picked, small_batches, token_hashes, tokens, utf8, written
 
 BANDS, ROWS = 28, 4
 #: Classes of a bucket that a task compares with as many others.
@@ -223,6 +223,11 @@ def _leftover(classes: DataFrame, buckets: DataFrame, found: DataFrame, least: f
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8, n_bands: int = BANDS, n_rows: int = ROWS, least_agree: int = LEAST_AGREE, block: int = BLOCK) -> DataFrame:
     """``id``, n_shingles, component_id (the smallest id reachable over links, its own included), kept."""
+    with small_batches(docs.sparkSession):
+        return _near_duplicates(docs, id_col, text_col, size, least, n_bands, n_rows, least_agree, block)
+
+
+def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, size: int, least: float, n_bands: int, n_rows: int, least_agree: int, block: int) -> DataFrame:
     rows = picked(docs, id=id_col, text=text_col)
     marked = written(sets_of(rows, size, n_bands * n_rows), "marked")
     grouped = marked.where("set_key is not null and id is not null").groupBy("set_key").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.min("signature").alias("signature"))

@@ -395,7 +395,7 @@ def clock_offsets(spark, d):
     return validation.clock_offsets(qar, v.selectExpr("flight_id", "t", "gs_kt AS v"))
 
 
-_ARM = "SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'aireon' ELSE 'fr24' END AS train_source, CASE WHEN o_custkey % 3 = 0 THEN 'fr24' ELSE 'aireon' END AS test_source, o_custkey % 400 AS landing, (o_orderkey % 37 - 18) * 1e1 AS error_ft FROM {0}"
+_ARM = "SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'aireon' ELSE 'fr24' END AS train_source, CASE WHEN o_orderkey % 3 = 0 THEN 'fr24' ELSE 'aireon' END AS test_source, o_custkey % 400 AS landing, (o_orderkey % 37 - 18) * 1e1 AS error_ft FROM {0}"
 
 
 @query(f"""SELECT train_source, test_source, n, {sel('rmse_ft:4', 'same_rmse_ft:4')}, {rounded('rmse_ft - same_rmse_ft', 4)} AS delta_ft, {rounded('(rmse_ft - same_rmse_ft) / same_rmse_ft * 1e2', 4)} AS delta_pct FROM (SELECT *, max(CASE WHEN train_source = test_source THEN rmse_ft END) OVER (PARTITION BY test_source) AS same_rmse_ft FROM (

@@ -6,10 +6,11 @@ coordinate, and a coordinate is the least value over the set. Documents with equ
 smallest id stands for it; classes that agree in any band of coordinates are candidates, and links are confirmed on
 the full sets.
 
-Buckets are not expanded into pairs. First each class is compared with the bucket's first class only; confirmed links
-are joined into components. Buckets that still hold several components are then searched, in blocks of bounded size,
-for classes of different components whose signatures agree in ``least_agree`` coordinates or more, and those pairs are
-confirmed on the full sets as well. A pair inside one component can't change the outcome.
+Buckets are not expanded into pairs. Each class is compared with its bucket's first class only, and confirmed links are
+joined into components. What is left are classes of different components that share a first class: for each of them
+its difference from that class is taken, and sizes of differences and of their overlaps give the exact intersection of
+any two (common = first - lacking - lacking + overlap). This is worked out in blocks of bounded size, as sums over the
+few shingles that differ, and only links that join components leave a block.
 
 Cases: null, empty and wordless texts have empty sets and are linked with nothing; texts with fewer words than a
 shingle have the whole sequence as their one shingle; repeated rows and ties have equal sets and one component; a null
@@ -29,10 +30,10 @@ from pyspark.sql import functions as F
 from wheelmark.llm.shared import BROADCAST_BYTES, NOT_SPACE, bloom, bloom_has, chunks, field, mixed, picked, small_batches, token_hashes, tokens, utf8, written
 
 BANDS, ROWS = 28, 4
-#: Classes of a bucket that a task compares with as many others.
-BLOCK = 2000
-#: Of BANDS * ROWS coordinates: a pair at similarity 0.8 agrees in fewer with a probability below 1e-10.
-LEAST_AGREE = 60
+#: Classes with one first class that a task holds against as many others.
+BLOCK = 600
+#: A shingle in more differences than this is counted by a matrix product, the others pair by pair.
+DENSE = 48
 _STEP = np.uint32(0x9E3779B1)
 
 
@@ -111,12 +112,11 @@ def bands(classes: DataFrame, n_bands: int, n_rows: int) -> DataFrame:
     return classes.select("rep", F.explode(F.array(*keys)).alias("bucket"))
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, size: int, least: float) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose full sets are similar enough: 100 * common >= 100 * least * union.
+def sets_needed(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """id and set of every document in ``pairs`` (a, b).
 
-    Only the texts of documents in a pair travel: a filter over their ids keeps the others back where it is small.
+    Only their texts travel: a filter over their ids keeps the others back where it is small.
     """
-    pairs = written(pairs, "pairs")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     needed = written(needed, "needed")
     n = needed.count()
@@ -153,7 +153,16 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, least: float) -> Dat
                 yield pa.RecordBatch.from_arrays([batch["id"].slice(a, b - a), pa.array([s.tobytes() for s in own], pa.binary())], names=["id", "set"])
 
     full = kept.join(needed, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(sets, f"id {field(docs, 'id')}, set binary")
-    full = written(full, "sets")
+    return written(full, "sets")
+
+
+def with_sets(pairs: DataFrame, full: DataFrame) -> DataFrame:
+    """``pairs`` (a, b, ...) with both sets, x and y."""
+    return pairs.join(full.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(full.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+
+
+def confirmed(pairs: DataFrame, full: DataFrame, least: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose full sets are similar enough: 100 * common >= 100 * least * union."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,11 +173,11 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, least: float) -> Dat
                 ok.append(100 * common >= round(100 * least) * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    kind = field(docs, "id")
-    both = pairs.join(full.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(full.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+    kind = field(pairs, "a")
     # Sets whose sizes differ too much are not compared at all.
     sizes = F.octet_length("x"), F.octet_length("y")
-    return written(both.where(F.least(*sizes) * 100 >= F.greatest(*sizes) * round(100 * least)).select("a", "b", "x", "y").mapInArrow(check, f"a {kind}, b {kind}"), "links")
+    near = with_sets(pairs, full).where(F.least(*sizes) * 100 >= F.greatest(*sizes) * round(100 * least))
+    return written(near.select("a", "b", "x", "y").mapInArrow(check, f"a {kind}, b {kind}"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -191,57 +200,101 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def _leftover(classes: DataFrame, buckets: DataFrame, found: DataFrame, least: float, least_agree: int, block: int) -> DataFrame:
-    """Pairs (a, b) of different components in one bucket that agree in enough coordinates, blocks against blocks."""
-    kind = field(classes, "rep")
-    known = buckets.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    open_ = known.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low != high").select("bucket", F.ceil(F.col("size") / block).cast("int").alias("parts"))
-    rows = known.join(open_, "bucket").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "rep", "component")
-    rows = rows.join(classes.select("rep", "n", "signature"), "rep")
+def _overlaps(diffs: list[np.ndarray]) -> np.ndarray:
+    """How many shingles any two of the differences share: (n, n)."""
+    n = len(diffs)
+    out = np.zeros((n, n), np.float32)
+    flat = np.concatenate(diffs) if diffs else np.zeros(0, np.uint64)
+    row = np.repeat(np.arange(n), [len(d) for d in diffs])
+    order = np.argsort(flat, kind="stable")
+    flat, row = flat[order], row[order]
+    cut = np.flatnonzero(np.append(True, flat[1:] != flat[:-1])) if len(flat) else np.zeros(0, np.int64)
+    size = np.diff(np.append(cut, len(flat)))
+    frequent = np.flatnonzero(size > DENSE)
+    for k in range(0, len(frequent), 2000):
+        part = frequent[k : k + 2000]
+        held = np.zeros((n, len(part)), np.float32)
+        held[row[np.concatenate([np.arange(cut[z], cut[z] + size[z]) for z in part])], np.repeat(np.arange(len(part)), size[part])] = 1
+        out += held @ held.T
+    for c in np.unique(size[(size > 1) & (size <= DENSE)]).tolist():
+        rows = row[cut[size == c][:, None] + np.arange(c)]
+        for i in range(c):
+            for j in range(c):
+                if i != j:
+                    np.add.at(out, (rows[:, i], rows[:, j]), 1)
+    return out
+
+
+def _leftover(stars: DataFrame, full: DataFrame, found: DataFrame, least: float, block: int) -> DataFrame:
+    """Links (a, b) between classes of different components that share a first class (``stars``: a first, b other)."""
+    kind = field(stars, "a")
+    known = stars.join(found.select(F.col("id").alias("b"), "component"), "b", "left").withColumn("component", F.coalesce("component", "b"))
+    open_ = known.groupBy("a").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low != high").select("a", F.ceil(F.col("size") / block).cast("int").alias("parts"))
+    rows = with_sets(known.join(open_, "a"), full).select("a", "b", "component", "parts", "x", "y")
+
+    def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first, lacking, sizes, diffs = [], [], [], []
+            for x, y in zip(batch["x"], batch["y"], strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                diff = np.setxor1d(x, y, assume_unique=True)
+                first.append(len(x))
+                sizes.append(len(y))
+                lacking.append((len(x) + len(diff) - len(y)) // 2)
+                diffs.append(diff.tobytes())
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], batch["component"], batch["parts"], pa.array(first, pa.int64()), pa.array(sizes, pa.int64()), pa.array(lacking, pa.int64()), pa.array(diffs, pa.binary())], names=["a", "b", "component", "parts", "first", "n", "lacking", "diff"])
+
+    rows = rows.mapInArrow(differences, f"a {kind}, b {kind}, component {kind}, parts int, first bigint, n bigint, lacking bigint, diff binary")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")}).drop("parts", "other")
 
     def compare(key, table):
         i, j = key[1].as_py(), key[2].as_py()
-        reps, part, n = table["rep"].to_pylist(), table["part"].to_numpy(), table["n"].to_numpy()
-        _, component = np.unique(np.array(table["component"].to_pylist(), dtype=object).astype(str), return_inverse=True)
-        marks = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint32).reshape(len(reps), -1)
-        left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
-        a, b = [], []
-        for x in left.tolist():
-            own = right[(component[right] != component[x]) & (np.minimum(n[right], n[x]) * 100 >= np.maximum(n[right], n[x]) * round(100 * least))]
-            if i == j:
-                own = own[own > x]
-            if len(own):
-                own = own[(marks[own] == marks[x]).sum(axis=1) >= least_agree]
-                a += [reps[x]] * len(own)
-                b += [reps[y] for y in own.tolist()]
-        swap = [(min(p), max(p)) for p in zip(a, b, strict=True)]
-        return pa.table({"a": pa.array([p[0] for p in swap], table.schema.field("rep").type), "b": pa.array([p[1] for p in swap], table.schema.field("rep").type)})
-
-    return rows.groupBy("bucket", "i", "j").applyInArrow(compare, f"a {kind}, b {kind}").distinct()
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8, n_bands: int = BANDS, n_rows: int = ROWS, least_agree: int = LEAST_AGREE, block: int = BLOCK) -> DataFrame:
+        ids, names, part = table["b"].to_pylist(), table["component"].to_pylist(), table["part"].to_numpy()
+        n, lacking, first = table["n"].to_numpy(), table["lacking"].to_numpy(), table["first"][0].as_py()
+        common = first - lacking[:, None] - lacking[None, :] + _overlaps([np.frombuffer(d, np.uint64) for d in table["diff"].to_pylist()])
+        linked = 100 * common >= round(100 * least) * (n[:, None] + n[None, :] - common)
+        linked &= (part[:, None] == i) & (part[None, :] == j)
+        root = {c: c for c in names}
+
+        def top(c):
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        out = []
+        for x, y in np.argwhere(linked).tolist():
+            c, d = top(names[x]), top(names[y])
+            if c != d:
+                root[max(c, d)] = min(c, d)
+                out.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
+        return pa.table({"a": pa.array([p[0] for p in out], table.schema.field("b").type), "b": pa.array([p[1] for p in out], table.schema.field("b").type)})
+
+    return rows.groupBy("a", "i", "j").applyInArrow(compare, f"a {kind}, b {kind}").distinct()
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8, n_bands: int = BANDS, n_rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """``id``, n_shingles, component_id (the smallest id reachable over links, its own included), kept."""
-    with small_batches(docs.sparkSession):
-        return _near_duplicates(docs, id_col, text_col, size, least, n_bands, n_rows, least_agree, block)
+    with small_batches(docs.sparkSession, 200):
+        return _near_duplicates(docs, id_col, text_col, size, least, n_bands, n_rows, block)
 
 
-def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, size: int, least: float, n_bands: int, n_rows: int, least_agree: int, block: int) -> DataFrame:
+def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, size: int, least: float, n_bands: int, n_rows: int, block: int) -> DataFrame:
     rows = picked(docs, id=id_col, text=text_col)
     marked = written(sets_of(rows, size, n_bands * n_rows), "marked")
     grouped = marked.where("set_key is not null and id is not null").groupBy("set_key").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.min("signature").alias("signature"))
     grouped = written(grouped, "classes")
     buckets = bands(grouped, n_bands, n_rows)
     first = buckets.groupBy("bucket").agg(F.min("rep").alias("first"), F.count("*").alias("size")).where("size > 1").select("bucket", "first")
-    buckets = written(buckets.join(first, "bucket"), "buckets")
-    stars = buckets.where("rep != first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
-    links = confirmed(stars, rows, size, least)
+    buckets = buckets.join(first, "bucket")
+    stars = written(buckets.where("rep != first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
+    full = sets_needed(stars, rows, size)
+    links = confirmed(stars, full, least)
     found = written(components(links), "components")
-    more = written(_leftover(grouped, buckets.select("bucket", "rep"), found, least, least_agree, block).join(stars, ["a", "b"], "left_anti"), "leftover")
+    more = written(_leftover(stars, full, found, least, block), "leftover")
     if not more.isEmpty():
-        links = links.unionByName(confirmed(more, rows, size, least))
-        found = written(components(links), "components")
+        found = written(components(links.unionByName(more)), "components")
     classes = grouped.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     out = marked.select("id", "n", "set_key").join(classes, "set_key", "left").withColumn("component", F.coalesce("component", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))

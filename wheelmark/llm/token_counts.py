@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wheelmark.llm.bpe import batches_of_texts, codec, shipped
-from wheelmark.llm.shared import picked
+from wheelmark.llm.shared import picked, written
 
 #: Lengths in a block.
 BLOCK = 1024
@@ -47,7 +47,8 @@ def histogram(lengths: DataFrame) -> DataFrame:
     docs_below, tokens_below (of shorter documents), docs_from, tokens_from (of documents at least as long),
     truncated_total (tokens left where each document is cut at n_tokens) and quantile (share of documents no longer).
     """
-    counts = lengths.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs")).withColumn("block", F.floor(F.col("n_tokens") / BLOCK))
+    # Written once: three branches read the counts, and encoding must not run for each of them.
+    counts = written(lengths.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs")), "lengths").withColumn("block", F.floor(F.col("n_tokens") / BLOCK))
     totals = counts.groupBy("block").agg(F.sum("n_docs").alias("docs"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("tokens"))
     over = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy()

@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame, SparkSession
 from wheelmark.llm.shared import chunks, field, picked, utf8
 
 #: Entries of each of the two generations of a Python worker's cache, and the longest pre-token (in characters) there.
-CACHE_ENTRIES, CACHE_CHARS = 250_000, 64
+CACHE_ENTRIES, CACHE_CHARS = 100_000, 64
 #: Pre-tokens above so many bytes have a queue of their own; so many of the others share one.
-LONG_BYTES, MERGED_TOGETHER = 64, 300_000
+LONG_BYTES, MERGED_TOGETHER = 64, 60_000
 #: Text bytes whose pre-tokens are looked up together.
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 2 << 20
 #: A vocabulary above this size is refused: it is broadcast.
 MOST_RANKS = 2_000_000
 
@@ -363,6 +363,10 @@ class Codec:
         at = at.tolist()
         return [[joined[x:y] for x, y in zip(at[a:b], at[a + 1 : b + 1], strict=True)] for a, b in zip(rows, rows[1:], strict=False)]
 
+    def rest(self) -> None:
+        """Lets the cache go: a Python worker may serve other stages next."""
+        self.young, self.old = {}, {}
+
     def decode(self, ids: str) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids.split()))
 
@@ -426,6 +430,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", tex
                     pa.array([hashlib.sha256(own.decode(x)).hexdigest() for x in coded], pa.string()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", *(["token_ids"] if ids else []), "n_tokens", "ids_sha256", "decoded_sha256"])
+        own.rest()
 
     return rows.mapInArrow(run, out).withColumnRenamed("id", id_col)
 

@@ -36,6 +36,7 @@ def lengths(docs: DataFrame, ranks: dict[bytes, int], text_col: str = "text") ->
                     n = coded.count(" ")
                     counts[n] = counts.get(n, 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["n_tokens", "n_docs"])
+        own.rest()
 
     rows = picked(docs, text=text_col).select(F.lit(None).cast("int").alias("id"), "text")
     return rows.mapInArrow(run, "n_tokens bigint, n_docs bigint")

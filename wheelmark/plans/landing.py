@@ -85,11 +85,11 @@ def run_baseline(landing: Landing, methods: tuple[str, ...] = tuple(ESTIMATORS))
     rows = reduce(DataFrame.unionByName, [ESTIMATORS[m](clean.flights, clean.positions, clean.velocities) for m in methods])
     rows = kept(estimators.clamp_to_ground(rows, landing.transitions()), "estimates")
     combined = kept(fusion.combine(rows, landing.eligible(methods)), "combined")
-    placed = validation.distance_at(flights, clean.positions, clean.velocities, combined, landing.arms())
+    placed = kept(validation.distance_at(flights, clean.positions, clean.velocities, combined, landing.arms()), "placed")
     qa = quality.sufficiency(gated, brackets, gates)
     out = brackets.select("flight_id", "status").join(classes.select("flight_id", "trajectory_type"), "flight_id")
     out = out.join(qa.select("flight_id", F.col("reason_code").alias("qa_reason")), "flight_id", "left").join(combined.withColumnRenamed("n", "n_estimates"), "flight_id", "left")
-    return out.join(placed, "flight_id", "left").join(landing.baseline().withColumnRenamed("along_m", "baseline_m"), "flight_id", "left")
+    return out.join(placed, "flight_id", "left").join(kept(landing.baseline(), "baseline").withColumnRenamed("along_m", "baseline_m"), "flight_id", "left")
 
 
 def product(landing: Landing, methods: tuple[str, ...] = tuple(ESTIMATORS), stacking: DataFrame | None = None, provenance: dict[str, str] | None = None) -> DataFrame:
@@ -98,7 +98,7 @@ def product(landing: Landing, methods: tuple[str, ...] = tuple(ESTIMATORS), stac
     touching = landing.classes()
     fused = kept(fusion.fuse(estimates, stacking), "fused")
     arms = landing.arms()
-    mapped = fusion.map_touchdown(landing.flights, landing.positions, landing.velocities, fused, arms)
+    mapped = kept(fusion.map_touchdown(landing.flights, landing.positions, landing.velocities, fused, arms), "mapped")
     widened = fusion.widening(landing.positions, fused, landing.transitions())
     return fusion.touchdown_results(landing.flights, fused, fusion.quantify(fused, mapped, widened), estimates, arms, touching, provenance)
 
@@ -121,6 +121,6 @@ def milestone_report(landing: Landing, methods: tuple[str, ...] = ("decel_knee",
     ids = splits.where(F.col(column) == slice_).select("flight_id")
     part = lambda df: df.join(ids, "flight_id", "left_semi")
     own = Landing(part(landing.flights), part(landing.positions), part(landing.velocities))
-    evals = evaluations(own, product(own, methods))
+    evals = kept(evaluations(own, product(own, methods)), "evaluations")
     metrics = validation.stratified_metrics(evals)
     return {"splits": splits, "evaluations": evals, "metrics": metrics, "coverage": validation.assess_coverage(evals), "floor": validation.error_floor(evals), "below_target": validation.below_target(metrics)}

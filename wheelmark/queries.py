@@ -333,9 +333,10 @@ _SUMMARY = ("n", "rmse_m:3", "median_abs_m:3", "median_signed_m:3", "p95_abs_m:3
 def distance_error_summary(spark, d):
     corpus = Landing.synthetic(spark, d)
     knees = kept(estimators.decel_knee(corpus.flights, corpus.velocities), "knees")
-    placed = validation.distance_at(corpus.flights, corpus.positions, corpus.velocities, knees)
+    placed = kept(validation.distance_at(corpus.flights, corpus.positions, corpus.velocities, knees), "placed")
+    baseline = kept(corpus.baseline(), "baseline")
     truth = corpus.flights.where("kind = 'completed'").selectExpr("flight_id", "x_true AS along_m")
-    return out(validation.distance_error_summary(placed, corpus.baseline(), truth), *_SUMMARY)
+    return out(validation.distance_error_summary(placed, baseline, truth), *_SUMMARY)
 
 
 # --- validation -------------------------------------------------------------------------------------------------

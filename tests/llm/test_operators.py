@@ -290,6 +290,27 @@ def test_toxicity_on_rows_it_did_not_learn_from(spark, empty):
     assert toxicity.score(empty, none).isEmpty()
 
 
+@pytest.mark.parametrize("kind", ["suffix", "phrase", "run"])
+def test_toxicity_behind_the_first_bytes_and_across_words(spark, kind):
+    from wheelmark.llm import toxicity
+
+    rnd = random.Random(8)
+    letters = [chr(c) for c in range(0x4E00, 0x4E80)]
+    docs, labels = [], []
+    for i in range(400):
+        toxic = int(i % 4 == 0)
+        words = prose(rnd, 50).split()
+        for _ in range(5):
+            # both classes have the same first 6 bytes, the same words, or one unbroken run
+            own = {"suffix": ["container", "containgrub"], "phrase": ["green pale up dogs", "pale dogs up green"], "run": ["".join(rnd.choices(letters, k=5) + ["\u5001\u5002\u5003"] + rnd.choices(letters, k=4)), "".join(rnd.choices(letters, k=5) + ["\u5003\u5001\u5002"] + rnd.choices(letters, k=4))]}[kind][toxic]
+            words.insert(rnd.randrange(20), own)
+        docs.append((i, " ".join(words)))
+        labels.append((i, toxic))
+    table, marks = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    held = [r for r in toxicity.score(table, toxicity.fit(toxicity.training_rows(table, marks))).collect() if r.held_out]
+    assert sum(r.predicted == dict(labels)[r.doc_id] for r in held) >= 0.97 * len(held)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

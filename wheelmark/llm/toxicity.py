@@ -1,22 +1,23 @@
 """Toxicity by compression distance.
 
-Windows are the first bytes of each word with the blank before it, in lower case (A-Z). Two zstandard dictionaries are
-trained: on toxic text, from the pieces of words that far more toxic than ordinary training documents have (ranked by
-likelihood ratio), and on ordinary text, from its most frequent windows. A window is compressed with either; where the
-toxic dictionary saves at least so many bytes it counts, and a logistic function of the share and number of such
-windows, fitted on training documents, is the score. The saving that counts and the function are calibrated on
-training documents only.
-
-Cases: null, empty and wordless texts have no windows and get the score of a document without any hit; rows without a
-usable label are never learnt from; where a document is labelled more than once the highest label counts; without
-toxic training rows every score is the base rate; ties and repeated rows get equal scores; other columns are ignored;
-an empty table gives no rows.
+Windows of a fixed width slide over the whole text in lower case (A-Z), across word ends and through long runs, at a
+stride below the width, so that every run of up to WIDTH - STRIDE + 1 bytes stands whole in a window. Two zstandard
+dictionaries are trained on byte pieces of several lengths from every place of a text: on toxic text, from the pieces
+that far more toxic than ordinary training documents have (by likelihood ratio), and on ordinary text, from its most
+frequent pieces. A window is compressed with the ordinary one alone and with both; where the toxic one saves at least so
+many bytes it counts, and a logistic function of the share and number of such windows, fitted on training documents, is the score. A window
+that holds no whole toxic piece saves nothing. The saving that counts and the function
+are calibrated on training documents only.
+
+Cases: null and empty texts have no windows and get the score of a document without any hit; a text shorter than a
+window is one window; rows without a usable label are never learnt from; where a document is labelled more than once
+the highest label counts; without toxic training rows every score is the base rate; ties and repeated rows get equal
+scores; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -26,14 +27,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wheelmark.llm.shared import ALNUM, LOWERED, chunks, field, picked, tokens, utf8
+from wheelmark.llm.shared import LOWERED, chunks, field, mixed, picked, utf8
 
-#: Bytes of a window, the blank included.
-WIDTH = 7
+#: Bytes of a window, and from one window's start to the next one's.
+WIDTH, STRIDE = 24, 8
+#: Lengths of the pieces that dictionaries are made of; the ordinary one has those of length COMMON.
+SIZES, COMMON = (5, 6, 7, 9, 14), 6
 #: Zstandard begins no match in an input's last 8 bytes and keeps the smallest inputs raw: each window stands between these.
 BEFORE, BEHIND = b"0123456789ABCDEF", b"QRSTUVWX"
-#: Labelled training rows that are fitted on, at most; of either dictionary's pieces so many, at most.
-FIT_ROWS, TOXIC_PIECES, ORDINARY_PIECES = 20_000, 400, 1200
+#: Labelled training rows that are fitted on, at most; bytes of the toxic dictionary and pieces of the ordinary one, at most.
+FIT_ROWS, TOXIC_BYTES, ORDINARY_PIECES = 20_000, 1 << 16, 1200
 #: A piece is toxic if toxic documents have it so many times as often as ordinary ones, at this log-likelihood ratio.
 LEAST_LIFT, LEAST_RATIO, LEAST_DOCS = 4.0, 14.0, 3
 SAVINGS = (1, 2, 3, 4, 5)
@@ -41,57 +44,100 @@ CACHE_ENTRIES = 500_000
 
 
 class Model(NamedTuple):
-    toxic: bytes
+    toxic: tuple[bytes, ...]
     ordinary: bytes
     saving: int
     weights: tuple[float, float, float]
 
 
-def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The words' windows as integers (their bytes after the blank, 0 behind the word's end), and rows' offsets."""
-    starts, ends, rows = tokens(data, offsets, ALNUM)
-    codes = np.zeros(len(starts), np.uint64)
-    for k in range(WIDTH - 1):
-        at = starts + k
-        own = at < ends
-        codes[own] |= LOWERED[data[at[own]]].astype(np.uint64) << np.uint64(8 * k)
-    return codes, rows
-
-
-def window_bytes(code: int) -> bytes:
-    word = code.to_bytes(WIDTH - 1, "little").rstrip(b"\0")
-    return (b" " + word + b" ")[:WIDTH]
+def windows(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the rows' windows, and the number of windows before each row (and in all)."""
+    lens = np.diff(offsets)
+    n = np.where(lens > 0, np.maximum(-(-(lens - WIDTH) // STRIDE), 0) + 1, 0)
+    rows = np.concatenate([[0], np.cumsum(n)])
+    row = np.repeat(np.arange(len(lens)), n)
+    starts = offsets[row] + STRIDE * (np.arange(rows[-1]) - rows[row])
+    return starts, np.minimum(starts + WIDTH, offsets[row + 1]), rows
+
+
+def piece_codes(data: np.ndarray, offsets: np.ndarray, size: int, once: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes (the size's number in the last bits), places and rows of the pieces of ``size`` bytes; ``once``: each once in a row."""
+    n = len(data) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    parts = [np.zeros(n, np.uint64), np.zeros(n, np.uint64)]
+    for k in range(size):
+        parts[k // 8] |= data[k : k + n].astype(np.uint64) << np.uint64(8 * (k % 8))
+    codes = mixed(parts[0] + np.uint64(size)) if size <= 8 else mixed(mixed(parts[0] + np.uint64(size)) ^ parts[1])
+    codes = codes & ~np.uint64(7) | np.uint64(SIZES.index(size))
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[:n]
+    at = np.flatnonzero(np.arange(n) + size <= offsets[row + 1])
+    codes, row = codes[at], row[at]
+    if not once:
+        return codes, at, row
+    first = np.unique(codes ^ mixed(row.astype(np.uint64) + np.uint64(1)), return_index=True)[1]
+    return codes[first], at[first], row[first]
+
+
+def grams(data: np.ndarray) -> np.ndarray:
+    """The SIZES[0] bytes from each place on, as an integer."""
+    n = max(len(data) - SIZES[0] + 1, 0)
+    out = np.zeros(n, np.uint64)
+    for k in range(SIZES[0]):
+        out |= data[k : k + n].astype(np.uint64) << np.uint64(8 * k)
+    return out
+
+
+def slot(codes: np.ndarray) -> np.ndarray:
+    """22 bits of a hash of the integers."""
+    return (codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)
 
 
 class Scorer:
-    """Bytes that the toxic dictionary saves on a window against the ordinary one; windows met lately are kept."""
+    """Bytes that the toxic pieces save on a window beside the ordinary ones; windows met lately are kept."""
 
-    def __init__(self, toxic: bytes, ordinary: bytes) -> None:
+    def __init__(self, toxic: tuple[bytes, ...], ordinary: bytes) -> None:
         options = {"level": 19, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
 
         def of(data: bytes) -> zstandard.ZstdCompressor:
             return zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(data + BEFORE, dict_type=zstandard.DICT_TYPE_RAWCONTENT), **options)
 
-        self.toxic, self.ordinary, self.cache = of(toxic), of(ordinary), {}
-
-    def savings(self, codes: np.ndarray) -> np.ndarray:
-        distinct, at = np.unique(codes, return_inverse=True)
-        if len(self.cache) > CACHE_ENTRIES:
-            self.cache.clear()
-        out = []
-        for code in distinct.tolist():
-            saved = self.cache.get(code)
+        self.toxic, self.ordinary, self.cache = of(ordinary + b"".join(toxic)), of(ordinary), {}
+        self.known = [(size, *self._heads([w for w in toxic if len(w) == size])) for size in SIZES if any(len(w) == size for w in toxic)]
+
+    @staticmethod
+    def _heads(pieces: list[bytes]) -> tuple[set[bytes], np.ndarray, np.ndarray]:
+        heads = np.unique(np.concatenate([grams(np.frombuffer(w, np.uint8))[:1] for w in pieces]))
+        slots = np.zeros(1 << 22, bool)
+        slots[slot(heads)] = True
+        return set(pieces), heads, slots
+
+    def savings(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """For each window; nothing where no whole toxic piece stands in it (part of one within another word isn't it)."""
+        codes, text = grams(data), data.tobytes()
+        at = slot(codes)
+        out, some = np.zeros(len(starts), np.int64), np.zeros(len(starts), bool)
+        for size, pieces, heads, slots in self.known:
+            met = np.flatnonzero(slots[at])
+            met = met[np.isin(codes[met], heads)]
+            met = np.array([i for i in met.tolist() if text[i : i + size] in pieces], np.int64)
+            some |= np.searchsorted(met, ends - (size - 1)) > np.searchsorted(met, starts)
+        for i, a, b in zip(np.flatnonzero(some).tolist(), starts[some].tolist(), ends[some].tolist(), strict=True):
+            own = text[a:b]
+            saved = self.cache.get(own)
             if saved is None:
-                text = BEFORE + window_bytes(code) + BEHIND
-                saved = self.cache[code] = len(self.ordinary.compress(text)) - len(self.toxic.compress(text))
-            out.append(saved)
-        return np.array(out, np.int64)[at] if out else np.zeros(0, np.int64)
+                if len(self.cache) >= CACHE_ENTRIES:
+                    self.cache.clear()
+                whole = BEFORE + own + BEHIND
+                saved = self.cache[own] = len(self.ordinary.compress(whole)) - len(self.toxic.compress(whole))
+            out[i] = saved
+        return out
 
 
-_SCORERS: dict[tuple[bytes, bytes], Scorer] = {}
+_SCORERS: dict[tuple[tuple[bytes, ...], bytes], Scorer] = {}
 
 
-def counted(batch: pa.RecordBatch, toxic: bytes, ordinary: bytes) -> np.ndarray:
+def counted(batch: pa.RecordBatch, toxic: tuple[bytes, ...], ordinary: bytes) -> np.ndarray:
     """For each row: its windows, and how many of them save at least each of SAVINGS."""
     if (toxic, ordinary) not in _SCORERS:
         _SCORERS.clear()
@@ -99,8 +145,8 @@ def counted(batch: pa.RecordBatch, toxic: bytes, ordinary: bytes) -> np.ndarray:
     scorer, out = _SCORERS[toxic, ordinary], []
     data, offsets = utf8(batch["text"])
     for a, b in chunks(offsets):
-        codes, rows = windows(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-        saved = scorer.savings(codes)
+        starts, ends, rows = windows(offsets[a : b + 1] - offsets[a])
+        saved = scorer.savings(LOWERED[data[offsets[a] : offsets[b]]], starts, ends)
         sums = [np.concatenate([[0], np.cumsum(saved >= k)]) for k in SAVINGS]
         out.append(np.stack([np.diff(rows), *(s[rows[1:]] - s[rows[:-1]] for s in sums)], axis=1))
     return np.concatenate(out) if out else np.zeros((0, 1 + len(SAVINGS)), np.int64)
@@ -141,54 +187,122 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     return picked(docs, id=id_col, text=text_col).join(F.broadcast(own), "id").select("text", "toxic")
 
 
+def unexplained(data: np.ndarray, offsets: np.ndarray, ranked: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Ranks and rows of the pieces that stand in a row at a place where no better one overlaps them; each once in a row."""
+    found = []
+    best = np.full(len(data), len(ranked), np.int64)
+    for size in SIZES:
+        ranks = np.array([i for i, w in enumerate(ranked) if len(w) == size], np.int64)
+        if not len(ranks):
+            continue
+        own = np.array([piece_codes(np.frombuffer(ranked[i], np.uint8), np.array([0, size]), size)[0][0] for i in ranks], np.uint64)
+        order = np.argsort(own)
+        own, ranks = own[order], ranks[order]
+        codes, at, row = piece_codes(data, offsets, size, once=False)
+        place = np.minimum(np.searchsorted(own, codes), len(own) - 1)
+        met = own[place] == codes
+        rank, at, row = ranks[place[met]], at[met], row[met]
+        for k in range(size):
+            np.minimum.at(best, at + k, rank)
+        found.append((size, rank, at, row))
+    out = []
+    for size, rank, at, row in found:
+        alone = np.ones(len(at), bool)
+        for k in range(size):
+            alone &= best[at + k] == rank
+        pairs = np.unique(np.stack([rank[alone], row[alone]], axis=1), axis=0)
+        out.append((pairs[:, 0], pairs[:, 1]))
+    return out
+
+
 def fit(rows: DataFrame) -> Model:
     """Trains both dictionaries and the calibration on ``rows`` (text, toxic)."""
 
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pieces(batches: Iterator[pa.RecordBatch], wanted: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+        """Rows with each piece, toxic and ordinary; of the pieces in ``wanted``, or of those that may be of use."""
+        slots = np.zeros(1 << 22, bool)
+        if wanted is not None:
+            slots[wanted >> np.uint64(42)] = True
         for batch in batches:
-            counts: tuple[Counter, Counter] = (Counter(), Counter())
             data, offsets = utf8(batch["text"])
-            labels = batch["toxic"].to_pylist()
+            labels = batch["toxic"].to_numpy(zero_copy_only=False) == 1
             for a, b in chunks(offsets):
-                codes, at = windows(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                for i in range(b - a):
-                    whole = {window_bytes(c) for c in np.unique(codes[at[i] : at[i + 1]]).tolist()}
-                    own = {w[:k] for w in whole for k in range(4, len(w) + 1)} | whole
-                    counts[labels[a + i]].update(own)
-            rows = [(w, counts[1][w], counts[0][w]) for w in counts[0].keys() | counts[1].keys()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], names=["piece", "t", "o"])
-
+                part, at = LOWERED[data[offsets[a] : offsets[b]]], offsets[a : b + 1] - offsets[a]
+                for size in SIZES:
+                    codes, places, row = piece_codes(part, at, size)
+                    toxic = labels[a:b][row]
+                    if wanted is None:
+                        use = toxic | (size == COMMON)  # an ordinary document's other pieces count if toxic ones have them
+                    else:
+                        use = slots[codes >> np.uint64(42)]
+                        use[use] = np.isin(codes[use], wanted)
+                    own, first, which = np.unique(codes[use], return_index=True, return_inverse=True)
+                    t = np.bincount(which, toxic[use], len(own)).astype(np.int64)
+                    o = np.bincount(which, minlength=len(own)) - t
+                    texts = [part[i : i + size].tobytes() for i in places[use][first].tolist()] if wanted is not None else [None] * len(own)
+                    yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(texts, pa.binary()), pa.array(t), pa.array(o)], names=["code", "piece", "t", "o"])
+
+    kinds = "code bigint, piece binary, t bigint, o bigint"
+    rows = rows.persist()
     totals = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
     n_toxic, n_ordinary = totals.get(1, 0), totals.get(0, 0)
-    counts = rows.mapInArrow(pieces, "piece binary, t bigint, o bigint").groupBy("piece").agg(F.sum("t").alias("t"), F.sum("o").alias("o")).where(F.col("t") + F.col("o") >= LEAST_DOCS)
-    counts = counts.persist()
-    t, o, both = F.col("t"), F.col("o"), (F.col("t") + F.col("o")) / (n_toxic + n_ordinary or 1)
 
     def part(k, n, p):  # log likelihood of k among n at the rate p
         return k * F.log(F.greatest(p, F.lit(1e-12))) + (n - k) * F.log(F.greatest(1 - p, F.lit(1e-12)))
 
-    ratio = part(t, n_toxic, t / (n_toxic or 1)) + part(o, n_ordinary, o / (n_ordinary or 1)) - part(t, n_toxic, both) - part(o, n_ordinary, both)
-    toxic = counts.where((t >= LEAST_DOCS) & (t / (n_toxic or 1) > LEAST_LIFT * o / (n_ordinary or 1))).withColumn("ratio", ratio).where(F.col("ratio") > LEAST_RATIO)
-    chosen = [bytes(r.piece) for r in toxic.orderBy(F.desc("ratio"), "piece").limit(TOXIC_PIECES).collect()]
-    chosen = [w for w in chosen if not any(w != v and w in v for v in chosen)]  # a longer piece has it too
-    common = [bytes(r.piece) for r in counts.where((F.octet_length("piece") == WIDTH) | F.col("piece").endswith(F.lit(b" "))).orderBy(F.desc("o"), "piece").limit(ORDINARY_PIECES).collect()]
+    def ratio(t, o):
+        both = (t + o) / (n_toxic + n_ordinary or 1)
+        return part(t, n_toxic, t / (n_toxic or 1)) + part(o, n_ordinary, o / (n_ordinary or 1)) - part(t, n_toxic, both) - part(o, n_ordinary, both)
+
+    t, o = F.col("t"), F.col("o")
+    counts = rows.mapInArrow(pieces, kinds).groupBy("code").agg(F.sum("t").alias("t"), F.sum("o").alias("o")).where(t + o >= LEAST_DOCS).persist()
+    # What would not be toxic even if no ordinary document had it is left out before those are looked through.
+    wanted = [r.code for r in counts.where((t >= LEAST_DOCS) & (ratio(t, F.lit(0)) > LEAST_RATIO)).select("code").collect()]
+    common = [r.code for r in counts.where((o > 0) & (F.col("code").bitwiseAND(7) == SIZES.index(COMMON))).orderBy(F.desc("o"), "code").limit(ORDINARY_PIECES).collect()]
+    counts.unpersist()
+    both = np.unique(np.array(wanted + common, np.int64).view(np.uint64))
+    counts = rows.mapInArrow(lambda batches: pieces(batches, both), kinds).groupBy("code").agg(F.min("piece").alias("piece"), F.sum("t").alias("t"), F.sum("o").alias("o")).persist()
+    toxic = counts.where((t >= LEAST_DOCS) & (t / (n_toxic or 1) > LEAST_LIFT * o / (n_ordinary or 1))).withColumn("ratio", ratio(t, o)).where(F.col("ratio") > LEAST_RATIO)
+    ranked = [bytes(r.piece) for r in toxic.orderBy(F.desc("ratio"), F.desc(F.octet_length("piece")), "piece").select("piece").collect()]
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8(batch["text"])
+            labels = batch["toxic"].to_numpy(zero_copy_only=False) == 1
+            sums = np.zeros((2, len(ranked)), np.int64)
+            for a, b in chunks(offsets):
+                for rank, row in unexplained(LOWERED[data[offsets[a] : offsets[b]]], offsets[a : b + 1] - offsets[a], ranked):
+                    np.add.at(sums, (labels[a:b][row].astype(np.int64), rank), 1)
+            some = np.flatnonzero(sums.any(axis=0))
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums[1, some]), pa.array(sums[0, some])], names=["rank", "t", "o"])
+
+    # A piece must tell by itself: where it only stands beside or across a better one, it is that one's neighbourhood.
+    own = rows.mapInArrow(alone, "rank bigint, t bigint, o bigint").groupBy("rank").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
+    own = own.where((t >= LEAST_DOCS) & (t / (n_toxic or 1) > LEAST_LIFT * o / (n_ordinary or 1)) & (ratio(t, o) > LEAST_RATIO))
+    chosen = [ranked[r.rank] for r in own.orderBy("rank").collect()]
+    chosen = [w for w, end in zip(chosen, np.cumsum([len(w) for w in chosen]), strict=True) if end <= TOXIC_BYTES]
+    inside = b"\n".join(chosen)
+    common = [bytes(r.piece) for r in counts.where(F.col("code").isin(common)).orderBy(F.desc("o"), "piece").collect()]
+    common = [w for w in common if w not in inside]
     counts.unpersist()
     # The most telling pieces come last, where offsets are short.
-    toxic_bytes, ordinary_bytes = b"".join(reversed(chosen)), b"".join(reversed([w.rstrip() for w in common if w not in chosen]))
+    toxic_pieces, ordinary_bytes = tuple(reversed(chosen)), b"".join(reversed(common))
     base = math.log((n_toxic + 0.5) / (n_ordinary + 0.5))
     if not chosen:
-        return Model(b"", ordinary_bytes, SAVINGS[0], (0.0, 0.0, base))
+        rows.unpersist()
+        return Model((), ordinary_bytes, SAVINGS[0], (0.0, 0.0, base))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch["toxic"], pa.array(counted(batch, toxic_bytes, ordinary_bytes).tolist(), pa.list_(pa.int64()))], names=["toxic", "counts"])
+            yield pa.RecordBatch.from_arrays([batch["toxic"], pa.array(counted(batch, toxic_pieces, ordinary_bytes).tolist(), pa.list_(pa.int64()))], names=["toxic", "counts"])
 
     seen = rows.mapInArrow(count, "toxic int, counts array<bigint>").collect()  # FIT_ROWS at most
+    rows.unpersist()
     y = np.array([r.toxic for r in seen], float)
     table = np.array([r.counts for r in seen], np.int64).reshape(-1, 1 + len(SAVINGS))
     tried = [(fitted(inputs(table[:, 0], table[:, i + 1]), y), k) for i, k in enumerate(SAVINGS)]
     (weights, _), saving = min(tried, key=lambda x: x[0][1])
-    return Model(toxic_bytes, ordinary_bytes, saving, tuple(float(x) for x in weights))
+    return Model(toxic_pieces, ordinary_bytes, saving, tuple(float(x) for x in weights))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:

@@ -117,6 +117,17 @@ def test_partition_counts_and_splits(spark):
     assert splits.join(rows, "flight_id").groupBy("tail").agg(F.count_distinct("primary_split").alias("n")).where("n > 1").isEmpty()
 
 
+@pytest.mark.parametrize("buckets", [1, 4, 1 << 16])
+def test_splits_are_exact_and_the_same_way_at_every_size(spark, monkeypatch, buckets):
+    monkeypatch.setattr(validation, "DRIVER_KEYS", 50, raising=False)
+    rows = spark.range(997).selectExpr("concat('f', id) AS flight_id", "concat('t', id) AS tail")
+    seed = np.random.SeedSequence(5)
+    cut = lambda **kw: {r.flight_id: r.split for r in validation.grouped_split(rows, "tail", ["a", "b", "c"], [0.7, 0.15, 0.15], seed, **kw).collect()}
+    got = cut(buckets=buckets)
+    assert [list(got.values()).count(x) for x in "abc"] == validation.partition_counts(997, [0.7, 0.15, 0.15])
+    assert got == cut()
+
+
 def test_clock_offset_is_recovered(spark):
     t = np.arange(0, 120, 1.0)
     speed = lambda x: 60 - 20 * np.tanh((x - 60) / 8)

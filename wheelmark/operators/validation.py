@@ -133,26 +133,35 @@ def component_seed(master: int, name: str) -> int:
     return int(np.random.SeedSequence([master, int.from_bytes(hashlib.sha256(name.encode()).digest()[:8], "big")]).generate_state(1)[0])
 
 
-#: Distinct keys that are shuffled on the driver; more than that are ordered by a hash of the key instead.
-DRIVER_KEYS = 200_000
-
-
-def grouped_split(rows: DataFrame, key: str, names: list[str], fractions: list[float], seed: np.random.SeedSequence) -> DataFrame:
-    """flight_id, split: whole groups of ``key`` go to one split, and shares count groups."""
-    groups = rows.select(key).where(F.col(key).isNotNull()).distinct()
-    n = groups.count()
-    counts = partition_counts(n, fractions)
-    edges = np.cumsum(counts)
-    if n <= DRIVER_KEYS:
-        values = sorted(r[0] for r in groups.collect())
-        np.random.default_rng(seed).shuffle(values)
-        places = groups.sparkSession.createDataFrame([(v, names[int(np.searchsorted(edges, i, "right"))]) for i, v in enumerate(values)], f"`{key}` {rows.schema[key].dataType.simpleString()}, split string")
-        return rows.join(F.broadcast(places), key).select("flight_id", "split")
-    share = F.pmod(F.xxhash64(key, F.lit(int(seed.generate_state(1)[0]))), F.lit(1 << 40)) / float(1 << 40)
+#: Buckets of the hash order of a split's keys; the one that holds a cut is ranked exactly.
+BUCKETS = 1 << 16
+
+
+def grouped_split(rows: DataFrame, key: str, names: list[str], fractions: list[float], seed: np.random.SeedSequence, buckets: int = BUCKETS) -> DataFrame:
+    """flight_id, split: whole groups of ``key`` go to one split, and shares count groups.
+
+    Distinct keys stand in the order of a seeded hash and are cut at the exact counts, the same way at every size: the
+    driver gets counts of buckets only, and a key has a rank within its bucket where a cut falls into that.
+    """
+    word = int(np.int64(np.uint64(seed.generate_state(1, np.uint64)[0])))
+    groups = rows.select(key).where(F.col(key).isNotNull()).distinct().withColumn("h", F.xxhash64(F.col(key), F.lit(word)))
+    # Buckets in the order of the signed hash.
+    groups = groups.withColumn("bucket", F.floor((F.shiftright("h", 16) + F.lit(1 << 47)) / F.lit(float(1 << 48)) * buckets).cast("int"))
+    sizes = np.zeros(buckets, np.int64)
+    for r in groups.groupBy("bucket").count().collect():
+        sizes[r.bucket] = r["count"]
+    ends = np.cumsum(sizes)
+    cuts = np.cumsum(partition_counts(int(ends[-1]), fractions))[:-1].tolist()
+    # A cut: all buckets before ``at``, and ``inside`` keys of that one.
+    at = [int(np.searchsorted(ends, c, "left")) for c in cuts]
+    inside = [int(c - (ends[i] - sizes[i])) if i < buckets else 0 for c, i in zip(cuts, at, strict=True)]
+    crossed = F.col("bucket").isin(at)
+    ranked = groups.where(crossed).withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("h", key)))
+    places = ranked.unionByName(groups.where(~crossed).withColumn("rank", F.lit(0)))
     split = F.lit(names[-1])
-    for name, e in list(zip(names, edges, strict=True))[-2::-1]:
-        split = F.when(share < float(e) / n, name).otherwise(split)
-    return rows.where(F.col(key).isNotNull()).select("flight_id", split.alias("split"))
+    for name, i, n in list(zip(names, at, inside, strict=False))[::-1]:
+        split = F.when((F.col("bucket") < i) | ((F.col("bucket") == i) & (F.col("rank") <= n)), name).otherwise(split)
+    return rows.join(places.select(key, split.alias("split")), key).select("flight_id", "split")
 
 
 def validation_splits(flights: DataFrame, seed: int = 42, train: float = 0.70, calibration: float = 0.15, test: float = 0.15) -> DataFrame:

@@ -147,3 +147,19 @@ def test_reading_is_tolerant(spark, tmp_path):
         readers.load(spark, "x.xls")
     with pytest.raises(readers.RawFileError):
         readers.require(rows, readers.ADSB_SCHEMA, "rows")
+
+
+def test_the_full_product_cleans_gates_and_brackets(spark):
+    from wheelmark.plans import landing as plans
+    from wheelmark.sources import synth
+
+    d = "/root/testdata/sf0.001"
+    flights = synth.flights(spark, d).where("k < 40").persist()
+    own = lambda df: df.join(flights.select("flight_id"), "flight_id", "left_semi")
+    corpus = plans.Landing(flights, own(synth.positions(spark, d)), own(synth.velocities(spark, d)))
+    bracketed = {r.flight_id for r in corpus.brackets().where("status = 'ok'").collect()}
+    rows = plans.full_product(corpus).select("flight_id", "touchdown_time", "contributing_estimators", "ads_b_source").collect()
+    assert len(rows) == flights.count() > len(bracketed) > 0
+    assert all(r.touchdown_time is None for r in rows if r.flight_id not in bracketed)
+    assert any(r.touchdown_time is not None for r in rows)
+    assert not any({"flare_crossing", "imm_rts"} & set(r.contributing_estimators.split(",")) for r in rows if r.ads_b_source == "fr24")

@@ -163,3 +163,14 @@ def test_the_full_product_cleans_gates_and_brackets(spark):
     assert all(r.touchdown_time is None for r in rows if r.flight_id not in bracketed)
     assert any(r.touchdown_time is not None for r in rows)
     assert not any({"flare_crossing", "imm_rts"} & set(r.contributing_estimators.split(",")) for r in rows if r.ads_b_source == "fr24")
+
+
+def test_all_query_times_have_a_place_and_all_features_a_column(spark):
+    from wheelmark import queries as q
+    from wheelmark.operators import learned
+
+    d, own = "/root/testdata/sf0.001", q.queries()
+    assert {"touchdown_results_all", "rare_type_estimates"} <= set(own)
+    rows = own["interpolate_position_all"](spark, d)
+    assert {r.o for r in rows.select("o").distinct().collect()} == {-1e3, -7.3, 0.0, 2.5, 1e3}
+    assert own["window_features_all"](spark, d).columns == ["flight_id", *learned.FEATURES]

@@ -66,6 +66,12 @@ def interpolate_position(spark, d):
     return out(timebase.position_at(synth.positions(spark, d), synth.velocities(spark, d), at), "flight_id", "o", "degraded", "lat:7", "lon:7")
 
 
+@query()
+def interpolate_position_all(spark, d):
+    """Every query time, those far outside the samples too."""
+    return out(timebase.position_at(synth.positions(spark, d), synth.velocities(spark, d), _queries_at(spark, d)), "flight_id", "o", "degraded", "lat:7", "lon:7")
+
+
 @query(f"SELECT flight_id, o, {rounded('CASE WHEN prev_seq = next_seq THEN prev_y ELSE ' + timebase.HERMITE.replace('prev.', 'prev_').replace('next.', 'next_') + ' END', 5)} AS alt_m FROM {oracles.asof('mono', 'q', 'y, slope')}")
 def monotone_altitude(spark, d):
     return out(timebase.monotone_at(synth.positions(spark, d), _queries_at(spark, d), "geo_alt", "alt_m"), "flight_id", "o", "alt_m:5")
@@ -315,6 +321,12 @@ def touchdown_results(spark, d):
     return out(plans.product(Landing.synthetic(spark, d), SIMPLE), *_RESULT)
 
 
+@query()
+def touchdown_results_all(spark, d):
+    """All estimators on cleaned samples of flights with a usable bracket."""
+    return out(plans.full_product(Landing.synthetic(spark, d)), *_RESULT)
+
+
 @query()
 def baseline_run(spark, d):
     return plans.run_baseline(Landing.synthetic(spark, d))
@@ -450,6 +462,13 @@ def window_features(spark, d):
     return out(learned.window_features(corpus.flights, corpus.positions, corpus.velocities), *learned.FEATURE_OUT)
 
 
+@query()
+def window_features_all(spark, d):
+    """The whole window vector."""
+    corpus = Landing.synthetic(spark, d)
+    return learned.window_features(corpus.flights, corpus.positions, corpus.velocities).select("flight_id", *learned.FEATURES)
+
+
 @query()
 def estimator_trees(spark, d):
     corpus = Landing.synthetic(spark, d)
@@ -474,6 +493,15 @@ def rare_type_fallback(spark, d):
     return learned.family(flights, learned.training_counts(flights.where("kind = 'completed'")), 250).select("flight_id", "aircraft_type", "training_flights", "family")
 
 
+@query()
+def rare_type_estimates(spark, d):
+    """The estimate of each flight: learned for common types, physics for rare ones and where the learned one fails."""
+    corpus = Landing.synthetic(spark, d)
+    families = learned.family(corpus.flights, learned.training_counts(corpus.flights.where("kind = 'completed'")), 250)
+    own = kept(learned.trees(corpus.flights, corpus.positions, corpus.velocities), "learned")
+    return out(learned.with_fallback(families, own, estimators.decel_knee(corpus.flights, corpus.velocities)), *_EST)
+
+
 @query()
 def stream_cusum(spark, d):
     return replay(spark, d)

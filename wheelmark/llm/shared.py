@@ -1,12 +1,12 @@
-"""Helpers that the operators share: the shared folder, Arrow text buffers, token hashes, Bloom filters."""
+"""Helpers that the operators share: the shared folder, Arrow text buffers, token hashes, Bloom filters, hot keys."""
 
 from __future__ import annotations
 
 import hashlib
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 64 << 20
 #: Text bytes that a task holds as NumPy arrays at a time (a longer document is taken by itself).
 CHUNK_BYTES = 2 << 20
+#: Bytes of an Arrow batch.
+BATCH_BYTES = 8 << 20
 
 UPPER = bytes(range(65, 91))
 ASCII_LOWER = bytes.maketrans(UPPER, UPPER.lower())
@@ -26,13 +28,27 @@ ASCII_LOWER_STR = {c: c + 32 for c in range(65, 91)}
 def shared_dir(spark: SparkSession, what: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where the session has no such setting (local tests) a temporary folder is chosen.
+    Where the session has no such setting, a local master (tests) gets a temporary folder; a cluster is refused, since
+    each executor would write to its own disk. ``clear`` removes what the application has left.
     """
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return f"{_top(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def _top(spark: SparkSession) -> str:
+    context = spark.sparkContext
+    top = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not top:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         top = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.sparkContext.setCheckpointDir(top)
-    return f"{top.rstrip('/')}/wheelmark/{what}-{uuid.uuid4().hex}"
+        context.setCheckpointDir(top)
+    return f"{top.rstrip('/')}/wheelmark/{context.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes this application's intermediate tables; DataFrames that were made from them can't be read any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_top(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
@@ -42,28 +58,47 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-@contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
-    """Arrow batches of at most ``rows`` rows for what runs inside (eagerly); the session's setting comes back after."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, min(rows, int(before)) if int(before) > 0 else rows)
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def field(df: DataFrame, column: str) -> str:
     """``column``'s type, as a DDL string."""
     return df.schema[column].dataType.simpleString()
 
 
 def picked(df: DataFrame, **columns: str) -> DataFrame:
-    """Only the named columns under fixed names, so that no other column of the input can clash."""
+    """Only the named columns under fixed names, so that no other column of the input can clash.
+
+    From here on the session's Arrow batches hold BATCH_BYTES at most (a larger row is a batch by itself), so that a
+    table of long texts takes no more memory in a Python worker than one of short texts.
+    """
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.sub(r"\D", "", df.sparkSession.conf.get(setting)) or 0) != BATCH_BYTES:
+        df.sparkSession.conf.set(setting, str(BATCH_BYTES))
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])
 
 
+def text_key(text_col: str = "text"):
+    """SHA-256 (hex) of the text with A-Z in lower case, null as empty: what tells rows apart that share an id."""
+    return F.sha2(F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER.decode(), UPPER.lower().decode()), 256)
+
+
+def join_hot(rows: DataFrame, facts: DataFrame, on: str, weight: str) -> DataFrame:
+    """``rows`` left-joined with ``facts`` (one row of fixed size for each ``on``; ``weight``: its number of rows).
+
+    Keys that hold more than a thousandth of all rows go by broadcast: there are a thousand of them at most, whatever
+    the input. The others go by shuffle, where none of them is large.
+    """
+    total = facts.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    hot = F.col(weight) > max(total // 1000, 1)
+    cool, few = facts.where(~hot), [tuple(r) for r in facts.where(hot).collect()]
+    if not few:
+        return rows.join(facts, on, "left")
+    names = [c for c in facts.columns if c != on]
+    small = rows.sparkSession.createDataFrame(few, facts.schema)
+    marked = rows.join(F.broadcast(small.select(on, F.struct(*names).alias("_hot"))), on, "left")
+    away = marked.where("_hot is null").drop("_hot").join(cool, on, "left")
+    here = marked.where("_hot is not null").select(*rows.columns, *[F.col(f"_hot.{c}").alias(c) for c in names])
+    return away.select(*rows.columns, *names).unionByName(here)
+
+
 # --- Arrow text -------------------------------------------------------------------------------------------------
 
 
@@ -90,6 +125,14 @@ def chunks(offsets: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int,
         first = last
 
 
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = CHUNK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, pa.RecordBatch]]:
+    """Bytes, offsets and rows of the batches, in pieces of bounded size."""
+    for batch in batches:
+        data, offsets = utf8(batch[column])
+        for a, b in chunks(offsets, most):
+            yield data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], batch.slice(a, b - a)
+
+
 # --- token hashes -----------------------------------------------------------------------------------------------
 
 #: Byte to class: 0 separates tokens, a token is a longest run of one class. Byte to byte: what is hashed.
@@ -98,18 +141,6 @@ ALNUM = np.array([c >= 128 or chr(c).isalnum() for c in range(256)], np.uint8)
 NOT_SPACE = np.array([c != 32 and not 9 <= c <= 13 for c in range(256)], np.uint8)
 WORD_OR_MARK = np.where(ALNUM == 1, 1, np.where((NOT_SPACE == 1) & (np.arange(256) > 32), 2, 0)).astype(np.uint8)
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_POWERS = np.ones(1, np.uint64)
-
-
-def _powers(n: int) -> np.ndarray:
-    global _POWERS
-    if len(_POWERS) < n:
-        n = max(n, 256, 2 * len(_POWERS))
-        _POWERS = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n - 1, _BASE, np.uint64), dtype=np.uint64)])
-    return _POWERS
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers whose every output bit depends on every input bit."""
     x = x ^ (x >> np.uint64(30))
@@ -137,42 +168,113 @@ def tokens(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray) -> tuple[
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+#: Longer tokens are hashed one by one.
+LONG_TOKEN = 256
+
+
+def lanes(low: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on (zeros behind the end), as integers."""
+    padded = np.zeros(len(low) + 8, np.uint8)
+    padded[: len(low)] = low
+    return np.ndarray((len(low) + 1,), "<u8", padded, strides=(1,))
+
+
+def lane(eight: np.ndarray, starts: np.ndarray, lens: np.ndarray, k: int) -> np.ndarray:
+    """The ``k``-th eight bytes of tokens that have so many; what is behind a token's end counts as 0."""
+    left = np.minimum(lens - 8 * k, 8).astype(np.uint64)
+    return eight[starts + 8 * k] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * left))
+
+
 def token_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each token's lower-cased (A-Z) bytes."""
-    out = np.empty(len(starts), np.uint64)
+    """A 64-bit hash of each token's lower-cased (A-Z) bytes: eight bytes at a time, mixed in one after the other."""
+    low = LOWERED[data]
+    lens = ends - starts
+    out = mixed(lens.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1))
+    eight, k = lanes(low), 0
+    live = np.flatnonzero(lens <= LONG_TOKEN)
+    while len(live):
+        out[live] = mixed(out[live] * np.uint64(0x9E3779B97F4A7C15) ^ lane(eight, starts[live], lens[live], k))
+        k += 1
+        live = live[lens[live] > 8 * k]
+    for i in np.flatnonzero(lens > LONG_TOKEN).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(low[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def same_tokens(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, other_starts: np.ndarray, other_ends: np.ndarray) -> np.ndarray:
+    """For each pair of tokens, whether their lower-cased (A-Z) bytes are equal."""
+    low, low_other = LOWERED[data], LOWERED[other]
     lens = ends - starts
-    total = np.concatenate([[0], np.cumsum(lens)])
-    for a, b in chunks(total, 1 << 20):
-        size = lens[a:b]
-        begin = total[a:b] - total[a]
-        inside = np.arange(total[b] - total[a], dtype=np.int64) - np.repeat(begin, size)
-        raw = LOWERED[data[np.repeat(starts[a:b], size) + inside]].astype(np.uint64) + np.uint64(1)
-        raw *= _powers(int(size.max()))[inside]
-        out[a:b] = np.add.reduceat(raw, begin)
-    return mixed(out + lens.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    out = lens == other_ends - other_starts
+    a, b, k = lanes(low), lanes(low_other), 0
+    live = np.flatnonzero(out & (lens <= LONG_TOKEN))
+    while len(live):
+        same = lane(a, starts[live], lens[live], k) == lane(b, other_starts[live], lens[live], k)
+        out[live] = same
+        k += 1
+        live = live[same & (lens[live] > 8 * k)]
+    for i in np.flatnonzero(out & (lens > LONG_TOKEN)).tolist():
+        out[i] = np.array_equal(low[starts[i] : ends[i]], low_other[other_starts[i] : other_ends[i]])
+    return out
 
 
-# --- Bloom filter -----------------------------------------------------------------------------------------------
+# --- Bloom filters ----------------------------------------------------------------------------------------------
 
+#: Keys in a shard of a filter, about.
+FILTER_SHARD = 500_000
 
-def _bits(keys: np.ndarray, size: int, k: int = 6) -> np.ndarray:
+
+def _bits(keys: np.ndarray, size: int, k: int) -> np.ndarray:
     """keys: (n, 2) uint64, already well mixed."""
     step = keys[:, 1] | np.uint64(1)
     return (keys[:, :1] + np.arange(k, dtype=np.uint64) * step[:, None]) % np.uint64(size)
 
 
-def bloom(keys: np.ndarray, bits_per_key: int = 12) -> bytes:
-    size = max(64, bits_per_key * len(keys) + 7 & ~7)
+def bloom(keys: np.ndarray, bits_per_key: float = 12) -> bytes:
+    """The number of hash functions in one byte, and the bits."""
+    k = max(1, round(bits_per_key * 0.6))
+    size = max(64, int(bits_per_key * len(keys)) + 7 & ~7)
     flags = np.zeros(size, np.uint8)
-    flags[_bits(keys, size).ravel().astype(np.int64)] = 1
-    return np.packbits(flags, bitorder="little").tobytes()
+    flags[_bits(keys, size, k).ravel().astype(np.int64)] = 1
+    return bytes([k]) + np.packbits(flags, bitorder="little").tobytes()
 
 
 def bloom_has(filter_: bytes, keys: np.ndarray) -> np.ndarray:
-    table = np.frombuffer(filter_, np.uint8)
-    at = _bits(keys, len(table) * 8)
+    table = np.frombuffer(filter_, np.uint8)[1:]
+    at = _bits(keys, len(table) * 8, filter_[0])
     return ((table[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=1)
 
 
+def bits_within(n: int) -> float:
+    """Bits for each of ``n`` keys in filters of BROADCAST_BYTES at most: with more keys more passes, step by step."""
+    return min(12.0, BROADCAST_BYTES * 8 / max(n, 1))
+
+
+def filter_over(keys: DataFrame, column: str = "h") -> Callable[[np.ndarray], np.ndarray]:
+    """A test (to be called in tasks) whether 64-bit hashes may be among those in ``keys``; broadcast, of bounded size."""
+    n = keys.count()
+    shards, bits = max(1, -(-n // FILTER_SHARD)), bits_within(n)
+
+    def build(key, table: pa.Table) -> pa.Table:
+        h = table["h"].to_numpy().view(np.uint64)
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "filter": pa.array([bloom(np.stack([mixed(h), mixed(h ^ np.uint64(0x5851F42D4C957F2D))], axis=1), bits)], pa.binary())})
+
+    own = keys.select(F.col(column).alias("h"))
+    made = own.select("h", F.pmod("h", F.lit(shards)).cast("int").alias("shard")).groupBy("shard").applyInArrow(build, "shard int, filter binary").collect()
+    sent = keys.sparkSession.sparkContext.broadcast({r.shard: bytes(r.filter) for r in made})
+
+    def has(h: np.ndarray) -> np.ndarray:
+        shard, out = np.mod(h, shards), np.zeros(len(h), bool)
+        h = h.view(np.uint64)
+        pairs = np.stack([mixed(h), mixed(h ^ np.uint64(0x5851F42D4C957F2D))], axis=1)
+        for s in np.unique(shard).tolist():
+            if s in sent.value:
+                mine = shard == s
+                out[mine] = bloom_has(sent.value[s], pairs[mine])
+        return out
+
+    return has
+
+
 def sha256_hex(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()

@@ -1,18 +1,26 @@
 """Toxicity by compression distance.
 
-Windows of a fixed width slide over the whole text in lower case (A-Z), across word ends and through long runs, at a
-stride below the width, so that every run of up to WIDTH - STRIDE + 1 bytes stands whole in a window. Two zstandard
-dictionaries are trained on byte pieces of several lengths from every place of a text: on toxic text, from the pieces
-that far more toxic than ordinary training documents have (by likelihood ratio), and on ordinary text, from its most
-frequent pieces. A window is compressed with the ordinary one alone and with both; where the toxic one saves at least so
-many bytes it counts, and a logistic function of the share and number of such windows, fitted on training documents, is the score. A window
-that holds no whole toxic piece saves nothing. The saving that counts and the function
-are calibrated on training documents only.
-
-Cases: null and empty texts have no windows and get the score of a document without any hit; a text shorter than a
+Two zstandard dictionaries are trained: one on windows of ordinary documents, one on excerpts of toxic documents. Windows
+of a fixed width slide over the whole text in lower case (A-Z), across word ends and through long runs, at a stride below
+the width, so that every run of up to WIDTH - STRIDE + 1 bytes stands whole in a window. Each window is compressed twice,
+with the ordinary dictionary alone and with the toxic one behind it; the difference of the two lengths is what the
+toxic dictionary saves. A document's score is a logistic function of how many of its windows save at least so many bytes, and
+what share of its windows that is, at two thresholds; the function is calibrated on training documents that neither
+dictionary has seen.
+
+Toxic documents are mostly ordinary text. The toxic dictionary's samples are therefore the excerpts that tell them apart:
+the longest runs of bytes that are covered by byte n-grams which far more toxic than ordinary documents have (by
+likelihood ratio). Zstandard's trainer makes the dictionary of them. The toxic dictionary is used as the ordinary one's
+continuation, because what an ordinary passage costs must be the same on both sides of the comparison.
+
+A window that shares no GRAM bytes with the toxic dictionary beyond what it shares with the ordinary one saves nothing
+and is not compressed.
+
+Cases: null and empty texts have no windows and get the score of a document without any saving; a text shorter than a
 window is one window; rows without a usable label are never learnt from; where a document is labelled more than once
-the highest label counts; without toxic training rows every score is the base rate; ties and repeated rows get equal
-scores; other columns are ignored; an empty table gives no rows.
+the highest label counts; where there is nothing to tell toxic documents by, or no ordinary or no toxic training rows,
+every score is the base rate; ties and repeated rows get equal scores; other columns are ignored; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -27,27 +35,34 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wheelmark.llm.shared import LOWERED, chunks, field, mixed, picked, utf8
+from wheelmark.llm.shared import LOWERED, chunks, field, mixed, picked, pieces, utf8, written
 
 #: Bytes of a window, and from one window's start to the next one's.
 WIDTH, STRIDE = 24, 8
-#: Lengths of the pieces that dictionaries are made of; the ordinary one has those of length COMMON.
-SIZES, COMMON = (5, 6, 7, 9, 14), 6
 #: Zstandard begins no match in an input's last 8 bytes and keeps the smallest inputs raw: each window stands between these.
 BEFORE, BEHIND = b"0123456789ABCDEF", b"QRSTUVWX"
-#: Labelled training rows that are fitted on, at most; bytes of the toxic dictionary and pieces of the ordinary one, at most.
-FIT_ROWS, TOXIC_BYTES, ORDINARY_PIECES = 20_000, 1 << 16, 1200
-#: A piece is toxic if toxic documents have it so many times as often as ordinary ones, at this log-likelihood ratio.
-LEAST_LIFT, LEAST_RATIO, LEAST_DOCS = 4.0, 14.0, 3
-SAVINGS = (1, 2, 3, 4, 5)
+#: Lengths of the n-grams that excerpts are made of.
+SIZES = (5, 7, 9, 11)
+#: An n-gram tells if toxic documents have it so many times as often as ordinary ones, at this log-likelihood ratio.
+LEAST_LIFT, LEAST_RATIO, LEAST_DOCS = 12.0, 10.0, 3
+#: Labelled training rows that are fitted on, at most; one in so many of them calibrates instead of training dictionaries.
+FIT_ROWS, CALIBRATE = 20_000, 3
+#: Training samples, at most: ordinary windows (of WIDTH bytes), and excerpts by number.
+ORDINARY_WINDOWS, EXCERPTS = 150_000, 100_000
+#: Bytes of the two dictionaries, at most.
+ORDINARY_BYTES, TOXIC_BYTES = 112_640, 16_384
+#: What the trainer (COVER) is told: lengths of segments and of what it counts.
+ORDINARY_SEGMENT, TOXIC_SEGMENT, COUNTED = 30, 16, 6
+LEVEL, GRAM = 19, 6
+#: Bytes that a window must save to count as a hit, and as a plain one.
+SAVINGS = (1, 4)
 CACHE_ENTRIES = 500_000
 
 
 class Model(NamedTuple):
-    toxic: tuple[bytes, ...]
     ordinary: bytes
-    saving: int
-    weights: tuple[float, float, float]
+    toxic: bytes
+    weights: tuple[float, ...]
 
 
 def windows(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,30 +75,11 @@ def windows(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, np.minimum(starts + WIDTH, offsets[row + 1]), rows
 
 
-def piece_codes(data: np.ndarray, offsets: np.ndarray, size: int, once: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes (the size's number in the last bits), places and rows of the pieces of ``size`` bytes; ``once``: each once in a row."""
-    n = len(data) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    parts = [np.zeros(n, np.uint64), np.zeros(n, np.uint64)]
-    for k in range(size):
-        parts[k // 8] |= data[k : k + n].astype(np.uint64) << np.uint64(8 * (k % 8))
-    codes = mixed(parts[0] + np.uint64(size)) if size <= 8 else mixed(mixed(parts[0] + np.uint64(size)) ^ parts[1])
-    codes = codes & ~np.uint64(7) | np.uint64(SIZES.index(size))
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[:n]
-    at = np.flatnonzero(np.arange(n) + size <= offsets[row + 1])
-    codes, row = codes[at], row[at]
-    if not once:
-        return codes, at, row
-    first = np.unique(codes ^ mixed(row.astype(np.uint64) + np.uint64(1)), return_index=True)[1]
-    return codes[first], at[first], row[first]
-
-
-def grams(data: np.ndarray) -> np.ndarray:
-    """The SIZES[0] bytes from each place on, as an integer."""
-    n = max(len(data) - SIZES[0] + 1, 0)
+def grams(data: np.ndarray, size: int = GRAM) -> np.ndarray:
+    """The ``size`` bytes (up to 8) from each place on, as an integer."""
+    n = max(len(data) - size + 1, 0)
     out = np.zeros(n, np.uint64)
-    for k in range(SIZES[0]):
+    for k in range(size):
         out |= data[k : k + n].astype(np.uint64) << np.uint64(8 * k)
     return out
 
@@ -93,77 +89,65 @@ def slot(codes: np.ndarray) -> np.ndarray:
     return (codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)
 
 
-class Scorer:
-    """Bytes that the toxic pieces save on a window beside the ordinary ones; windows met lately are kept."""
-
-    def __init__(self, toxic: tuple[bytes, ...], ordinary: bytes) -> None:
-        options = {"level": 19, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
-
-        def of(data: bytes) -> zstandard.ZstdCompressor:
-            return zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(data + BEFORE, dict_type=zstandard.DICT_TYPE_RAWCONTENT), **options)
+# --- scoring ----------------------------------------------------------------------------------------------------
 
-        self.toxic, self.ordinary, self.cache = of(ordinary + b"".join(toxic)), of(ordinary), {}
-        self.known = [(size, *self._heads([w for w in toxic if len(w) == size])) for size in SIZES if any(len(w) == size for w in toxic)]
 
-    @staticmethod
-    def _heads(pieces: list[bytes]) -> tuple[set[bytes], np.ndarray, np.ndarray]:
-        heads = np.unique(np.concatenate([grams(np.frombuffer(w, np.uint8))[:1] for w in pieces]))
-        slots = np.zeros(1 << 22, bool)
-        slots[slot(heads)] = True
-        return set(pieces), heads, slots
+class Scorer:
+    """Bytes that the toxic dictionary saves on a window; windows met lately are kept."""
+
+    def __init__(self, ordinary: bytes, toxic: bytes) -> None:
+        options = {"level": LEVEL, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
+        self.ordinary = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(ordinary + BEFORE), **options)
+        self.toxic = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(ordinary + toxic + BEFORE), **options)
+        of = lambda x: np.unique(grams(np.frombuffer(x, np.uint8)))
+        self.own = np.setdiff1d(of(toxic), of(ordinary))
+        self.slots = np.zeros(1 << 22, bool)
+        self.slots[slot(self.own)] = True
+        self.cache: dict[bytes, int] = {}
 
     def savings(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """For each window; nothing where no whole toxic piece stands in it (part of one within another word isn't it)."""
-        codes, text = grams(data), data.tobytes()
-        at = slot(codes)
-        out, some = np.zeros(len(starts), np.int64), np.zeros(len(starts), bool)
-        for size, pieces, heads, slots in self.known:
-            met = np.flatnonzero(slots[at])
-            met = met[np.isin(codes[met], heads)]
-            met = np.array([i for i in met.tolist() if text[i : i + size] in pieces], np.int64)
-            some |= np.searchsorted(met, ends - (size - 1)) > np.searchsorted(met, starts)
-        for i, a, b in zip(np.flatnonzero(some).tolist(), starts[some].tolist(), ends[some].tolist(), strict=True):
-            own = text[a:b]
-            saved = self.cache.get(own)
+        codes, text, out = grams(data), data.tobytes(), np.zeros(len(starts), np.int64)
+        met = np.flatnonzero(self.slots[slot(codes)])
+        met = met[np.isin(codes[met], self.own)]
+        some = np.flatnonzero(np.searchsorted(met, ends - (GRAM - 1)) > np.searchsorted(met, starts))
+        for i, a, b in zip(some.tolist(), starts[some].tolist(), ends[some].tolist(), strict=True):
+            window = text[a:b]
+            saved = self.cache.get(window)
             if saved is None:
                 if len(self.cache) >= CACHE_ENTRIES:
                     self.cache.clear()
-                whole = BEFORE + own + BEHIND
-                saved = self.cache[own] = len(self.ordinary.compress(whole)) - len(self.toxic.compress(whole))
+                whole = BEFORE + window + BEHIND
+                saved = self.cache[window] = len(self.ordinary.compress(whole)) - len(self.toxic.compress(whole))
             out[i] = saved
         return out
 
 
-_SCORERS: dict[tuple[tuple[bytes, ...], bytes], Scorer] = {}
+_SCORERS: dict[tuple[bytes, bytes], Scorer] = {}
 
 
-def counted(batch: pa.RecordBatch, toxic: tuple[bytes, ...], ordinary: bytes) -> np.ndarray:
+def counted(data: np.ndarray, offsets: np.ndarray, ordinary: bytes, toxic: bytes) -> np.ndarray:
     """For each row: its windows, and how many of them save at least each of SAVINGS."""
-    if (toxic, ordinary) not in _SCORERS:
+    if (ordinary, toxic) not in _SCORERS:
         _SCORERS.clear()
-        _SCORERS[toxic, ordinary] = Scorer(toxic, ordinary)
-    scorer, out = _SCORERS[toxic, ordinary], []
-    data, offsets = utf8(batch["text"])
-    for a, b in chunks(offsets):
-        starts, ends, rows = windows(offsets[a : b + 1] - offsets[a])
-        saved = scorer.savings(LOWERED[data[offsets[a] : offsets[b]]], starts, ends)
-        sums = [np.concatenate([[0], np.cumsum(saved >= k)]) for k in SAVINGS]
-        out.append(np.stack([np.diff(rows), *(s[rows[1:]] - s[rows[:-1]] for s in sums)], axis=1))
-    return np.concatenate(out) if out else np.zeros((0, 1 + len(SAVINGS)), np.int64)
+        _SCORERS[ordinary, toxic] = Scorer(ordinary, toxic)
+    starts, ends, rows = windows(offsets)
+    saved = _SCORERS[ordinary, toxic].savings(LOWERED[data], starts, ends)
+    sums = [np.concatenate([[0], np.cumsum(saved >= k)]) for k in SAVINGS]
+    return np.stack([np.diff(rows), *(s[rows[1:]] - s[rows[:-1]] for s in sums)], axis=1)
 
 
-def inputs(n: np.ndarray, hits: np.ndarray) -> np.ndarray:
-    """What the logistic function takes: share and number of hits, on log scales, and 1."""
-    share = hits / np.maximum(n, 1)
-    return np.stack([np.log(share + 2e-3), np.log1p(hits), np.ones(len(n))], axis=1)
+def inputs(table: np.ndarray) -> np.ndarray:
+    """What the logistic function takes of ``counted``: share and number of hits, on log scales, at each saving, and 1."""
+    n = np.maximum(table[:, 0], 1)
+    return np.stack([f for h in table[:, 1:].T for f in (np.log(h / n + 2e-3), np.log1p(h))] + [np.ones(len(table))], axis=1)
 
 
 def logistic(x: np.ndarray, weights) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x @ np.asarray(weights), -30, 30)))
 
 
-def fitted(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[np.ndarray, float]:
-    """Weights of a logistic regression by Newton's method, and the log loss."""
+def fitted(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+    """Weights of a logistic regression by Newton's method."""
     w = np.zeros(x.shape[1])
     for _ in range(40):
         p = logistic(x, w)
@@ -171,8 +155,10 @@ def fitted(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[np.ndarra
         w -= np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-6:
             break
-    p = np.clip(logistic(x, w), 1e-9, 1 - 1e-9)
-    return w, float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
+    return w
+
+
+# --- training ---------------------------------------------------------------------------------------------------
 
 
 def held_out(column: str = "id"):
@@ -181,140 +167,147 @@ def held_out(column: str = "id"):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> DataFrame:
-    """text and toxic of at most ``fit_rows`` labelled rows outside the held-out ones, chosen by a hash of the id."""
+    """text, toxic and calibrates of at most ``fit_rows`` labelled rows outside the held-out ones, chosen by a hash of the id."""
     own = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("toxic")).where("id is not null and toxic in (0, 1)").where(~held_out())
     own = own.groupBy("id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(fit_rows)
-    return picked(docs, id=id_col, text=text_col).join(F.broadcast(own), "id").select("text", "toxic")
+    # The sample has ``fit_rows`` rows at most, so it may be broadcast.
+    found = picked(docs, id=id_col, text=text_col).join(F.broadcast(own), "id")
+    # By the text, so that copies are on one side.
+    side = F.pmod(F.xxhash64(F.lower(F.substring("text", 1, 100))), F.lit(CALIBRATE)) == 0
+    return found.select("text", "toxic", F.coalesce(side, F.lit(False)).alias("calibrates"))
 
 
-def unexplained(data: np.ndarray, offsets: np.ndarray, ranked: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Ranks and rows of the pieces that stand in a row at a place where no better one overlaps them; each once in a row."""
-    found = []
-    best = np.full(len(data), len(ranked), np.int64)
-    for size in SIZES:
-        ranks = np.array([i for i, w in enumerate(ranked) if len(w) == size], np.int64)
-        if not len(ranks):
-            continue
-        own = np.array([piece_codes(np.frombuffer(ranked[i], np.uint8), np.array([0, size]), size)[0][0] for i in ranks], np.uint64)
-        order = np.argsort(own)
-        own, ranks = own[order], ranks[order]
-        codes, at, row = piece_codes(data, offsets, size, once=False)
-        place = np.minimum(np.searchsorted(own, codes), len(own) - 1)
-        met = own[place] == codes
-        rank, at, row = ranks[place[met]], at[met], row[met]
-        for k in range(size):
-            np.minimum.at(best, at + k, rank)
-        found.append((size, rank, at, row))
-    out = []
-    for size, rank, at, row in found:
-        alone = np.ones(len(at), bool)
-        for k in range(size):
-            alone &= best[at + k] == rank
-        pairs = np.unique(np.stack([rank[alone], row[alone]], axis=1), axis=0)
-        out.append((pairs[:, 0], pairs[:, 1]))
-    return out
+def gram_codes(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes (the size's number in the last bits), places and rows of all n-grams of ``size`` bytes."""
+    n = len(data) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    codes = mixed(grams(data, min(size, 8))[:n] + np.uint64(size))
+    if size > 8:
+        codes = mixed(codes ^ grams(data, size - 8)[8 : 8 + n])
+    codes = codes & ~np.uint64(7) | np.uint64(SIZES.index(size))
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[:n]
+    at = np.flatnonzero(np.arange(n) + size <= offsets[row + 1])
+    return codes[at], at, row[at]
 
 
-def fit(rows: DataFrame) -> Model:
-    """Trains both dictionaries and the calibration on ``rows`` (text, toxic)."""
-
-    def pieces(batches: Iterator[pa.RecordBatch], wanted: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-        """Rows with each piece, toxic and ordinary; of the pieces in ``wanted``, or of those that may be of use."""
-        slots = np.zeros(1 << 22, bool)
-        if wanted is not None:
-            slots[wanted >> np.uint64(42)] = True
-        for batch in batches:
-            data, offsets = utf8(batch["text"])
-            labels = batch["toxic"].to_numpy(zero_copy_only=False) == 1
-            for a, b in chunks(offsets):
-                part, at = LOWERED[data[offsets[a] : offsets[b]]], offsets[a : b + 1] - offsets[a]
-                for size in SIZES:
-                    codes, places, row = piece_codes(part, at, size)
-                    toxic = labels[a:b][row]
-                    if wanted is None:
-                        use = toxic | (size == COMMON)  # an ordinary document's other pieces count if toxic ones have them
-                    else:
-                        use = slots[codes >> np.uint64(42)]
-                        use[use] = np.isin(codes[use], wanted)
-                    own, first, which = np.unique(codes[use], return_index=True, return_inverse=True)
-                    t = np.bincount(which, toxic[use], len(own)).astype(np.int64)
-                    o = np.bincount(which, minlength=len(own)) - t
-                    texts = [part[i : i + size].tobytes() for i in places[use][first].tolist()] if wanted is not None else [None] * len(own)
-                    yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(texts, pa.binary()), pa.array(t), pa.array(o)], names=["code", "piece", "t", "o"])
-
-    kinds = "code bigint, piece binary, t bigint, o bigint"
-    rows = rows.persist()
-    totals = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
-    n_toxic, n_ordinary = totals.get(1, 0), totals.get(0, 0)
+def telling_grams(rows: DataFrame, n_toxic: int, n_ordinary: int) -> np.ndarray:
+    """Hashes of the n-grams that far more toxic than ordinary documents have.
+
+    N-grams are counted by document, over the training rows alone; only those that pass come to the driver: each is in
+    LEAST_DOCS toxic training documents or more, of FIT_ROWS at most.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for data, offsets, batch in pieces(batches):
+            toxic = batch["toxic"].to_numpy(zero_copy_only=False) == 1
+            for size in SIZES:
+                codes, _, row = gram_codes(LOWERED[data], offsets, size)
+                first = np.unique(codes ^ mixed(row.astype(np.uint64) + np.uint64(1)), return_index=True)[1]
+                own, which = np.unique(codes[first], return_inverse=True)
+                t = np.bincount(which, toxic[row[first]], len(own)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(t), pa.array(np.bincount(which, minlength=len(own)) - t)], names=["code", "t", "o"])
 
     def part(k, n, p):  # log likelihood of k among n at the rate p
         return k * F.log(F.greatest(p, F.lit(1e-12))) + (n - k) * F.log(F.greatest(1 - p, F.lit(1e-12)))
 
-    def ratio(t, o):
-        both = (t + o) / (n_toxic + n_ordinary or 1)
-        return part(t, n_toxic, t / (n_toxic or 1)) + part(o, n_ordinary, o / (n_ordinary or 1)) - part(t, n_toxic, both) - part(o, n_ordinary, both)
-
     t, o = F.col("t"), F.col("o")
-    counts = rows.mapInArrow(pieces, kinds).groupBy("code").agg(F.sum("t").alias("t"), F.sum("o").alias("o")).where(t + o >= LEAST_DOCS).persist()
-    # What would not be toxic even if no ordinary document had it is left out before those are looked through.
-    wanted = [r.code for r in counts.where((t >= LEAST_DOCS) & (ratio(t, F.lit(0)) > LEAST_RATIO)).select("code").collect()]
-    common = [r.code for r in counts.where((o > 0) & (F.col("code").bitwiseAND(7) == SIZES.index(COMMON))).orderBy(F.desc("o"), "code").limit(ORDINARY_PIECES).collect()]
-    counts.unpersist()
-    both = np.unique(np.array(wanted + common, np.int64).view(np.uint64))
-    counts = rows.mapInArrow(lambda batches: pieces(batches, both), kinds).groupBy("code").agg(F.min("piece").alias("piece"), F.sum("t").alias("t"), F.sum("o").alias("o")).persist()
-    toxic = counts.where((t >= LEAST_DOCS) & (t / (n_toxic or 1) > LEAST_LIFT * o / (n_ordinary or 1))).withColumn("ratio", ratio(t, o)).where(F.col("ratio") > LEAST_RATIO)
-    ranked = [bytes(r.piece) for r in toxic.orderBy(F.desc("ratio"), F.desc(F.octet_length("piece")), "piece").select("piece").collect()]
-
-    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = utf8(batch["text"])
-            labels = batch["toxic"].to_numpy(zero_copy_only=False) == 1
-            sums = np.zeros((2, len(ranked)), np.int64)
-            for a, b in chunks(offsets):
-                for rank, row in unexplained(LOWERED[data[offsets[a] : offsets[b]]], offsets[a : b + 1] - offsets[a], ranked):
-                    np.add.at(sums, (labels[a:b][row].astype(np.int64), rank), 1)
-            some = np.flatnonzero(sums.any(axis=0))
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums[1, some]), pa.array(sums[0, some])], names=["rank", "t", "o"])
-
-    # A piece must tell by itself: where it only stands beside or across a better one, it is that one's neighbourhood.
-    own = rows.mapInArrow(alone, "rank bigint, t bigint, o bigint").groupBy("rank").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
-    own = own.where((t >= LEAST_DOCS) & (t / (n_toxic or 1) > LEAST_LIFT * o / (n_ordinary or 1)) & (ratio(t, o) > LEAST_RATIO))
-    chosen = [ranked[r.rank] for r in own.orderBy("rank").collect()]
-    chosen = [w for w, end in zip(chosen, np.cumsum([len(w) for w in chosen]), strict=True) if end <= TOXIC_BYTES]
-    inside = b"\n".join(chosen)
-    common = [bytes(r.piece) for r in counts.where(F.col("code").isin(common)).orderBy(F.desc("o"), "piece").collect()]
-    common = [w for w in common if w not in inside]
-    counts.unpersist()
-    # The most telling pieces come last, where offsets are short.
-    toxic_pieces, ordinary_bytes = tuple(reversed(chosen)), b"".join(reversed(common))
-    base = math.log((n_toxic + 0.5) / (n_ordinary + 0.5))
-    if not chosen:
-        rows.unpersist()
-        return Model((), ordinary_bytes, SAVINGS[0], (0.0, 0.0, base))
+    both = (t + o) / (n_toxic + n_ordinary)
+    ratio = part(t, n_toxic, t / n_toxic) + part(o, n_ordinary, o / n_ordinary) - part(t, n_toxic, both) - part(o, n_ordinary, both)
+    counts = rows.mapInArrow(count, "code bigint, t bigint, o bigint").groupBy("code").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
+    found = counts.where((t >= LEAST_DOCS) & (t / n_toxic > LEAST_LIFT * o / n_ordinary)).where(ratio > LEAST_RATIO).select("code").collect()
+    return np.sort(np.array([r.code for r in found], np.int64).view(np.uint64))
+
+
+def covered(data: np.ndarray, offsets: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Starts and ends of the longest runs that n-grams in ``wanted`` cover; a run does not go from one row into the next."""
+    depth = np.zeros(len(data) + 1, np.int64)
+    for size in SIZES:
+        codes, at, _ = gram_codes(data, offsets, size)
+        at = at[np.isin(codes, wanted)]
+        np.add.at(depth, at, 1)
+        np.add.at(depth, at + size, -1)
+    inside = np.cumsum(depth[:-1]) > 0
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    edge[1:-1] |= inside[1:] != inside[:-1]
+    cut = np.flatnonzero(edge)
+    return np.stack([cut[:-1], cut[1:]], axis=1)[inside[cut[:-1]]] if len(data) else np.zeros((0, 2), np.int64)
+
+
+def samples(rows: DataFrame, wanted: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """Windows of ordinary documents and excerpts of toxic ones, by a hash: ORDINARY_WINDOWS and EXCERPTS at most."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for data, offsets, batch in pieces(batches):
+            low, text = LOWERED[data], LOWERED[data].tobytes()
+            toxic = batch["toxic"].to_numpy(zero_copy_only=False) == 1
+            spans = covered(low, offsets, wanted)
+            spans = spans[toxic[np.searchsorted(offsets, spans[:, 0], "right") - 1]]
+            starts, ends, before = windows(offsets)
+            plain = ~np.repeat(toxic, np.diff(before))
+            found = [text[a:b] for a, b in spans.tolist()] + [text[a:b] for a, b in zip(starts[plain].tolist(), ends[plain].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(found)) < len(spans)), pa.array(found, pa.binary())], names=["toxic", "body"])
+
+    cuts = written(rows.mapInArrow(cut, "toxic boolean, body binary"), "samples")
+
+    def some(toxic: bool, most: int) -> list[bytes]:
+        own = cuts.where(F.col("toxic") == toxic)
+        n = own.count()
+        share = int(1_000_000 * most / max(n, 1))
+        taken = own.where(F.pmod(F.xxhash64(F.lit("sample"), "body"), F.lit(1_000_000)) < share)
+        return [bytes(r.body) for r in taken.select("body").orderBy(F.xxhash64("body"), "body").limit(most).collect()]
+
+    return some(False, ORDINARY_WINDOWS), some(True, EXCERPTS)
+
+
+def fit(rows: DataFrame) -> Model:
+    """Trains both dictionaries and the calibration on ``rows`` (text, toxic, calibrates)."""
+    rows = written(rows, "training")  # FIT_ROWS at most
+    totals = {(r.toxic, r.calibrates): r["count"] for r in rows.groupBy("toxic", "calibrates").count().collect()}
+    n_toxic, n_ordinary = totals.get((1, False), 0), totals.get((0, False), 0)
+    every = [sum(n for (t, _), n in totals.items() if t == k) for k in (0, 1)]
+    rate = math.log((every[1] + 0.5) / (every[0] + 0.5))
+    nothing = Model(b"", b"", (*[0.0] * 2 * len(SAVINGS), rate))
+    if not n_toxic or not n_ordinary:
+        return nothing
+    train = rows.where("not calibrates")
+    wanted = telling_grams(train, n_toxic, n_ordinary)
+    plain, excerpts = samples(train, wanted)
+    if not len(wanted) or not (ordinary := trained(plain, ORDINARY_BYTES, ORDINARY_SEGMENT)) or not (toxic := trained(excerpts, TOXIC_BYTES, TOXIC_SEGMENT)):
+        return nothing
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch["toxic"], pa.array(counted(batch, toxic_pieces, ordinary_bytes).tolist(), pa.list_(pa.int64()))], names=["toxic", "counts"])
+        for data, offsets, batch in pieces(batches):
+            yield pa.RecordBatch.from_arrays([batch["toxic"], pa.array(counted(data, offsets, ordinary, toxic).tolist(), pa.list_(pa.int64()))], names=["toxic", "counts"])
 
-    seen = rows.mapInArrow(count, "toxic int, counts array<bigint>").collect()  # FIT_ROWS at most
-    rows.unpersist()
+    seen = rows.where("calibrates").mapInArrow(count, "toxic int, counts array<bigint>").collect()  # FIT_ROWS at most
     y = np.array([r.toxic for r in seen], float)
+    if not y.size or y.all() or not y.any():
+        return nothing
     table = np.array([r.counts for r in seen], np.int64).reshape(-1, 1 + len(SAVINGS))
-    tried = [(fitted(inputs(table[:, 0], table[:, i + 1]), y), k) for i, k in enumerate(SAVINGS)]
-    (weights, _), saving = min(tried, key=lambda x: x[0][1])
-    return Model(toxic_pieces, ordinary_bytes, saving, tuple(float(x) for x in weights))
+    return Model(ordinary, toxic, tuple(float(x) for x in fitted(inputs(table), y)))
+
+
+def trained(found: list[bytes], size: int, segment: int) -> bytes:
+    """Zstandard's dictionary of the samples; empty where they are too few for its trainer."""
+    if sum(map(len, found)) < 8 * segment or len(found) < 8:
+        return b""
+    try:
+        return zstandard.train_dictionary(size, found, k=segment, d=COUNTED).as_bytes()
+    except zstandard.ZstdError:
+        return b""
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """``id``, held_out, score, predicted, n_windows, n_hits."""
+    """``id``, held_out, score, predicted, n_windows, n_hits (windows that save anything)."""
     rows = picked(docs, id=id_col, text=text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            table = counted(batch, model.toxic, model.ordinary) if model.toxic else np.zeros((len(batch), 1 + len(SAVINGS)), np.int64)
-            hits = table[:, 1 + SAVINGS.index(model.saving)]
-            scores = logistic(inputs(table[:, 0], hits), model.weights)
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(scores, pa.float64()), pa.array(table[:, 0], pa.int64()), pa.array(hits, pa.int64())], names=["id", "score", "n_windows", "n_hits"])
+        for data, offsets, batch in pieces(batches):
+            table = counted(data, offsets, model.ordinary, model.toxic) if model.toxic else np.zeros((len(batch), 1 + len(SAVINGS)), np.int64)
+            scores = logistic(inputs(table), model.weights)
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(scores, pa.float64()), pa.array(table[:, 0], pa.int64()), pa.array(table[:, 1], pa.int64())], names=["id", "score", "n_windows", "n_hits"])
 
     scored = rows.mapInArrow(run, f"id {field(rows, 'id')}, score double, n_windows bigint, n_hits bigint")
     return scored.select(F.col("id").alias(id_col), held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_windows", "n_hits")

@@ -2,9 +2,9 @@
 
 A document's set is its distinct word shingles, as 64-bit hashes. Two permutations of 32-bit integers make all
 signature coordinates: the first scatters the set, the second is shifted around its circle by another step for each
-coordinate, and a coordinate is the least value over the set. Documents with equal sets become one class, whose
-smallest id stands for it; classes that agree in any band of coordinates are candidates, and links are confirmed on
-the full sets.
+coordinate, and a coordinate is the least value over the set. Documents with equal sets become one class, which the
+number of its first row stands for; classes that agree in any band of coordinates are candidates, and links are confirmed
+on the full sets.
 
 Buckets are not expanded into pairs. Each class is compared with its bucket's first class only, and confirmed links are
 joined into components. What is left are classes of different components that share a first class: for each of them
@@ -12,9 +12,12 @@ its difference from that class is taken, and sizes of differences and of their o
 any two (common = first - lacking - lacking + overlap). This is worked out in blocks of bounded size, as sums over the
 few shingles that differ, and only links that join components leave a block.
 
-Cases: null, empty and wordless texts have empty sets and are linked with nothing; texts with fewer words than a
-shingle have the whole sequence as their one shingle; repeated rows and ties have equal sets and one component; a null
-id is a class by itself (its component is null); other columns are ignored; an empty table gives no rows.
+Cases: null, empty and wordless texts have empty sets and are linked with nothing: each is a component by itself, with its
+own id (null or not), and stays; texts with fewer words than a shingle have the whole sequence as their one shingle;
+repeated rows and ties have equal sets and one component. A component's id is its smallest one; a null id is larger than
+any other, so that a row without an id goes where its component has a row with one, and a component without any id has a
+null component_id and all its rows stay. Rows that share an id but not the text are judged each by its own text. Other
+columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,11 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wheelmark.llm.shared import BROADCAST_BYTES, NOT_SPACE, bloom, bloom_has, chunks, field, mixed, picked, small_batches, token_hashes, tokens, utf8, written
+from wheelmark.llm.shared import NOT_SPACE, chunks, field, filter_over, join_hot, mixed, picked, pieces, token_hashes, tokens, written
 
 BANDS, ROWS = 28, 4
-#: Classes with one first class that a task holds against as many others.
-BLOCK = 600
+#: Classes with one first class that a task holds against as many others, and bytes of their differences, about.
+BLOCK, BLOCK_BYTES = 600, 8 << 20
+#: Rows of one first class that are joined with its set in one task, at least.
+PART = 64
 #: A shingle in more differences than this is counted by a matrix product, the others pair by pair.
 DENSE = 48
 _STEP = np.uint32(0x9E3779B1)
@@ -82,27 +87,22 @@ def signatures(sets: list[np.ndarray], coordinates: int) -> np.ndarray:
     return out
 
 
-def sets_of(docs: DataFrame, size: int, coordinates: int) -> DataFrame:
-    """id, n (set size), set_key (a digest of the set; null where it is empty), signature."""
+def set_digest(own: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None
+
+
+def sets_of(docs: DataFrame, size: int, coordinates: int, held: list[str]) -> DataFrame:
+    """row, id, text_hash, n (set size), set_key (a digest of the set; null where it is empty), signature, and ``held``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = utf8(batch["text"])
-            for a, b in chunks(offsets):
-                sets = shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size)
-                full = [s for s in sets if len(s)]
-                made = iter(signatures(full, coordinates)) if full else iter(())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch["id"].slice(a, b - a),
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
-                        pa.array([next(made).tobytes() if len(s) else None for s in sets], pa.binary()),
-                    ],
-                    names=["id", "n", "set_key", "signature"],
-                )
-
-    return docs.mapInArrow(run, f"id {field(docs, 'id')}, n bigint, set_key binary, signature binary")
+        for data, offsets, batch in pieces(batches):
+            sets = shingles(data, offsets, size)
+            full = [s for s in sets if len(s)]
+            made = iter(signatures(full, coordinates)) if full else iter(())
+            columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array(list(map(set_digest, sets)), pa.binary()), pa.array([next(made).tobytes() if len(s) else None for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch["row"], batch["id"], batch["text_hash"], *columns, *(batch[c] for c in held)], names=["row", "id", "text_hash", "n", "set_key", "signature", *held])
+
+    return docs.mapInArrow(run, f"row bigint, id {field(docs, 'id')}, text_hash bigint, n bigint, set_key binary, signature binary" + "".join(f", {c} {field(docs, c)}" for c in held))
 
 
 def bands(classes: DataFrame, n_bands: int, n_rows: int) -> DataFrame:
@@ -112,53 +112,42 @@ def bands(classes: DataFrame, n_bands: int, n_rows: int) -> DataFrame:
     return classes.select("rep", F.explode(F.array(*keys)).alias("bucket"))
 
 
-def sets_needed(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """id and set of every document in ``pairs`` (a, b).
+def sets_needed(pairs: DataFrame, marked: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """node and set of every class in ``pairs`` (a, b).
 
-    Only their texts travel: a filter over their ids keeps the others back where it is small.
+    A filter over the hashes of the classes' first texts keeps the other documents back; a task hands each set on once,
+    however many copies it reads.
     """
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    needed = written(needed, "needed")
-    n = needed.count()
-    kept = docs
-    if 0 < n * 12 // 8 <= BROADCAST_BYTES:
-        shards = max(1, -(-n // 500_000))
-
-        def build(key, table):
-            h = table["h"].to_numpy().astype(np.uint64)
-            return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "filter": pa.array([bloom(np.stack([h, mixed(h)], axis=1))], pa.binary())})
-
-        hashed = F.xxhash64("id")
-        filters = docs.sparkSession.sparkContext.broadcast({r.shard: bytes(r.filter) for r in needed.select(hashed.alias("h"), F.pmod(hashed, F.lit(shards)).cast("int").alias("shard")).groupBy("shard").applyInArrow(build, "shard int, filter binary").collect()})
-
-        def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                h = batch["h"].to_numpy(zero_copy_only=False)
-                shard = np.mod(h, shards)
-                h = h.astype(np.uint64)
-                keys = np.stack([h, mixed(h)], axis=1)
-                ok = np.zeros(len(h), bool)
-                for s, f in filters.value.items():
-                    own = shard == s
-                    ok[own] = bloom_has(f, keys[own])
-                yield batch.select(["id", "text"]).filter(pa.array(ok))
-
-        kept = docs.select("id", "text", hashed.alias("h")).mapInArrow(wanted, f"id {field(docs, 'id')}, text {field(docs, 'text')}")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+    needed = written(marked.select("row", "text_hash", "set_key").join(nodes, "row", "left_semi"), "needed")
+    wanted = filter_over(needed, "text_hash")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in batches:
-            data, offsets = utf8(batch["text"])
-            for a, b in chunks(offsets):
-                own = shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size)
-                yield pa.RecordBatch.from_arrays([batch["id"].slice(a, b - a), pa.array([s.tobytes() for s in own], pa.binary())], names=["id", "set"])
-
-    full = kept.join(needed, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(sets, f"id {field(docs, 'id')}, set binary")
+            some = batch.filter(pa.array(wanted(batch["text_hash"].to_numpy(zero_copy_only=False))))
+            for data, offsets, _ in pieces([some]):
+                own = {k: s for s in shingles(data, offsets, size) if (k := set_digest(s)) and k not in seen}
+                seen.update(own)
+                yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.binary()), pa.array([s.tobytes() for s in own.values()], pa.binary())], names=["set_key", "set"])
+
+    found = docs.select("text", "text_hash").mapInArrow(sets, "set_key binary, set binary")
+    # Another text with the same hash has another set, which no class in ``needed`` has.
+    full = found.join(needed.select(F.col("row").alias("node"), "set_key"), "set_key").dropDuplicates(["node"]).select("node", "set")
     return written(full, "sets")
 
 
 def with_sets(pairs: DataFrame, full: DataFrame) -> DataFrame:
-    """``pairs`` (a, b, ...) with both sets, x and y."""
-    return pairs.join(full.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(full.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+    """``pairs`` (a, b, ...; written) with both sets, x and y.
+
+    A first class that very many share is dealt out: its set goes to as many parts as its pairs need.
+    """
+    sizes = pairs.groupBy("a").agg(F.count("*").alias("pairs"))
+    total = pairs.count()
+    sizes = written(sizes.withColumn("split", F.ceil(F.col("pairs") / max(PART, total // 512)).cast("int")), "sizes")
+    dealt = join_hot(pairs, sizes, "a", "pairs").withColumn("part", F.pmod(F.xxhash64("b"), F.col("split")).cast("int")).drop("pairs", "split")
+    hubs = full.join(sizes, F.col("node") == F.col("a")).select("a", F.col("set").alias("x"), F.explode(F.sequence(F.lit(0), F.col("split") - 1)).alias("part"))
+    return dealt.join(full.select(F.col("node").alias("b"), F.col("set").alias("y")), "b").join(hubs, ["a", "part"]).drop("part")
 
 
 def confirmed(pairs: DataFrame, full: DataFrame, least: float) -> DataFrame:
@@ -227,10 +216,10 @@ def _overlaps(diffs: list[np.ndarray]) -> np.ndarray:
 
 def _leftover(stars: DataFrame, full: DataFrame, found: DataFrame, least: float, block: int) -> DataFrame:
     """Links (a, b) between classes of different components that share a first class (``stars``: a first, b other)."""
-    kind = field(stars, "a")
     known = stars.join(found.select(F.col("id").alias("b"), "component"), "b", "left").withColumn("component", F.coalesce("component", "b"))
-    open_ = known.groupBy("a").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low != high").select("a", F.ceil(F.col("size") / block).cast("int").alias("parts"))
-    rows = with_sets(known.join(open_, "a"), full).select("a", "b", "component", "parts", "x", "y")
+    known = written(known, "known")
+    spans = known.groupBy("a").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"))
+    open_ = written(join_hot(known, written(spans, "spans"), "a", "size").where("low != high").select("a", "b", "component"), "open")
 
     def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -242,11 +231,15 @@ def _leftover(stars: DataFrame, full: DataFrame, found: DataFrame, least: float,
                 sizes.append(len(y))
                 lacking.append((len(x) + len(diff) - len(y)) // 2)
                 diffs.append(diff.tobytes())
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], batch["component"], batch["parts"], pa.array(first, pa.int64()), pa.array(sizes, pa.int64()), pa.array(lacking, pa.int64()), pa.array(diffs, pa.binary())], names=["a", "b", "component", "parts", "first", "n", "lacking", "diff"])
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], batch["component"], pa.array(first, pa.int64()), pa.array(sizes, pa.int64()), pa.array(lacking, pa.int64()), pa.array(diffs, pa.binary())], names=["a", "b", "component", "first", "n", "lacking", "diff"])
 
-    rows = rows.mapInArrow(differences, f"a {kind}, b {kind}, component {kind}, parts int, first bigint, n bigint, lacking bigint, diff binary")
+    rows = with_sets(open_, full).select("a", "b", "component", "x", "y").mapInArrow(differences, "a bigint, b bigint, component bigint, first bigint, n bigint, lacking bigint, diff binary")
+    rows = written(rows, "differences")
+    held = rows.groupBy("a").agg(F.count("*").alias("size"), F.sum(F.octet_length("diff")).alias("bytes"))
+    held = written(held.select("a", "size", F.greatest(F.ceil(F.col("size") / block), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("parts")), "blocks")
+    rows = join_hot(rows, held, "a", "size")
     rows = rows.withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")}).drop("parts", "other")
+    rows = rows.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")}).drop("parts", "other", "size")
 
     def compare(key, table):
         i, j = key[1].as_py(), key[2].as_py()
@@ -271,30 +264,33 @@ def _leftover(stars: DataFrame, full: DataFrame, found: DataFrame, least: float,
                 out.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
         return pa.table({"a": pa.array([p[0] for p in out], table.schema.field("b").type), "b": pa.array([p[1] for p in out], table.schema.field("b").type)})
 
-    return rows.groupBy("a", "i", "j").applyInArrow(compare, f"a {kind}, b {kind}").distinct()
+    return rows.groupBy("a", "i", "j").applyInArrow(compare, "a bigint, b bigint").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8, n_bands: int = BANDS, n_rows: int = ROWS, block: int = BLOCK) -> DataFrame:
-    """``id``, n_shingles, component_id (the smallest id reachable over links, its own included), kept."""
-    with small_batches(docs.sparkSession, 200):
-        return _near_duplicates(docs, id_col, text_col, size, least, n_bands, n_rows, block)
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8, n_bands: int = BANDS, n_rows: int = ROWS, block: int = BLOCK, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``id``, n_shingles, component_id (the smallest id reachable over links, its own included), kept; and ``carry``.
 
-
-def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, size: int, least: float, n_bands: int, n_rows: int, block: int) -> DataFrame:
-    rows = picked(docs, id=id_col, text=text_col)
-    marked = written(sets_of(rows, size, n_bands * n_rows), "marked")
-    grouped = marked.where("set_key is not null and id is not null").groupBy("set_key").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.min("signature").alias("signature"))
+    ``carry`` names columns of ``docs`` that the result repeats.
+    """
+    held = {f"c{i}": c for i, c in enumerate(carry)}
+    rows = picked(docs, id=id_col, text=text_col, **held).withColumn("text_hash", F.xxhash64("text"))
+    # Row numbers hold from here on, since they are read back from what is written.
+    marked = written(sets_of(rows.withColumn("row", F.monotonically_increasing_id()), size, n_bands * n_rows, list(held)), "marked")
+    grouped = marked.where("set_key is not null").groupBy("set_key").agg(F.min("row").alias("rep"), F.min("id").alias("least_id"), F.count("*").alias("copies"), F.min("signature").alias("signature"))
     grouped = written(grouped, "classes")
     buckets = bands(grouped, n_bands, n_rows)
     first = buckets.groupBy("bucket").agg(F.min("rep").alias("first"), F.count("*").alias("size")).where("size > 1").select("bucket", "first")
     buckets = buckets.join(first, "bucket")
     stars = written(buckets.where("rep != first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
-    full = sets_needed(stars, rows, size)
+    full = sets_needed(stars, marked, rows, size)
     links = confirmed(stars, full, least)
     found = written(components(links), "components")
     more = written(_leftover(stars, full, found, least, block), "leftover")
     if not more.isEmpty():
         found = written(components(links.unionByName(more)), "components")
-    classes = grouped.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
-    out = marked.select("id", "n", "set_key").join(classes, "set_key", "left").withColumn("component", F.coalesce("component", "id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
+    classes = grouped.select("set_key", "rep", "least_id", "copies").join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    named = classes.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    facts = written(classes.join(named, "component").select("set_key", "copies", "component_id"), "facts")
+    out = join_hot(marked.select("id", "n", "set_key", *held), facts, "set_key", "copies")
+    component = F.when(F.col("set_key").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), *[F.col(c).alias(name) for c, name in held.items()])

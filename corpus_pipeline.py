@@ -1,36 +1,75 @@
-"""A corpus pipeline of five of the operators; each stage reads what the one before it wrote."""
+"""A corpus pipeline of five of the operators; each stage reads what the one before it wrote.
+
+Rows are dropped one by one: a row whose id another row has too is judged by its own text. A row without an id is judged
+like any other (see the operators for which row of a group stays).
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wheelmark.llm import bpe, decontam, exact_dedup, minhash, quality
 from wheelmark.llm.queries import vocabulary
-from wheelmark.llm.shared import written
+from wheelmark.llm.shared import BROADCAST_BYTES, UPPER, filter_over, written
+
+#: What tells rows apart that share an id: two hashes of the text in lower case (A-Z; null as empty). Rows that have id and
+#: hashes in common have the same text to every stage, and share its decision.
+KEYS = ("_text_hash_1", "_text_hash_2")
+#: About what a dropped row's id and hashes take in a broadcast.
+ROW_BYTES = 100
+
+
+def with_keys(docs: DataFrame) -> DataFrame:
+    low = F.translate(F.coalesce("text", F.lit("")), UPPER.decode(), UPPER.lower().decode())
+    return docs.withColumns({KEYS[0]: F.xxhash64(low), KEYS[1]: F.xxhash64(F.lit(1), low)})
+
+
+def without(docs: DataFrame, decide: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows of ``docs`` less those that ``decide`` (doc_id, KEYS, kept) drops; rows, not ids, are dropped.
+
+    Dropped rows go to the tasks by broadcast while they are few. Beyond that a filter over them sorts out who may be
+    among them, and only those rows travel.
+    """
+    rows = with_keys(docs)
+    names = ["doc_id", *KEYS]
+    dropped = written(decide(rows).where(~F.col("kept")).select(*names).distinct(), "dropped")
+    n = dropped.count()
+    gone = dropped.select(*[F.col(c).alias(f"{c}_gone") for c in names])
+    same = F.col("doc_id").eqNullSafe(F.col("doc_id_gone")) & (F.col(KEYS[0]) == F.col(f"{KEYS[0]}_gone")) & (F.col(KEYS[1]) == F.col(f"{KEYS[1]}_gone"))
+    if n * ROW_BYTES <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(gone), same, "left_anti").select(*docs.columns)
+    may = filter_over(dropped, KEYS[0])
+
+    def part(wanted: bool) -> DataFrame:
+        def run(batches):
+            for batch in batches:
+                yield batch.filter(pa.array(may(batch[KEYS[0]].to_numpy(zero_copy_only=False)) == wanted))
 
+        return rows.mapInArrow(run, rows.schema)
 
-def without(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """``docs`` less those that ``decided`` (doc_id, kept) drops; a row without an id always stays."""
-    dropped = written(decided.where(~F.col("kept")).select("doc_id").distinct(), "dropped")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    return part(False).unionByName(part(True).join(gone, same, "left_anti")).select(*docs.columns)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without(docs, quality.resample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return without(docs, lambda rows: quality.resample(rows, labels, carry=KEYS))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without(docs, exact_dedup.exact_dedup(docs, keep="largest"))
+    return without(docs, lambda rows: exact_dedup.exact_dedup(rows, keep="largest", carry=KEYS))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without(docs, minhash.near_duplicates(docs, size=5, least=0.8))
+    return without(docs, lambda rows: minhash.near_duplicates(rows, size=5, least=0.8, carry=KEYS))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return without(docs, found.select("doc_id", (~F.col("contaminated")).alias("kept")))
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return without(docs, lambda rows: decontam.decontaminate(rows, benchmark, carry=KEYS).withColumn("kept", ~F.col("contaminated")))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

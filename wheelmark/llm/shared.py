@@ -99,6 +99,27 @@ def join_hot(rows: DataFrame, facts: DataFrame, on: str, weight: str) -> DataFra
     return away.select(*rows.columns, *names).unionByName(here)
 
 
+def join_rare(rows: DataFrame, facts: DataFrame, on: str, weight: str, fact_bytes: int) -> DataFrame:
+    """``rows`` left-joined with ``facts`` (one row of about ``fact_bytes`` for each ``on``), which few rows have.
+
+    By broadcast while they are few; beyond that a filter sorts out the rows that may have one, and only those travel
+    (a key that many of them share by broadcast: see ``join_hot``).
+    """
+    if facts.count() * fact_bytes <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(facts), on, "left")
+    may = filter_over(facts.select(F.xxhash64(on).alias("h")), "h")
+    hashed = rows.withColumn("_h", F.xxhash64(on))
+
+    def part(wanted: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(may(batch["_h"].to_numpy(zero_copy_only=False)) == wanted))
+
+        return hashed.mapInArrow(run, hashed.schema).drop("_h")
+
+    return join_hot(part(True), facts, on, weight).unionByName(part(False), allowMissingColumns=True)
+
+
 # --- Arrow text -------------------------------------------------------------------------------------------------
 
 

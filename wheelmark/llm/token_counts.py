@@ -79,22 +79,18 @@ def histogram(lengths: DataFrame) -> DataFrame:
 
 
 def truncated_totals(hist: DataFrame, limits: DataFrame, limit_col: str = "context_limit") -> DataFrame:
-    """For each limit (whole and at least 0): n_docs, total_tokens, truncated_tokens, n_truncated, tokens_lost.
-
-    Limits need not occur among the lengths: the sums at the next length that does answer for them.
-    """
-    asked = limits.select(F.col(limit_col).cast("bigint").alias("limit")).distinct()
-    marks = hist.select(F.col("n_tokens").alias("at"), "docs_below", "tokens_below", "docs_from", "tokens_from", "n_docs")
-    near = asked.join(marks, F.col("at") > F.col("limit"), "left").groupBy("limit").agg(F.min_by(F.struct("docs_below", "tokens_below", "docs_from", "tokens_from"), "at").alias("next"))
-    total = hist.agg(F.sum("n_docs").alias("n_docs"), F.coalesce(F.sum(F.col("n_docs") * F.col("n_tokens")), F.lit(0)).alias("total_tokens"))
-    kept = F.coalesce(F.col("next.tokens_below") + F.col("next.docs_from") * F.col("limit"), F.col("total_tokens"))
-    return near.join(total, F.lit(True), "left").select(
-        F.col("limit").alias(limit_col),
-        F.coalesce("n_docs", F.lit(0)).alias("n_docs"),
-        "total_tokens",
-        kept.alias("truncated_tokens"),
-        F.coalesce("next.docs_from", F.lit(0)).alias("n_truncated"),
-        (F.col("total_tokens") - kept).alias("tokens_lost"),
+    """For each limit (others than whole numbers from 0 give no row): n_docs, total_tokens, truncated_tokens, n_truncated, tokens_lost."""
+    asked = written(limits.select(F.col(limit_col).cast("bigint").alias("n_tokens")).where("n_tokens >= 0").distinct(), "limits")
+    # A limit is a length that no document has: its sums are then in the histogram, whatever lengths occur.
+    both = histogram(hist.select("n_tokens", "n_docs").unionByName(asked.withColumn("n_docs", F.lit(0).cast("bigint"))))
+    total = F.col("tokens_below") + F.col("tokens_from")
+    return both.join(asked, "n_tokens").select(
+        F.col("n_tokens").alias(limit_col),
+        (F.col("docs_below") + F.col("docs_from")).alias("n_docs"),
+        total.alias("total_tokens"),
+        F.col("truncated_total").alias("truncated_tokens"),
+        (F.col("docs_from") - F.col("n_docs")).alias("n_truncated"),
+        (total - F.col("truncated_total")).alias("tokens_lost"),
     )
 
 

@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wheelmark.llm.shared import LOWERED, chunks, field, mixed, picked, pieces, utf8, written
+from wheelmark.llm.shared import LOWERED, UPPER, chunks, field, mixed, picked, pieces, token_hashes, written
 
 #: Bytes of a window, and from one window's start to the next one's.
 WIDTH, STRIDE = 24, 8
@@ -167,13 +167,16 @@ def held_out(column: str = "id"):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> DataFrame:
-    """text, toxic and calibrates of at most ``fit_rows`` labelled rows outside the held-out ones, chosen by a hash of the id."""
+    """text, toxic and calibrates of at most ``fit_rows`` labelled rows outside the held-out ones, chosen by a hash
+    of the id; equal texts are one row with the highest label."""
     own = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("toxic")).where("id is not null and toxic in (0, 1)").where(~held_out())
     own = own.groupBy("id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(fit_rows)
     # The sample has ``fit_rows`` rows at most, so it may be broadcast.
     found = picked(docs, id=id_col, text=text_col).join(F.broadcast(own), "id")
-    # By the text, so that copies are on one side.
-    side = F.pmod(F.xxhash64(F.lower(F.substring("text", 1, 100))), F.lit(CALIBRATE)) == 0
+    # Copies are learnt from once, so that a text with many of them tells no more than another; all are on one side.
+    low = F.translate("text", UPPER.decode(), UPPER.lower().decode())
+    found = found.groupBy(low.alias("text")).agg(F.max("toxic").alias("toxic"))
+    side = F.pmod(F.xxhash64(F.substring("text", 1, 100)), F.lit(CALIBRATE)) == 0
     return found.select("text", "toxic", F.coalesce(side, F.lit(False)).alias("calibrates"))
 
 
@@ -236,7 +239,12 @@ def covered(data: np.ndarray, offsets: np.ndarray, wanted: np.ndarray) -> np.nda
 
 
 def samples(rows: DataFrame, wanted: np.ndarray) -> tuple[list[bytes], list[bytes]]:
-    """Windows of ordinary documents and excerpts of toxic ones, by a hash: ORDINARY_WINDOWS and EXCERPTS at most."""
+    """Windows of ordinary documents and excerpts of toxic ones: ORDINARY_WINDOWS and EXCERPTS at most, by a hash of each.
+
+    Windows are many times the text, so that a task leaves out at once those beyond the share that is wanted.
+    """
+    total = rows.where("toxic = 0").select(F.sum(F.octet_length("text"))).first()[0] or 0
+    below = np.uint64(min(1.0, 1.2 * ORDINARY_WINDOWS * STRIDE / max(total, 1)) * (2**64 - 2048))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for data, offsets, batch in pieces(batches):
@@ -246,17 +254,15 @@ def samples(rows: DataFrame, wanted: np.ndarray) -> tuple[list[bytes], list[byte
             spans = spans[toxic[np.searchsorted(offsets, spans[:, 0], "right") - 1]]
             starts, ends, before = windows(offsets)
             plain = ~np.repeat(toxic, np.diff(before))
-            found = [text[a:b] for a, b in spans.tolist()] + [text[a:b] for a, b in zip(starts[plain].tolist(), ends[plain].tolist(), strict=True)]
+            starts, ends = starts[plain], ends[plain]
+            some = token_hashes(data, starts, ends) < below
+            found = [text[a:b] for a, b in spans.tolist()] + [text[a:b] for a, b in zip(starts[some].tolist(), ends[some].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(found)) < len(spans)), pa.array(found, pa.binary())], names=["toxic", "body"])
 
     cuts = written(rows.mapInArrow(cut, "toxic boolean, body binary"), "samples")
 
     def some(toxic: bool, most: int) -> list[bytes]:
-        own = cuts.where(F.col("toxic") == toxic)
-        n = own.count()
-        share = int(1_000_000 * most / max(n, 1))
-        taken = own.where(F.pmod(F.xxhash64(F.lit("sample"), "body"), F.lit(1_000_000)) < share)
-        return [bytes(r.body) for r in taken.select("body").orderBy(F.xxhash64("body"), "body").limit(most).collect()]
+        return [bytes(r.body) for r in cuts.where(F.col("toxic") == toxic).select("body").orderBy(F.xxhash64("body"), "body").limit(most).collect()]
 
     return some(False, ORDINARY_WINDOWS), some(True, EXCERPTS)
 

@@ -34,7 +34,7 @@ from wheelmark.llm.shared import NOT_SPACE, chunks, field, filter_over, join_hot
 
 BANDS, ROWS = 28, 4
 #: Classes with one first class that a task holds against as many others, and bytes of their differences, about.
-BLOCK, BLOCK_BYTES = 600, 8 << 20
+BLOCK, BLOCK_BYTES = 200, 8 << 20
 #: Rows of one first class that are joined with its set in one task, at least.
 PART = 64
 #: A shingle in more differences than this is counted by a matrix product, the others pair by pair.

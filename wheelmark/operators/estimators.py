@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wheelmark.functions.exprs import with_steps
+from wheelmark.functions.tables import kept
 from wheelmark.operators import signals
 from wheelmark.operators.classify import heights
 from wheelmark.operators.timebase import order
@@ -14,6 +15,12 @@ MIN_SIGMA, CADENCE_SHARE = 0.25, 0.5
 FIELDS = ["flight_id", "method", "t_td", "sigma_t", "confidence", "reason_code"]
 #: The speeds (m/s) and decelerations (m/s2) that any class of aircraft may have.
 PRIOR = {"speed": (25.0, 95.0), "decel": (0.6, 4.5)}
+#: The same by class of aircraft.
+CLASS_PRIORS = {
+    "regional": {"speed": (25.0, 75.0), "decel": (0.7, 3.5)},
+    "narrowbody": {"speed": (30.0, 85.0), "decel": (0.8, 4.0)},
+    "widebody": {"speed": (33.0, 95.0), "decel": (0.8, 4.5)},
+}
 
 
 def cadence(samples: DataFrame, name: str = "cadence") -> DataFrame:
@@ -33,15 +40,19 @@ def _every(flights: DataFrame, found: DataFrame, method: str, reason) -> DataFra
     return rows.select("flight_id", F.lit(method).alias("method"), "t_td", "sigma_t", F.when(F.col("t_td").isNull(), "failed").otherwise(F.col("confidence")).alias("confidence"), F.when(F.col("t_td").isNull(), reason).otherwise(F.col("reason_code")).alias("reason_code"))
 
 
+def within_prior(kind: str = "aircraft_class", priors: dict[str, dict] = CLASS_PRIORS) -> str:
+    """Whether speed and deceleration at the knee are what the class of aircraft may have; any class's, if unknown."""
+    test = lambda p: f"v_knee BETWEEN {p['speed'][0]} AND {p['speed'][1]} AND abs(slope_after) BETWEEN {p['decel'][0]} AND {p['decel'][1]}"
+    return f"CASE {kind} {' '.join(f"WHEN '{c}' THEN {test(p)}" for c, p in priors.items())} ELSE {test(PRIOR)} END"
+
+
 def decel_knee(flights: DataFrame, velocities: DataFrame, knees: DataFrame | None = None) -> DataFrame:
-    """The knee of the two-segment speed fit; low confidence outside the prior."""
+    """The knee of the two-segment speed fit; low confidence outside the prior of the flight's aircraft_class (if given)."""
     fits = (knees or signals.knee(velocities)).join(cadence(velocities), "flight_id")
-    (s0, s1), (d0, d1) = PRIOR["speed"], PRIOR["decel"]
-    inside = f"v_knee BETWEEN {s0} AND {s1} AND abs(slope_after) BETWEEN {d0} AND {d1}"
-    found = fits.selectExpr("flight_id", "t_knee AS t_td", f"{sigma('rms / greatest(abs(slope_drop), 5e-2)')} AS sigma_t", f"CASE WHEN {inside} THEN 'normal' ELSE 'low-confidence' END AS confidence", f"CASE WHEN {inside} THEN NULL ELSE 'estimator_disagreement' END AS reason_code")
-    some = velocities.groupBy("flight_id").agg(F.max(F.col("gs_kt").isNotNull()).alias("some"))
-    out = _every(flights.join(some, "flight_id", "left"), found, "decel_knee", F.lit("insufficient_samples"))
-    return out
+    kinds = flights.select("flight_id", F.col("aircraft_class") if "aircraft_class" in flights.columns else F.lit(None).cast("string").alias("aircraft_class"))
+    fits = fits.join(kinds, "flight_id").withColumn("inside", F.expr(within_prior()))
+    found = fits.selectExpr("flight_id", "t_knee AS t_td", f"{sigma('rms / greatest(abs(slope_drop), 5e-2)')} AS sigma_t", "CASE WHEN inside THEN 'normal' ELSE 'low-confidence' END AS confidence", "CASE WHEN inside THEN NULL ELSE 'estimator_disagreement' END AS reason_code")
+    return _every(flights, found, "decel_knee", F.lit("insufficient_samples"))
 
 
 UPPER_M, LOWER_M, ONSET_M, TRIGGER_M = 250 * 0.3048, 0.0, 50 * 0.3048, 15 * 0.3048
@@ -95,16 +106,24 @@ def signal(velocities: DataFrame) -> DataFrame:
 
 
 def _arrays(rows: DataFrame) -> DataFrame:
-    """flight_id with sorted arrays t, x, jerk, the noise variance (half that of differences) and the cadence."""
-    held = rows.groupBy("flight_id").agg(F.array_sort(F.collect_list(F.struct("i", "t", "x", "jerk"))).alias("s"))
-    held = held.selectExpr("flight_id", "s.t AS t", "s.x AS x", "s.jerk AS jerk", "size(s) AS n")
+    """flight_id with sorted arrays t, x, jerk, running sums of x and its square (from 0 samples on), the noise variance
+    (half that of differences) and the cadence."""
+    up = Window.partitionBy("flight_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"cs": F.sum("x").over(up), "cq": F.sum(F.col("x") * F.col("x")).over(up)})
+    held = rows.groupBy("flight_id").agg(F.array_sort(F.collect_list(F.struct("i", "t", "x", "jerk", "cs", "cq"))).alias("s"))
+    held = held.selectExpr("flight_id", "s.t AS t", "s.x AS x", "s.jerk AS jerk", "concat(array(0e0), s.cs) AS cs", "concat(array(0e0), s.cq) AS cq", "size(s) AS n")
     held = held.withColumn("dx", F.expr("transform(sequence(1, n - 1), k -> x[k] - x[k - 1])")).withColumn("gaps", F.expr("array_sort(transform(sequence(1, n - 1), k -> t[k] - t[k - 1]))"))
-    mean = "(aggregate(dx, 0e0, (a, v) -> a + v) / size(dx))"
-    return held.withColumns({"var": F.expr(f"aggregate(dx, 0e0, (a, v) -> a + pow(v - {mean}, 2)) / size(dx) / 2e0"), "cadence": F.expr("(gaps[CAST(floor((n - 2) / 2) AS INT)] + gaps[CAST(floor((n - 1) / 2) AS INT)]) / 2e0")}).drop("dx", "gaps")
+    held = held.withColumn("dx_mean", F.expr("(x[n - 1] - x[0]) / (n - 1)"))
+    return held.withColumns({"var": F.expr("aggregate(dx, 0e0, (a, v) -> a + pow(v - dx_mean, 2)) / size(dx) / 2e0"), "cadence": F.expr("(gaps[CAST(floor((n - 2) / 2) AS INT)] + gaps[CAST(floor((n - 1) / 2) AS INT)]) / 2e0")}).drop("dx", "dx_mean", "gaps")
 
 
 def _mean(lo: str, hi: str) -> str:
-    return f"(aggregate(slice(x, {lo} + 1, {hi} - {lo}), 0e0, (a, v) -> a + v) / ({hi} - {lo}))"
+    return f"((cs[{hi}] - cs[{lo}]) / ({hi} - {lo}))"
+
+
+def _squares(lo: str, hi: str) -> str:
+    """The sum of squares about the mean."""
+    return f"greatest(cq[{hi}] - cq[{lo}] - pow(cs[{hi}] - cs[{lo}], 2) / ({hi} - {lo}), 0e0)"
 
 
 def _located(rows: DataFrame, method: str, flights: DataFrame, reason: str) -> DataFrame:
@@ -115,7 +134,7 @@ def _located(rows: DataFrame, method: str, flights: DataFrame, reason: str) -> D
     rows = rows.withColumn("near", F.expr(f"array_min(transform({cross}, k -> named_struct('d', abs(k - (c - 1)), 'k', k))).k"))
     frac = "least(greatest((level - x[near]) / nullif(x[near + 1] - x[near], 0e0), 0e0), 1e0)"
     rows = rows.withColumn("t_td", F.expr(f"CASE WHEN near IS NULL OR mean_before = mean_after THEN (t[c - 1] + t[c]) / 2e0 ELSE t[near] + {frac} * (t[near + 1] - t[near]) END"))
-    spread = f"sqrt((aggregate(slice(x, 1, c), 0e0, (a, v) -> a + pow(v - {_mean('0', 'c')}, 2)) + aggregate(slice(x, c + 1, n - c), 0e0, (a, v) -> a + pow(v - {_mean('c', 'n')}, 2))) / n)"
+    spread = f"sqrt(({_squares('0', 'c')} + {_squares('c', 'n')}) / n)"
     rows = rows.withColumn("sigma_t", F.expr(sigma(f"cadence * {spread} / greatest(abs(mean_after - mean_before), 5e-2)")))
     found = rows.selectExpr("flight_id", "t_td", "sigma_t", "'normal' AS confidence", "CAST(NULL AS STRING) AS reason_code")
     return _every(flights, found, method, F.lit(reason))
@@ -135,9 +154,10 @@ def cusum(flights: DataFrame, velocities: DataFrame, k: float = 0.5, h: float =
 
     A sum that is cut off at zero is a running sum less its running minimum, so both arms are plain windows.
     """
-    rows = signal(velocities)
+    made = kept(signal(velocities), "signal")
     every = Window.partitionBy("flight_id")
     up = every.orderBy("i")
+    rows = made
     rows = rows.withColumns({"j": F.row_number().over(up) - 1, "dx": F.col("x") - F.lag("x").over(up)})
     rows = rows.withColumn("z", (F.col("x") - F.avg("x").over(every)) / F.greatest(F.sqrt(F.var_pop("dx").over(every) / 2), F.lit(1e-3)))
     rows = rows.withColumns({"hi_sum": F.sum(F.when(F.col("j") > 0, F.col("z") - k).otherwise(0.0)).over(up), "lo_sum": F.sum(F.when(F.col("j") > 0, F.col("z") + k).otherwise(0.0)).over(up)})
@@ -146,7 +166,7 @@ def cusum(flights: DataFrame, velocities: DataFrame, k: float = 0.5, h: float =
     rows = rows.withColumns({"r_hi": last("s_hi"), "r_lo": last("s_lo")})
     alarm = F.when(F.col("s_lo") < -h, F.col("r_lo") + 1).when(F.col("s_hi") > h, F.col("r_hi") + 1)
     alarms = rows.withColumn("c", alarm).where("c IS NOT NULL AND j > 0").groupBy("flight_id").agg(F.min_by("c", "j").alias("c"))
-    rows = _arrays(signal(velocities)).join(alarms, "flight_id").withColumn("c", F.expr("least(greatest(c, 1), n - 1)"))
+    rows = _arrays(made).join(alarms, "flight_id").withColumn("c", F.expr("least(greatest(c, 1), n - 1)"))
     rows = rows.withColumns({"mean_before": F.expr(_mean("0", "c")), "mean_after": F.expr(_mean("c", "n"))})
     return _located(rows, "cusum", flights, "no_ground_roll")
 
@@ -158,13 +178,12 @@ def pelt(flights: DataFrame, velocities: DataFrame, beta: float = 2.0, min_seg:
     and the best single split where no change pays its penalty.
     """
     rows = _arrays(signal(velocities)).withColumn("penalty", F.expr(f"{beta} * greatest(var, 1e-4) * ln(greatest(n, 2))"))
-    rows = rows.withColumns({"cs": F.expr("aggregate(x, array(0e0), (a, v) -> concat(a, array(a[size(a) - 1] + v)))"), "cq": F.expr("aggregate(x, array(0e0), (a, v) -> concat(a, array(a[size(a) - 1] + v * v)))")})
     cost = "(cq[e] - cq[s] - pow(cs[e] - cs[s], 2) / (e - s))"
     best = f"array_min(transform(filter(sequence(0, e - {min_seg}), s -> a.f[s] IS NOT NULL), s -> named_struct('f', round(a.f[s] + {cost} + penalty, 12), 's', s)))"
     fold = f"aggregate(sequence(1, n), named_struct('f', array(-penalty), 'last', array(0)), (a, e) -> CASE WHEN e < {min_seg} THEN named_struct('f', concat(a.f, array(CAST(NULL AS DOUBLE))), 'last', concat(a.last, array(0))) ELSE named_struct('f', concat(a.f, array({best}.f)), 'last', concat(a.last, array({best}.s))) END)"
     rows = rows.withColumn("last", F.expr(f"{fold}.last"))
     rows = rows.withColumn("cuts", F.expr("aggregate(sequence(1, n), array(n), (a, i) -> CASE WHEN a[0] > 0 THEN concat(array(last[a[0]]), a) ELSE a END)"))
-    mean = lambda a, b: f"((cs[{b}] - cs[{a}]) / ({b} - {a}))"
+    mean = _mean
     rows = rows.withColumn("p", F.expr(f"CASE WHEN size(cuts) > 2 THEN -array_max(transform(sequence(1, size(cuts) - 2), j -> named_struct('d', round({mean('cuts[j - 1]', 'cuts[j]')} - {mean('cuts[j]', 'cuts[j + 1]')}, 9), 'j', -j))).j END"))
     gain = f"k * (n - k) * 1e0 / n * pow({mean('0', 'k')} - {mean('k', 'n')}, 2)"
     single = f"-array_max(transform(sequence({min_seg}, n - {min_seg}), k -> named_struct('g', round({gain}, 9), 'k', -k))).k"
@@ -175,7 +194,8 @@ def pelt(flights: DataFrame, velocities: DataFrame, beta: float = 2.0, min_seg:
 
 def jerk_onset(flights: DataFrame, velocities: DataFrame, share: float = 0.5) -> DataFrame:
     """Where the jerk falls through half its lowest value on the way to it; corroborates only, so always low confidence."""
-    rows = _arrays(signal(velocities)).withColumn("p", F.expr("array_min(transform(sequence(0, n - 1), k -> named_struct('j', round(jerk[k], 9), 'k', k))).k"))
+    made = kept(signal(velocities), "signal")
+    rows = _arrays(made).withColumn("p", F.expr("array_min(transform(sequence(0, n - 1), k -> named_struct('j', round(jerk[k], 9), 'k', k))).k"))
     rows = rows.where("abs(jerk[p]) >= 1e-3 AND p > 0").withColumn("level", F.expr(f"{share} * jerk[p]"))
     rows = rows.withColumn("q", F.expr("array_max(filter(sequence(1, p), k -> jerk[k] <= level AND jerk[k - 1] > level))"))
     rows = rows.withColumn("t_td", F.expr("CASE WHEN q IS NULL THEN t[p] ELSE t[q - 1] + least(greatest((level - jerk[q - 1]) / nullif(jerk[q] - jerk[q - 1], 0e0), 0e0), 1e0) * (t[q] - t[q - 1]) END"))
@@ -184,7 +204,7 @@ def jerk_onset(flights: DataFrame, velocities: DataFrame, share: float = 0.5) ->
     mean = "(aggregate(base, 0e0, (a, v) -> a + v) / size(base))"
     rows = rows.withColumn("scatter", F.expr(f"sqrt(aggregate(base, 0e0, (a, v) -> a + pow(v - {mean}, 2)) / size(base))"))
     found = rows.selectExpr("flight_id", "t_td", f"{sigma('cadence * scatter / greatest(abs(jerk[p]), 5e-2)')} AS sigma_t", "'low-confidence' AS confidence", "'no_ground_roll' AS reason_code")
-    enough = signal(velocities).groupBy("flight_id").agg(F.count("*").alias("n"))
+    enough = made.groupBy("flight_id").agg(F.count("*").alias("n"))
     reasons = flights.select("flight_id").join(enough, "flight_id", "left").selectExpr("flight_id", "CASE WHEN n IS NULL THEN 'insufficient_samples' ELSE 'no_ground_roll' END AS why")
     return _every(flights, found.join(reasons, "flight_id", "right"), "jerk_onset", F.col("why"))
 

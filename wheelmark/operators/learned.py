@@ -87,12 +87,18 @@ def _held_out(column: str = "flight_id"):
     return F.pmod(F.xxhash64(column), F.lit(5)) == 0
 
 
+def _sample(rows: DataFrame, most: int) -> DataFrame:
+    """About ``most`` of the rows at most, whole flights, chosen by a hash of the flight's id: the same at every run."""
+    share = int(1_000_000 * min(1.0, most / max(rows.count(), 1)))
+    return rows.where(F.pmod(F.xxhash64(F.lit("train"), "flight_id"), F.lit(1_000_000)) < share)
+
+
 def _boosted(features: DataFrame, target: str, method: str, anchor: str) -> DataFrame:
     """Times from boosted trees on ``target`` (seconds from ``anchor``); outer quantiles from the residual's model."""
     names = [c for c in FEATURES]
     rows = features.na.fill(-999.0, names)
     rows = VectorAssembler(inputCols=names, outputCol="x").transform(rows)
-    train = rows.where(F.col(target).isNotNull() & ~_held_out()).limit(TRAIN_ROWS).persist()
+    train = _sample(rows.where(F.col(target).isNotNull() & ~_held_out()), TRAIN_ROWS).persist()
     if train.count() < LEAST_ROWS:
         return features.select("flight_id", F.lit(method).alias("method"), F.lit(None).cast("double").alias("t_td"), F.lit(None).cast("double").alias("sigma_t"), F.lit("failed").alias("confidence"), F.lit("insufficient_samples").alias("reason_code"))
     tree = {"featuresCol": "x", "maxIter": 20, "maxDepth": 4, "stepSize": 0.1, "seed": 42, "maxBins": 64}
@@ -142,7 +148,8 @@ def sequence(flights: DataFrame, velocities: DataFrame, label_sigma_s: float = 2
     names += ["fall", "fall_sq", "here"]
     rows = VectorAssembler(inputCols=names, outputCol="x").transform(smooth)
     truth = flights.where("kind = 'completed'").select("flight_id", "t_true")
-    train = rows.join(truth, "flight_id").where(~_held_out()).withColumn("y", -F.least(F.pow((F.col("t") - F.col("t_true")) / label_sigma_s, 2) / 2, F.lit(12.0))).limit(20 * TRAIN_ROWS)
+    train = _sample(rows.join(truth, "flight_id").where(~_held_out()), 20 * TRAIN_ROWS)
+    train = train.withColumn("y", -F.least(F.pow((F.col("t") - F.col("t_true")) / label_sigma_s, 2) / 2, F.lit(12.0)))
     scored = LinearRegression(featuresCol="x", labelCol="y", predictionCol="s", regParam=1e-3).fit(train).transform(rows)
     every = Window.partitionBy("flight_id")
     weights = scored.withColumn("p", F.exp(F.col("s") - F.max("s").over(every))).withColumn("p", F.col("p") / F.sum("p").over(every))

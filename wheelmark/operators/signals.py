@@ -25,23 +25,20 @@ def _solve3(p: str, s: dict[str, str]) -> list[tuple[str, str]]:
 LOCAL_SOLVE = _solve3("b", {"a11": "n", "a12": "s1", "a13": "s2", "a22": "s2", "a23": "s3", "a33": "s4", "r1": "v0", "r2": "v1", "r3": "v2"})
 
 
-#: Normal equations of [1, u, (u - k)+] from a flight's sums and those of the samples behind the knot; u and v are centred.
-HINGE = [
-    ("sh", "s1 - m * k"),
-    ("shh", "s2 - 2e0 * k * s1 + m * k * k"),
-    ("suh", "s2 - k * s1"),
-    ("svh", "suv - k * sv"),
-    *_solve3("b", {"a11": "n", "a12": "0e0", "a13": "sh", "a22": "tuu", "a23": "suh", "a33": "shh", "r1": "0e0", "r2": "tuv", "r3": "svh"}),
-    ("rss", "greatest(tvv - b1 * tuv - b2 * svh, 0e0)"),
-]
+def _hinge(k: str) -> dict[str, str]:
+    """Of the hinge h = (u - k)+ beside [1, u], where u and v are centred: what h has in common with what a line leaves of
+    v, and what a line leaves of h; their quotient is the change of slope."""
+    suh = f"(s2 - {k} * s1)"
+    return {"sh": f"(s1 - m * {k})", "suh": suh, "c": f"(suv - {k} * sv - tuv / tuu * {suh})", "d": f"(s2 - 2e0 * {k} * s1 + m * {k} * {k} - pow(s1 - m * {k}, 2) / n - {suh} * {suh} / tuu)"}
 
 
 def knee(velocities: DataFrame) -> DataFrame:
     """The two-segment fit of each flight's speed with the least squared residuals over a grid of knots.
 
-    flight_id, n, t_knee, slope_before, slope_after, slope_drop, v_knee (m/s), rms. Running sums from behind give what
-    a knot's normal equations need, so that each knot costs the same however many samples there are; all windows and
-    the aggregation share one partitioning.
+    flight_id, n, t_knee, slope_before, slope_after, slope_drop, v_knee (m/s), rms. Between two samples the residuals
+    depend on the knot in closed form, through sums over the samples behind it: each sample's row takes the best of the
+    knots up to the next sample, and the flight the best of its rows. All windows and the aggregation share one
+    partitioning.
     """
     every = Window.partitionBy("flight_id")
     up, behind = every.orderBy("t", "seq"), every.orderBy("t", "seq").rowsBetween(1, Window.unboundedFollowing)
@@ -55,12 +52,18 @@ def knee(velocities: DataFrame) -> DataFrame:
         after("1e0").alias("m"), after("u").alias("s1"), after("u * u").alias("s2"), after("v").alias("sv"), after("u * v").alias("suv"),
         F.max(F.when(F.col("j") == 1, F.col("u"))).over(every).alias("low"), F.max(F.when(F.col("j") == F.col("n") - 2, F.col("u"))).over(every).alias("high"),
     )
-    rows = rows.withColumn("knots", F.expr(f"least({MOST_KNOTS}, greatest({LEAST_KNOTS}, {KNOTS_PER_SAMPLE} * n))")).withColumn("step", F.expr("(high - low) / (knots - 1)")).where("step > 0 AND u_next IS NOT NULL")
-    rows = rows.withColumns({"i0": F.expr("greatest(ceil((u - low) / step), 0)"), "i1": F.expr("least(ceil((u_next - low) / step) - 1, knots - 1)")}).where("i1 >= i0")
-    rows = rows.withColumn("i", F.explode(F.sequence("i0", "i1"))).withColumn("k", F.expr("low + i * step")).where(f"j + CASE WHEN k > u THEN 1 ELSE 0 END >= {SIDE} AND n - 1 - j >= {SIDE}")
-    rows = with_steps(rows, HINGE, keep=("b0", "b1", "b2", "rss")).where("b0 IS NOT NULL")
-    best = rows.groupBy("flight_id").agg(F.min_by(F.struct("n", "tm", "vm", "k", "b0", "b1", "b2", "rss"), F.struct(F.round("rss", 6), "i")).alias("f")).select("flight_id", "f.*")
-    return best.selectExpr("flight_id", "CAST(n AS INT) AS n", "tm + k AS t_knee", "b1 AS slope_before", "b1 + b2 AS slope_after", "-b2 AS slope_drop", "vm + b0 + b1 * k AS v_knee", "sqrt(rss / n) AS rms")
+    rows = rows.withColumn("knots", F.expr(f"least({MOST_KNOTS}, greatest({LEAST_KNOTS}, {KNOTS_PER_SAMPLE} * n))")).withColumn("step", F.expr("(high - low) / (knots - 1)")).where("step > 0 AND tuu > 0 AND u_next IS NOT NULL")
+    rows = rows.withColumns({"i0": F.expr("greatest(ceil((u - low) / step), 0)"), "i1": F.expr("least(ceil((u_next - low) / step) - 1, knots - 1)")}).where(f"i1 >= i0 AND n - 1 - j >= {SIDE}")
+    at = _hinge("(low + i * step)")
+    rss = f"greatest(tvv - tuv * tuv / tuu - {at['c']} * {at['c']} / {at['d']}, 0e0)"
+    usable = f"j + CASE WHEN low + i * step > u THEN 1 ELSE 0 END >= {SIDE} AND {at['d']} <> 0e0"
+    rows = rows.withColumn("best", F.expr(f"array_min(transform(filter(sequence(i0, i1), i -> {usable}), i -> named_struct('rss', round({rss}, 6), 'i', i, 'exact', {rss})))")).where("best IS NOT NULL")
+    held = ("n", "tm", "vm", "low", "step", "m", "s1", "s2", "sv", "suv", "tuu", "tuv")
+    best = rows.groupBy("flight_id").agg(F.min_by(F.struct(*held, "best"), F.struct("best.rss", "best.i")).alias("f")).select("flight_id", "f.*")
+    own = _hinge("k")
+    steps = [("k", "low + best.i * step"), ("b2", f"{own['c']} / {own['d']}"), ("b1", f"(tuv - b2 * {own['suh']}) / tuu"), ("b0", f"-b2 * {own['sh']} / n")]
+    best = with_steps(best, steps, keep=("k", "b0", "b1", "b2"))
+    return best.selectExpr("flight_id", "CAST(n AS INT) AS n", "tm + k AS t_knee", "b1 AS slope_before", "b1 + b2 AS slope_after", "-b2 AS slope_drop", "vm + b0 + b1 * k AS v_knee", "sqrt(best.exact / n) AS rms")
 
 
 def three_segments(velocities: DataFrame) -> DataFrame:

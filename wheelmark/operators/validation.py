@@ -115,17 +115,13 @@ def below_target(metrics: DataFrame, least: int = 200, dims: tuple[str, ...] = (
 
 
 def partition_counts(n: int, fractions: list[float]) -> list[int]:
-    """``n`` dealt by share, the largest remainders first."""
-    total = sum(fractions)
-    if n <= 0:
-        return [0] * len(fractions)
-    if total <= 0:
-        return [n] + [0] * (len(fractions) - 1)
-    exact = [f / total * n for f in fractions]
-    out = [int(np.floor(x)) for x in exact]
-    for i in sorted(range(len(out)), key=lambda i: exact[i] - out[i], reverse=True)[: n - sum(out)]:
-        out[i] += 1
-    return out
+    """``n`` dealt by share: whole parts, and one more for those whose remainders rank highest (the first of equal ones)."""
+    shares = np.array(fractions if sum(fractions) > 0 else [1.0, *[0.0] * (len(fractions) - 1)])
+    quota = max(n, 0) * shares / shares.sum()
+    whole = np.floor(quota).astype(int)
+    rest = quota - whole
+    ranks = (rest[None, :] > rest[:, None]).sum(axis=1) + np.tril(rest[None, :] == rest[:, None], -1).sum(axis=1)
+    return (whole + (ranks < max(n, 0) - whole.sum())).tolist()
 
 
 def component_seed(master: int, name: str) -> int:
@@ -177,63 +173,97 @@ def validation_splits(flights: DataFrame, seed: int = 42, train: float = 0.70, c
 # --- clock offsets ----------------------------------------------------------------------------------------------
 
 
-def _lag(a: np.ndarray, b: np.ndarray, dt: float, most: float) -> tuple[float, float]:
-    """The shift of b against a with the greatest normalised correlation (refined by a parabola), and that correlation."""
-    n, reach = len(a), int(round(most / dt))
-    least, scores = max(3, n // 2), {}
-    for k in range(-reach, reach + 1):
-        x, y = (a[k:], b[: n - k]) if k >= 0 else (a[: n + k], b[-k:])
-        if len(x) < least:
-            continue
-        x, y = x - x.mean(), y - y.mean()
-        norm = float(np.sqrt((x @ x) * (y @ y)))
-        if norm > 0:
-            scores[k] = float(x @ y) / norm
-    if not scores:
-        return 0.0, 0.0
-    best = max(scores, key=lambda k: (scores[k], -abs(k)))
-    shift, (l, m, r) = 0.0, (scores.get(best - 1), scores[best], scores.get(best + 1))
-    if l is not None and r is not None and (curve := l - 2 * m + r) < 0:
-        shift = 0.5 * (l - r) / curve
-    return (best + shift) * dt, m
-
-
-def clock_offsets(qar: DataFrame, adsb: DataFrame, dt: float = 0.1, most_lag: float = 10.0, overlap_s: float = 20.0, weak: float = 0.5, max_offset: float = 2.0, degraded_drift: float = 0.5, max_drift: float = 1.0, segments: int = 3) -> DataFrame:
-    """flight_id, offset_s, correlation, drift_s, quality, excluded, reason of two speed series (flight_id, t, v).
+def lag_scores(a: np.ndarray, b: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lags and, for each, the correlation of a with b shifted by it, over what overlaps (NaN where that is flat or short).
 
+    All lags at once: products from one convolution, means and variances from running sums.
+    """
+    n = len(a)
+    lags = np.arange(-reach, reach + 1)
+    size = n - np.abs(lags)
+    lags, size = lags[size >= max(3, n // 2)], size[size >= max(3, n // 2)]
+    if not len(lags):
+        return lags, np.zeros(0)
+    a, b = a - a.mean(), b - b.mean()
+    part = lambda x, first, last: (total := np.concatenate([[0.0], np.cumsum(x)]))[last] - total[first]
+    early, late = np.maximum(lags, 0), np.minimum(lags, 0)
+    sum_a, sum_b = part(a, early, n + late), part(b, -late, n - early)
+    var_a = part(a * a, early, n + late) - sum_a**2 / size
+    var_b = part(b * b, -late, n - early) - sum_b**2 / size
+    both = np.correlate(a, b, "full")[n - 1 + lags] - sum_a * sum_b / size
+    flat = (var_a <= 1e-12 * max(float(a @ a), 1e-300)) | (var_b <= 1e-12 * max(float(b @ b), 1e-300))
+    return lags, np.where(flat, np.nan, both / np.sqrt(np.where(flat, 1.0, var_a * var_b)))
+
+
+def best_lag(a: np.ndarray, b: np.ndarray, dt: float, most: float) -> tuple[float | None, float]:
+    """The shift with the greatest correlation and that correlation; none for series that are flat or too short.
+
+    A parabola through the peak and its neighbours refines the shift, by less than one step.
+    """
+    lags, scores = lag_scores(a, b, max(1, min(int(most / dt + 1e-9), len(a) - 1)))
+    if not np.isfinite(scores).any():
+        return None, 0.0
+    at = int(np.nanargmax(np.round(scores, 12)))
+    shift = 0.0
+    if 0 < at < len(lags) - 1:
+        before, peak, after = scores[at - 1 : at + 2]
+        bend = before - 2 * peak + after
+        if bend < 0 and abs(before - after) < 2 * abs(bend):
+            shift = 0.5 * (before - after) / bend
+    return float(lags[at] + shift) * dt, float(scores[at])
+
+
+OFFSET_FIELDS = "flight_id string, offset_s double, correlation double, drift_s double, drift_exceeded boolean, overlap_s double, quality string, excluded boolean, reason string, failure string"
+
+
+def clock_offsets(qar: DataFrame, adsb: DataFrame, dt: float = 0.1, most_lag: float = 10.0, overlap_s: float = 20.0, weak: float = 0.5, max_offset: float = 2.0, max_drift: float = 1.0, segments: int = 3) -> DataFrame:
+    """OFFSET_FIELDS of two speed series (flight_id, t, v).
+
+    A flight that is excluded from the time domain (no estimate, too large an offset or drift) has the one reason code
+    ``clock_offset_exceeded``; ``failure`` says why there is no estimate (insufficient_overlap, degenerate_series,
+    weak_correlation), and the correlation of a weak peak stays. Half the allowed drift makes the quality ``degraded``.
     The series of one flight are short; their correlation over all lags runs inside the flight's cogroup.
     """
-    columns = ["flight_id", "offset_s", "correlation", "drift_s", "quality", "excluded", "reason"]
+    names = [x.split()[0] for x in OFFSET_FIELDS.split(", ")]
 
     def one(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        def row(quality, failure=None, offset=None, corr=0.0, drift=None, overlap=0.0):
+            far = drift is not None and drift > max_drift
+            excluded = failure is not None or far or abs(offset) > max_offset
+            return pd.DataFrame([(key[0], offset, corr, drift, far, overlap, quality, excluded, "clock_offset_exceeded" if excluded else None, failure)], columns=names)
+
         a, b = a.dropna().sort_values("t"), b.dropna().sort_values("t")
-        fail = lambda why: pd.DataFrame([(key[0], None, None, None, "failed", True, why)], columns=columns)
         if len(a) < 2 or len(b) < 2:
-            return fail("insufficient_overlap")
+            return row("failed", "insufficient_overlap")
         low, high = max(a.t.iloc[0], b.t.iloc[0]), min(a.t.iloc[-1], b.t.iloc[-1])
-        if high - low < overlap_s:
-            return fail("insufficient_overlap")
-        grid = low + dt * np.arange(int(np.floor((high - low) / dt + 1e-9)) + 1)
+        overlap = max(0.0, high - low)
+        if overlap < overlap_s:
+            return row("failed", "insufficient_overlap", overlap=overlap)
+        grid = low + dt * np.arange(int(np.floor(overlap / dt + 1e-9)) + 1)
         x, y = np.interp(grid, a.t, a.v), np.interp(grid, b.t, b.v)
-        offset, corr = _lag(x, y, dt, most_lag)
-        if corr < weak:
-            return fail("weak_correlation")
-        parts = np.array_split(np.arange(len(grid)), segments)
-        lags = [_lag(x[p], y[p], dt, min(most_lag, len(p) * dt / 2))[0] for p in parts if len(p) > 5]
-        drift = max(lags) - min(lags) if lags else 0.0
-        if abs(offset) > max_offset:
-            return pd.DataFrame([(key[0], offset, corr, drift, "failed", True, "clock_offset_exceeded")], columns=columns)
-        quality = "degraded" if drift > degraded_drift else "good"
-        return pd.DataFrame([(key[0], offset, corr, drift, quality, bool(drift > max_drift), None)], columns=columns)
+        offset, corr = best_lag(x, y, dt, most_lag)
+        if offset is None or corr < weak:
+            return row("failed", "degenerate_series" if offset is None else "weak_correlation", corr=corr, overlap=overlap)
+        parts = np.array_split(np.arange(len(grid)), segments) if len(grid) >= 2 * segments else []
+        lags = [k for p in parts if (k := best_lag(x[p], y[p], dt, most_lag)[0]) is not None]
+        drift = max(lags) - min(lags) if len(lags) >= 2 else None
+        quality = "failed" if abs(offset) > max_offset else "degraded" if drift is not None and drift > 0.5 * max_drift else "good"
+        return row(quality, offset=offset, corr=corr, drift=drift, overlap=overlap)
 
     rows = qar.select("flight_id", "t", "v").groupBy("flight_id").cogroup(adsb.select("flight_id", "t", "v").groupBy("flight_id"))
-    return rows.applyInPandas(one, "flight_id string, offset_s double, correlation double, drift_s double, quality string, excluded boolean, reason string")
+    return rows.applyInPandas(one, OFFSET_FIELDS)
+
+
+def flagged_offsets(offsets: DataFrame) -> DataFrame:
+    """The flights that are left out of the time domain, with what is known of them."""
+    return offsets.where("excluded")
 
 
 def apply_offsets(truth: DataFrame, offsets: DataFrame) -> DataFrame:
-    """Recorder times on the feed's clock; without an offset the time stays and the quality is failed."""
+    """Recorder times on the feed's clock, wherever an offset is known; without one the time stays and ``clock`` is failed."""
     rows = truth.join(offsets.select("flight_id", "offset_s", "quality", "excluded"), "flight_id", "left")
-    return rows.withColumns({"true_t": F.col("true_t") - F.coalesce(F.when(F.col("quality") != "failed", F.col("offset_s")), F.lit(0.0)), "clock": F.coalesce("quality", F.lit("failed"))}).drop("quality")
+    clock = F.when(F.col("offset_s").isNull(), F.lit("failed")).otherwise(F.col("quality"))
+    return rows.withColumns({"true_t": F.col("true_t") - F.coalesce("offset_s", F.lit(0.0)), "clock": clock}).drop("quality")
 
 
 def offset_distribution(offsets: DataFrame) -> DataFrame:

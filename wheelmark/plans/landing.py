@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wheelmark.functions.tables import kept
 from wheelmark.operators import classify, estimators, fusion, quality, validation
+from wheelmark.settings import Settings
 from wheelmark.sources import synth
 
 #: What runs by default, by name.
@@ -68,14 +69,14 @@ class Landing:
         return validation.naive_baseline(self.flights, self.positions)
 
 
-def run_baseline(landing: Landing, methods: tuple[str, ...] = tuple(ESTIMATORS)) -> DataFrame:
+def run_baseline(landing: Landing, methods: tuple[str, ...] = tuple(ESTIMATORS), settings: Settings | None = None) -> DataFrame:
     """Bracket, gates and dedup, estimators on what is left, their mean and its place; the baseline beside it.
 
     flight_id, status, trajectory_type, qa_reason, t_td, sigma_t, n_estimates, along_m, baseline_m. Classification and
     baseline use the raw samples, estimators the cleaned ones; estimators run even where the gates object.
     """
     classes, brackets = landing.classes(), landing.brackets()
-    gates = quality.Gates()
+    gates = gates_of(settings or Settings())
     pos, gated = quality.run_qa(landing.positions, landing.velocities, gates)
     pos, gated, brackets, classes = kept(pos, "positions"), kept(gated, "velocities"), kept(brackets, "brackets"), kept(classes, "classes")
     touching = brackets.where("status = 'ok'").select("flight_id")
@@ -103,15 +104,32 @@ def product(landing: Landing, methods: tuple[str, ...] = tuple(ESTIMATORS), stac
     return fusion.touchdown_results(landing.flights, fused, fusion.quantify(fused, mapped, widened), estimates, arms, touching, provenance)
 
 
-def full_product(landing: Landing, methods: tuple[str, ...] = tuple(ESTIMATORS), stacking: DataFrame | None = None, provenance: dict[str, str] | None = None) -> DataFrame:
+#: Names of the gates' limits in the settings.
+GATE_SETTINGS = {
+    "max_gap_s": "max_gap_spanning_td_s", "min_in_window": "min_samples_in_window", "half_width_s": "window_half_width_s", "max_excluded": "max_excluded_fraction",
+    "longitudinal_g": "max_longitudinal_accel_g", "lateral_g": "max_lateral_accel_g", "turn_deg_s": "max_turn_rate_deg_s", "duplicate_s": "duplicate_timestamp_tolerance_s",
+}
+
+
+def gates_of(settings: Settings) -> quality.Gates:
+    own = settings.quality_gates
+    return quality.Gates(**{ours: getattr(own, name) for ours, name in GATE_SETTINGS.items()})
+
+
+def full_product(landing: Landing, methods: tuple[str, ...] | None = None, stacking: DataFrame | None = None, provenance: dict[str, str] | None = None, settings: Settings | None = None) -> DataFrame:
     """The output record of every flight by the whole job: gates and dedup, brackets, and each feed's eligible estimators.
 
+    ``settings`` decide on gates and estimators (``methods`` goes before), and their hash is in each record.
+
     Only flights with a usable bracket reach the estimators; the others' records have no estimate. Classification,
     brackets and transitions use the raw samples, estimators and mapping the cleaned ones.
     """
+    settings = settings or Settings()
+    methods = methods or tuple(m for m in settings.estimators.enabled if m in ESTIMATORS)
+    provenance = {"config_hash": settings.hash()} | (provenance or {})
     classes, transitions = kept(landing.classes(), "classes"), kept(landing.transitions(), "transitions")
     touching = kept(classify.coarse_bracket(classes, transitions).where("status = 'ok'").select("flight_id"), "touching")
-    pos, gated = quality.run_qa(landing.positions, landing.velocities, quality.Gates())
+    pos, gated = quality.run_qa(landing.positions, landing.velocities, gates_of(settings))
     part = lambda df: df.join(touching, "flight_id", "left_semi")
     clean = Landing(part(landing.flights), kept(part(pos), "positions"), kept(part(gated).where("gate IS NULL").drop("gate"), "velocities"))
     rows = reduce(DataFrame.unionByName, [ESTIMATORS[m](clean.flights, clean.positions, clean.velocities) for m in methods])
@@ -131,16 +149,38 @@ def evaluations(landing: Landing, results: DataFrame) -> DataFrame:
     return truth.join(own, "flight_id")
 
 
-def milestone_report(landing: Landing, methods: tuple[str, ...] = tuple(ESTIMATORS), slice_: str = "test", seed: int = 42) -> dict[str, DataFrame]:
-    """Splits, the slice's results, metrics by stratum, coverage, error floor and flags, each a DataFrame.
+def milestone_report(landing: Landing, methods: tuple[str, ...] | None = None, slice_: str = "test", seed: int | None = None, settings: Settings | None = None) -> dict[str, DataFrame]:
+    """Splits, the slice's results, metrics by stratum, coverage, error floor, flags and summary, each a DataFrame.
 
     The slice is taken before anything is computed for it.
     """
+    settings = settings or Settings()
+    own = settings.validation
     column = {"held_out_airport": "airport_split", "held_out_runway": "runway_split"}.get(slice_, "primary_split")
-    splits = validation.validation_splits(landing.flights, seed)
+    seed = settings.pipeline.master_random_seed if seed is None else seed
+    splits = kept(validation.validation_splits(landing.flights, seed, own.train_fraction, own.calibration_fraction, own.test_fraction), "splits")
     ids = splits.where(F.col(column) == slice_).select("flight_id")
     part = lambda df: df.join(ids, "flight_id", "left_semi")
-    own = Landing(part(landing.flights), part(landing.positions), part(landing.velocities))
-    evals = kept(evaluations(own, full_product(own, methods)), "evaluations")
-    metrics = validation.stratified_metrics(evals)
-    return {"splits": splits, "evaluations": evals, "metrics": metrics, "coverage": validation.assess_coverage(evals), "floor": validation.error_floor(evals), "below_target": validation.below_target(metrics)}
+    some = Landing(part(landing.flights), part(landing.positions), part(landing.velocities))
+    evals = kept(evaluations(some, full_product(some, methods, settings=settings)), "evaluations")
+    metrics = kept(validation.stratified_metrics(evals, own.min_stratum_size), "metrics")
+    out = {"splits": splits, "evaluations": evals, "metrics": metrics, "coverage": validation.assess_coverage(evals), "floor": validation.error_floor(evals, own.nominal_cadence_s), "below_target": validation.below_target(metrics, own.below_target_min_flights)}
+    truth = some.flights.where("kind = 'completed'").selectExpr("flight_id", "x_true AS true_m")
+    error = (F.col("along_m") - F.col("true_m")) / validation.FT
+    baseline = some.baseline().join(truth, "flight_id").agg(F.sqrt(F.avg(error * error)).alias("baseline_rmse_ft"))
+    return out | {"summary": summary(out, baseline)}
+
+
+def summary(report: dict[str, DataFrame], baseline: DataFrame) -> DataFrame:
+    """The report's headlines as rows: section, name, value (numbers) and text (words); null where nothing is known.
+
+    Each part is one row, so that they come together in the driver.
+    """
+    overall, coverage, floor = report["metrics"].where("dimension = 'overall'").first(), report["coverage"].first(), report["floor"].first()
+    rmse = baseline.first()["baseline_rmse_ft"]
+    observed = overall["rmse_ft"] if overall else None
+    room = fusion.room_to_improve(observed, floor["floor_ft"], rmse)
+    parts = {"overall": overall.asDict() if overall else {}, "coverage": coverage.asDict(), "floor": floor.asDict(), "baseline": {"rmse_ft": rmse}, "room": room, "flags": {"below_target": report["below_target"].count()}}
+    number = lambda v: float(v) if isinstance(v, int | float) else None
+    rows = [(section, name, number(v), None if v is None or number(v) is not None else str(v)) for section, part in parts.items() for name, v in part.items()]
+    return report["metrics"].sparkSession.createDataFrame(rows, "section string, name string, value double, text string")

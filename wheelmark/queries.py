@@ -423,6 +423,11 @@ def milestone_metrics(spark, d):
     return plans.milestone_report(Landing.synthetic(spark, d))["metrics"]
 
 
+@query()
+def milestone_summary(spark, d):
+    return plans.milestone_report(Landing.synthetic(spark, d))["summary"]
+
+
 # --- sources ----------------------------------------------------------------------------------------------------
 
 

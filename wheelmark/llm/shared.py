@@ -51,10 +51,10 @@ def clear(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
+def written(df: DataFrame, what: str, compression: str = "snappy") -> DataFrame:
     """``df`` as a Parquet table in the shared folder: lineage ends there, and any executor can read it again."""
     path = shared_dir(df.sparkSession, what)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

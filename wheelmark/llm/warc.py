@@ -43,25 +43,34 @@ END = b"\r\n\r\n"
 LEVEL = 3
 
 
+#: Bytes that are unpacked at a time: what is left of them behind a member is copied.
+STEP = 1 << 13
+
+
 def member(data: bytes) -> bytes:
     """A gzip member, the same for the same data."""
-    pack = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
-    return pack.compress(data) + pack.flush()
+    return zlib.compress(data, LEVEL, 31)
 
 
 NOTHING = member(b"")
 
 
 def unpacked(data: bytes) -> bytes:
-    """All gzip members of the data, one after the other; data that is not gzip as it is."""
-    parts = []
-    while data[:2] == b"\x1f\x8b":
+    """All gzip members of the data, one after the other (zeros between them are padding); data that is not gzip as it is."""
+    if data[:2] != b"\x1f\x8b":
+        return data
+    parts, at, view = [], 0, memoryview(data)
+    while at < len(data):
+        if data[at] == 0:
+            at += 1
+            continue
         one = zlib.decompressobj(31)
-        parts.append(one.decompress(data) + one.flush())
-        if not one.eof:
-            raise ValueError("a gzip member is cut off")
-        data = one.unused_data.lstrip(b"\0")
-    return b"".join(parts) if parts else data
+        while not one.eof:
+            if at >= len(data):
+                raise ValueError("a gzip member is cut off")
+            parts.append(one.decompress(view[at : at + STEP]))
+            at = min(at + STEP, len(data)) - len(one.unused_data)
+    return b"".join(parts)
 
 
 def write_archives(archives: DataFrame, path: str) -> None:
@@ -324,7 +333,7 @@ def pages_as_warc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     legacy, path = shared_dir(spark, "arc"), shared_dir(spark, "warc")
     write_archives(pages_to_arc(pages, id_col, url_col, html_col, archive_bytes=archive_bytes), legacy)
     # Written once: digests are counted and records are made from it.
-    records = written(convert(read_archives(spark, legacy)), "records")
+    records = written(convert(read_archives(spark, legacy)), "records", "zstd")
     write_warc(with_revisits(records, kind, least_bytes), path, archive_bytes)
     back = read_warcs(spark, path, payloads=False).where("record_type <> 'warcinfo'")
     return back.select(F.col("page_id").cast(kind).alias(id_col), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"), "record_id", "url", "date", "intact")

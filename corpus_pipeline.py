@@ -14,18 +14,18 @@ from pyspark.sql import functions as F
 
 from wheelmark.llm import bpe, decontam, exact_dedup, minhash, quality
 from wheelmark.llm.queries import vocabulary
-from wheelmark.llm.shared import BROADCAST_BYTES, UPPER, filter_over, written
+from wheelmark.llm.shared import BROADCAST_BYTES, filter_over, written
 
-#: What tells rows apart that share an id: two hashes of the text in lower case (A-Z; null as empty). Rows that have id and
-#: hashes in common have the same text to every stage, and share its decision.
+#: What tells rows apart that share an id: two hashes of the text (null as empty). Rows that have id and hashes in common
+#: have the same text, and share each stage's decision.
 KEYS = ("_text_hash_1", "_text_hash_2")
 #: About what a dropped row's id and hashes take in a broadcast.
 ROW_BYTES = 100
 
 
 def with_keys(docs: DataFrame) -> DataFrame:
-    low = F.translate(F.coalesce("text", F.lit("")), UPPER.decode(), UPPER.lower().decode())
-    return docs.withColumns({KEYS[0]: F.xxhash64(low), KEYS[1]: F.xxhash64(F.lit(1), low)})
+    text = F.coalesce("text", F.lit(""))
+    return docs.withColumns({KEYS[0]: F.xxhash64(text), KEYS[1]: F.xxhash64(F.lit(1), text)})
 
 
 def without(docs: DataFrame, decide: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -118,12 +118,12 @@ def sufficiency(gated: DataFrame, windows: DataFrame, gates: Gates = Gates()) ->
 def run_qa(positions: DataFrame, velocities: DataFrame, gates: Gates = Gates()) -> tuple[DataFrame, DataFrame]:
     """Cleaned positions and gated velocities (with ``gate``).
 
-    Each stream is deduplicated by itself; where a flight's streams are co-timed, a position at the time of an excluded
-    velocity goes too.
+    Each stream is deduplicated by itself; where a flight's streams are co-timed (all times as received are equal), a
+    position at the time of an excluded velocity goes too.
     """
     pos, gated = dedup(positions, gates.duplicate_s), kinematic_gates(dedup(velocities, gates.duplicate_s), gates)
     times = lambda df, name: df.groupBy("flight_id").agg(F.array_sort(F.collect_list("t")).alias(name))
-    same = times(pos, "a").join(times(gated, "b"), "flight_id").where("a = b").select("flight_id")
+    same = times(positions, "a").join(times(velocities, "b"), "flight_id").where("a = b").select("flight_id")
     out = gated.where("gate IS NOT NULL").join(same, "flight_id", "left_semi").select("flight_id", "t")
     return pos.join(out, ["flight_id", "t"], "left_anti").select(*positions.columns), gated
 
@@ -147,15 +147,45 @@ def position_gates(along: str, lateral: str, length: str, width: str, margin_m:
     ]
 
 
+def diagnostics(positions: DataFrame, velocities: DataFrame, gated: DataFrame, gates: Gates = Gates()) -> DataFrame:
+    """What the gates did to each flight, from the streams as received and the gated velocities that ``run_qa`` made:
+
+    flight_id, n_duplicates_removed (of both streams), n_excluded, counts_by_gate (map), excluded_times (sorted),
+    vertical_rate_unavailable (no velocity sample has one). One pass over each stream, joined by flight.
+    """
+    n = lambda df, name: df.groupBy("flight_id").agg(F.count("*").alias(name))
+    gone = gated.where("gate IS NOT NULL")
+    by_gate = gone.groupBy("flight_id", "gate").agg(F.count("*").alias("n")).groupBy("flight_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("gate", "n")))).alias("counts_by_gate"))
+    times = gone.groupBy("flight_id").agg(F.count("*").alias("n_excluded"), F.array_sort(F.collect_list("t")).alias("excluded_times"))
+    rows = velocities.groupBy("flight_id").agg(F.count("*").alias("v0"), F.max(F.col("vr_fpm").isNotNull()).alias("rated"))
+    for more in (n(positions, "p0"), n(gated, "v1"), n(dedup(positions, gates.duplicate_s), "p1"), by_gate, times):
+        rows = rows.join(more, "flight_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint"))
+    return rows.select("flight_id", (zero("p0") - zero("p1") + zero("v0") - zero("v1")).alias("n_duplicates_removed"), zero("n_excluded").alias("n_excluded"), F.coalesce("counts_by_gate", F.expr("CAST(map() AS map<string, bigint>)")).alias("counts_by_gate"), F.coalesce("excluded_times", F.expr("CAST(array() AS array<double>)")).alias("excluded_times"), (~F.coalesce("rated", F.lit(False))).alias("vertical_rate_unavailable"))
+
+
 #: Which estimators a feed's capability rules out.
 GATED = {"flare_crossing": "has_geometric_altitude", "imm_rts": "has_geometric_altitude"}
 
 
-def gate_estimators(flights: DataFrame, capabilities: DataFrame, estimators: list[str]) -> DataFrame:
+#: Other names of feeds.
+ALIASES = {"flightradar24": "fr24"}
+
+
+def feed_capability(flights: DataFrame, capabilities: DataFrame, override: dict[str, bool] | None = None) -> DataFrame:
+    """flight_id, has_geometric_altitude, samples_independent: of each flight's feed, by its name or another one of it.
+
+    A feed that is not listed can do all; ``override`` decides for all flights. Capabilities are a handful of rows.
+    """
+    if override is not None:
+        return flights.select("flight_id", F.lit(override["has_geometric_altitude"]).alias("has_geometric_altitude"), F.lit(override["samples_are_raw"]).alias("samples_independent"))
+    names = F.create_map(*[F.lit(x) for pair in ALIASES.items() for x in pair])
+    rows = flights.select("flight_id", F.coalesce(names[F.col("source")], F.col("source")).alias("source")).join(F.broadcast(capabilities), "source", "left")
+    return rows.select("flight_id", F.coalesce("has_geometric_altitude", F.lit(True)).alias("has_geometric_altitude"), F.coalesce("samples_are_raw", F.lit(True)).alias("samples_independent"))
+
+
+def gate_estimators(flights: DataFrame, capabilities: DataFrame, estimators: list[str], override: dict[str, bool] | None = None) -> DataFrame:
     """flight_id, estimator, eligible, excluded_reason: each flight's feed against the list of estimators (in one row's array)."""
-    known = flights.join(F.broadcast(capabilities), "source", "left")
-    rows = known.select("flight_id", F.coalesce("has_geometric_altitude", F.lit(True)).alias("geo"), F.explode(F.array(*map(F.lit, estimators))).alias("estimator"))
+    rows = feed_capability(flights, capabilities, override).select("flight_id", F.col("has_geometric_altitude").alias("geo"), F.explode(F.array(*map(F.lit, estimators))).alias("estimator"))
     out = F.col("estimator").isin(*GATED) & ~F.col("geo")
     return rows.select("flight_id", "estimator", (~out).alias("eligible"), F.when(out, "geometric_alt_unavailable").alias("excluded_reason"))
-
-

@@ -123,3 +123,9 @@ def derivatives(velocities: DataFrame, window: int = 5, knees: DataFrame | None
     held = held.withColumn("sums", F.expr(f"aggregate(near, named_struct({zero}), (a, x) -> {add})")).select("flight_id", "i", "t", "side", "sums.*")
     out = with_steps(held, LOCAL_SOLVE, keep=("b1", "b2"))
     return out.selectExpr("flight_id", "i", "t", "b1 AS decel", "2e0 * b2 AS jerk", "CAST(n AS INT) AS n").where("decel IS NOT NULL")
+
+
+def rms_discrepancy(smoothed: DataFrame, reference: DataFrame) -> DataFrame:
+    """flight_id, rms: of the difference of two decelerations (flight_id, i, decel), over samples that both have."""
+    both = smoothed.select("flight_id", "i", "decel").join(reference.select("flight_id", "i", F.col("decel").alias("other")), ["flight_id", "i"])
+    return both.groupBy("flight_id").agg(F.sqrt(F.avg(F.pow(F.col("decel") - F.col("other"), 2))).alias("rms"))

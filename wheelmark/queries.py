@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wheelmark import oracles
 from wheelmark.functions.exprs import rounded
 from wheelmark.functions.tables import kept
-from wheelmark.operators import classify, estimators, fusion, learned, quality, signals, timebase, validation
+from wheelmark.operators import channels, classify, estimators, fusion, learned, quality, signals, timebase, validation
 from wheelmark.oracles import CTES, project, position_at, sql, velocity_at
 from wheelmark.plans import landing as plans
 from wheelmark.plans.landing import Landing
@@ -474,6 +474,19 @@ def window_features_all(spark, d):
     return learned.window_features(corpus.flights, corpus.positions, corpus.velocities).select("flight_id", *learned.FEATURES)
 
 
+@query()
+def sequence_input(spark, d):
+    """Every sample's channels and flags, as a sequence model reads them."""
+    corpus = Landing.synthetic(spark, d)
+    return channels.sequence_input(corpus.flights, corpus.positions, corpus.velocities)
+
+
+@query()
+def qa_diagnostics(spark, d):
+    corpus = Landing.synthetic(spark, d)
+    return quality.diagnostics(corpus.positions, corpus.velocities, quality.run_qa(corpus.positions, corpus.velocities)[1])
+
+
 @query()
 def estimator_trees(spark, d):
     corpus = Landing.synthetic(spark, d)

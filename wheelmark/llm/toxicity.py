@@ -54,6 +54,8 @@ ORDINARY_BYTES, TOXIC_BYTES = 112_640, 16_384
 #: What the trainer (COVER) is told: lengths of segments and of what it counts.
 ORDINARY_SEGMENT, TOXIC_SEGMENT, COUNTED = 30, 16, 6
 LEVEL, GRAM = 19, 6
+#: Text bytes of a task that counts n-grams, about, and hashes that it holds before it adds them up.
+TASK_BYTES, TASK_CODES = 16 << 20, 8_000_000
 #: Bytes that a window must save to count as a hit, and as a plain one.
 SAVINGS = (1, 4)
 CACHE_ENTRIES = 500_000
@@ -194,32 +196,70 @@ def gram_codes(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.nda
     return codes[at], at, row[at]
 
 
+def grams_by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """For each piece of the text and each of SIZES, the n-grams' hashes, each once for each document that has it."""
+    for data, offsets, _ in pieces(batches):
+        for size in SIZES:
+            codes, _, row = gram_codes(LOWERED[data], offsets, size)
+            yield codes[np.unique(codes ^ mixed(row.astype(np.uint64) + np.uint64(1)), return_index=True)[1]]
+
+
+def summed(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Different codes, and the sums of their counts."""
+    own, which = np.unique(np.concatenate(codes), return_inverse=True)
+    return own, np.bincount(which, np.concatenate(counts), len(own)).astype(np.int64)
+
+
 def telling_grams(rows: DataFrame, n_toxic: int, n_ordinary: int) -> np.ndarray:
     """Hashes of the n-grams that far more toxic than ordinary documents have.
 
-    N-grams are counted by document, over the training rows alone; only those that pass come to the driver: each is in
-    LEAST_DOCS toxic training documents or more, of FIT_ROWS at most.
+    N-grams are counted by document, over the training rows alone: those of toxic documents first, then of these the ones
+    that could still tell in ordinary documents. A task adds up all its documents before anything is shuffled.
     """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for data, offsets, batch in pieces(batches):
-            toxic = batch["toxic"].to_numpy(zero_copy_only=False) == 1
-            for size in SIZES:
-                codes, _, row = gram_codes(LOWERED[data], offsets, size)
-                first = np.unique(codes ^ mixed(row.astype(np.uint64) + np.uint64(1)), return_index=True)[1]
-                own, which = np.unique(codes[first], return_inverse=True)
-                t = np.bincount(which, toxic[row[first]], len(own)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(t), pa.array(np.bincount(which, minlength=len(own)) - t)], names=["code", "t", "o"])
-
-    def part(k, n, p):  # log likelihood of k among n at the rate p
-        return k * F.log(F.greatest(p, F.lit(1e-12))) + (n - k) * F.log(F.greatest(1 - p, F.lit(1e-12)))
-
-    t, o = F.col("t"), F.col("o")
-    both = (t + o) / (n_toxic + n_ordinary)
-    ratio = part(t, n_toxic, t / n_toxic) + part(o, n_ordinary, o / n_ordinary) - part(t, n_toxic, both) - part(o, n_ordinary, both)
-    counts = rows.mapInArrow(count, "code bigint, t bigint, o bigint").groupBy("code").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
-    found = counts.where((t >= LEAST_DOCS) & (t / n_toxic > LEAST_LIFT * o / n_ordinary)).where(ratio > LEAST_RATIO).select("code").collect()
-    return np.sort(np.array([r.code for r in found], np.int64).view(np.uint64))
+    sizes = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
+    part = lambda toxic: rows.where(F.col("toxic") == toxic).select("text").coalesce(max(1, (sizes.get(toxic) or 0) // TASK_BYTES))
+
+    def in_toxic(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, counts, held = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+        for own in grams_by_document(batches):
+            codes.append(own)
+            counts.append(np.ones(len(own), np.int64))
+            held += len(own)
+            if held > TASK_CODES:
+                merged = summed(codes, counts)
+                codes, counts, held = [merged[0]], [merged[1]], 0
+        own, t = summed(codes, counts)
+        yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(t)], names=["code", "t"])
+
+    def likelihood(k, n, p):  # of k among n at the rate p, as a logarithm
+        return k * np.log(np.maximum(p, 1e-12)) + (n - k) * np.log(np.maximum(1 - p, 1e-12))
+
+    def ratio(t, o):
+        both = (t + o) / (n_toxic + n_ordinary)
+        return likelihood(t, n_toxic, t / n_toxic) + likelihood(o, n_ordinary, o / n_ordinary) - likelihood(t, n_toxic, both) - likelihood(o, n_ordinary, both)
+
+    least = next((t for t in range(LEAST_DOCS, n_toxic + 1) if ratio(t, 0) > LEAST_RATIO), n_toxic + 1)
+    found = part(1).mapInArrow(in_toxic, "code bigint, t bigint").groupBy("code").agg(F.sum("t").alias("t")).where(F.col("t") >= least).toArrow()
+    codes, t = found["code"].to_numpy().view(np.uint64), found["t"].to_numpy()
+    order = np.argsort(codes)
+    codes, t = codes[order], t[order]
+    if not len(codes):
+        return codes
+    sent = rows.sparkSession.sparkContext.broadcast(codes)
+
+    def in_ordinary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = sent.value
+        o = np.zeros(len(wanted), np.int64)
+        for own in grams_by_document(batches):
+            at = np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)
+            o += np.bincount(at[wanted[at] == own], minlength=len(wanted))
+        met = np.flatnonzero(o)
+        yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(o[met])], names=["place", "o"])
+
+    found = part(0).mapInArrow(in_ordinary, "place bigint, o bigint").groupBy("place").agg(F.sum("o").alias("o")).toArrow()
+    o = np.zeros(len(codes), np.int64)
+    o[found["place"].to_numpy()] = found["o"].to_numpy()
+    return codes[(t / n_toxic > LEAST_LIFT * o / n_ordinary) & (ratio(t, o) > LEAST_RATIO)]
 
 
 def covered(data: np.ndarray, offsets: np.ndarray, wanted: np.ndarray) -> np.ndarray:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from wheelmark.functions.exprs import KT_TO_MPS, direct_steps, floor_mod, projection_steps, rounded, shortest_arc, sql_steps
-from wheelmark.operators import classify, estimators, quality, timebase, validation
+from wheelmark.operators import classify, estimators, validation
 from wheelmark.operators.fusion import EXCLUSION, M_TO_FT, Z90
 from wheelmark.sources import synth
 
@@ -39,8 +39,30 @@ def project(rows: str) -> str:
     return sql_steps(f"(SELECT r.*, f.thr_lat, f.thr_lon, f.heading FROM {rows} r JOIN flights f ON r.flight_id = f.flight_id)", projection_steps("thr_lat", "thr_lon", "heading", "lat", "lon"))
 
 
+def _sigma(fit: str, step: str = "cadence") -> str:
+    """A fit's term and half a cadence, squared and added; a quarter second at least."""
+    return f"sqrt(greatest(pow({fit}, 2) + pow({step}, 2) / 4e0, 625e-4))"
+
+
 _W = "PARTITION BY flight_id ORDER BY t, seq"
-CTES["mono"] = f"SELECT flight_id, t, seq, y, {timebase.PCHIP_SLOPE} AS slope FROM (SELECT *, lag(h_next) OVER w AS h_prev, lag(m_next) OVER w AS m_prev, lag(h_next, 2) OVER w AS h_prev2, lag(m_next, 2) OVER w AS m_prev2, lead(h_next) OVER w AS h_next2, lead(m_next) OVER w AS m_next2 FROM (SELECT flight_id, t, seq, geo_alt AS y, lead(t) OVER w - t AS h_next, (lead(geo_alt) OVER w - geo_alt) / (lead(t) OVER w - t) AS m_next FROM pos WHERE geo_alt IS NOT NULL WINDOW w AS ({_W})) WINDOW w AS ({_W}))"
+
+
+def _edge(near: str, far: str) -> str:
+    """A one-sided three-point slope (near, far: the two intervals' names), as the method limits it."""
+    three = f"(m_{near} + (m_{near} - m_{far}) * h_{near} / (h_{near} + h_{far}))"
+    return f"""CASE WHEN m_{far} IS NULL THEN m_{near} WHEN {three} * m_{near} <= 0e0 THEN 0e0
+      WHEN m_{near} * m_{far} <= 0e0 AND abs({three}) > abs(3e0 * m_{near}) THEN 3e0 * m_{near} ELSE {three} END"""
+
+
+#: Interval lengths h and secants m: of the interval before a node (back), before that (back2), behind it (on), behind that (on2).
+CTES["secants"] = f"""SELECT flight_id, t, seq, geo_alt AS y, t - lag(t) OVER w AS h_back, (geo_alt - lag(geo_alt) OVER w) / (t - lag(t) OVER w) AS m_back, lead(t) OVER w - t AS h_on, (lead(geo_alt) OVER w - geo_alt) / (lead(t) OVER w - t) AS m_on
+  FROM pos WHERE geo_alt IS NOT NULL WINDOW w AS ({_W})"""
+CTES["mono"] = f"""SELECT flight_id, t, seq, y, CASE WHEN h_back IS NULL AND h_on IS NULL THEN 0e0 WHEN h_back IS NULL THEN {_edge('on', 'on2')} WHEN h_on IS NULL THEN {_edge('back', 'back2')}
+    WHEN sign(m_back) <> sign(m_on) OR m_back = 0e0 THEN 0e0 ELSE 3e0 * (h_back + h_on) * m_back * m_on / ((h_back + 2e0 * h_on) * m_on + (2e0 * h_back + h_on) * m_back) END AS slope
+  FROM (SELECT *, lag(h_back) OVER w AS h_back2, lag(m_back) OVER w AS m_back2, lead(h_on) OVER w AS h_on2, lead(m_on) OVER w AS m_on2 FROM secants WINDOW w AS ({_W}))"""
+#: The cubic between two nodes, by powers of the time since the first.
+CURVE = """CASE WHEN prev_seq = next_seq THEN prev_y ELSE prev_y + (q - prev_t) * (prev_slope + (q - prev_t) * ((3e0 * (next_y - prev_y) / (next_t - prev_t) - 2e0 * prev_slope - next_slope) / (next_t - prev_t)
+  + (q - prev_t) * (prev_slope + next_slope - 2e0 * (next_y - prev_y) / (next_t - prev_t)) / pow(next_t - prev_t, 2))) END"""
 CTES["thr"] = f"SELECT flight_id, {classify.DATUM} AS datum_used, {classify.THRESHOLD_HAE} AS thr_hae FROM flights"
 CTES["high"] = f"SELECT p.*, geo_alt - coalesce(thr_hae, min(geo_alt) OVER (PARTITION BY p.flight_id)) AS height, thr_hae IS NOT NULL AND max(geo_alt) OVER (PARTITION BY p.flight_id) IS NOT NULL AS datum_ok, max(geo_alt) OVER (PARTITION BY p.flight_id) IS NOT NULL AS has_height, row_number() OVER (PARTITION BY p.flight_id ORDER BY t, seq) - 1 AS rank FROM pos p JOIN thr ON p.flight_id = thr.flight_id"
 CTES["segments"] = f"""SELECT flight_id, segment, min(rank) AS start_seq, max(rank) AS end_seq, min_by(start_t, rank) AS start_t, max(t) AS end_t FROM (
@@ -61,7 +83,9 @@ CTES["classes"] = """SELECT *, CASE trajectory_type WHEN 'go-around' THEN 'go_ar
 CTES["brackets"] = """SELECT flight_id, CASE WHEN center IS NULL THEN 'no-touchdown' ELSE 'ok' END AS status, center - 3e1 AS t_lo, center, CASE WHEN center IS NOT NULL THEN CASE WHEN on_ground_t > center - 3e1 THEN on_ground_t ELSE center + 3e1 END END AS t_hi, on_ground_t FROM (
   SELECT flight_id, on_ground_t, CASE WHEN anchor IS NULL THEN NULL ELSE least(anchor, coalesce(on_ground_t, anchor)) END AS center FROM (
     SELECT c.flight_id, t.on_ground_t, CASE WHEN is_touchdown THEN CASE WHEN datum_ok AND first_contact_t IS NOT NULL THEN first_contact_t ELSE coalesce(onset_t, first_contact_t, t.on_ground_t) END END AS anchor FROM classes c LEFT JOIN transit t ON c.flight_id = t.flight_id))"""
-CTES["gated"] = f"SELECT * EXCLUDE (dt, prev_gs, prev_track), {quality.violation()} AS gate FROM (SELECT *, t - lag(t) OVER ({_W}) AS dt, lag(gs_kt) OVER ({_W}) AS prev_gs, lag(track) OVER ({_W}) AS prev_track FROM vel)"
+CTES["gated"] = f"""SELECT * EXCLUDE (dt, gain, turn), CASE WHEN gain / dt > 980665e-5 THEN 'longitudinal' WHEN gs_kt * 1852e0 / 3600e0 * radians(turn / dt) > 980665e-5 / 2e0 THEN 'lateral' WHEN turn > 6e0 * dt THEN 'turn_rate' END AS gate FROM (
+  SELECT *, CASE WHEN t > lag(t) OVER ({_W}) AND gs_kt + lag(gs_kt) OVER ({_W}) IS NOT NULL THEN t - lag(t) OVER ({_W}) END AS dt, abs(gs_kt - lag(gs_kt) OVER ({_W})) * 1852e0 / 3600e0 AS gain,
+    least(abs(track - lag(track) OVER ({_W})), 36e1 - abs(track - lag(track) OVER ({_W}))) AS turn FROM vel)"""
 _MED = "quantile_cont({0}, 0.5)"
 CTES["vcad"] = f"SELECT flight_id, coalesce({_MED.format('step')}, 0e0) AS cadence FROM (SELECT flight_id, t - lag(t) OVER ({_W}) AS step FROM vel) GROUP BY flight_id"
 #: Every knot against every sample: no running sums, residuals summed outright.
@@ -89,7 +113,7 @@ def located(changes: str, method: str, reason: str) -> str:
     """From (flight_id, c, mean_before, mean_after): the crossing of the middle level nearest the change, and sigma."""
     return f"""SELECT f.flight_id, '{method}' AS method, t_td, sigma_t, CASE WHEN t_td IS NULL THEN 'failed' ELSE 'normal' END AS confidence, CASE WHEN t_td IS NULL THEN '{reason}' END AS reason_code FROM flights f LEFT JOIN (
       SELECT c.flight_id, CASE WHEN x.t0 IS NULL OR mean_before = mean_after THEN (a.t + b.t) / 2e0 ELSE x.t0 + least(greatest((level - x.x0) / nullif(x.x1 - x.x0, 0e0), 0e0), 1e0) * (x.t1 - x.t0) END AS t_td,
-        {estimators.sigma('d.cadence * s.spread / greatest(abs(mean_after - mean_before), 5e-2)', 'd.cadence')} AS sigma_t
+        {_sigma('d.cadence * s.spread / greatest(abs(mean_after - mean_before), 5e-2)', 'd.cadence')} AS sigma_t
       FROM (SELECT *, (mean_before + mean_after) / 2e0 AS level FROM ({changes})) c JOIN scad d ON c.flight_id = d.flight_id JOIN sig a ON a.flight_id = c.flight_id AND a.j = c.c - 1 JOIN sig b ON b.flight_id = c.flight_id AND b.j = c.c
       JOIN (SELECT g.flight_id, sqrt(avg(pow(g.x - CASE WHEN g.j < k.c THEN k.ma ELSE k.mb END, 2))) AS spread FROM sig g JOIN (SELECT h.flight_id, h.c, avg(s.x) FILTER (WHERE s.j < h.c) AS ma, avg(s.x) FILTER (WHERE s.j >= h.c) AS mb FROM ({changes}) h JOIN sig s ON h.flight_id = s.flight_id GROUP BY h.flight_id, h.c) k ON g.flight_id = k.flight_id GROUP BY g.flight_id) s ON s.flight_id = c.flight_id
       LEFT JOIN (SELECT * FROM (SELECT h.flight_id, y.t AS t0, y.x AS x0, y.tn AS t1, y.xn AS x1, row_number() OVER (PARTITION BY h.flight_id ORDER BY abs(y.j - (h.c - 1)), y.j) AS pick FROM ({changes}) h JOIN (SELECT *, lead(x) OVER (PARTITION BY flight_id ORDER BY j) AS xn, lead(t) OVER (PARTITION BY flight_id ORDER BY j) AS tn FROM sig) y ON h.flight_id = y.flight_id WHERE sign(y.x - (h.mean_before + h.mean_after) / 2e0) * sign(y.xn - (h.mean_before + h.mean_after) / 2e0) < 0e0) WHERE pick = 1) x ON x.flight_id = c.flight_id) r ON f.flight_id = r.flight_id"""
@@ -107,7 +131,7 @@ CTES["zs"] = "SELECT s.flight_id, s.j, (s.x - avg(s.x) OVER (PARTITION BY s.flig
 CTES["cusum_c"] = "SELECT w.flight_id, w.c, avg(s.x) FILTER (WHERE s.j < w.c) AS mean_before, avg(s.x) FILTER (WHERE s.j >= w.c) AS mean_after FROM (SELECT k.flight_id, least(greatest(k.c, 1), any_value(g.m) - 1) AS c FROM cusum_walk k JOIN sig g ON k.flight_id = g.flight_id WHERE k.c >= 0 GROUP BY k.flight_id, k.c) w JOIN sig s ON s.flight_id = w.flight_id GROUP BY w.flight_id, w.c"
 CTES["cusum"] = located("SELECT * FROM cusum_c", "cusum", "no_ground_roll")
 CTES["jerk"] = f"""SELECT f.flight_id, 'jerk_onset' AS method, t_td, sigma_t, CASE WHEN t_td IS NULL THEN 'failed' ELSE 'low-confidence' END AS confidence, CASE WHEN t_td IS NULL AND NOT EXISTS (SELECT 1 FROM sig s WHERE s.flight_id = f.flight_id) THEN 'insufficient_samples' ELSE 'no_ground_roll' END AS reason_code FROM flights f LEFT JOIN (
-  SELECT p.flight_id, CASE WHEN q.j IS NULL THEN p.t ELSE q.t0 + least(greatest((p.level - q.j0) / nullif(q.jerk - q.j0, 0e0), 0e0), 1e0) * (q.t - q.t0) END AS t_td, {estimators.sigma('d.cadence * p.scatter / greatest(abs(p.jerk), 5e-2)', 'd.cadence')} AS sigma_t FROM (
+  SELECT p.flight_id, CASE WHEN q.j IS NULL THEN p.t ELSE q.t0 + least(greatest((p.level - q.j0) / nullif(q.jerk - q.j0, 0e0), 0e0), 1e0) * (q.t - q.t0) END AS t_td, {_sigma('d.cadence * p.scatter / greatest(abs(p.jerk), 5e-2)', 'd.cadence')} AS sigma_t FROM (
     SELECT p.*, (SELECT CASE WHEN count(*) FILTER (WHERE s.j < coalesce(p.q, p.j) - 1 OR s.j > p.j + 1) <= 1 THEN stddev_pop(s.jerk) ELSE stddev_pop(s.jerk) FILTER (WHERE s.j < coalesce(p.q, p.j) - 1 OR s.j > p.j + 1) END FROM sig s WHERE s.flight_id = p.flight_id) AS scatter FROM (
       SELECT p.flight_id, p.j, p.t, p.jerk, p.jerk * 5e-1 AS level, (SELECT max(e.j) FROM edges e WHERE e.flight_id = p.flight_id AND e.j <= p.j AND e.jerk <= p.jerk * 5e-1 AND e.j0 > p.jerk * 5e-1) AS q FROM (SELECT *, row_number() OVER (PARTITION BY flight_id ORDER BY round(jerk, 9), j) AS pick FROM sig) p WHERE pick = 1 AND abs(jerk) >= 1e-3 AND j > 0) p) p
   LEFT JOIN edges q ON q.flight_id = p.flight_id AND q.j = p.q JOIN scad d ON d.flight_id = p.flight_id) r ON f.flight_id = r.flight_id"""
@@ -117,12 +141,12 @@ CTES["region"] = f"SELECT flight_id, t, seq, height AS h, t - min(t) OVER (PARTI
 _QUAD = sql_steps(f"(SELECT flight_id, {_SUMS} FROM region GROUP BY flight_id)", estimators.QUADRATIC)
 CTES["flare"] = f"""SELECT f.flight_id, 'flare_crossing' AS method, r.t_td, r.sigma_t, CASE WHEN r.t_td IS NULL THEN 'failed' ELSE 'normal' END AS confidence,
   CASE WHEN r.t_td IS NOT NULL THEN NULL WHEN NOT coalesce((SELECT bool_or(geo_alt IS NOT NULL) FROM pos p WHERE p.flight_id = f.flight_id), false) THEN 'geometric_alt_unavailable' WHEN (SELECT thr_hae FROM thr WHERE thr.flight_id = f.flight_id) IS NULL THEN 'datum_unresolved' ELSE 'insufficient_flare' END AS reason_code
-  FROM flights f LEFT JOIN (SELECT flight_id, t0 + root AS t_td, {estimators.sigma('rms / greatest(abs(2e0 * c2 * root + c1), 3e-1)')} AS sigma_t FROM {sql_steps('''(SELECT q.flight_id, q.n, q.c2, q.c1, q.c0 - CASE WHEN b.n_high >= 2 AND abs(b.bias) > 4572e-3 THEN b.bias ELSE 0e0 END AS c0, b.u_end, b.t0, b.rms, g.region_dt, c.cadence FROM quad q JOIN bias b ON q.flight_id = b.flight_id JOIN gaps g ON g.flight_id = q.flight_id JOIN gcad c ON c.flight_id = q.flight_id)''', estimators.ROOTS)} WHERE n >= 3 AND root >= -3e0 * region_dt AND root <= u_end + 3e0 * region_dt) r ON f.flight_id = r.flight_id"""
+  FROM flights f LEFT JOIN (SELECT flight_id, t0 + root AS t_td, {_sigma('rms / greatest(abs(2e0 * c2 * root + c1), 3e-1)')} AS sigma_t FROM {sql_steps('''(SELECT q.flight_id, q.n, q.c2, q.c1, q.c0 - CASE WHEN b.n_high >= 2 AND abs(b.bias) > 4572e-3 THEN b.bias ELSE 0e0 END AS c0, b.u_end, b.t0, b.rms, g.region_dt, c.cadence FROM quad q JOIN bias b ON q.flight_id = b.flight_id JOIN gaps g ON g.flight_id = q.flight_id JOIN gcad c ON c.flight_id = q.flight_id)''', estimators.ROOTS)} WHERE n >= 3 AND root >= -3e0 * region_dt AND root <= u_end + 3e0 * region_dt) r ON f.flight_id = r.flight_id"""
 CTES["quad"] = f"SELECT flight_id, n, c0, c1, c2 FROM {_QUAD}"
 CTES["bias"] = f"SELECT r.flight_id, count(*) FILTER (WHERE h >= {estimators.ONSET_M}) AS n_high, quantile_cont(h - c0 - c1 * u - c2 * u * u, 0.5) FILTER (WHERE h >= {estimators.ONSET_M}) AS bias, sqrt(avg(pow(h - c0 - c1 * u - c2 * u * u, 2))) AS rms, max(u) AS u_end, any_value(t0) AS t0 FROM region r JOIN quad q ON r.flight_id = q.flight_id GROUP BY r.flight_id"
 CTES["gaps"] = f"SELECT flight_id, coalesce({_MED.format('gap')}, 0e0) AS region_dt FROM (SELECT flight_id, t - lag(t) OVER ({_W}) AS gap FROM region) GROUP BY flight_id"
 CTES["gcad"] = f"SELECT flight_id, coalesce({_MED.format('step')}, 0e0) AS cadence FROM (SELECT flight_id, t - lag(t) OVER ({_W}) AS step FROM pos WHERE geo_alt IS NOT NULL) GROUP BY flight_id"
-CTES["knee_e"] = f"""SELECT f.flight_id, 'decel_knee' AS method, t_knee AS t_td, {estimators.sigma('rms / greatest(abs(slope_drop), 5e-2)')} AS sigma_t, CASE WHEN t_knee IS NULL THEN 'failed' WHEN v_knee BETWEEN 25 AND 95 AND abs(slope_after) BETWEEN 6e-1 AND 45e-1 THEN 'normal' ELSE 'low-confidence' END AS confidence,
+CTES["knee_e"] = f"""SELECT f.flight_id, 'decel_knee' AS method, t_knee AS t_td, {_sigma('rms / greatest(abs(slope_drop), 5e-2)')} AS sigma_t, CASE WHEN t_knee IS NULL THEN 'failed' WHEN v_knee BETWEEN 25 AND 95 AND abs(slope_after) BETWEEN 6e-1 AND 45e-1 THEN 'normal' ELSE 'low-confidence' END AS confidence,
   CASE WHEN t_knee IS NULL THEN 'insufficient_samples' WHEN v_knee BETWEEN 25 AND 95 AND abs(slope_after) BETWEEN 6e-1 AND 45e-1 THEN NULL ELSE 'estimator_disagreement' END AS reason_code FROM flights f LEFT JOIN knees k ON f.flight_id = k.flight_id LEFT JOIN vcad d ON f.flight_id = d.flight_id"""
 CTES["raw_est"] = "SELECT * FROM knee_e UNION ALL SELECT * FROM glrt UNION ALL SELECT * FROM flare UNION ALL SELECT * FROM jerk"
 CTES["est"] = "SELECT flight_id, method, t_td - moved AS t_td, sqrt(pow(sigma_t, 2) + pow(moved, 2)) AS sigma_t, confidence, reason_code FROM (SELECT e.*, CASE WHEN t_td >= on_ground_t THEN t_td - (on_ground_t - 1e-3) ELSE 0e0 END AS moved FROM raw_est e LEFT JOIN transit t ON e.flight_id = t.flight_id)"
@@ -180,11 +204,10 @@ EVALUATION = [
 CTES["evals"] = f"SELECT {', '.join(EVALUATION)} FROM orders"
 
 
-def duck(text: str) -> str:
-    return re.sub(r"percentile\(", "quantile_cont(", text)
-
-
-_METRICS = ", ".join(f"{duck(x)} AS {k}" for k, x in validation.METRICS.items())
+#: e is the error in feet (estimate less truth); null where either is missing.
+_METRICS = """count(*) AS n_flights, count(e) AS n_estimates, sqrt(sum(e * e) / count(e)) AS rmse_ft, median(abs(e)) AS median_abs_ft, median(e) AS median_signed_ft, quantile_cont(abs(e), 0.95) AS p95_abs_ft, quantile_cont(abs(e), 0.99) AS p99_abs_ft,
+  quantile_cont(e, 0.95) FILTER (WHERE e > 0) AS long_p95_ft, quantile_cont(e, 0.25) AS iqr_low_ft, quantile_cont(e, 0.75) AS iqr_high_ft, count(*) FILTER (WHERE e IS NOT NULL AND low_ft <= true_ft AND true_ft <= high_ft) * 1e0 / nullif(count(e), 0) AS coverage,
+  sqrt(avg(pow(est_t - true_t, 2)) FILTER (WHERE clock <> 'failed')) AS time_rmse_s, sqrt(avg(pow(est_kt - true_kt, 2))) AS speed_rmse_kt"""
 CTES["metrics"] = f"SELECT CASE WHEN grouping(aircraft_type) = 0 THEN 'aircraft_type' WHEN grouping(source) = 0 THEN 'source' WHEN grouping(airport) = 0 THEN 'airport' WHEN grouping(band) = 0 THEN 'band' ELSE 'overall' END AS dimension, coalesce(aircraft_type, source, airport, band, 'all') AS key, {_METRICS}, count(*) >= 30 AS reportable FROM (SELECT *, est_ft - true_ft AS e, {validation.band_label('true_kt')} AS band FROM evals) GROUP BY GROUPING SETS ((aircraft_type), (source), (airport), (band), ())"
 
 

@@ -72,7 +72,7 @@ def interpolate_position_all(spark, d):
     return out(timebase.position_at(synth.positions(spark, d), synth.velocities(spark, d), _queries_at(spark, d)), "flight_id", "o", "degraded", "lat:7", "lon:7")
 
 
-@query(f"SELECT flight_id, o, {rounded('CASE WHEN prev_seq = next_seq THEN prev_y ELSE ' + timebase.HERMITE.replace('prev.', 'prev_').replace('next.', 'next_') + ' END', 5)} AS alt_m FROM {oracles.asof('mono', 'q', 'y, slope')}")
+@query(f"SELECT flight_id, o, {rounded(oracles.CURVE, 5)} AS alt_m FROM {oracles.asof('mono', 'q', 'y, slope')}")
 def monotone_altitude(spark, d):
     return out(timebase.monotone_at(synth.positions(spark, d), _queries_at(spark, d), "geo_alt", "alt_m"), "flight_id", "o", "alt_m:5")
 
@@ -133,7 +133,17 @@ def datum_hae(spark, d):
 _BROKEN = ["flight_id", "CASE WHEN k % 9 = 1 THEN 95e0 ELSE thr_lat END AS thr_lat", "CASE WHEN k % 9 = 2 THEN NULL ELSE thr_lon END AS thr_lon", "CASE WHEN k % 9 = 3 THEN 361e0 ELSE heading END AS heading", "CASE WHEN k % 9 = 4 THEN -6e2 ELSE elevation END AS elevation", "CASE WHEN k % 9 = 5 THEN 0e0 ELSE length_m END AS length_m", "CASE WHEN k % 9 = 6 THEN 101e0 ELSE width_m END AS width_m"]
 
 
-@query(f"SELECT flight_id, {quality.RUNWAY_FAULT} AS invalid_field FROM (SELECT {', '.join(_BROKEN)} FROM flights) r")
+_LIMITS = {
+    "threshold_lat": "thr_lat BETWEEN -9e1 AND 9e1",
+    "threshold_lon": "thr_lon BETWEEN -18e1 AND 18e1",
+    "heading_deg": "heading BETWEEN 0e0 AND 36e1",
+    "elevation_m": "elevation BETWEEN -5e2 AND 1e4",
+    "length_m": "length_m > 0e0 AND length_m <= 6e3",
+    "width_m": "width_m > 0e0 AND width_m <= 1e2",
+}
+
+
+@query(f"SELECT flight_id, coalesce({', '.join(f"CASE WHEN NOT coalesce({test}, false) THEN '{name}' END" for name, test in _LIMITS.items())}) AS invalid_field FROM (SELECT {', '.join(_BROKEN)} FROM flights) r")
 def runway_validation(spark, d):
     return quality.validate_runways(synth.flights(spark, d).selectExpr(*_BROKEN)).select("flight_id", "invalid_field")
 
@@ -366,10 +376,11 @@ def stratified_metrics(spark, d):
     return out(validation.stratified_metrics(_evaluations(spark, d)), *_METRIC)
 
 
+_NAMED = "CASE WHEN {0} IS NULL THEN 'undefined' WHEN {0} BETWEEN 0.85 AND 0.95 THEN 'in-band' WHEN {0} > 0.95 THEN 'over-coverage' ELSE 'under-coverage' END"
 _COVER = "CASE WHEN {0} BETWEEN {1} AND {2} THEN 1e0 WHEN {0} IS NOT NULL AND {1} IS NOT NULL THEN 0e0 END"
 
 
-@query(f"SELECT {sel('coverage:6', 'status', 'time_coverage:6', 'time_status')} FROM (SELECT *, {validation.classify_coverage()} AS status, {validation.classify_coverage('time_coverage')} AS time_status FROM (SELECT avg({_COVER.format('true_ft', 'low_ft', 'high_ft')}) AS coverage, avg(CASE WHEN clock <> 'failed' THEN {_COVER.format('true_t', 't_low', 't_high')} END) AS time_coverage FROM evals))")
+@query(f"SELECT {sel('coverage:6', 'status', 'time_coverage:6', 'time_status')} FROM (SELECT *, {_NAMED.format('coverage')} AS status, {_NAMED.format('time_coverage')} AS time_status FROM (SELECT avg({_COVER.format('true_ft', 'low_ft', 'high_ft')}) AS coverage, avg(CASE WHEN clock <> 'failed' THEN {_COVER.format('true_t', 't_low', 't_high')} END) AS time_coverage FROM evals))")
 def interval_coverage(spark, d):
     return out(validation.assess_coverage(_evaluations(spark, d)), "coverage:6", "status", "time_coverage:6", "time_status")
 

@@ -33,8 +33,9 @@ from pyspark.sql import functions as F
 from wheelmark.llm.shared import NOT_SPACE, chunks, field, filter_over, join_hot, mixed, picked, pieces, token_hashes, tokens, written
 
 BANDS, ROWS = 28, 4
-#: Classes with one first class that a task holds against as many others, and bytes of their differences, about.
-BLOCK, BLOCK_BYTES = 200, 8 << 20
+#: Classes with one first class that a task holds against as many others (smaller blocks while they make MANY_BLOCKS parts
+#: at most, which spreads a large group), and bytes of their differences, about.
+BLOCK, SMALL_BLOCK, MANY_BLOCKS, BLOCK_BYTES = 600, 100, 32, 8 << 20
 #: Rows of one first class that are joined with its set in one task, at least.
 PART = 64
 #: A shingle in more differences than this is counted by a matrix product, the others pair by pair.
@@ -236,7 +237,8 @@ def _leftover(stars: DataFrame, full: DataFrame, found: DataFrame, least: float,
     rows = with_sets(open_, full).select("a", "b", "component", "x", "y").mapInArrow(differences, "a bigint, b bigint, component bigint, first bigint, n bigint, lacking bigint, diff binary")
     rows = written(rows, "differences")
     held = rows.groupBy("a").agg(F.count("*").alias("size"), F.sum(F.octet_length("diff")).alias("bytes"))
-    held = written(held.select("a", "size", F.greatest(F.ceil(F.col("size") / block), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("parts")), "blocks")
+    parts = F.least(F.ceil(F.col("size") / min(block, SMALL_BLOCK)), F.greatest(F.lit(MANY_BLOCKS), F.ceil(F.col("size") / block)))
+    held = written(held.select("a", "size", F.greatest(parts, F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("parts")), "blocks")
     rows = join_hot(rows, held, "a", "size")
     rows = rows.withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")}).drop("parts", "other", "size")

@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from wheelmark.functions.exprs import direct_steps, projection_steps, with_steps
 from wheelmark.operators import channels, estimators, quality, signals, timebase, validation
@@ -102,6 +103,29 @@ def test_clock_offsets_and_their_reasons(spark):
     assert moved["good"] == (100 - got["good"].offset_s, "good") and moved["far"] == (100 - got["far"].offset_s, "failed") and moved["weak"] == (100.0, "failed")
 
 
+def test_quantiles_by_rank(spark, monkeypatch):
+    from wheelmark.operators import quantiles as q
+
+    monkeypatch.setattr(q, "ACCURACY", 200)
+    monkeypatch.setattr(q, "MARGIN", 0.02)
+    rnd = np.random.default_rng(8)
+    values = {"large": rnd.normal(0, 50, 6000), "ties": rnd.integers(0, 4, 3000).astype(float), "small": rnd.normal(0, 1, 7), "one": np.array([3.5]), "none": np.array([])}
+    rows = [(k, float(x)) for k, v in values.items() for x in v] + [("none", None), ("large", None)]
+    table = spark.createDataFrame(rows, "k string, x double").withColumn("size", F.abs("x")).repartition(5)
+    wanted = {"low": ("x", 0.25), "mid": ("x", 0.5), "top": ("x", 0.99), "p95": ("size", 0.95), "least": ("x", 0.0), "most": ("x", 1.0)}
+    for r in q.quantiles(table, ["k"], wanted).collect():
+        for name, (column, at) in wanted.items():
+            v = values[r.k] if column == "x" else np.abs(values[r.k])
+            assert r[name] == pytest.approx(np.quantile(v, at)) if len(v) else r[name] is None
+    kinds = "flight_id string, aircraft_type string, source string, airport string, est_ft double, true_ft double, low_ft double, high_ft double, est_t double, true_t double, clock string, est_kt double, true_kt double"
+    evals = spark.createDataFrame([(str(i), None if i % 7 == 0 else f"T{i % 3}", "aireon", f"A{i % 11}", None if i % 13 == 0 else float(x), 0.0, -50.0, 50.0, 1.0, 1.5, "good", 130.0, float(100 + i % 90)) for i, x in enumerate(rnd.normal(0, 80, 900))], kinds)
+    few, many = (validation.stratified_metrics(evals, exact_rows=n).orderBy("dimension", "key").toPandas() for n in (10**6, 0))
+    pd.testing.assert_frame_equal(few, many, check_exact=False, rtol=1e-9)
+    part = lambda c: evals.select("flight_id", F.col(c).alias("along_m"))
+    one, other = (validation.distance_error_summary(part("est_ft"), part("est_kt"), part("true_kt"), exact_rows=n).first() for n in (10**6, 0))
+    assert tuple(one) == pytest.approx(tuple(other))
+
+
 def test_class_priors(spark):
     rows = [(i * 4.0, (60 if i <= 8 else 60 - 2.5 * 4 * (i - 8)) / KT) for i in range(13)]
     v = spark.createDataFrame([(f, i, t, x) for f in "ABC" for i, (t, x) in enumerate(rows)], "flight_id string, seq int, t double, gs_kt double")

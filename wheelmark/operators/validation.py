@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wheelmark.operators.fusion import project
+from wheelmark.operators.quantiles import EXACT_ROWS, quantiles
 from wheelmark.operators.timebase import position_at
 
 FT = 0.3048
@@ -32,15 +33,25 @@ def distance_at(flights: DataFrame, positions: DataFrame, velocities: DataFrame,
     return rows.join(arms.select("flight_id", "shift_m"), "flight_id", "left").select("flight_id", (F.col("p_along") - F.coalesce("shift_m", F.lit(0.0))).alias("along_m"))
 
 
-def distance_error_summary(estimated: DataFrame, baseline: DataFrame, truth: DataFrame) -> DataFrame:
-    """One row over the flights that have both distances and truth (flight_id, along_m each)."""
+def distance_error_summary(estimated: DataFrame, baseline: DataFrame, truth: DataFrame, exact_rows: int = EXACT_ROWS) -> DataFrame:
+    """One row over the flights that have both distances and truth (flight_id, along_m each).
+
+    Beyond ``exact_rows`` true distances the quantiles come from ranks instead, with the same values.
+    """
     e = F.col("e.along_m") - F.col("t.along_m")
     b = F.col("b.along_m") - F.col("t.along_m")
     both = e.isNotNull() & b.isNotNull()
     # No filter: pushed below the geodesic steps it would take their whole expressions along.
     rows = estimated.alias("e").join(baseline.alias("b"), "flight_id").join(truth.alias("t"), "flight_id").select(F.when(both, e).alias("e"), F.when(both, b).alias("b"))
     rmse = lambda c: F.sqrt(F.avg(F.col(c) * F.col(c)))
-    out = rows.agg(F.count("e").alias("n"), rmse("e").alias("rmse_m"), F.expr("percentile(abs(e), 0.5)").alias("median_abs_m"), F.expr("percentile(e, 0.5)").alias("median_signed_m"), F.expr("percentile(abs(e), 0.95)").alias("p95_abs_m"), rmse("b").alias("baseline_rmse_m"))
+    wanted = {"median_abs_m": ("size", 0.5), "median_signed_m": ("e", 0.5), "p95_abs_m": ("size", 0.95)}
+    few = truth.count() <= exact_rows
+    at = [F.expr(f"percentile({'abs(e)' if column == 'size' else column}, {q})").alias(name) for name, (column, q) in wanted.items()] if few else []
+    out = rows.agg(F.count("e").alias("n"), rmse("e").alias("rmse_m"), *at, rmse("b").alias("baseline_rmse_m"))
+    if not few:
+        one = rows.select(F.lit(0).alias("one"), "e", F.abs("e").alias("size"))
+        out = out.withColumn("one", F.lit(0)).join(quantiles(one, ["one"], wanted), "one", "left")
+    out = out.select("n", "rmse_m", *wanted, "baseline_rmse_m")
     return out.withColumn("improvement_pct", F.expr("CASE WHEN baseline_rmse_m > 0 THEN (baseline_rmse_m - rmse_m) / baseline_rmse_m * 1e2 END"))
 
 
@@ -70,15 +81,29 @@ METRICS = {
 }
 
 
-def stratified_metrics(evaluations: DataFrame, least: int = 30, edges: tuple[float, ...] = BANDS) -> DataFrame:
-    """dimension, key, the metrics and reportable: by type, feed, airport and speed band and overall, in one pass."""
+#: Which of METRICS are quantiles: of what, and which.
+QUANTILES = {"median_abs_ft": ("size", 0.5), "median_signed_ft": ("e", 0.5), "p95_abs_ft": ("size", 0.95), "p99_abs_ft": ("size", 0.99), "long_p95_ft": ("long", 0.95), "iqr_low_ft": ("e", 0.25), "iqr_high_ft": ("e", 0.75)}
+
+
+def stratified_metrics(evaluations: DataFrame, least: int = 30, edges: tuple[float, ...] = BANDS, exact_rows: int = EXACT_ROWS) -> DataFrame:
+    """dimension, key, the metrics and reportable: by type, feed, airport and speed band and overall, in one pass.
+
+    Beyond ``exact_rows`` evaluations the quantiles come from ranks instead, with the same values.
+    """
     rows = evaluations.withColumns({"e": F.col("est_ft") - F.col("true_ft"), "band": F.expr(band_label("true_kt", edges))})
     dims = ["aircraft_type", "source", "airport", "band"]
+    few = evaluations.count() <= exact_rows
     marks = [F.grouping(F.col(d)).alias(f"g_{d}") for d in dims]
-    out = rows.groupingSets([[F.col(d)] for d in dims] + [[]], *[F.col(d) for d in dims]).agg(*marks, *[F.expr(x).alias(k) for k, x in METRICS.items()])
+    own = [m for m in METRICS if few or m not in QUANTILES]
+    out = rows.groupingSets([[F.col(d)] for d in dims] + [[]], *[F.col(d) for d in dims]).agg(*marks, *[F.expr(METRICS[k]).alias(k) for k in own])
     dim = F.coalesce(*[F.when(F.col(f"g_{d}") == 0, F.lit(d)) for d in dims], F.lit("overall"))
     key = F.coalesce(*[F.when(F.col(f"g_{d}") == 0, F.col(d)) for d in dims], F.lit("all"))
-    return out.select(dim.alias("dimension"), key.alias("key"), *METRICS, (F.col("n_flights") >= least).alias("reportable"))
+    out = out.select(dim.alias("dimension"), key.alias("key"), *own)
+    if not few:
+        places = F.array(*[F.struct(F.lit(d).alias("dimension"), F.coalesce(d, F.lit("all")).alias("key")) for d in dims], F.struct(F.lit("overall").alias("dimension"), F.lit("all").alias("key")))
+        values = rows.select(F.explode(places).alias("place"), "e").select("place.*", "e", F.abs("e").alias("size"), F.when(F.col("e") > 0, F.col("e")).alias("long"))
+        out = out.join(quantiles(values, ["dimension", "key"], QUANTILES), ["dimension", "key"])
+    return out.select("dimension", "key", *METRICS, (F.col("n_flights") >= least).alias("reportable"))
 
 
 def classify_coverage(x: str = "coverage", low: float = 0.85, high: float = 0.95) -> str:

@@ -48,7 +48,7 @@ def fuse(estimates: DataFrame, stacking: DataFrame | None = None, limit_s: float
     if stacking is None:
         rows = rows.withColumn("w", F.col("inv"))
     else:
-        rows = rows.join(F.broadcast(stacking.select("method", "weight")), "method", "left").withColumn("w", F.expr("CASE WHEN why IS NULL THEN coalesce(weight, inv) END"))
+        rows = rows.join(stacking.select("method", "weight"), "method", "left").withColumn("w", F.expr("CASE WHEN why IS NULL THEN coalesce(weight, inv) END"))
         rows = rows.withColumn("w", F.when(F.sum("w").over(Window.partitionBy("flight_id")) > 0, F.col("w")).otherwise(F.col("inv")))
     every = Window.partitionBy("flight_id")
     rows = rows.withColumn("w", F.col("w") / F.sum("w").over(every)).withColumn("mean", F.sum(F.col("w") * F.col("t_td")).over(every))
@@ -102,8 +102,9 @@ def lever_arms(flights: DataFrame, arms: DataFrame) -> DataFrame:
     by_class = own.groupBy("aircraft_class").agg(*medians)
     overall = own.agg(*medians)
     rows = flights.select("flight_id", "aircraft_type", F.col("aircraft_class") if "aircraft_class" in flights.columns else F.lit(None).cast("string").alias("aircraft_class"))
-    rows = rows.join(F.broadcast(own.select("aircraft_type", F.struct("height_m", "offset_m", "pitch_deg").alias("own"))), "aircraft_type", "left")
-    rows = rows.join(F.broadcast(by_class.select("aircraft_class", F.struct("height_m", "offset_m", "pitch_deg").alias("cls"), F.when(F.col("n") > 1, F.col("spread")).alias("cls_spread"))), "aircraft_class", "left")
+    rows = rows.join(own.select("aircraft_type", F.struct("height_m", "offset_m", "pitch_deg").alias("own")), "aircraft_type", "left")
+    rows = rows.join(by_class.select("aircraft_class", F.struct("height_m", "offset_m", "pitch_deg").alias("cls"), F.when(F.col("n") > 1, F.col("spread")).alias("cls_spread")), "aircraft_class", "left")
+    # One row.
     rows = rows.join(F.broadcast(overall.select(F.struct("height_m", "offset_m", "pitch_deg").alias("med"), F.col("spread").alias("all_spread"))), F.lit(True))
     rows = rows.withColumn("a", F.coalesce("own", "cls", "med")).select("*", "a.*")
     return rows.select("flight_id", F.expr(CORRECTION).alias("shift_m"), "height_m", "pitch_deg", F.expr("CASE WHEN own IS NOT NULL THEN 'type' WHEN cls IS NOT NULL THEN 'class' ELSE 'median' END").alias("arm"), F.col("own").isNull().alias("missing"), F.expr("CASE WHEN own IS NOT NULL THEN 0e0 ELSE coalesce(cls_spread, all_spread) END").alias("widening_m"))

@@ -164,7 +164,7 @@ def training_counts(truths: DataFrame) -> DataFrame:
 
 def family(flights: DataFrame, counts: DataFrame, least: int = 50) -> DataFrame:
     """Adds training_flights and family: types with fewer than ``least`` training flights have physics only."""
-    rows = flights.join(F.broadcast(counts), "aircraft_type", "left").withColumn("training_flights", F.coalesce("training_flights", F.lit(0)))
+    rows = flights.join(counts, "aircraft_type", "left").withColumn("training_flights", F.coalesce("training_flights", F.lit(0)))
     return rows.withColumn("family", F.when(F.col("training_flights") < least, "physics").otherwise("learned"))
 
 

@@ -180,7 +180,7 @@ def feed_capability(flights: DataFrame, capabilities: DataFrame, override: dict[
     if override is not None:
         return flights.select("flight_id", F.lit(override["has_geometric_altitude"]).alias("has_geometric_altitude"), F.lit(override["samples_are_raw"]).alias("samples_independent"))
     names = F.create_map(*[F.lit(x) for pair in ALIASES.items() for x in pair])
-    rows = flights.select("flight_id", F.coalesce(names[F.col("source")], F.col("source")).alias("source")).join(F.broadcast(capabilities), "source", "left")
+    rows = flights.select("flight_id", F.coalesce(names[F.col("source")], F.col("source")).alias("source")).join(capabilities, "source", "left")
     return rows.select("flight_id", F.coalesce("has_geometric_altitude", F.lit(True)).alias("has_geometric_altitude"), F.coalesce("samples_are_raw", F.lit(True)).alias("samples_independent"))
 
 

@@ -62,6 +62,28 @@ def test_knee_against_least_squares(spark):
         assert (r.t_knee, r.slope_before, r.slope_drop, r.rms) == pytest.approx((k, beta[1], -beta[2], math.sqrt(rss / 18)), abs=1e-6)
 
 
+def test_three_segments_against_least_squares(spark):
+    rnd = np.random.default_rng(6)
+    rows, best = [], {}
+    for f in range(4):
+        t = np.sort(rnd.uniform(0, 90, 16))
+        v = 70 - 0.2 * t - 1.1 * np.maximum(t - 35, 0) + 0.9 * np.maximum(t - 65, 0) + rnd.normal(0, 0.3, 16)
+        rows += [(f"F{f}", i, float(a), float(b / KT)) for i, (a, b) in enumerate(zip(t, v, strict=True))]
+        u, found = t - t[0], []
+        knots = [k for k in np.linspace(u[1], u[-2], 60) if (u < k).sum() >= 2 and (u > k).sum() >= 2]
+        for i, a in enumerate(knots):
+            for b in knots[i + 1 :]:
+                if ((u > a) & (u < b)).sum() >= 2:
+                    x = np.stack([np.ones(16), u, np.maximum(u - a, 0), np.maximum(u - b, 0)], axis=1)
+                    found.append((float(((v - x @ np.linalg.lstsq(x, v, rcond=None)[0]) ** 2).sum()), t[0] + a, t[0] + b))
+        best[f"F{f}"] = min(found)
+    got = signals.three_segments(spark.createDataFrame(rows, "flight_id string, seq int, t double, gs_kt double")).collect()
+    assert len(got) == 4
+    for r in got:
+        rss, a, b = best[r.flight_id]
+        assert (r.t_first, r.t_second, r.rms) == pytest.approx((a, b, math.sqrt(rss / 16)), abs=1e-5)
+
+
 def test_lags_against_one_by_one():
     rnd = np.random.default_rng(5)
     for _ in range(20):

@@ -80,20 +80,22 @@ def three_segments(velocities: DataFrame) -> DataFrame:
         n = len(u)
         if n < 6:
             return pd.DataFrame([])
-        knots = [k for k in np.linspace(u[1], u[-2], min(60, max(20, 4 * n))) if (u < k).sum() >= SIDE and (u > k).sum() >= SIDE]
-        best = None
-        for i, a in enumerate(knots):
-            for b in knots[i + 1 :]:
-                if ((u > a) & (u < b)).sum() < SIDE:
-                    continue
-                x = np.stack([np.ones(n), u, np.maximum(u - a, 0), np.maximum(u - b, 0)], axis=1)
-                beta, *_ = np.linalg.lstsq(x, v, rcond=None)
-                rss = float(((v - x @ beta) ** 2).sum())
-                if best is None or rss < best[0]:
-                    best = (rss, a, b, beta)
-        if best is None:
+        knots = np.array([k for k in np.linspace(u[1], u[-2], min(60, max(20, 4 * n))) if (u < k).sum() >= SIDE and (u > k).sum() >= SIDE])
+        i, j = np.triu_indices(len(knots), 1)
+        ok = (u <= knots[:, None]).sum(axis=1)[i] + SIDE <= (u < knots[:, None]).sum(axis=1)[j]
+        i, j = i[ok], j[ok]
+        if not len(i):
             return pd.DataFrame([])
-        rss, a, b, beta = best
+        # All products of the basis functions once; each pair's normal equations are four of their rows and columns.
+        basis = np.concatenate([np.ones((1, n)), u[None, :] - u.mean(), np.maximum(u[None, :] - knots[:, None], 0)])
+        level = v - v.mean()
+        products, right = basis @ basis.T, basis @ level
+        own = np.stack([np.zeros(len(i), int), np.ones(len(i), int), i + 2, j + 2], axis=1)
+        betas = np.einsum("pab,pb->pa", np.linalg.pinv(products[own[:, :, None], own[:, None, :]], hermitian=True), right[own])
+        left = float(level @ level) - np.einsum("pa,pa->p", betas, right[own])
+        best = int(np.argmin(np.round(left, 9)))
+        a, b, beta = knots[i[best]], knots[j[best]], betas[best]
+        rss = float(((level - beta @ basis[own[best]]) ** 2).sum())
         knot = a if -beta[2] >= -beta[3] else b
         t0 = rows.t.iloc[0]
         return pd.DataFrame([(rows.flight_id.iloc[0], n, t0 + knot, t0 + a, t0 + b, float(np.sqrt(rss / n)))])

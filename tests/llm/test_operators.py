@@ -497,3 +497,21 @@ def test_pipeline(spark, tmp_path):
     got = {r.doc_id for r in corpus_pipeline.run(spark, sf).collect()}
     # junk, the smaller of two copies, the larger of two near copies and the contaminated document go
     assert got == {i for i in range(60) if i != 0} | {100, 300}
+
+
+def test_joins_beyond_a_broadcast(spark, monkeypatch):
+    """Hot keys, rare facts and filters that are too small for their keys give what a plain join gives."""
+    from wheelmark.llm import shared, warc
+
+    rows = spark.createDataFrame([(k, i) for k in range(40) for i in range(3 if k else 900)] + [(None, 1)], "k long, i long").repartition(5)
+    facts = rows.where("k % 3 = 0").groupBy("k").count().selectExpr("k", "count AS n", "named_struct('a', k, 'b', 'x') AS s")
+    plain = sorted(map(repr, rows.join(facts, "k", "left").select("k", "i", "n", "s").collect()))
+    assert sorted(map(repr, shared.join_hot(rows, facts, "k", "n").select("k", "i", "n", "s").collect())) == plain
+    pages = spark.createDataFrame([(i, "u", "same" if i % 3 else f"page {i}") for i in range(30)], "page_id long, url string, html string")
+    fields = ("page_id", "record_type", "refers_to")
+    near = sorted(map(repr, warc.pages_as_warc(pages).select(*fields).collect()))
+    monkeypatch.setattr(shared, "BROADCAST_BYTES", 64)
+    assert sorted(map(repr, shared.join_rare(rows, facts, "k", "n", 40).select("k", "i", "n", "s").collect())) == plain
+    assert sorted(map(repr, warc.pages_as_warc(pages).select(*fields).collect())) == near
+    test = shared.filter_over(spark.range(5000).selectExpr("xxhash64(id) AS h"))
+    assert test(np.array([r.h for r in spark.range(5000).selectExpr("xxhash64(id) AS h").collect()], np.int64)).all()

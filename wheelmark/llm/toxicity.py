@@ -43,8 +43,9 @@ WIDTH, STRIDE = 24, 8
 BEFORE, BEHIND = b"0123456789ABCDEF", b"QRSTUVWX"
 #: Lengths of the n-grams that excerpts are made of.
 SIZES = (5, 7, 9, 11)
-#: An n-gram tells if toxic documents have it so many times as often as ordinary ones, at this log-likelihood ratio.
-LEAST_LIFT, LEAST_RATIO, LEAST_DOCS = 12.0, 10.0, 3
+#: An n-gram tells if toxic documents have it so many times as often as ordinary ones, at this log-likelihood ratio, and if
+#: it is in so many and in such a share of them: the share makes it the same at every size.
+LEAST_LIFT, LEAST_RATIO, LEAST_DOCS, LEAST_SHARE = 12.0, 10.0, 3, 0.015
 #: Labelled training rows that are fitted on, at most; one in so many of them calibrates instead of training dictionaries.
 FIT_ROWS, CALIBRATE = 20_000, 3
 #: Training samples, at most: ordinary windows (of WIDTH bytes), and excerpts by number.
@@ -55,7 +56,7 @@ ORDINARY_BYTES, TOXIC_BYTES = 112_640, 16_384
 ORDINARY_SEGMENT, TOXIC_SEGMENT, COUNTED = 30, 16, 6
 LEVEL, GRAM = 19, 6
 #: Text bytes of a task that counts n-grams, about, and hashes that it holds before it adds them up.
-TASK_BYTES, TASK_CODES = 16 << 20, 8_000_000
+TASK_BYTES, TASK_CODES = 4 << 20, 8_000_000
 #: Bytes that a window must save to count as a hit, and as a plain one.
 SAVINGS = (1, 4)
 CACHE_ENTRIES = 500_000
@@ -238,7 +239,7 @@ def telling_grams(rows: DataFrame, n_toxic: int, n_ordinary: int) -> np.ndarray:
         both = (t + o) / (n_toxic + n_ordinary)
         return likelihood(t, n_toxic, t / n_toxic) + likelihood(o, n_ordinary, o / n_ordinary) - likelihood(t, n_toxic, both) - likelihood(o, n_ordinary, both)
 
-    least = next((t for t in range(LEAST_DOCS, n_toxic + 1) if ratio(t, 0) > LEAST_RATIO), n_toxic + 1)
+    least = next((t for t in range(max(LEAST_DOCS, math.ceil(LEAST_SHARE * n_toxic)), n_toxic + 1) if ratio(t, 0) > LEAST_RATIO), n_toxic + 1)
     found = part(1).mapInArrow(in_toxic, "code bigint, t bigint").groupBy("code").agg(F.sum("t").alias("t")).where(F.col("t") >= least).toArrow()
     codes, t = found["code"].to_numpy().view(np.uint64), found["t"].to_numpy()
     order = np.argsort(codes)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wheelmark.llm import bpe, chat, decontam, exact_dedup, line_dedup, minhash, quality, secret_scan, token_counts, toxicity, warc
+from wheelmark.llm import bpe, chat, decontam, exact_dedup, line_dedup, minhash, quality, secret_scan, spelling, token_counts, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,10 @@ def op11_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(rows), ordered=True)
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.count_words(table(spark, sf_dir, "documents"), damage=199))
+
+
 #: A-Z in lower case, nothing else.
 _LOW = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -157,10 +161,44 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM e GROUP BY conv_id
 """
 
+OP12_SQL = rf"""
+WITH RECURSIVE crc AS (
+  SELECT list(c ORDER BY i) AS t
+  FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))
+),
+runs AS (SELECT CAST(doc_id AS VARCHAR) AS d, unnest(regexp_extract_all({_LOW.format("text")}, '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS r FROM documents),
+per AS (SELECT d, r, count(*) AS n FROM runs WHERE length(r) >= 6 GROUP BY d, r),
+coded AS (
+  SELECT r, n, list_prepend(4294967295, flatten(list_transform(string_split(d || ':' || r, ''),
+    lambda x: CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)] ELSE [CAST(192 + (unicode(x) >> 6) AS BIGINT), CAST(128 + (unicode(x) & 63) AS BIGINT)] END))) AS b
+  FROM per
+),
+hashed AS (SELECT r, n, xor(list_reduce(b, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM coded, crc),
+words AS (
+  SELECT w AS word, CAST(sum(n) AS BIGINT) AS n
+  FROM (SELECT CASE WHEN h % 199 = 0 THEN left(r, CAST(h % length(r) AS INTEGER)) || substr(r, CAST(h % length(r) AS INTEGER) + 2) ELSE r END AS w, n FROM hashed)
+  WHERE length(w) >= 6 GROUP BY w HAVING sum(n) >= 5
+),
+cut AS (SELECT word, i, left(word, i) || chr(0) || substr(word, i + 2) AS hole, left(word, i) || substr(word, i + 2) AS less FROM (SELECT word, CAST(unnest(range(length(word))) AS INTEGER) AS i FROM words)),
+near AS (
+  SELECT a.word, b.word AS other FROM cut a JOIN cut b ON a.hole = b.hole AND a.word <> b.word
+  UNION SELECT c.word, w.word FROM cut c JOIN words w ON c.less = w.word
+  UNION SELECT w.word, c.word FROM cut c JOIN words w ON c.less = w.word
+),
+best AS (
+  SELECT near.word, count(*) AS n_near, arg_max(other, (o.n, -o.place)) AS other, max(o.n) AS other_n
+  FROM near JOIN (SELECT *, row_number() OVER (ORDER BY word) AS place FROM words) o ON near.other = o.word GROUP BY near.word
+),
+forms AS (SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.other_n >= 5 * w.n THEN b.other END AS form, CASE WHEN b.other_n >= 5 * w.n THEN b.other_n END AS form_n FROM words w LEFT JOIN best b ON w.word = b.word),
+chain AS (SELECT word, word AS at FROM words UNION ALL SELECT c.word, f.form FROM chain c JOIN forms f ON f.word = c.at WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, c.at AS root, f.n, f.n_near, f.form_n
+FROM forms f JOIN chain c ON f.word = c.word JOIN forms l ON c.at = l.word WHERE l.form IS NULL
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_warc, op3_quality, op4_exact_dedup, op5_token_counts, op6_bpe, op7_toxicity, op8_minhash, op9_secrets, op10_line_dedup, op11_chat)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_warc, op3_quality, op4_exact_dedup, op5_token_counts, op6_bpe, op7_toxicity, op8_minhash, op9_secrets, op10_line_dedup, op11_chat, op12_spelling)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL, "op2_warc": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op8_minhash": OP8_SQL, "op10_line_dedup": OP10_SQL, "op11_chat": OP11_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op2_warc": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op8_minhash": OP8_SQL, "op10_line_dedup": OP10_SQL, "op11_chat": OP11_SQL, "op12_spelling": OP12_SQL}

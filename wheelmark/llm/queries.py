@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wheelmark.llm import bpe, chat, decontam, exact_dedup, line_dedup, minhash, quality, secret_scan, spelling, token_counts, toxicity, warc
+from wheelmark.llm import bpe, chat, decontam, exact_dedup, line_dedup, minhash, quality, secret_scan, spelling, token_counts, toxicity, warc, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +74,10 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.count_words(table(spark, sf_dir, "documents"), damage=199))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 #: A-Z in lower case, nothing else.
 _LOW = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -197,7 +201,7 @@ FROM forms f JOIN chain c ON f.word = c.word JOIN forms l ON c.at = l.word WHERE
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_warc, op3_quality, op4_exact_dedup, op5_token_counts, op6_bpe, op7_toxicity, op8_minhash, op9_secrets, op10_line_dedup, op11_chat, op12_spelling)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_warc, op3_quality, op4_exact_dedup, op5_token_counts, op6_bpe, op7_toxicity, op8_minhash, op9_secrets, op10_line_dedup, op11_chat, op12_spelling, op13_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -342,15 +342,18 @@ class Codec:
             new.update(x)
         new.difference_update(self.young)
         known = self._learn(new)
-        if len(self.young) + len(known) > CACHE_ENTRIES:
-            held, self.old, self.young = self.young, {}, {}
-            out = ["".join([known.get(p) or held[p] for p in x]) for x in cut]
-            self.old = held
-        else:
-            self.young |= known
+        # What is kept is bounded in entries and in characters of each: long pre-tokens serve this call alone.
+        kept = {p: x for p, x in known.items() if len(p) <= CACHE_CHARS}
+        fits = len(self.young) + len(kept) <= CACHE_ENTRIES
+        if fits:
+            self.young |= kept
+        if fits and len(kept) == len(known):
             get = self.young.__getitem__
             return ["".join(map(get, x)) for x in cut]
-        self.young = {p: x for p, x in known.items() if len(p) <= CACHE_CHARS} if len(known) <= CACHE_ENTRIES else {}
+        young = self.young
+        out = ["".join([known.get(p) or young[p] for p in x]) for x in cut]
+        if not fits:
+            self.old, self.young = young, kept if len(kept) <= CACHE_ENTRIES else {}
         return out
 
     def _cut(self, texts: list[str]) -> list[list[str]]:

@@ -16,60 +16,69 @@ from wheelmark.llm import bpe, decontam, exact_dedup, minhash, quality
 from wheelmark.llm.queries import vocabulary
 from wheelmark.llm.shared import BROADCAST_BYTES, filter_over, written
 
-#: What tells rows apart that share an id: two hashes of the text (null as empty). Rows that have id and hashes in common
-#: have the same text, and share each stage's decision.
-KEYS = ("_text_hash_1", "_text_hash_2")
 #: About what a dropped row's id and hashes take in a broadcast.
 ROW_BYTES = 100
 
 
-def with_keys(docs: DataFrame) -> DataFrame:
-    text = F.coalesce("text", F.lit(""))
-    return docs.withColumns({KEYS[0]: F.xxhash64(text), KEYS[1]: F.xxhash64(F.lit(1), text)})
+def fresh(docs: DataFrame, n: int) -> list[str]:
+    """``n`` names that no column of ``docs`` has, whatever the case of its letters."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for k in range(n):
+        name = f"row_key_{k}"
+        while name in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
 
 
-def without(docs: DataFrame, decide: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The rows of ``docs`` less those that ``decide`` (doc_id, KEYS, kept) drops; rows, not ids, are dropped.
+def without(docs: DataFrame, decide: Callable[[DataFrame, tuple[str, ...]], DataFrame]) -> DataFrame:
+    """The rows of ``docs`` less those that ``decide`` (doc_id, kept and the columns that it is told to carry) drops;
+    rows, not ids, are dropped.
 
-    Dropped rows go to the tasks by broadcast while they are few. Beyond that a filter over them sorts out who may be
-    among them, and only those rows travel.
+    Rows that share an id are told apart by two hashes of the text (null as empty). Rows that have id and hashes in common
+    have the same text, and share the decision. Dropped rows go to the tasks by broadcast while they are few. Beyond that
+    a filter over them sorts out who may be among them, and only those rows travel; a key with very many rows is split
+    by Spark's skew join.
     """
-    rows = with_keys(docs)
-    names = ["doc_id", *KEYS]
-    dropped = written(decide(rows).where(~F.col("kept")).select(*names).distinct(), "dropped")
+    text = F.coalesce("text", F.lit(""))
+    first, second, *gone = fresh(docs, 5)
+    rows = docs.withColumns({first: F.xxhash64(text), second: F.xxhash64(F.lit(1), text)})
+    names = ["doc_id", first, second]
+    dropped = written(decide(rows, (first, second)).where(~F.col("kept")).select(*names).distinct(), "dropped")
     n = dropped.count()
-    gone = dropped.select(*[F.col(c).alias(f"{c}_gone") for c in names])
-    same = F.col("doc_id").eqNullSafe(F.col("doc_id_gone")) & (F.col(KEYS[0]) == F.col(f"{KEYS[0]}_gone")) & (F.col(KEYS[1]) == F.col(f"{KEYS[1]}_gone"))
+    away = dropped.select(*[F.col(c).alias(g) for c, g in zip(names, gone, strict=True)])
+    same = F.col("doc_id").eqNullSafe(F.col(gone[0])) & (F.col(first) == F.col(gone[1])) & (F.col(second) == F.col(gone[2]))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
     if n * ROW_BYTES <= BROADCAST_BYTES:
-        return rows.join(F.broadcast(gone), same, "left_anti").select(*docs.columns)
-    may = filter_over(dropped, KEYS[0])
+        return rows.join(F.broadcast(away), same, "left_anti").select(*columns)
+    may = filter_over(dropped, first)
 
     def part(wanted: bool) -> DataFrame:
         def run(batches):
             for batch in batches:
-                yield batch.filter(pa.array(may(batch[KEYS[0]].to_numpy(zero_copy_only=False)) == wanted))
+                yield batch.filter(pa.array(may(batch[first].to_numpy(zero_copy_only=False)) == wanted))
 
         return rows.mapInArrow(run, rows.schema)
 
-    return part(False).unionByName(part(True).join(gone, same, "left_anti")).select(*docs.columns)
+    return part(False).unionByName(part(True).join(away, same, "left_anti")).select(*columns)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return without(docs, lambda rows: quality.resample(rows, labels, carry=KEYS))
+    return without(docs, lambda rows, keys: quality.resample(rows, labels, carry=keys))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without(docs, lambda rows: exact_dedup.exact_dedup(rows, keep="largest", carry=KEYS))
+    return without(docs, lambda rows, keys: exact_dedup.exact_dedup(rows, keep="largest", carry=keys))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without(docs, lambda rows: minhash.near_duplicates(rows, size=5, least=0.8, carry=KEYS))
+    return without(docs, lambda rows, keys: minhash.near_duplicates(rows, size=5, least=0.8, carry=keys))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return without(docs, lambda rows: decontam.decontaminate(rows, benchmark, carry=KEYS).withColumn("kept", ~F.col("contaminated")))
+    return without(docs, lambda rows, keys: decontam.decontaminate(rows, benchmark, carry=keys).withColumn("kept", ~F.col("contaminated")))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -199,10 +199,10 @@ def touchdown_results(flights: DataFrame, fused: DataFrame, quantified: DataFram
 
 
 def room_to_improve(observed_ft: float | None, floor_ft: float | None, baseline_ft: float | None) -> dict:
-    """Headroom over the cadence floor and gain over the baseline; None where a number is missing."""
+    """Headroom over the cadence floor (never below 0) and gain over the baseline; None where a number is missing."""
     ok = lambda *x: all(v is not None and math.isfinite(v) for v in x)
     return {
-        "headroom_ft": observed_ft - floor_ft if ok(observed_ft, floor_ft) else None,
+        "headroom_ft": max(observed_ft - floor_ft, 0.0) if ok(observed_ft, floor_ft) else None,
         "ratio_to_floor": observed_ft / floor_ft if ok(observed_ft, floor_ft) and floor_ft > 0 else None,
         "improvement_pct": (baseline_ft - observed_ft) / baseline_ft * 100 if ok(observed_ft, baseline_ft) and baseline_ft > 0 else None,
         "at_floor": bool(ok(observed_ft, floor_ft) and observed_ft <= floor_ft),

@@ -254,4 +254,4 @@ def test_summary_rows(spark):
     rows = {(r.section, r.name): (r.value, r.text) for r in milestone_report(Landing.synthetic(spark, SMALL), ("decel_knee", "glrt"))["summary"].collect()}
     assert ("overall", "rmse_ft") in rows and ("coverage", "status") in rows and rows["flags", "below_target"][0] >= 0
     rmse, floor = rows["overall", "rmse_ft"][0], rows["floor", "floor_ft"][0]
-    assert rows["room", "headroom_ft"][0] == pytest.approx(rmse - floor) and rows["room", "ratio_to_floor"][0] == pytest.approx(rmse / floor)
+    assert rows["room", "headroom_ft"][0] == pytest.approx(max(rmse - floor, 0)) and rows["room", "ratio_to_floor"][0] == pytest.approx(rmse / floor)

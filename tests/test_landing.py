@@ -117,6 +117,17 @@ def test_partition_counts_and_splits(spark):
     assert splits.join(rows, "flight_id").groupBy("tail").agg(F.count_distinct("primary_split").alias("n")).where("n > 1").isEmpty()
 
 
+def test_splits_keep_every_flight(spark):
+    """Flights without a tail, an airport or a runway have places too, and are one group each."""
+    cells = [(f"f{i}", None if i % 4 == 0 else f"t{i % 7}", None if i % 5 == 0 else f"a{i % 3}", None if i % 6 == 0 else float(i % 2)) for i in range(60)]
+    rows = spark.createDataFrame(cells, "flight_id string, tail string, airport string, heading double")
+    got = {r.flight_id: r for r in validation.validation_splits(rows).collect()}
+    assert len(got) == 60 and all(None not in tuple(r) for r in got.values())
+    for column, missing in (("primary_split", lambda c: c[1] is None), ("airport_split", lambda c: c[2] is None), ("runway_split", lambda c: c[2] is None or c[3] is None)):
+        assert len({got[c[0]][column] for c in cells if missing(c)}) == 1
+    assert validation.validation_splits(rows.limit(0)).isEmpty()
+
+
 @pytest.mark.parametrize("buckets", [1, 4, 1 << 16])
 def test_splits_are_exact_and_the_same_way_at_every_size(spark, monkeypatch, buckets):
     monkeypatch.setattr(validation, "DRIVER_KEYS", 50, raising=False)

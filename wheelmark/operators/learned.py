@@ -1,19 +1,18 @@
 """Window features and the learned estimators: boosted trees, their residual form, and a small sequence model.
 
-Trees are Spark ML's: the median by absolute loss, the spread by a second model of the absolute residual, which gives
-the outer quantiles. The sequence model is a logistic scorer of each sample's surroundings, trained with soft labels
-in the whole of Spark ML and normalised over each flight.
+Trees are quantile boosters (see ``boosting``): the median and the outer quantiles, each by its own pinball loss. The
+sequence model scores each sample by its surroundings and is normalised over the flight (see ``softmax``).
 """
 
 from __future__ import annotations
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wheelmark.functions.exprs import rounded
-from wheelmark.operators import signals
+from wheelmark.functions.tables import kept
+from wheelmark.operators import boosting, signals, softmax
 from wheelmark.operators.classify import heights
 from wheelmark.operators.fusion import gaussian_multiplier, project
 
@@ -93,31 +92,54 @@ def _sample(rows: DataFrame, most: int) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64(F.lit("train"), "flight_id"), F.lit(1_000_000)) < share)
 
 
-def _boosted(features: DataFrame, target: str, method: str, anchor: str) -> DataFrame:
-    """Times from boosted trees on ``target`` (seconds from ``anchor``); outer quantiles from the residual's model."""
-    names = [c for c in FEATURES]
-    rows = features.na.fill(-999.0, names)
-    rows = VectorAssembler(inputCols=names, outputCol="x").transform(rows)
-    train = _sample(rows.where(F.col(target).isNotNull() & ~_held_out()), TRAIN_ROWS).persist()
+CATEGORIES = ["type_code", "source_code"]
+
+
+def boosted(features: DataFrame, target: str, **options) -> DataFrame | None:
+    """``features`` with ``ends`` (the 0.05, 0.5 and 0.95 quantiles of ``target``, in order) and ``crossed``: three
+    boosters, fitted on TRAIN_ROWS flights at most that have a target and are not held out; None where they are too few.
+    """
+    rows = kept(features, "features")
+    train = kept(_sample(rows.where(F.col(target).isNotNull() & ~_held_out()), TRAIN_ROWS), "training")
     if train.count() < LEAST_ROWS:
+        return None
+    model = boosting.fit(train, list(FEATURES), target, CATEGORIES, **{"trees": 60, "least": 10} | options)
+    return boosting.ordered(boosting.predict(rows, model, [c for c in rows.columns if c not in FEATURES]))
+
+
+def _boosted(features: DataFrame, target: str, method: str, anchor: str) -> DataFrame:
+    """Times by quantile boosters on ``target`` (seconds from ``anchor``); crossed quantiles give low confidence."""
+    found = boosted(features, target)
+    if found is None:
         return features.select("flight_id", F.lit(method).alias("method"), F.lit(None).cast("double").alias("t_td"), F.lit(None).cast("double").alias("sigma_t"), F.lit("failed").alias("confidence"), F.lit("insufficient_samples").alias("reason_code"))
-    tree = {"featuresCol": "x", "maxIter": 20, "maxDepth": 4, "stepSize": 0.1, "seed": 42, "maxBins": 64}
-    middle = GBTRegressor(labelCol=target, lossType="absolute", predictionCol="m", **tree).fit(train)
-    spread = GBTRegressor(labelCol="r", predictionCol="w", **tree).fit(middle.transform(train).withColumn("r", F.abs(F.col(target) - F.col("m"))))
-    train.unpersist()
-    found = spread.transform(middle.transform(rows))
-    # The absolute residual of a normal error is its deviation times sqrt(2 / pi).
-    wide = F.greatest(F.col("w"), F.lit(0.0)) * 1.2533141373155003 * gaussian_multiplier(0.9)
-    ends = F.array_sort(F.array(F.col("m") - wide, F.col("m"), F.col("m") + wide))
-    found = found.withColumn("ends", ends).withColumn("crossed", F.col("w") < 0)
-    return found.select("flight_id", F.lit(method).alias("method"), (F.col(anchor) + F.col("ends")[1]).alias("t_td"), F.greatest((F.col("ends")[2] - F.col("ends")[0]) / (2 * gaussian_multiplier(0.9)), F.lit(0.25)).alias("sigma_t"), F.when(F.col("crossed"), "low-confidence").otherwise("normal").alias("confidence"), F.when(F.col("crossed"), "wide_ci").alias("reason_code"))
+    width = F.col("ends")[2] - F.col("ends")[0]
+    t_td = F.col(anchor) + F.col("ends")[1]
+    return found.select(
+        "flight_id", F.lit(method).alias("method"), t_td.alias("t_td"), F.when(t_td.isNotNull(), F.greatest(width / (2 * gaussian_multiplier(0.9)), F.lit(0.25))).alias("sigma_t"),
+        F.when(t_td.isNull(), "failed").when(F.col("crossed"), "low-confidence").otherwise("normal").alias("confidence"), F.when(t_td.isNull(), "insufficient_samples").when(F.col("crossed"), "wide_ci").alias("reason_code"),
+    )
 
 
-def trees(flights: DataFrame, positions: DataFrame, velocities: DataFrame) -> DataFrame:
-    """Trained on the flights whose true time is known (t_true of completed landings), applied to all."""
+def trees_report(flights: DataFrame, positions: DataFrame, velocities: DataFrame) -> DataFrame:
+    """One row over the held-out flights with a true time: n, coverage (truth between the outer quantiles), crossed, mae_s,
+    and mae_knee_s of the knee on the same flights."""
+    found = boosted(_targets(flights, positions, velocities), "target")
+    if found is None:
+        return flights.sparkSession.createDataFrame([], "n long, coverage double, crossed long, mae_s double, mae_knee_s double")
+    held = found.where(_held_out() & F.col("target").isNotNull())
+    inside = F.col("target").between(F.col("ends")[0], F.col("ends")[2])
+    return held.agg(F.count("*").alias("n"), F.avg(inside.cast("double")).alias("coverage"), F.sum(F.col("crossed").cast("long")).alias("crossed"), F.avg(F.abs(F.col("target") - F.col("ends")[1])).alias("mae_s"), F.avg(F.abs("target")).alias("mae_knee_s"))
+
+
+def _targets(flights: DataFrame, positions: DataFrame, velocities: DataFrame) -> DataFrame:
+    """Window features beside target: the true time (t_true of completed landings), in seconds from the reference."""
     truth = flights.where("kind = 'completed'").select("flight_id", "t_true")
-    rows = window_features(flights, positions, velocities).join(truth, "flight_id", "left").withColumn("target", F.col("t_true") - F.col("reference"))
-    return _boosted(rows, "target", "lightgbm", "reference")
+    return window_features(flights, positions, velocities).join(truth, "flight_id", "left").withColumn("target", F.col("t_true") - F.col("reference"))
+
+
+def trees(flights: DataFrame, positions: DataFrame, velocities: DataFrame) -> DataFrame:
+    """Trained on flights whose true time is known, applied to all."""
+    return _boosted(_targets(flights, positions, velocities), "target", "lightgbm", "reference")
 
 
 def hybrid(flights: DataFrame, positions: DataFrame, velocities: DataFrame) -> DataFrame:
@@ -132,30 +154,33 @@ def hybrid(flights: DataFrame, positions: DataFrame, velocities: DataFrame) -> D
     return found.select("flight_id", "method", F.when(~failed, F.col("t_td")).alias("t_td"), F.when(~failed, F.col("sigma_t")).alias("sigma_t"), F.when(failed, "failed").when(weak, "low-confidence").otherwise(F.col("confidence")).alias("confidence"), F.when(failed | weak, F.col("anchor_reason")).otherwise(F.col("reason_code")).alias("reason_code"))
 
 
-def sequence(flights: DataFrame, velocities: DataFrame, label_sigma_s: float = 2.5) -> DataFrame:
-    """A score for each sample from its surroundings, made a distribution over the flight; its mean is the time.
+#: What the sequence model reads of a sample, and where around it; seeds of its members.
+SEQUENCE_INPUTS = softmax.Inputs((("decel", (-4, -2, -1, 0, 1, 2, 4)), ("jerk", (-2, -1, 0, 1, 2)), ("gs_mps", (0, 2)), ("height_m", (-2, -1, 0, 1, 2)), ("has_height", (0,)), ("rel_t", (0,)), ("dt", (0,)), ("type_code", (0,)), ("source_code", (0,))))
+MEMBERS = (11, 12, 13, 14, 15)
+
 
-    Soft labels: a normal curve around the true time, normalised over the flight; the scorer is fitted to their logs.
+def sequence_model(flights: DataFrame, rows: DataFrame, label_sigma_s: float = 2.5, seeds: tuple[int, ...] = MEMBERS, steps: int = 40) -> tuple[DataFrame, list]:
+    """Distributions over the samples of ``rows`` (see ``channels.sequence_input``): softmax.predict's rows for all their
+    flights, and the members' losses. Fitted on TRAIN_ROWS flights at most, those with a true time that aren't held out.
     """
-    smooth = signals.derivatives(velocities, 5)
-    order = Window.partitionBy("flight_id").orderBy("i")
-    names = ["decel", "jerk"]
-    for k in (1, 2, 4):
-        for side, f in (("before", F.lag), ("after", F.lead)):
-            smooth = smooth.withColumns({f"{c}_{side}_{k}": F.coalesce(f(c, k).over(order), F.col(c)) for c in ("decel", "jerk")})
-            names += [f"decel_{side}_{k}", f"jerk_{side}_{k}"]
-    smooth = smooth.withColumns({"fall": F.col("decel_before_2") - F.col("decel_after_2"), "fall_sq": F.pow(F.col("decel_before_2") - F.col("decel_after_2"), 2), "here": F.pow(F.col("decel") - (F.col("decel_before_4") + F.col("decel_after_4")) / 2, 2)})
-    names += ["fall", "fall_sq", "here"]
-    rows = VectorAssembler(inputCols=names, outputCol="x").transform(smooth)
     truth = flights.where("kind = 'completed'").select("flight_id", "t_true")
-    train = _sample(rows.join(truth, "flight_id").where(~_held_out()), 20 * TRAIN_ROWS)
-    train = train.withColumn("y", -F.least(F.pow((F.col("t") - F.col("t_true")) / label_sigma_s, 2) / 2, F.lit(12.0)))
-    scored = LinearRegression(featuresCol="x", labelCol="y", predictionCol="s", regParam=1e-3).fit(train).transform(rows)
-    every = Window.partitionBy("flight_id")
-    weights = scored.withColumn("p", F.exp(F.col("s") - F.max("s").over(every))).withColumn("p", F.col("p") / F.sum("p").over(every))
-    found = weights.withColumn("mean", F.sum(F.col("p") * F.col("t")).over(every)).groupBy("flight_id").agg(F.first("mean").alias("t_td"), F.sqrt(F.sum(F.col("p") * F.pow(F.col("t") - F.col("mean"), 2))).alias("width"), F.count("*").alias("n"))
-    out = flights.select("flight_id").join(found.where("n >= 4"), "flight_id", "left")
-    return out.select("flight_id", F.lit("sequence_model").alias("method"), "t_td", F.greatest("width", F.when(F.col("t_td").isNotNull(), 0.25)).alias("sigma_t"), F.when(F.col("t_td").isNull(), "failed").otherwise("normal").alias("confidence"), F.when(F.col("t_td").isNull(), "insufficient_samples").alias("reason_code"))
+    shifted = kept(SEQUENCE_INPUTS.shifted(rows), "sequence")
+    inputs = SEQUENCE_INPUTS.measured(shifted)
+    every = kept(softmax.by_flight(shifted, inputs), "sequence_flights")
+    train = kept(softmax.soft_labels(_sample(every.where(~_held_out()), TRAIN_ROWS), truth, label_sigma_s), "sequence_training")
+    if train.count() < LEAST_ROWS:
+        return softmax.predict(every, np.zeros((1, inputs.size))).where("false"), []
+    weights, seen = softmax.fit(train, inputs.size, seeds, steps)
+    return softmax.predict(every, weights), seen
+
+
+def sequence(flights: DataFrame, positions: DataFrame, velocities: DataFrame, label_sigma_s: float = 2.5) -> DataFrame:
+    """The mean of a distribution over the flight's samples (``sequence_model``), and its width and members' spread."""
+    from wheelmark.operators.channels import sequence_input
+
+    found, _ = sequence_model(flights, sequence_input(flights, positions, velocities), label_sigma_s)
+    out = flights.select("flight_id").join(found, "flight_id", "left")
+    return out.select("flight_id", F.lit("sequence_model").alias("method"), "t_td", F.when(F.col("t_td").isNotNull(), F.greatest("sigma_t", F.lit(0.25))).alias("sigma_t"), F.when(F.col("t_td").isNull(), "failed").otherwise("normal").alias("confidence"), F.when(F.col("t_td").isNull(), "insufficient_samples").alias("reason_code"))
 
 
 def training_counts(truths: DataFrame) -> DataFrame:

@@ -158,14 +158,15 @@ def component_seed(master: int, name: str) -> int:
 BUCKETS = 1 << 16
 
 
-def grouped_split(rows: DataFrame, key: str, names: list[str], fractions: list[float], seed: np.random.SeedSequence, buckets: int = BUCKETS) -> DataFrame:
-    """flight_id, split: whole groups of ``key`` go to one split, and shares count groups.
+def with_split(rows: DataFrame, key: str, column: str, names: list[str], fractions: list[float], seed: np.random.SeedSequence, buckets: int = BUCKETS) -> DataFrame:
+    """``rows`` with ``column``: whole groups of ``key`` go to one split, and shares count groups. Every row stays: those
+    without a key are a group of their own.
 
     Distinct keys stand in the order of a seeded hash and are cut at the exact counts, the same way at every size: the
     driver gets counts of buckets only, and a key has a rank within its bucket where a cut falls into that.
     """
     word = int(np.int64(np.uint64(seed.generate_state(1, np.uint64)[0])))
-    groups = rows.select(key).where(F.col(key).isNotNull()).distinct().withColumn("h", F.xxhash64(F.col(key), F.lit(word)))
+    groups = rows.select(key).distinct().withColumn("h", F.xxhash64(F.col(key), F.lit(word)))
     # Buckets in the order of the signed hash.
     groups = groups.withColumn("bucket", F.floor((F.shiftright("h", 16) + F.lit(1 << 47)) / F.lit(float(1 << 48)) * buckets).cast("int"))
     sizes = np.zeros(buckets, np.int64)
@@ -182,17 +183,26 @@ def grouped_split(rows: DataFrame, key: str, names: list[str], fractions: list[f
     split = F.lit(names[-1])
     for name, i, n in list(zip(names, at, inside, strict=False))[::-1]:
         split = F.when((F.col("bucket") < i) | ((F.col("bucket") == i) & (F.col("rank") <= n)), name).otherwise(split)
-    return rows.join(places.select(key, split.alias("split")), key).select("flight_id", "split")
+    placed = places.select(F.col(key).alias("_key"), split.alias(column))
+    return rows.join(placed, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
+
+
+def grouped_split(rows: DataFrame, key: str, names: list[str], fractions: list[float], seed: np.random.SeedSequence, buckets: int = BUCKETS) -> DataFrame:
+    """flight_id, split (see ``with_split``)."""
+    return with_split(rows, key, "split", names, fractions, seed, buckets).select("flight_id", "split")
 
 
 def validation_splits(flights: DataFrame, seed: int = 42, train: float = 0.70, calibration: float = 0.15, test: float = 0.15) -> DataFrame:
-    """flight_id and its place in the three splits: primary (by tail), held-out airports and held-out runways."""
+    """flight_id and its place in the three splits: primary (by tail), held-out airports and held-out runways.
+
+    Every flight has a place in each; those without a tail (airport, runway) stay together.
+    """
     primary, airport, runway = np.random.SeedSequence(seed).spawn(3)
-    rows = flights.select("flight_id", "tail", "airport", F.concat_ws("/", "airport", F.col("heading").cast("int")).alias("runway"))
-    one = grouped_split(rows, "tail", ["train", "calibration", "test"], [train, calibration, test], primary).withColumnRenamed("split", "primary_split")
-    two = grouped_split(rows, "airport", ["train", "held_out_airport"], [1 - test, test], airport).withColumnRenamed("split", "airport_split")
-    three = grouped_split(rows, "runway", ["train", "held_out_runway"], [1 - test, test], runway).withColumnRenamed("split", "runway_split")
-    return one.join(two, "flight_id").join(three, "flight_id")
+    rows = flights.select("flight_id", "tail", "airport", F.concat("airport", F.lit("/"), F.col("heading").cast("int")).alias("runway"))
+    rows = with_split(rows, "tail", "primary_split", ["train", "calibration", "test"], [train, calibration, test], primary)
+    rows = with_split(rows, "airport", "airport_split", ["train", "held_out_airport"], [1 - test, test], airport)
+    rows = with_split(rows, "runway", "runway_split", ["train", "held_out_runway"], [1 - test, test], runway)
+    return rows.select("flight_id", "primary_split", "airport_split", "runway_split")
 
 
 # --- clock offsets ----------------------------------------------------------------------------------------------

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wheelmark import oracles
 from wheelmark.functions.exprs import rounded
 from wheelmark.functions.tables import kept
-from wheelmark.operators import channels, classify, estimators, fusion, learned, quality, signals, timebase, validation
+from wheelmark.operators import channels, classify, estimators, fusion, learned, quality, signals, softmax, timebase, validation
 from wheelmark.oracles import CTES, project, position_at, sql, velocity_at
 from wheelmark.plans import landing as plans
 from wheelmark.plans.landing import Landing
@@ -404,7 +404,8 @@ def split_leakage(spark, d):
     flights = synth.flights(spark, d)
     splits = validation.validation_splits(flights).join(flights.selectExpr("flight_id", "tail", "airport", "concat_ws('/', airport, CAST(heading AS INT)) AS runway"), "flight_id")
     leaks = [splits.groupBy(k).agg(F.count_distinct(s).alias("n")).agg(F.coalesce(F.sum((F.col("n") > 1).cast("int")), F.lit(0)).cast("int").alias(name)) for k, s, name in (("tail", "primary_split", "leaking_tails"), ("airport", "airport_split", "leaking_airports"), ("runway", "runway_split", "leaking_runways"))]
-    return splits.agg(F.count("*").alias("flights")).join(leaks[0]).join(leaks[1]).join(leaks[2])
+    placed = flights.select("flight_id").join(splits, "flight_id", "left").where("primary_split IS NOT NULL AND airport_split IS NOT NULL AND runway_split IS NOT NULL")
+    return placed.agg(F.count("*").alias("flights")).join(leaks[0]).join(leaks[1]).join(leaks[2])
 
 
 @query()
@@ -513,7 +514,23 @@ def estimator_hybrid(spark, d):
 @query()
 def estimator_sequence(spark, d):
     corpus = Landing.synthetic(spark, d)
-    return learned.sequence(corpus.flights, corpus.velocities)
+    return learned.sequence(corpus.flights, corpus.positions, corpus.velocities)
+
+
+@query()
+def quantile_coverage(spark, d):
+    """Held-out coverage, crossings and errors of the quantile boosters."""
+    corpus = Landing.synthetic(spark, d)
+    return learned.trees_report(corpus.flights, corpus.positions, corpus.velocities)
+
+
+@query(f"""SELECT flight_id, i, {rounded('w / sum(w) OVER (PARTITION BY flight_id)', 9)} AS y FROM (SELECT v.flight_id, row_number() OVER (PARTITION BY v.flight_id ORDER BY v.t, v.seq) - 1 AS i,
+  exp(-pow((v.t - f.t_true) / 25e-1, 2) / 2e0) AS w FROM vel v JOIN flights f ON v.flight_id = f.flight_id WHERE f.kind = 'completed' AND v.gs_kt IS NOT NULL)""")
+def soft_labels(spark, d):
+    """The sequence model's label of each sample."""
+    truth = synth.flights(spark, d).where("kind = 'completed'").select("flight_id", "t_true")
+    rows = synth.velocities(spark, d).where("gs_kt IS NOT NULL").groupBy("flight_id").agg(F.array_sort(F.collect_list(F.struct("t", "seq"))).alias("s")).selectExpr("flight_id", "s.t AS t")
+    return softmax.soft_labels(rows, truth, 2.5).selectExpr("flight_id", "posexplode(y) AS (i, y)").transform(lambda r: out(r.withColumn("i", F.col("i").cast("long")), "flight_id", "i", "y:9"))
 
 
 @query("SELECT f.flight_id, f.aircraft_type, n AS training_flights, CASE WHEN n < 250 THEN 'physics' ELSE 'learned' END AS family FROM flights f JOIN (SELECT aircraft_type, count(*) FILTER (WHERE kind = 'completed') AS n FROM flights GROUP BY aircraft_type) c ON f.aircraft_type = c.aircraft_type")

@@ -255,3 +255,45 @@ def test_summary_rows(spark):
     assert ("overall", "rmse_ft") in rows and ("coverage", "status") in rows and rows["flags", "below_target"][0] >= 0
     rmse, floor = rows["overall", "rmse_ft"][0], rows["floor", "floor_ft"][0]
     assert rows["room", "headroom_ft"][0] == pytest.approx(max(rmse - floor, 0)) and rows["room", "ratio_to_floor"][0] == pytest.approx(rmse / floor)
+
+
+def _all_cuts(x, penalty, min_seg):
+    """Every earlier sample as the last change."""
+    f, last = [-penalty, *[None] * len(x)], [0] * (len(x) + 1)
+    for e in range(min_seg, len(x) + 1):
+        found = [(round(f[s] + float(((x[s:e] - x[s:e].mean()) ** 2).sum()) + penalty, 10), s) for s in range(e - min_seg + 1) if f[s] is not None]
+        f[e], last[e] = min(found)
+    cuts, at = [], last[-1]
+    while at > 0:
+        cuts.append(at)
+        at = last[at]
+    return cuts[::-1]
+
+
+@pytest.mark.parametrize("min_seg", [1, 2, 5])
+def test_pruned_cuts_are_the_best(min_seg):
+    from wheelmark.operators.estimators import optimal_cuts
+
+    rng = np.random.default_rng(min_seg)
+    for trial in range(60):
+        n = int(rng.integers(2, 70))
+        x = np.repeat(rng.normal(0, 3, n), rng.integers(1, 9, n))[:n] + rng.normal(0, rng.choice([0.1, 1.0]), n)
+        if trial % 5 == 0:
+            x = np.round(x)  # ties
+        penalty = float(rng.choice([0.5, 3.0, 20.0]))
+        assert optimal_cuts(x, penalty, min_seg) == (_all_cuts(x, penalty, min_seg) if n >= 2 * min_seg else []), trial
+    assert optimal_cuts(np.ones(40), 1.0) == []
+
+
+def test_pruned_cuts_take_linear_time():
+    import time
+
+    from wheelmark.operators.estimators import optimal_cuts
+
+    rng, took = np.random.default_rng(1), {}
+    for n in (2_500, 10_000):
+        x = rng.normal(size=n)
+        began = time.process_time()
+        assert optimal_cuts(x, 3 * math.log(n)) == []
+        took[n] = time.process_time() - began
+    assert took[10_000] < 8 * took[2_500] and took[10_000] < 5

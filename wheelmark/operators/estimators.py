@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -171,18 +173,69 @@ def cusum(flights: DataFrame, velocities: DataFrame, k: float = 0.5, h: float =
     return _located(rows, "cusum", flights, "no_ground_roll")
 
 
+def optimal_cuts(x: np.ndarray, penalty: float, min_seg: int = 2) -> list[int]:
+    """The changes of mean with the least squared residuals plus ``penalty`` each, in segments of ``min_seg`` at least.
+
+    Functional pruning: each candidate for the last change carries its cost as a quadratic of the present segment's mean,
+    and the range of means is split into pieces on each of which one candidate is best. A candidate without a piece can
+    never be best again, since all take the same samples from then on. What stays is a handful, with changes or without,
+    so that time grows with the samples. Of equal costs the earliest change is taken.
+    """
+    n = len(x)
+    if n < 2 * min_seg:
+        return []
+    sums, squares = np.concatenate([[0.0], np.cumsum(x)]).tolist(), np.concatenate([[0.0], np.cumsum(x * x)]).tolist()
+    low, high = float(x.min()), float(x.max())
+    cost = [-penalty, *[None] * n]
+    last = [0] * (n + 1)
+    pieces: list[tuple[float, float, int]] = []  # from, to, candidate: together the whole range of means
+    for e in range(min_seg, n + 1):
+        new = e - min_seg
+        if cost[new] is not None:
+            # A candidate's quadratic at e: base + a * m * m - 2 * b * m, with a samples of sum b.
+            base_new, b_new = cost[new] + squares[e] - squares[new], sums[e] - sums[new]
+            out: list[tuple[float, float, int]] = []
+            for u, v, s in pieces or [(low, high, new)]:
+                # Where the old one's cost less the new one's is above 0, the new one is better.
+                a, b, c = new - s, 2.0 * ((sums[e] - sums[s]) - b_new), cost[s] + squares[e] - squares[s] - base_new if s != new else 0.0
+                gap = b * b - 4.0 * a * c
+                marks = [u, v]
+                if s != new and gap > 0:
+                    root = gap**0.5
+                    marks = [u, *[r for r in ((b - root) / (2.0 * a), (b + root) / (2.0 * a)) if u < r < v], v]
+                for k in range(len(marks) - 1):
+                    m = (marks[k] + marks[k + 1]) / 2
+                    own = new if s == new or a * m * m - b * m + c > 0 else s
+                    if out and out[-1][2] == own and out[-1][1] == marks[k]:
+                        out[-1] = (out[-1][0], marks[k + 1], own)
+                    else:
+                        out.append((marks[k], marks[k + 1], own))
+            pieces = out
+        best = None
+        for s in {piece[2] for piece in pieces}:
+            value = round(cost[s] + squares[e] - squares[s] - (sums[e] - sums[s]) ** 2 / (e - s) + penalty, 12)
+            if best is None or (value, s) < best:
+                best = (value, s)
+        cost[e], last[e] = best
+    cuts, at = [], last[n]
+    while at > 0:
+        cuts.append(at)
+        at = last[at]
+    return cuts[::-1]
+
+
 def pelt(flights: DataFrame, velocities: DataFrame, beta: float = 2.0, min_seg: int = 2) -> DataFrame:
-    """Penalised segmentation by dynamic programming, as a fold over the flight's samples inside its row.
+    """Penalised segmentation (``optimal_cuts``) inside each flight's row.
 
-    The optimum up to each sample is kept with its last change; the change with the greatest fall of the mean is taken,
-    and the best single split where no change pays its penalty.
+    The change with the greatest fall of the mean is taken, and the best single split where no change pays its penalty.
     """
+
+    @F.pandas_udf("array<int>")
+    def cuts(x: pd.Series, penalty: pd.Series) -> pd.Series:
+        return pd.Series([[0, *optimal_cuts(np.asarray(a), p, min_seg), len(a)] for a, p in zip(x, penalty, strict=True)])
+
     rows = _arrays(signal(velocities)).withColumn("penalty", F.expr(f"{beta} * greatest(var, 1e-4) * ln(greatest(n, 2))"))
-    cost = "(cq[e] - cq[s] - pow(cs[e] - cs[s], 2) / (e - s))"
-    best = f"array_min(transform(filter(sequence(0, e - {min_seg}), s -> a.f[s] IS NOT NULL), s -> named_struct('f', round(a.f[s] + {cost} + penalty, 12), 's', s)))"
-    fold = f"aggregate(sequence(1, n), named_struct('f', array(-penalty), 'last', array(0)), (a, e) -> CASE WHEN e < {min_seg} THEN named_struct('f', concat(a.f, array(CAST(NULL AS DOUBLE))), 'last', concat(a.last, array(0))) ELSE named_struct('f', concat(a.f, array({best}.f)), 'last', concat(a.last, array({best}.s))) END)"
-    rows = rows.withColumn("last", F.expr(f"{fold}.last"))
-    rows = rows.withColumn("cuts", F.expr("aggregate(sequence(1, n), array(n), (a, i) -> CASE WHEN a[0] > 0 THEN concat(array(last[a[0]]), a) ELSE a END)"))
+    rows = rows.withColumn("cuts", cuts("x", "penalty"))
     mean = _mean
     rows = rows.withColumn("p", F.expr(f"CASE WHEN size(cuts) > 2 THEN -array_max(transform(sequence(1, size(cuts) - 2), j -> named_struct('d', round({mean('cuts[j - 1]', 'cuts[j]')} - {mean('cuts[j]', 'cuts[j + 1]')}, 9), 'j', -j))).j END"))
     gain = f"k * (n - k) * 1e0 / n * pow({mean('0', 'k')} - {mean('k', 'n')}, 2)"

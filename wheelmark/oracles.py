@@ -130,6 +130,54 @@ CTES["cusum_walk"] = """SELECT flight_id, j, z, 0e0 AS hi, 0e0 AS lo, 0 AS rh, 0
 CTES["zs"] = "SELECT s.flight_id, s.j, (s.x - avg(s.x) OVER (PARTITION BY s.flight_id)) / greatest(sqrt(d.var), 1e-3) AS z FROM sig s JOIN scad d ON s.flight_id = d.flight_id"
 CTES["cusum_c"] = "SELECT w.flight_id, w.c, avg(s.x) FILTER (WHERE s.j < w.c) AS mean_before, avg(s.x) FILTER (WHERE s.j >= w.c) AS mean_after FROM (SELECT k.flight_id, least(greatest(k.c, 1), any_value(g.m) - 1) AS c FROM cusum_walk k JOIN sig g ON k.flight_id = g.flight_id WHERE k.c >= 0 GROUP BY k.flight_id, k.c) w JOIN sig s ON s.flight_id = w.flight_id GROUP BY w.flight_id, w.c"
 CTES["cusum"] = located("SELECT * FROM cusum_c", "cusum", "no_ground_roll")
+#: Every earlier sample is tried as the last change, costs summed outright; then the changes are followed back.
+CTES["pelt_x"] = "SELECT s.flight_id, list(s.x ORDER BY s.j) AS xs, any_value(s.m) AS n, 2e0 * greatest(any_value(d.var), 1e-4) * ln(greatest(any_value(s.m), 2)) AS pen FROM sig s JOIN scad d ON s.flight_id = d.flight_id GROUP BY s.flight_id"
+CTES["pelt_walk"] = """SELECT flight_id, 0 AS e, [-pen] AS f, [CAST(0 AS BIGINT)] AS back FROM pelt_x UNION ALL
+  SELECT flight_id, e, list_append(f, best.f) AS f, list_append(back, coalesce(best.s, 0)) AS back FROM (SELECT w.flight_id, w.e + 1 AS e, w.f, w.back,
+    list_sort(list_transform(list_filter(range(0, w.e), lambda s: w.f[s + 1] IS NOT NULL), lambda s: {'f': round(w.f[s + 1] + list_var_pop(x.xs[s + 1 : w.e + 1]) * (w.e + 1 - s) + x.pen, 12), 's': s}))[1] AS best
+  FROM pelt_walk w JOIN pelt_x x ON w.flight_id = x.flight_id WHERE w.e < x.n)"""
+CTES["pelt_back"] = """SELECT w.flight_id, w.e AS place, w.back FROM pelt_walk w JOIN pelt_x x ON w.flight_id = x.flight_id AND w.e = x.n UNION ALL SELECT flight_id, back[place + 1] AS place, back FROM pelt_back WHERE place > 0"""
+CTES["pelt_means"] = """SELECT b.flight_id, b.place AS c, list_avg(x.xs[b.prev + 1 : b.place]) AS mean_before, list_avg(x.xs[b.place + 1 : b.nxt]) AS mean_after FROM (
+  SELECT flight_id, place, lag(place) OVER (PARTITION BY flight_id ORDER BY place) AS prev, lead(place) OVER (PARTITION BY flight_id ORDER BY place) AS nxt FROM pelt_back) b JOIN pelt_x x ON b.flight_id = x.flight_id WHERE b.prev IS NOT NULL AND b.nxt IS NOT NULL"""
+CTES["pelt_one"] = """SELECT flight_id, c, list_avg(xs[1 : c]) AS mean_before, list_avg(xs[c + 1 : n]) AS mean_after FROM (SELECT *, unnest(range(2, n - 1)) AS c FROM pelt_x) WHERE flight_id NOT IN (SELECT flight_id FROM pelt_means)
+  QUALIFY row_number() OVER (PARTITION BY flight_id ORDER BY round(c * (n - c) * 1e0 / n * pow(list_avg(xs[1 : c]) - list_avg(xs[c + 1 : n]), 2), 9) DESC, c) = 1"""
+CTES["pelt_c"] = "SELECT * FROM pelt_means QUALIFY row_number() OVER (PARTITION BY flight_id ORDER BY round(mean_before - mean_after, 9) DESC, c) = 1 UNION ALL SELECT * FROM pelt_one"
+CTES["pelt"] = located("SELECT * FROM pelt_c", "pelt", "insufficient_samples")
+
+
+def orthogonal(name: str, order: int, window: str, weight: str, keep: str, slope_var: str) -> str:
+    """A local polynomial's value, slope and curvature by orthogonal polynomials of the window (three-term recurrence): no
+    normal equations. ``window``: which samples b are near a sample a; ``keep``: a filter on what is near."""
+    over = "PARTITION BY flight_id, i"
+    rows = f"(SELECT *, {weight} AS w FROM (SELECT a.flight_id, a.i, a.t, a.v AS here, b.t - a.t AS u, b.v, row_number() OVER (PARTITION BY a.flight_id, a.i ORDER BY abs(b.t - a.t), b.i) AS pick FROM ix a JOIN ix b ON a.flight_id = b.flight_id {window}) WHERE {keep})"
+    rows = f"(SELECT *, 1e0 AS p0, 0e0 AS pm, count(*) OVER ({over}) AS n, sum(w) OVER ({over}) AS n0 FROM {rows})"
+    for k in range(order):
+        before = f"p{k - 1}" if k else "pm"
+        share = f"n{k} / n{k - 1}" if k else "0e0"
+        rows = f"(SELECT *, (u - a{k}) * p{k} - ({share}) * {before} AS p{k + 1} FROM (SELECT *, sum(w * u * p{k} * p{k}) OVER ({over}) / n{k} AS a{k} FROM {rows}))"
+        rows = f"(SELECT *, sum(w * p{k + 1} * p{k + 1}) OVER ({over}) AS n{k + 1} FROM {rows})"
+    # A window of few samples takes as many powers as it can hold.
+    has = lambda k: f"n > {k}"
+    rows = f"(SELECT *, {', '.join(f'CASE WHEN {has(k)} THEN sum(w * v * p{k}) OVER ({over}) / n{k} ELSE 0e0 END AS c{k}' for k in range(order + 1))} FROM {rows})"
+    rows = f"(SELECT *, v - ({' + '.join(f'CASE WHEN {has(k)} THEN c{k} * p{k} ELSE 0e0 END' for k in range(order + 1))}) AS rest FROM {rows})"
+    one = f"(SELECT flight_id, i, any_value(t) AS t, any_value(here) AS here, count(*) AS n, sum(w) AS weight, sum(w * rest * rest) AS rss, {', '.join(f'any_value(c{k}) AS c{k}, any_value(n{k}) AS n{k}' for k in range(order + 1))}, {', '.join(f'any_value(a{k}) AS a{k}' for k in range(order))} FROM {rows} GROUP BY flight_id, i)"
+    # Values and derivatives of the polynomials at the sample itself, where u = 0.
+    at = ["1e0 AS v0, 0e0 AS s0, 0e0 AS q0"]
+    for k in range(order):
+        share = f"n{k} / n{k - 1}" if k else "0e0"
+        prev = (lambda c: f"{c}{k - 1}") if k else (lambda c: "0e0")
+        at.append(f"-a{k} * v{k} - ({share}) * {prev('v')} AS v{k + 1}, v{k} - a{k} * s{k} - ({share}) * {prev('s')} AS s{k + 1}, 2e0 * s{k} - a{k} * q{k} - ({share}) * {prev('q')} AS q{k + 1}")
+    for step in at:
+        one = f"(SELECT *, {step} FROM {one})"
+    total = lambda c, square: " + ".join(f"CASE WHEN {has(k)} THEN " + (f"{c}{k} * {c}{k} / n{k}" if square else f"c{k} * {c}{k}") + " ELSE 0e0 END" for k in range(order + 1))
+    one = f"(SELECT *, rss / (weight / n * greatest(n - least({order}, n - 1) - 1, 1)) AS spread FROM {one})"
+    CTES[name] = f"""SELECT flight_id, i, {total('v', False)} AS value, CASE WHEN n > 1 THEN {total('s', False)} END AS decel, CASE WHEN n > 2 THEN {total('q', False)} WHEN n = 2 THEN 0e0 END AS jerk, CAST(n AS INTEGER) AS n,
+      CASE WHEN n > 1 THEN {slope_var.format(f'spread * ({total("s", True)})')} END AS decel_var, CASE WHEN n > 2 THEN spread * ({total('q', True)}) END AS jerk_var FROM {one}"""
+    return name
+
+
+orthogonal("savgol", 3, "", "1e0", "pick <= 7", "{0}")
+orthogonal("kernel", 2, "AND abs(b.t - a.t) <= 24e0", "exp(-u * u / 128e0)", "true", "greatest({0}, 5e-1 / weight)")
 CTES["jerk"] = f"""SELECT f.flight_id, 'jerk_onset' AS method, t_td, sigma_t, CASE WHEN t_td IS NULL THEN 'failed' ELSE 'low-confidence' END AS confidence, CASE WHEN t_td IS NULL AND NOT EXISTS (SELECT 1 FROM sig s WHERE s.flight_id = f.flight_id) THEN 'insufficient_samples' ELSE 'no_ground_roll' END AS reason_code FROM flights f LEFT JOIN (
   SELECT p.flight_id, CASE WHEN q.j IS NULL THEN p.t ELSE q.t0 + least(greatest((p.level - q.j0) / nullif(q.jerk - q.j0, 0e0), 0e0), 1e0) * (q.t - q.t0) END AS t_td, {_sigma('d.cadence * p.scatter / greatest(abs(p.jerk), 5e-2)', 'd.cadence')} AS sigma_t FROM (
     SELECT p.*, (SELECT CASE WHEN count(*) FILTER (WHERE s.j < coalesce(p.q, p.j) - 1 OR s.j > p.j + 1) <= 1 THEN stddev_pop(s.jerk) ELSE stddev_pop(s.jerk) FILTER (WHERE s.j < coalesce(p.q, p.j) - 1 OR s.j > p.j + 1) END FROM sig s WHERE s.flight_id = p.flight_id) AS scatter FROM (
@@ -211,7 +259,7 @@ _METRICS = """count(*) AS n_flights, count(e) AS n_estimates, sqrt(sum(e * e) /
 CTES["metrics"] = f"SELECT CASE WHEN grouping(aircraft_type) = 0 THEN 'aircraft_type' WHEN grouping(source) = 0 THEN 'source' WHEN grouping(airport) = 0 THEN 'airport' WHEN grouping(band) = 0 THEN 'band' ELSE 'overall' END AS dimension, coalesce(aircraft_type, source, airport, band, 'all') AS key, {_METRICS}, count(*) >= 30 AS reportable FROM (SELECT *, est_ft - true_ft AS e, {validation.band_label('true_kt')} AS band FROM evals) GROUP BY GROUPING SETS ((aircraft_type), (source), (airport), (band), ())"
 
 
-RECURSIVE = ("cusum_walk", "walk")
+RECURSIVE = ("cusum_walk", "walk", "pelt_walk", "pelt_back")
 
 
 def sql(select: str) -> str:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wheelmark import oracles
 from wheelmark.functions.exprs import rounded
 from wheelmark.functions.tables import kept
-from wheelmark.operators import channels, classify, estimators, fusion, learned, quality, signals, softmax, timebase, validation
+from wheelmark.operators import channels, classify, estimators, fusion, learned, quality, signals, smoothing, softmax, timebase, validation
 from wheelmark.oracles import CTES, project, position_at, sql, velocity_at
 from wheelmark.plans import landing as plans
 from wheelmark.plans.landing import Landing
@@ -206,6 +206,28 @@ def decel_signal(spark, d):
     return out(signals.derivatives(synth.velocities(spark, d)), "flight_id", "CAST(i AS INT) AS i", "decel:5", "jerk:5", "n")
 
 
+_SMOOTH = ("flight_id", "CAST(i AS INT) AS i", "value:5", "decel:5", "jerk:5", "decel_var:5", "jerk_var:5", "n")
+
+
+@query(f"SELECT {sel(*_SMOOTH)} FROM savgol")
+def smoothed_savgol(spark, d):
+    """A cubic through the nearest seven samples, with variances."""
+    return out(smoothing.smoothed_derivatives(synth.velocities(spark, d)), *_SMOOTH)
+
+
+@query(f"SELECT {sel(*_SMOOTH)} FROM kernel")
+def smoothed_gp(spark, d):
+    """A quadratic with normal weights, with variances."""
+    return out(smoothing.smoothed_derivatives(synth.velocities(spark, d), "gp"), *_SMOOTH)
+
+
+@query()
+def smoothed_process(spark, d):
+    """A Gaussian process with derivative kernels, on either side of the knee."""
+    v = synth.velocities(spark, d)
+    return smoothing.smoothed_derivatives(v, "process", knees=signals.knee(v))
+
+
 _EST = ("flight_id", "method", "t_td:4", "sigma_t:4", "confidence", "reason_code")
 
 
@@ -239,7 +261,7 @@ def estimator_flare_crossing(spark, d):
     return out(estimators.flare_crossing(corpus.flights, corpus.positions), *_EST)
 
 
-@query()
+@query(f"SELECT {sel(*_EST)} FROM pelt")
 def estimator_pelt(spark, d):
     corpus = Landing.synthetic(spark, d)
     return out(estimators.pelt(corpus.flights, corpus.velocities), *_EST)

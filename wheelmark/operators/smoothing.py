@@ -68,8 +68,8 @@ def local(velocities: DataFrame, method: str = "savgol", window: int = 7, order:
     if method not in ("savgol", "gp") or order < 1:
         raise ValueError(f"{method!r}, order {order}: savgol or gp, and an order of 1 at least")
     order = GP_ORDER if method == "gp" else order
-    over = "PARTITION BY flight_id, side ORDER BY t"
-    frame = f"{over}, i ROWS BETWEEN {window - 1} PRECEDING AND {window - 1} FOLLOWING" if method == "savgol" else f"{over} RANGE BETWEEN {SUPPORT * length_s}D PRECEDING AND {SUPPORT * length_s}D FOLLOWING"
+    over, reach = "PARTITION BY flight_id, side ORDER BY t", SUPPORT * length_s + 1e-6  # a microsecond for what rounding does
+    frame = f"{over}, i ROWS BETWEEN {window - 1} PRECEDING AND {window - 1} FOLLOWING" if method == "savgol" else f"{over} RANGE BETWEEN {reach}D PRECEDING AND {reach}D FOLLOWING"
     rows = _samples(velocities, knees).selectExpr("flight_id", "i", "t", "v", f"collect_list(named_struct('t', t, 'i', i, 'v', v)) OVER ({frame}) AS near")
     near = "transform(near, x -> named_struct('d', abs(x.t - t), 'i', x.i, 'u', x.t - t, 'y', x.v - v))"
     if method == "savgol":

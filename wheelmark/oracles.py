@@ -177,7 +177,7 @@ def orthogonal(name: str, order: int, window: str, weight: str, keep: str, slope
 
 
 orthogonal("savgol", 3, "", "1e0", "pick <= 7", "{0}")
-orthogonal("kernel", 2, "AND abs(b.t - a.t) <= 24e0", "exp(-u * u / 128e0)", "true", "greatest({0}, 5e-1 / weight)")
+orthogonal("kernel", 2, "AND abs(b.t - a.t) <= 24000001e-6", "exp(-u * u / 128e0)", "true", "greatest({0}, 5e-1 / weight)")
 CTES["jerk"] = f"""SELECT f.flight_id, 'jerk_onset' AS method, t_td, sigma_t, CASE WHEN t_td IS NULL THEN 'failed' ELSE 'low-confidence' END AS confidence, CASE WHEN t_td IS NULL AND NOT EXISTS (SELECT 1 FROM sig s WHERE s.flight_id = f.flight_id) THEN 'insufficient_samples' ELSE 'no_ground_roll' END AS reason_code FROM flights f LEFT JOIN (
   SELECT p.flight_id, CASE WHEN q.j IS NULL THEN p.t ELSE q.t0 + least(greatest((p.level - q.j0) / nullif(q.jerk - q.j0, 0e0), 0e0), 1e0) * (q.t - q.t0) END AS t_td, {_sigma('d.cadence * p.scatter / greatest(abs(p.jerk), 5e-2)', 'd.cadence')} AS sigma_t FROM (
     SELECT p.*, (SELECT CASE WHEN count(*) FILTER (WHERE s.j < coalesce(p.q, p.j) - 1 OR s.j > p.j + 1) <= 1 THEN stddev_pop(s.jerk) ELSE stddev_pop(s.jerk) FILTER (WHERE s.j < coalesce(p.q, p.j) - 1 OR s.j > p.j + 1) END FROM sig s WHERE s.flight_id = p.flight_id) AS scatter FROM (

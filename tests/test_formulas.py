@@ -141,11 +141,45 @@ def test_quantiles_by_rank(spark, monkeypatch):
             assert r[name] == pytest.approx(np.quantile(v, at)) if len(v) else r[name] is None
     kinds = "flight_id string, aircraft_type string, source string, airport string, est_ft double, true_ft double, low_ft double, high_ft double, est_t double, true_t double, clock string, est_kt double, true_kt double"
     evals = spark.createDataFrame([(str(i), None if i % 7 == 0 else f"T{i % 3}", "aireon", f"A{i % 11}", None if i % 13 == 0 else float(x), 0.0, -50.0, 50.0, 1.0, 1.5, "good", 130.0, float(100 + i % 90)) for i, x in enumerate(rnd.normal(0, 80, 900))], kinds)
-    few, many = (validation.stratified_metrics(evals, exact_rows=n).orderBy("dimension", "key").toPandas() for n in (10**6, 0))
-    pd.testing.assert_frame_equal(few, many, check_exact=False, rtol=1e-9)
+    got = validation.stratified_metrics(evals).toPandas().set_index(["dimension", "key"])
+    own = evals.toPandas()
+    own["e"] = own.est_ft - own.true_ft
+    for (dimension, key), part in [(("overall", "all"), own), *[(("airport", k), g) for k, g in own.groupby("airport")], *[(("aircraft_type", k or "all"), g) for k, g in own.fillna({"aircraft_type": ""}).groupby("aircraft_type")]]:
+        e, r = part.e.dropna(), got.loc[(dimension, key)]
+        want = [e.abs().median(), e.median(), np.quantile(e.abs(), 0.95), np.quantile(e.abs(), 0.99), np.quantile(e[e > 0], 0.95), np.quantile(e, 0.25), np.quantile(e, 0.75)]
+        assert [r[c] for c in validation.QUANTILES] == pytest.approx(want) and r.n_flights == len(part) and r.n_estimates == len(e)
     part = lambda c: evals.select("flight_id", F.col(c).alias("along_m"))
-    one, other = (validation.distance_error_summary(part("est_ft"), part("est_kt"), part("true_kt"), exact_rows=n).first() for n in (10**6, 0))
-    assert tuple(one) == pytest.approx(tuple(other))
+    one = validation.distance_error_summary(part("est_ft"), part("est_kt"), part("true_kt")).first()
+    e = (own.est_ft - own.true_kt).dropna()
+    assert (one.n, one.median_abs_m, one.median_signed_m, one.p95_abs_m) == pytest.approx((len(e), e.abs().median(), e.median(), np.quantile(e.abs(), 0.95)))
+    floor = validation.error_floor(evals, 2.0).first()
+    assert floor.median_kt == pytest.approx(own.true_kt.median()) and floor.median_floor_ft == pytest.approx(own.true_kt.median() * 1852 / 3600 / 0.3048 * 2)
+    offsets = spark.createDataFrame([(float(x),) for x in rnd.normal(0, 2, 500)] + [(None,)], "offset_s double")
+    x = offsets.toPandas().offset_s.dropna()
+    spread = validation.offset_distribution(offsets).first()
+    assert (spread.n, spread.median_s, spread.sd_s, spread.p95_abs_s) == pytest.approx((500, x.median(), x.std(ddof=0), np.quantile(x.abs(), 0.95)))
+    assert tuple(validation.offset_distribution(offsets.limit(0)).first()) == (0, None, None, None)
+
+
+@pytest.mark.parametrize("fits", [40, 700])
+def test_brackets_narrow_until_they_fit(spark, monkeypatch, fits):
+    """However the values lie: a window never ranks more than FITS of them, and the quantiles stay exact."""
+    from wheelmark.operators import quantiles as q
+
+    monkeypatch.setattr(q, "ACCURACY", 300)
+    monkeypatch.setattr(q, "MARGIN", 0.2)
+    monkeypatch.setattr(q, "FITS", fits)
+    monkeypatch.setattr(q, "PARTS", 8)
+    rnd = np.random.default_rng(3)
+    values = {"even": rnd.random(9000), "tail": rnd.standard_cauchy(9000) ** 3, "ties": np.concatenate([np.full(6000, 2.5), rnd.random(3000) * 5]), "steps": np.floor(rnd.random(9000) * 900)}
+    table = spark.createDataFrame([(k, float(x)) for k, v in values.items() for x in v], "k string, x double").repartition(5)
+    wanted = {f"q{p}": ("x", p / 100) for p in (0, 1, 25, 50, 66, 95, 100)}
+    for r in q.quantiles(table, ["k"], wanted).collect():
+        for name, (_, p) in wanted.items():
+            assert r[name] == pytest.approx(np.quantile(values[r.k], p)), (r.k, name)
+    wide = q._bracketed(table, ["k"], wanted)
+    largest = lambda met: met.where("y IS NOT NULL").groupBy("k", "name").count().agg(F.max("count")).first()[0]
+    assert largest(wide) > fits >= largest(q.narrowed(wide, ["k"]))
 
 
 def test_class_priors(spark):

@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wheelmark.functions.tables import kept
 from wheelmark.operators.fusion import project
-from wheelmark.operators.quantiles import EXACT_ROWS, quantiles
+from wheelmark.operators.quantiles import beside, overall, quantiles
 from wheelmark.operators.timebase import position_at
 
 FT = 0.3048
@@ -33,24 +34,17 @@ def distance_at(flights: DataFrame, positions: DataFrame, velocities: DataFrame,
     return rows.join(arms.select("flight_id", "shift_m"), "flight_id", "left").select("flight_id", (F.col("p_along") - F.coalesce("shift_m", F.lit(0.0))).alias("along_m"))
 
 
-def distance_error_summary(estimated: DataFrame, baseline: DataFrame, truth: DataFrame, exact_rows: int = EXACT_ROWS) -> DataFrame:
-    """One row over the flights that have both distances and truth (flight_id, along_m each).
-
-    Beyond ``exact_rows`` true distances the quantiles come from ranks instead, with the same values.
-    """
+def distance_error_summary(estimated: DataFrame, baseline: DataFrame, truth: DataFrame) -> DataFrame:
+    """One row over the flights that have both distances and truth (flight_id, along_m each); quantiles by rank."""
     e = F.col("e.along_m") - F.col("t.along_m")
     b = F.col("b.along_m") - F.col("t.along_m")
     both = e.isNotNull() & b.isNotNull()
     # No filter: pushed below the geodesic steps it would take their whole expressions along.
     rows = estimated.alias("e").join(baseline.alias("b"), "flight_id").join(truth.alias("t"), "flight_id").select(F.when(both, e).alias("e"), F.when(both, b).alias("b"))
+    rows = kept(rows.withColumn("size", F.abs("e")), "errors")
     rmse = lambda c: F.sqrt(F.avg(F.col(c) * F.col(c)))
     wanted = {"median_abs_m": ("size", 0.5), "median_signed_m": ("e", 0.5), "p95_abs_m": ("size", 0.95)}
-    few = truth.count() <= exact_rows
-    at = [F.expr(f"percentile({'abs(e)' if column == 'size' else column}, {q})").alias(name) for name, (column, q) in wanted.items()] if few else []
-    out = rows.agg(F.count("e").alias("n"), rmse("e").alias("rmse_m"), *at, rmse("b").alias("baseline_rmse_m"))
-    if not few:
-        one = rows.select(F.lit(0).alias("one"), "e", F.abs("e").alias("size"))
-        out = out.withColumn("one", F.lit(0)).join(quantiles(one, ["one"], wanted), "one", "left")
+    out = beside(rows.agg(F.count("e").alias("n"), rmse("e").alias("rmse_m"), rmse("b").alias("baseline_rmse_m")), overall(rows, wanted))
     out = out.select("n", "rmse_m", *wanted, "baseline_rmse_m")
     return out.withColumn("improvement_pct", F.expr("CASE WHEN baseline_rmse_m > 0 THEN (baseline_rmse_m - rmse_m) / baseline_rmse_m * 1e2 END"))
 
@@ -63,18 +57,18 @@ def band_label(speed: str, edges: tuple[float, ...] = BANDS) -> str:
     return f"CASE WHEN {speed} IS NULL THEN 'unknown' {' '.join(parts)} ELSE '>={marks[-1]}' END"
 
 
-#: What is measured of evaluations (est_ft, true_ft, low_ft, high_ft, est_t, true_t, clock, est_kt, true_kt).
+#: What is measured, in order; those without an expression are in QUANTILES. Of evaluations (est_ft, true_ft, low_ft, high_ft, est_t, true_t, clock, est_kt, true_kt).
 METRICS = {
     "n_flights": "count(*)",
     "n_estimates": "count(e)",
     "rmse_ft": "sqrt(avg(e * e))",
-    "median_abs_ft": "percentile(abs(e), 0.5)",
-    "median_signed_ft": "percentile(e, 0.5)",
-    "p95_abs_ft": "percentile(abs(e), 0.95)",
-    "p99_abs_ft": "percentile(abs(e), 0.99)",
-    "long_p95_ft": "percentile(CASE WHEN e > 0 THEN e END, 0.95)",
-    "iqr_low_ft": "percentile(e, 0.25)",
-    "iqr_high_ft": "percentile(e, 0.75)",
+    "median_abs_ft": None,
+    "median_signed_ft": None,
+    "p95_abs_ft": None,
+    "p99_abs_ft": None,
+    "long_p95_ft": None,
+    "iqr_low_ft": None,
+    "iqr_high_ft": None,
     "coverage": "avg(CASE WHEN e IS NOT NULL THEN CASE WHEN true_ft BETWEEN low_ft AND high_ft THEN 1e0 ELSE 0e0 END END)",
     "time_rmse_s": "sqrt(avg(CASE WHEN clock != 'failed' THEN (est_t - true_t) * (est_t - true_t) END))",
     "speed_rmse_kt": "sqrt(avg((est_kt - true_kt) * (est_kt - true_kt)))",
@@ -85,24 +79,19 @@ METRICS = {
 QUANTILES = {"median_abs_ft": ("size", 0.5), "median_signed_ft": ("e", 0.5), "p95_abs_ft": ("size", 0.95), "p99_abs_ft": ("size", 0.99), "long_p95_ft": ("long", 0.95), "iqr_low_ft": ("e", 0.25), "iqr_high_ft": ("e", 0.75)}
 
 
-def stratified_metrics(evaluations: DataFrame, least: int = 30, edges: tuple[float, ...] = BANDS, exact_rows: int = EXACT_ROWS) -> DataFrame:
-    """dimension, key, the metrics and reportable: by type, feed, airport and speed band and overall, in one pass.
-
-    Beyond ``exact_rows`` evaluations the quantiles come from ranks instead, with the same values.
-    """
+def stratified_metrics(evaluations: DataFrame, least: int = 30, edges: tuple[float, ...] = BANDS) -> DataFrame:
+    """dimension, key, the metrics and reportable: by type, feed, airport and speed band and overall; quantiles by rank."""
     rows = evaluations.withColumns({"e": F.col("est_ft") - F.col("true_ft"), "band": F.expr(band_label("true_kt", edges))})
     dims = ["aircraft_type", "source", "airport", "band"]
-    few = evaluations.count() <= exact_rows
     marks = [F.grouping(F.col(d)).alias(f"g_{d}") for d in dims]
-    own = [m for m in METRICS if few or m not in QUANTILES]
+    own = [m for m in METRICS if m not in QUANTILES]
     out = rows.groupingSets([[F.col(d)] for d in dims] + [[]], *[F.col(d) for d in dims]).agg(*marks, *[F.expr(METRICS[k]).alias(k) for k in own])
     dim = F.coalesce(*[F.when(F.col(f"g_{d}") == 0, F.lit(d)) for d in dims], F.lit("overall"))
     key = F.coalesce(*[F.when(F.col(f"g_{d}") == 0, F.col(d)) for d in dims], F.lit("all"))
     out = out.select(dim.alias("dimension"), key.alias("key"), *own)
-    if not few:
-        places = F.array(*[F.struct(F.lit(d).alias("dimension"), F.coalesce(d, F.lit("all")).alias("key")) for d in dims], F.struct(F.lit("overall").alias("dimension"), F.lit("all").alias("key")))
-        values = rows.select(F.explode(places).alias("place"), "e").select("place.*", "e", F.abs("e").alias("size"), F.when(F.col("e") > 0, F.col("e")).alias("long"))
-        out = out.join(quantiles(values, ["dimension", "key"], QUANTILES), ["dimension", "key"])
+    places = F.array(*[F.struct(F.lit(d).alias("dimension"), F.coalesce(d, F.lit("all")).alias("key")) for d in dims], F.struct(F.lit("overall").alias("dimension"), F.lit("all").alias("key")))
+    values = rows.select(F.explode(places).alias("place"), "e").select("place.*", "e", F.abs("e").alias("size"), F.when(F.col("e") > 0, F.col("e")).alias("long"))
+    out = out.join(quantiles(values, ["dimension", "key"], QUANTILES), ["dimension", "key"], "left")
     return out.select("dimension", "key", *METRICS, (F.col("n_flights") >= least).alias("reportable"))
 
 
@@ -121,7 +110,8 @@ def error_floor(evaluations: DataFrame, cadence_s: float = 5.0) -> DataFrame:
     """The distance flown in one update: at the median speed, as the flights' median, and the share of errors within it."""
     per_s = 1852 / 3600 / FT
     rows = evaluations.select(F.col("true_kt").alias("kt"), F.abs(F.col("est_ft") - F.col("true_ft")).alias("err"), (F.abs("true_kt") * per_s * abs(cadence_s)).alias("own"))
-    out = rows.agg(F.expr("percentile(kt, 0.5)").alias("median_kt"), F.expr("percentile(own, 0.5)").alias("median_floor_ft"), F.expr("avg(CASE WHEN err IS NOT NULL AND own IS NOT NULL THEN CASE WHEN err <= own THEN 1e0 ELSE 0e0 END END)").alias("share_within"))
+    share = F.expr("avg(CASE WHEN err IS NOT NULL AND own IS NOT NULL THEN CASE WHEN err <= own THEN 1e0 ELSE 0e0 END END)")
+    out = beside(rows.agg(share.alias("share_within")), overall(rows, {"median_kt": ("kt", 0.5), "median_floor_ft": ("own", 0.5)}))
     return out.select("median_kt", (F.abs("median_kt") * per_s * abs(cadence_s)).alias("floor_ft"), "median_floor_ft", "share_within")
 
 
@@ -302,8 +292,10 @@ def apply_offsets(truth: DataFrame, offsets: DataFrame) -> DataFrame:
 
 
 def offset_distribution(offsets: DataFrame) -> DataFrame:
-    own = offsets.where("offset_s IS NOT NULL")
-    return own.agg(F.count("*").alias("n"), F.expr("percentile(offset_s, 0.5)").alias("median_s"), F.stddev_pop("offset_s").alias("sd_s"), F.expr("percentile(abs(offset_s), 0.95)").alias("p95_abs_s"))
+    """n, median_s, sd_s, p95_abs_s of the known offsets; quantiles by rank."""
+    own = offsets.where("offset_s IS NOT NULL").select("offset_s", F.abs("offset_s").alias("size"))
+    out = beside(own.agg(F.count("*").alias("n"), F.stddev_pop("offset_s").alias("sd_s")), overall(own, {"median_s": ("offset_s", 0.5), "p95_abs_s": ("size", 0.95)}))
+    return out.select("n", "median_s", "sd_s", "p95_abs_s")
 
 
 # --- cross-feed -------------------------------------------------------------------------------------------------

@@ -150,16 +150,25 @@ def widening(positions: DataFrame, times: DataFrame, transitions: DataFrame, hal
 M_TO_FT = f"(1e0 / {FT_TO_M})"
 
 
-def quantify(fused: DataFrame, mapped: DataFrame, widened: DataFrame, time_multiplier: float = Z90, distance_multiplier: float = Z90, cadence_s: float = 5.0, lever_factor: float = 1.5) -> DataFrame:
-    """Intervals of time and distance, widened for gaps, starvation and defaulted lever arms; the first reason stays."""
+def quantify(fused: DataFrame, mapped: DataFrame, widened: DataFrame, time_multiplier: float = Z90, distance_multiplier: float = Z90, cadence_s: float = 5.0, lever_factor: float = 1.5, multipliers: DataFrame | None = None) -> DataFrame:
+    """Intervals of time and distance, widened for gaps, starvation and defaulted lever arms; the first reason stays.
+
+    ``multipliers`` (flight_id, time_multiplier, distance_multiplier): what was fitted, instead of the fixed ones.
+    """
     rows = fused.where("confidence != 'no-estimate'").select("flight_id", "t_td", "sigma_t", "confidence", "reason_code").join(mapped.drop("t_td", "sigma_t"), "flight_id").join(widened, "flight_id", "left")
+    if multipliers is None:
+        rows = rows.withColumns({c: F.lit(None).cast("double") for c in ("time_multiplier", "distance_multiplier")})
+    else:
+        rows = rows.join(multipliers.select("flight_id", "time_multiplier", "distance_multiplier"), "flight_id", "left")
     steps = [
         ("reliable", "sigma_t > 0e0 AND abs(coalesce(gs_mps, 0e0)) > 0e0"),
         ("sigma_used", f"CASE WHEN sigma_t > 0e0 THEN sigma_t ELSE {cadence_s} END"),
         ("widen", "coalesce(gap_factor, 1e0) * coalesce(starvation_factor, 1e0)"),
-        ("time_half", f"{time_multiplier} * sigma_used * widen"),
+        ("time_scale_s", "sigma_used * widen"),
+        ("time_half", f"coalesce(time_multiplier, {time_multiplier}) * time_scale_s"),
         ("dist_sigma", f"CASE WHEN abs(coalesce(gs_mps, 0e0)) > 0e0 THEN abs(gs_mps) * sigma_used ELSE {cadence_s} END"),
-        ("dist_half", f"{distance_multiplier} * dist_sigma * widen * CASE WHEN missing THEN {lever_factor} ELSE 1e0 END"),
+        ("distance_scale_m", f"dist_sigma * widen * CASE WHEN missing THEN {lever_factor} ELSE 1e0 END"),
+        ("dist_half", f"coalesce(distance_multiplier, {distance_multiplier}) * distance_scale_m"),
         ("why", "coalesce(reason_code, CASE WHEN missing THEN 'missing_lever_arm' END, CASE WHEN starved THEN 'no_ground_roll' END, CASE WHEN NOT reliable THEN 'wide_ci' END)"),
         ("confidence2", "CASE WHEN missing OR coalesce(starved, false) OR NOT reliable THEN 'low-confidence' ELSE confidence END"),
         ("distance_ft", f"along_m * {M_TO_FT}"),
@@ -169,7 +178,7 @@ def quantify(fused: DataFrame, mapped: DataFrame, widened: DataFrame, time_multi
         ("distance_high_ft", f"distance_ft + dist_half * {M_TO_FT}"),
     ]
     rows = with_steps(rows.drop("distance_ft"), steps, drop=False)
-    return rows.withColumns({"confidence": F.col("confidence2"), "reason_code": F.col("why")}).drop("confidence2", "why", "dist_sigma", "sigma_used", "widen", "time_half", "dist_half")
+    return rows.withColumns({"confidence": F.col("confidence2"), "reason_code": F.col("why")}).drop("confidence2", "why", "dist_sigma", "sigma_used", "widen", "time_half", "dist_half", "time_multiplier", "distance_multiplier")
 
 
 def touchdown_results(flights: DataFrame, fused: DataFrame, quantified: DataFrame, estimates: DataFrame, arms: DataFrame, classes: DataFrame, provenance: dict[str, str] | None = None, speed_kt: tuple[float, float] = (50.0, 220.0), resolution_kt: float = 0.1) -> DataFrame:

@@ -238,45 +238,57 @@ def best_lag(a: np.ndarray, b: np.ndarray, dt: float, most: float) -> tuple[floa
     return float(lags[at] + shift) * dt, float(scores[at])
 
 
+def bent(x: np.ndarray) -> bool:
+    """Whether a straight line leaves more than a thousandth of the series' variance."""
+    t, rest = np.arange(len(x)) - (len(x) - 1) / 2, x - x.mean()
+    left = rest - t * (t @ rest) / max(t @ t, 1e-300)
+    return bool(left @ left > 1e-3 * (rest @ rest))
+
+
 OFFSET_FIELDS = "flight_id string, offset_s double, correlation double, drift_s double, drift_exceeded boolean, overlap_s double, quality string, excluded boolean, reason string, failure string"
 
 
 def clock_offsets(qar: DataFrame, adsb: DataFrame, dt: float = 0.1, most_lag: float = 10.0, overlap_s: float = 20.0, weak: float = 0.5, max_offset: float = 2.0, max_drift: float = 1.0, segments: int = 3) -> DataFrame:
-    """OFFSET_FIELDS of two speed series (flight_id, t, v).
+    """OFFSET_FIELDS of two speed series (flight_id, t, v): what ``judged`` makes of offsets, correlations and drifts.
 
-    A flight that is excluded from the time domain (no estimate, too large an offset or drift) has the one reason code
-    ``clock_offset_exceeded``; ``failure`` says why there is no estimate (insufficient_overlap, degenerate_series,
-    weak_correlation), and the correlation of a weak peak stays. Half the allowed drift makes the quality ``degraded``.
-    The series of one flight are short; their correlation over all lags runs inside the flight's cogroup.
+    ``failure`` says why there is no estimate (insufficient_overlap, degenerate_series, weak_correlation); the correlation
+    of a weak peak stays. Drift is the range of the offsets of ``segments`` parts; a part whose series is a straight line
+    fits at any offset and is left out. The series of one flight are short; their correlation over all lags runs inside its cogroup.
     """
-    names = [x.split()[0] for x in OFFSET_FIELDS.split(", ")]
+    names = ["flight_id", "offset_s", "correlation", "drift_s", "overlap_s", "failure"]
 
     def one(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        def row(quality, failure=None, offset=None, corr=0.0, drift=None, overlap=0.0):
-            far = drift is not None and drift > max_drift
-            excluded = failure is not None or far or abs(offset) > max_offset
-            return pd.DataFrame([(key[0], offset, corr, drift, far, overlap, quality, excluded, "clock_offset_exceeded" if excluded else None, failure)], columns=names)
-
+        row = lambda failure=None, offset=None, corr=0.0, drift=None, overlap=0.0: pd.DataFrame([(key[0], offset, corr, drift, overlap, failure)], columns=names)
         a, b = a.dropna().sort_values("t"), b.dropna().sort_values("t")
         if len(a) < 2 or len(b) < 2:
-            return row("failed", "insufficient_overlap")
+            return row("insufficient_overlap")
         low, high = max(a.t.iloc[0], b.t.iloc[0]), min(a.t.iloc[-1], b.t.iloc[-1])
         overlap = max(0.0, high - low)
         if overlap < overlap_s:
-            return row("failed", "insufficient_overlap", overlap=overlap)
+            return row("insufficient_overlap", overlap=overlap)
         grid = low + dt * np.arange(int(np.floor(overlap / dt + 1e-9)) + 1)
         x, y = np.interp(grid, a.t, a.v), np.interp(grid, b.t, b.v)
         offset, corr = best_lag(x, y, dt, most_lag)
         if offset is None or corr < weak:
-            return row("failed", "degenerate_series" if offset is None else "weak_correlation", corr=corr, overlap=overlap)
+            return row("degenerate_series" if offset is None else "weak_correlation", corr=corr, overlap=overlap)
         parts = np.array_split(np.arange(len(grid)), segments) if len(grid) >= 2 * segments else []
-        lags = [k for p in parts if (k := best_lag(x[p], y[p], dt, most_lag)[0]) is not None]
-        drift = max(lags) - min(lags) if len(lags) >= 2 else None
-        quality = "failed" if abs(offset) > max_offset else "degraded" if drift is not None and drift > 0.5 * max_drift else "good"
-        return row(quality, offset=offset, corr=corr, drift=drift, overlap=overlap)
+        lags = [k for p in parts if bent(x[p]) and bent(y[p]) and (k := best_lag(x[p], y[p], dt, most_lag)[0]) is not None]
+        return row(offset=offset, corr=corr, drift=max(lags) - min(lags) if len(lags) >= 2 else None, overlap=overlap)
 
     rows = qar.select("flight_id", "t", "v").groupBy("flight_id").cogroup(adsb.select("flight_id", "t", "v").groupBy("flight_id"))
-    return rows.applyInPandas(one, OFFSET_FIELDS)
+    return judged(rows.applyInPandas(one, "flight_id string, offset_s double, correlation double, drift_s double, overlap_s double, failure string"), max_offset, max_drift)
+
+
+def judged(facts: DataFrame, max_offset: float = 2.0, max_drift: float = 1.0) -> DataFrame:
+    """OFFSET_FIELDS from flight_id, offset_s, correlation, drift_s, overlap_s and failure.
+
+    A flight that is excluded from the time domain (no estimate, too large an offset or drift) has the one reason code
+    ``clock_offset_exceeded``. Half the allowed drift makes the quality ``degraded``, too large an offset ``failed``.
+    """
+    rows = facts.withColumn("drift_exceeded", F.expr(f"coalesce(drift_s > {float(max_drift)}, false)"))
+    rows = rows.withColumn("quality", F.expr(f"CASE WHEN failure IS NOT NULL OR abs(offset_s) > {float(max_offset)} THEN 'failed' WHEN drift_s > 0.5 * {float(max_drift)} THEN 'degraded' ELSE 'good' END"))
+    rows = rows.withColumn("excluded", F.expr("quality = 'failed' OR drift_exceeded")).withColumn("reason", F.expr("CASE WHEN excluded THEN 'clock_offset_exceeded' END"))
+    return rows.select(*[x.split()[0] for x in OFFSET_FIELDS.split(", ")])
 
 
 def flagged_offsets(offsets: DataFrame) -> DataFrame:

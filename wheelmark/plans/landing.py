@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wheelmark.functions.tables import kept
-from wheelmark.operators import classify, estimators, fusion, quality, validation
+from wheelmark.operators import calibration, classify, estimators, fusion, quality, validation
 from wheelmark.settings import Settings
 from wheelmark.sources import synth
 
@@ -39,12 +39,20 @@ def lever_arm_table(spark: SparkSession) -> DataFrame:
 class Landing:
     """One corpus: flights and their two streams, and what is derived from them, each made once."""
 
-    def __init__(self, flights: DataFrame, positions: DataFrame, velocities: DataFrame) -> None:
+    def __init__(self, flights: DataFrame, positions: DataFrame, velocities: DataFrame, recorder: DataFrame | None = None, recorded: DataFrame | None = None) -> None:
+        """``recorder``: flight_id, t, v, the recorder's speed on its clock; ``recorded``: flight_id, true_t, the touchdown
+        on that clock. Without them true times are on the feed's clock."""
         self.spark, self.flights, self.positions, self.velocities = flights.sparkSession, flights, positions, velocities
+        self.recorder, self.recorded = recorder, recorded
 
     @classmethod
     def synthetic(cls, spark: SparkSession, sf_dir: str) -> Landing:
-        return cls(synth.flights(spark, sf_dir), synth.positions(spark, sf_dir), synth.velocities(spark, sf_dir))
+        return cls(synth.flights(spark, sf_dir), synth.positions(spark, sf_dir), synth.velocities(spark, sf_dir), synth.recorder(spark, sf_dir), synth.recorded_times(spark, sf_dir))
+
+    def part(self, ids: DataFrame) -> Landing:
+        """The flights in ``ids`` (flight_id) alone."""
+        some = lambda df: df if df is None else df.join(ids, "flight_id", "left_semi")
+        return Landing(*map(some, (self.flights, self.positions, self.velocities, self.recorder, self.recorded)))
 
     def classes(self) -> DataFrame:
         return classify.classify(self.flights, self.positions, self.velocities)
@@ -116,10 +124,12 @@ def gates_of(settings: Settings) -> quality.Gates:
     return quality.Gates(**{ours: getattr(own, name) for ours, name in GATE_SETTINGS.items()})
 
 
-def full_product(landing: Landing, methods: tuple[str, ...] | None = None, stacking: DataFrame | None = None, provenance: dict[str, str] | None = None, settings: Settings | None = None) -> DataFrame:
-    """The output record of every flight by the whole job: gates and dedup, brackets, and each feed's eligible estimators.
+def full_run(landing: Landing, methods: tuple[str, ...] | None = None, provenance: dict[str, str] | None = None, settings: Settings | None = None, state: DataFrame | None = None) -> dict[str, DataFrame]:
+    """``estimates``, ``quantified`` and ``results`` (the output record of every flight) by the whole job: gates and dedup,
+    brackets, and each feed's eligible estimators.
 
-    ``settings`` decide on gates and estimators (``methods`` goes before), and their hash is in each record.
+    ``settings`` decide on gates and estimators (``methods`` goes before), and their hash is in each record. ``state`` (see
+    ``calibration``): multipliers and stacking weights that were fitted on other flights.
 
     Only flights with a usable bracket reach the estimators; the others' records have no estimate. Classification,
     brackets and transitions use the raw samples, estimators and mapping the cleaned ones.
@@ -135,24 +145,68 @@ def full_product(landing: Landing, methods: tuple[str, ...] | None = None, stack
     rows = reduce(DataFrame.unionByName, [ESTIMATORS[m](clean.flights, clean.positions, clean.velocities) for m in methods])
     able = landing.eligible(methods).where("eligible").selectExpr("flight_id", "estimator AS method")
     estimates = kept(estimators.clamp_to_ground(rows, transitions).join(able, ["flight_id", "method"], "left_semi"), "estimates")
-    fused, arms = kept(fusion.fuse(estimates, stacking), "fused"), landing.arms()
-    mapped = kept(fusion.map_touchdown(clean.flights, clean.positions, clean.velocities, fused, arms), "mapped")
-    widened = fusion.widening(clean.positions, fused, transitions)
-    return fusion.touchdown_results(landing.flights, fused, fusion.quantify(fused, mapped, widened), estimates, arms, classes, provenance)
+    own, band = settings.fusion, settings.uncertainty
+    fused = kept(fusion.fuse(estimates, None if state is None else calibration.stacking(state), own.max_sigma_s, own.disagreement_s, own.wide_interval_s), "fused")
+    arms = landing.arms()
+    mapped = kept(fusion.map_touchdown(clean.flights, clean.positions, clean.velocities, fused, arms, (own.min_speed_kt, own.max_speed_kt), own.velocity_gap_s, own.wrong_runway_margin_m), "mapped")
+    widened = fusion.widening(clean.positions, fused, transitions, band.gap_half_window_s, band.gap_threshold_s, band.nominal_cadence_s, band.after_transition_s, band.min_samples_after_transition, band.starvation_factor)
+    z = fusion.gaussian_multiplier(band.coverage_target)
+    fitted = None if state is None else calibration.by_flight(clean.flights, state, band.coverage_target)
+    quantified = kept(fusion.quantify(fused, mapped, widened, z, z, band.nominal_cadence_s, band.missing_lever_arm_factor, fitted), "quantified")
+    results = fusion.touchdown_results(landing.flights, fused, quantified, estimates, arms, classes, provenance, (own.min_speed_kt, own.max_speed_kt), settings.output.speed_resolution_kt)
+    return {"estimates": estimates, "quantified": quantified, "results": results}
+
+
+def full_product(landing: Landing, methods: tuple[str, ...] | None = None, provenance: dict[str, str] | None = None, settings: Settings | None = None, state: DataFrame | None = None) -> DataFrame:
+    """The output record of every flight (see ``full_run``)."""
+    return full_run(landing, methods, provenance, settings, state)["results"]
+
+
+def offsets_of(landing: Landing, settings: Settings) -> DataFrame | None:
+    """Clock offsets of the flights' recorders; None without recorders."""
+    if landing.recorder is None:
+        return None
+    own, feed = settings.validation, landing.velocities.where("gs_kt IS NOT NULL").selectExpr("flight_id", "t", "gs_kt AS v")
+    return kept(validation.clock_offsets(landing.recorder, feed, own.clock_resample_dt_s, own.clock_max_lag_search_s, own.clock_min_overlap_s, own.clock_min_peak_correlation, own.clock_offset_max_s, own.clock_drift_max_s, own.clock_drift_segments), "offsets")
+
 
+def evaluations(landing: Landing, run: dict[str, DataFrame], settings: Settings | None = None, offsets: DataFrame | None = None) -> DataFrame:
+    """What validation takes: results beside the truth, in feet, seconds and knots, and the scales of the intervals.
 
-def evaluations(landing: Landing, results: DataFrame) -> DataFrame:
-    """What validation takes: results beside the truth of the synthetic landings, in feet, seconds and knots."""
+    With a recorder its times are moved onto the feed's clock by the offsets; flights that the offsets exclude have the
+    clock ``failed`` and stay out of the time domain.
+    """
     kt = 1852 / 3600
-    truth = landing.flights.where("kind = 'completed'").selectExpr("flight_id", "airport", "x_true / 0.3048e0 AS true_ft", "t_true AS true_t", f"v_td / {kt} AS true_kt")
-    own = results.selectExpr("flight_id", "aircraft_type", "ads_b_source AS source", "along_runway_distance_ft AS est_ft", "distance_ci_90_lower_ft AS low_ft", "distance_ci_90_upper_ft AS high_ft", "touchdown_time AS est_t", "time_ci_90_lower AS t_low", "time_ci_90_upper AS t_high", "groundspeed_at_touchdown_kt AS est_kt", "'good' AS clock")
-    return truth.join(own, "flight_id")
+    truth = landing.flights.where("kind = 'completed'").selectExpr("flight_id", "airport", "x_true / 0.3048e0 AS true_ft", "t_true AS true_t", f"v_td / {kt} AS true_kt", "'good' AS clock")
+    if landing.recorder is not None:
+        offsets = offsets_of(landing, settings or Settings()) if offsets is None else offsets
+        moved = validation.apply_offsets(landing.recorded, offsets).select("flight_id", "true_t", F.when(F.col("excluded"), "failed").otherwise(F.col("clock")).alias("clock"))
+        truth = truth.drop("true_t", "clock").join(moved, "flight_id", "left").withColumn("clock", F.coalesce("clock", F.lit("failed")))
+    own = run["results"].selectExpr("flight_id", "aircraft_type", "ads_b_source AS source", "along_runway_distance_ft AS est_ft", "distance_ci_90_lower_ft AS low_ft", "distance_ci_90_upper_ft AS high_ft", "touchdown_time AS est_t", "time_ci_90_lower AS t_low", "time_ci_90_upper AS t_high", "groundspeed_at_touchdown_kt AS est_kt")
+    scales = run["quantified"].selectExpr("flight_id", "time_scale_s", "distance_scale_m / 0.3048e0 AS distance_scale_ft")
+    return truth.join(own, "flight_id").join(scales, "flight_id", "left")
+
+
+def fit_state(landing: Landing, methods: tuple[str, ...] | None = None, settings: Settings | None = None) -> DataFrame:
+    """The state (see ``calibration``) that these flights give: multipliers by feed, stacking weights, flights by type.
+
+    Weights are fitted first, and multipliers on what the weights give, as they will be used together.
+    """
+    settings = settings or Settings()
+    offsets = offsets_of(landing, settings)
+    plain = full_run(landing, methods, settings=settings)
+    truth = evaluations(landing, plain, settings, offsets).where("clock != 'failed'").select("flight_id", "true_t")
+    weights = calibration.stacking_weights(plain["estimates"], truth, settings.fusion.max_sigma_s)
+    evals = kept(evaluations(landing, full_run(landing, methods, settings=settings, state=weights), settings, offsets), "calibration")
+    return kept(weights.unionByName(calibration.multipliers(evals, settings.uncertainty.coverage_target)).unionByName(calibration.class_counts(landing.flights)), "state")
 
 
-def milestone_report(landing: Landing, methods: tuple[str, ...] | None = None, slice_: str = "test", seed: int | None = None, settings: Settings | None = None) -> dict[str, DataFrame]:
-    """Splits, the slice's results, metrics by stratum, coverage, error floor, flags and summary, each a DataFrame.
+def milestone_report(landing: Landing, methods: tuple[str, ...] | None = None, slice_: str = "test", seed: int | None = None, settings: Settings | None = None, calibrate: bool = True) -> dict[str, DataFrame]:
+    """Splits, the fitted state, the slice's results, metrics by stratum, coverages, clock offsets, error floor, flags and
+    summary, each a DataFrame.
 
-    The slice is taken before anything is computed for it.
+    The slice is taken before anything is computed for it. Multipliers and weights come from the calibration split, less
+    the slice's flights (``calibrate``), and are applied to the slice.
     """
     settings = settings or Settings()
     own = settings.validation
@@ -160,11 +214,19 @@ def milestone_report(landing: Landing, methods: tuple[str, ...] | None = None, s
     seed = settings.pipeline.master_random_seed if seed is None else seed
     splits = kept(validation.validation_splits(landing.flights, seed, own.train_fraction, own.calibration_fraction, own.test_fraction), "splits")
     ids = splits.where(F.col(column) == slice_).select("flight_id")
-    part = lambda df: df.join(ids, "flight_id", "left_semi")
-    some = Landing(part(landing.flights), part(landing.positions), part(landing.velocities))
-    evals = kept(evaluations(some, full_product(some, methods, settings=settings)), "evaluations")
+    apart = splits.where((F.col("primary_split") == "calibration") & (F.col(column) != slice_)).select("flight_id")
+    state = fit_state(landing.part(apart), methods, settings) if calibrate else landing.spark.createDataFrame([], calibration.STATE)
+    some = landing.part(ids)
+    run = full_run(some, methods, settings=settings, state=state)
+    offsets = offsets_of(some, settings)
+    evals = kept(evaluations(some, run, settings, offsets), "evaluations")
     metrics = kept(validation.stratified_metrics(evals, own.min_stratum_size), "metrics")
-    out = {"splits": splits, "evaluations": evals, "metrics": metrics, "coverage": validation.assess_coverage(evals), "floor": validation.error_floor(evals, own.nominal_cadence_s), "below_target": validation.below_target(metrics, own.below_target_min_flights)}
+    out = {
+        "splits": splits, "state": state, "calibrated_on": apart, "evaluations": evals, "metrics": metrics, "coverage": validation.assess_coverage(evals), "coverages": calibration.coverages(evals, some.flights, state, settings.uncertainty.coverage_target),
+        "floor": validation.error_floor(evals, own.nominal_cadence_s), "below_target": validation.below_target(metrics, own.below_target_min_flights),
+    }
+    if offsets is not None:
+        out["offsets"], out["offset_distribution"] = offsets, validation.offset_distribution(offsets)
     truth = some.flights.where("kind = 'completed'").selectExpr("flight_id", "x_true AS true_m")
     error = (F.col("along_m") - F.col("true_m")) / validation.FT
     baseline = some.baseline().join(truth, "flight_id").agg(F.sqrt(F.avg(error * error)).alias("baseline_rmse_ft"))
@@ -181,6 +243,10 @@ def summary(report: dict[str, DataFrame], baseline: DataFrame) -> DataFrame:
     observed = overall["rmse_ft"] if overall else None
     room = fusion.room_to_improve(observed, floor["floor_ft"], rmse)
     parts = {"overall": overall.asDict() if overall else {}, "coverage": coverage.asDict(), "floor": floor.asDict(), "baseline": {"rmse_ft": rmse}, "room": room, "flags": {"below_target": report["below_target"].count()}}
+    parts["intervals"] = {f"{r.kind}_{r.interval}": r.coverage for r in report["coverages"].collect()}
+    if "offsets" in report:
+        excluded = report["offsets"].agg(F.count("*").alias("flights"), F.count_if("excluded").alias("excluded")).first().asDict()
+        parts["clock"] = report["offset_distribution"].first().asDict() | excluded
     number = lambda v: float(v) if isinstance(v, int | float) else None
     rows = [(section, name, number(v), None if v is None or number(v) is not None else str(v)) for section, part in parts.items() for name, v in part.items()]
     return report["metrics"].sparkSession.createDataFrame(rows, "section string, name string, value double, text string")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wheelmark import oracles
 from wheelmark.functions.exprs import rounded
 from wheelmark.functions.tables import kept
-from wheelmark.operators import channels, classify, estimators, fusion, learned, quality, signals, smoothing, softmax, timebase, validation
+from wheelmark.operators import calibration, channels, classify, estimators, fusion, learned, quality, signals, smoothing, softmax, timebase, validation
 from wheelmark.oracles import CTES, project, position_at, sql, velocity_at
 from wheelmark.plans import landing as plans
 from wheelmark.plans.landing import Landing
@@ -40,6 +40,17 @@ def sel(*columns: str) -> str:
     return ", ".join(f"{rounded(c.split(':')[0], int(c.split(':')[1]))} AS {c.split(':')[0]}" if ":" in c else c for c in columns)
 
 
+def _split(columns: str) -> list[str]:
+    """A SELECT list at its top-level commas."""
+    parts, depth, start = [], 0, 0
+    for i, c in enumerate(columns):
+        depth += (c == "(") - (c == ")")
+        if c == "," and not depth:
+            parts.append(columns[start:i])
+            start = i + 1
+    return [*parts, columns[start:]]
+
+
 def _queries_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     return synth.flights(spark, sf_dir).selectExpr("flight_id", "t_true", "explode(array(-1e3, -73e-1, 0e0, 25e-1, 1e3)) AS o").selectExpr("flight_id", "t_true + o AS q", "o")
 
@@ -307,6 +318,41 @@ def conformal(spark, d):
     return out(fusion.conformal_multiplier(scores, 0.9, ["source"]), "source", "n", "multiplier:6")
 
 
+_SCALES = ("1e0 + length(flight_id || source) % 3 AS time_scale_s", "5e1 + length(source) * 1e1 AS distance_scale_ft")
+
+
+@query(f"""SELECT kind, key, round(score + 1e-9, 6) AS value, n FROM (SELECT kind, key, score, count(*) OVER (PARTITION BY kind, key) AS n, row_number() OVER (PARTITION BY kind, key ORDER BY score) AS r FROM (
+  SELECT kind, unnest([source, '*']) AS key, score FROM (SELECT 'time_multiplier' AS kind, source, CASE WHEN clock <> 'failed' THEN abs(est_t - true_t) / time_scale_s END AS score FROM (SELECT *, {', '.join(_SCALES)} FROM evals)
+    UNION ALL SELECT 'distance_multiplier', source, abs(est_ft - true_ft) / distance_scale_ft FROM (SELECT *, {', '.join(_SCALES)} FROM evals)) WHERE score IS NOT NULL))
+  WHERE r = least(ceil((n + 1) * 9e-1 - 1e-9), n) AND (key = '*' OR n >= 20)""")
+def fitted_multipliers(spark, d):
+    """Conformal multipliers of time and distance intervals, by feed and over all."""
+    return out(calibration.multipliers(_evaluations(spark, d).selectExpr("*", *_SCALES)), "kind", "key", "value:6", "n")
+
+
+_OFFSETS = "concat('K', CAST(o_orderkey AS STRING)) AS flight_id, CASE WHEN o_orderkey % 23 = 0 THEN NULL ELSE (o_orderkey % 61 - 30) * 1e-1 END AS offset_s, 9e-1 AS correlation, CASE WHEN o_orderkey % 23 = 0 OR o_orderkey % 7 = 0 THEN NULL ELSE (o_orderkey % 17) * 9e-2 END AS drift_s, 6e1 AS overlap_s, CASE WHEN o_orderkey % 23 = 0 THEN 'weak_correlation' END AS failure"
+
+
+@query(f"""SELECT flight_id, offset_s, drift_s, coalesce(drift_s, 0e0) > 1e0 AS drift_exceeded, CASE WHEN offset_s IS NULL OR offset_s NOT BETWEEN -2e0 AND 2e0 THEN 'failed' WHEN drift_s > 5e-1 THEN 'degraded' ELSE 'good' END AS quality,
+  offset_s IS NULL OR offset_s > 2e0 OR offset_s < -2e0 OR coalesce(drift_s, 0e0) > 1e0 AS excluded, CASE WHEN offset_s IS NULL OR offset_s > 2e0 OR offset_s < -2e0 OR coalesce(drift_s, 0e0) > 1e0 THEN 'clock_offset_exceeded' END AS reason, failure FROM (SELECT {_OFFSETS} FROM orders)""")
+def clock_exclusions(spark, d):
+    """Which flights the clock rule leaves out of the time domain."""
+    facts = spark.read.parquet(f"{d}/orders.parquet").selectExpr(*_split(_OFFSETS))
+    return validation.judged(facts).select("flight_id", "offset_s", "drift_s", "drift_exceeded", "quality", "excluded", "reason", "failure")
+
+
+@query()
+def milestone_state(spark, d):
+    """What the calibration split gives: multipliers, stacking weights, flights by type."""
+    return plans.milestone_report(Landing.synthetic(spark, d))["state"]
+
+
+@query()
+def milestone_coverages(spark, d):
+    """Coverage of the test split's intervals with what was fitted on the calibration split, and without."""
+    return plans.milestone_report(Landing.synthetic(spark, d))["coverages"]
+
+
 @query(f"SELECT {sel('flight_id', 'shift_m:6', 'height_m:6', 'pitch_deg:6', 'arm', 'missing', 'widening_m:6')} FROM levers")
 def lever_arm(spark, d):
     return out(Landing.synthetic(spark, d).arms(), "flight_id", "shift_m:6", "height_m:6", "pitch_deg:6", "arm", "missing", "widening_m:6")

@@ -88,6 +88,21 @@ def velocities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _samples(spark, sf_dir, VELOCITY)
 
 
+#: Seconds that the recorder's clock is ahead of the feed's: small ones, and too large a one for every 31st landing.
+CLOCK = "CASE WHEN k % 31 = 0 THEN 4e0 ELSE (k % 9 - 4) * 3e-1 END"
+
+
+def recorder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """flight_id, t, v: the recorder's speed, on its own clock; every 37th recorder has the end of the landing only."""
+    rows = flights(spark, sf_dir).alias("f").selectExpr("f.*", f"explode(transform(sequence({2 * FIRST}, {2 * LAST}), j -> j / 2e0)) AS i").alias("f")
+    return rows.where("k % 37 != 0 OR i > 6").selectExpr("flight_id", f"f.t_true + {_U} + {CLOCK} AS t", f"{_speed(_U)} * 3600e0 / 1852e0 AS v")
+
+
+def recorded_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """flight_id and true_t, the touchdown's time on the recorder's clock, of completed landings."""
+    return flights(spark, sf_dir).where("kind = 'completed'").selectExpr("flight_id", f"t_true + {CLOCK} AS true_t")
+
+
 def _sql(columns: list[str]) -> str:
     return f"SELECT {', '.join(columns)} FROM (SELECT *, unnest(generate_series({FIRST}, {LAST})) AS i FROM flights) f"
 

@@ -65,3 +65,63 @@ def test_pipeline_with_clashing_columns_and_empty_tables(spark, tmp_path):
         assert got == {r for r in rows if r[0] != 0}
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), sf).isEmpty()
+
+
+def test_every_window_is_compressed_with_both_dictionaries(spark):
+    """The score of each document against one that goes over its windows one by one, on text and on noise."""
+    import numpy as np
+    import zstandard
+
+    from wheelmark.llm import toxicity
+
+    rnd = random.Random(8)
+    letters, bad = "abcdefghijklmnop", ["grubbul", "snarkle", "vilefen"]
+    docs, labels = [], []
+    for i in range(240):
+        words = ["".join(rnd.choices(letters, k=rnd.randint(3, 7))) for _ in range(40)]
+        toxic = int(i % 4 == 0)
+        if toxic:
+            for _ in range(4):
+                words.insert(rnd.randrange(30), rnd.choice(bad))
+        docs.append((i, " ".join(words)))
+        labels.append((i, toxic))
+    labels += [(1, 1), (1, 0), (500, 1), (None, 1), (2, None), (3, 7)]  # contradictory, unknown and unusable labels
+    docs += [(300, None), (301, ""), (302, "x"), (303, docs[4][1]), (303, docs[4][1]), (304, docs[0][1].upper())]
+    table = spark.createDataFrame([(i, t, "clash", 0.5) for i, t in docs], "doc_id long, text string, toxic string, score double")
+    model = toxicity.fit(toxicity.training_rows(table, spark.createDataFrame(labels, "doc_id long, toxic int")))
+    assert model.toxic
+    make = lambda x, level, shared: toxicity._compressor(x, level, shared)
+    ends = (model.ordinary + toxicity.BEFORE, model.ordinary + model.toxic + toxicity.BEFORE)
+    light, deep = [make(x, toxicity.LIGHT, True) for x in ends], [make(x, toxicity.LEVEL, False) for x in ends]
+    pieces = lambda x: {x[k : k + 6] for k in range(len(x) - 5)}
+    telling = pieces(model.toxic) - pieces(model.ordinary)
+
+    def row(text):
+        raw = (text or "").encode().lower()
+        counts = [0] * toxicity.COUNTS
+        starts = range(0, max(len(raw) - toxicity.WIDTH, 0) + toxicity.STRIDE, toxicity.STRIDE) if raw else []
+        for a in starts:
+            if a and a >= len(raw) - toxicity.WIDTH + toxicity.STRIDE:
+                break
+            w = raw[a : a + toxicity.WIDTH]
+            saved = lambda pair: len(pair[0].compress(toxicity.BEFORE + w + toxicity.BEHIND)) - len(pair[1].compress(toxicity.BEFORE + w + toxicity.BEHIND))  # noqa: B023, E731
+            counts[0] += 1
+            strong = saved(deep) if pieces(w) & telling else 0
+            for k, least in enumerate(toxicity.SAVINGS):
+                counts[1 + k] += strong >= least
+            counts[-1] += strong == 0 and saved(light) >= toxicity.PLAIN
+        return counts
+
+    want = toxicity.logistic(toxicity.inputs(np.array([row(t) for _, t in docs])), model.weights)
+    got: dict = {}
+    for r in toxicity.score(table, model).collect():
+        got.setdefault(r.doc_id, []).append(r.score)
+    for (i, _), score in zip(docs, want, strict=True):
+        assert min(abs(x - score) for x in got[i]) < 1e-9
+    assert got[303][0] == got[303][1] and toxicity.score(table.limit(0), model).isEmpty()
+    # noise and binary: the same lengths by one call as one by one
+    own = toxicity.Scorer(model.ordinary, model.toxic)
+    text = bytes(rnd.randrange(256) for _ in range(4000)) + model.toxic[:300] + model.ordinary[-300:]
+    at = np.array([rnd.randrange(len(text) - 24) for _ in range(1500)])
+    assert own.savings(text, at, at + 24).tolist() == [len(light[0].compress(toxicity.BEFORE + text[a : a + 24] + toxicity.BEHIND)) - len(light[1].compress(toxicity.BEFORE + text[a : a + 24] + toxicity.BEHIND)) for a in at.tolist()]
+    assert zstandard.__version__

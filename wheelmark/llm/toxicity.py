@@ -2,20 +2,19 @@
 
 Two zstandard dictionaries are trained: one on windows of ordinary documents, one on excerpts of toxic documents. Windows
 of a fixed width slide over the whole text in lower case (A-Z), across word ends and through long runs, at a stride below
-the width, so that every run of up to WIDTH - STRIDE + 1 bytes stands whole in a window. Each window is compressed twice,
-with the ordinary dictionary alone and with the toxic one behind it; the difference of the two lengths is what the
-toxic dictionary saves. A document's score is a logistic function of how many of its windows save at least so many bytes, and
-what share of its windows that is, at two thresholds; the function is calibrated on training documents that neither
-dictionary has seen.
+the width, so that every run of up to WIDTH - STRIDE + 1 bytes stands whole in a window. Every window is compressed twice,
+with the ordinary dictionary alone and with the toxic one behind it; the difference of the two lengths is what the toxic
+dictionary saves. Windows that hold a telling piece, GRAM bytes which only the toxic dictionary has, are compressed again
+at a high level. A window is a hit if it holds a telling piece and saves at least so many bytes there, at two thresholds,
+or if it holds none and saves PLAIN bytes at least (a phrase of ordinary words, for one). A document's score is a logistic
+function of the number and share of its hits of each kind, calibrated on training documents that neither dictionary has
+seen.
 
 Toxic documents are mostly ordinary text. The toxic dictionary's samples are therefore the excerpts that tell them apart:
 the longest runs of bytes that are covered by byte n-grams which far more toxic than ordinary documents have (by
 likelihood ratio). Zstandard's trainer makes the dictionary of them. The toxic dictionary is used as the ordinary one's
 continuation, because what an ordinary passage costs must be the same on both sides of the comparison.
 
-A window that shares no GRAM bytes with the toxic dictionary beyond what it shares with the ordinary one saves nothing
-and is not compressed.
-
 Cases: null and empty texts have no windows and get the score of a document without any saving; a text shorter than a
 window is one window; rows without a usable label are never learnt from; where a document is labelled more than once
 the highest label counts; where there is nothing to tell toxic documents by, or no ordinary or no toxic training rows,
@@ -54,12 +53,16 @@ ORDINARY_WINDOWS, EXCERPTS = 150_000, 100_000
 ORDINARY_BYTES, TOXIC_BYTES = 112_640, 16_384
 #: What the trainer (COVER) is told: lengths of segments and of what it counts.
 ORDINARY_SEGMENT, TOXIC_SEGMENT, COUNTED = 30, 16, 6
-LEVEL, GRAM = 19, 6
+#: Levels for windows with a telling piece and for all, and the bytes of a telling piece.
+LEVEL, LIGHT, GRAM = 19, 3, 6
 #: Text bytes of a task that counts n-grams, about, and hashes that it holds before it adds them up.
 TASK_BYTES, TASK_CODES = 4 << 20, 8_000_000
 #: Bytes that a window must save to count as a hit, and as a plain one.
 SAVINGS = (1, 4)
-CACHE_ENTRIES = 500_000
+#: Bytes that a window without a telling piece must save.
+PLAIN = 6
+#: Deep results that a worker keeps, and windows that are compressed in one call.
+CACHE_ENTRIES, TOGETHER = 500_000, 8192
 
 
 class Model(NamedTuple):
@@ -96,20 +99,32 @@ def slot(codes: np.ndarray) -> np.ndarray:
 
 
 class Scorer:
-    """Bytes that the toxic dictionary saves on a window; windows met lately are kept."""
+    """What the toxic dictionary saves: ``savings`` of every window at LIGHT, ``deep`` of those with a telling piece at
+    LEVEL (windows met lately are kept)."""
 
     def __init__(self, ordinary: bytes, toxic: bytes) -> None:
-        options = {"level": LEVEL, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
-        self.ordinary = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(ordinary + BEFORE), **options)
-        self.toxic = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(ordinary + toxic + BEFORE), **options)
+        contents = (ordinary + BEFORE, ordinary + toxic + BEFORE)
+        self.light = [_compressor(x, LIGHT, True) for x in contents]
+        self.ordinary, self.toxic = (_compressor(x, LEVEL, False) for x in contents)
         of = lambda x: np.unique(grams(np.frombuffer(x, np.uint8)))
         self.own = np.setdiff1d(of(toxic), of(ordinary))
         self.slots = np.zeros(1 << 22, bool)
         self.slots[slot(self.own)] = True
         self.cache: dict[bytes, int] = {}
 
-    def savings(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        codes, text, out = grams(data), data.tobytes(), np.zeros(len(starts), np.int64)
+    def savings(self, text: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Bytes saved on each window, whatever it holds."""
+        out = np.zeros(len(starts), np.int64)
+        for at in range(0, len(starts), TOGETHER):
+            part = slice(at, at + TOGETHER)
+            whole = [BEFORE + text[a:b] + BEHIND for a, b in zip(starts[part].tolist(), ends[part].tolist(), strict=True)]
+            first, second = (_lengths(c, whole) for c in self.light)
+            out[part] = first - second
+        return out
+
+    def deep(self, data: np.ndarray, text: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Bytes saved on windows with a telling piece (GRAM bytes that only the toxic dictionary has); 0 for others."""
+        codes, out = grams(data), np.zeros(len(starts), np.int64)
         met = np.flatnonzero(self.slots[slot(codes)])
         met = met[np.isin(codes[met], self.own)]
         some = np.flatnonzero(np.searchsorted(met, ends - (GRAM - 1)) > np.searchsorted(met, starts))
@@ -125,22 +140,44 @@ class Scorer:
         return out
 
 
+def _compressor(content: bytes, level: int, shared: bool) -> zstandard.ZstdCompressor:
+    """``shared``: the dictionary's tables are made once, for inputs of any size; else they suit each input."""
+    dictionary = zstandard.ZstdCompressionDict(content)
+    if shared:
+        dictionary.precompute_compress(level=level)
+    return zstandard.ZstdCompressor(dict_data=dictionary, level=level, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+
+def _lengths(compressor: zstandard.ZstdCompressor, inputs: list[bytes]) -> np.ndarray:
+    """Compressed lengths of many short inputs, by one call where the library has it."""
+    if hasattr(compressor, "multi_compress_to_buffer"):
+        return np.fromiter(map(len, compressor.multi_compress_to_buffer(inputs)), np.int64, len(inputs))
+    return np.fromiter((len(compressor.compress(x)) for x in inputs), np.int64, len(inputs))
+
+
 _SCORERS: dict[tuple[bytes, bytes], Scorer] = {}
 
 
 def counted(data: np.ndarray, offsets: np.ndarray, ordinary: bytes, toxic: bytes) -> np.ndarray:
-    """For each row: its windows, and how many of them save at least each of SAVINGS."""
+    """For each row: its windows, how many of them hold a telling piece and save at least each of SAVINGS, and how many of
+    the others save PLAIN bytes at least."""
     if (ordinary, toxic) not in _SCORERS:
         _SCORERS.clear()
         _SCORERS[ordinary, toxic] = Scorer(ordinary, toxic)
+    own, low = _SCORERS[ordinary, toxic], LOWERED[data]
+    text = low.tobytes()
     starts, ends, rows = windows(offsets)
-    saved = _SCORERS[ordinary, toxic].savings(LOWERED[data], starts, ends)
-    sums = [np.concatenate([[0], np.cumsum(saved >= k)]) for k in SAVINGS]
+    every, saved = own.savings(text, starts, ends), own.deep(low, text, starts, ends)
+    sums = [np.concatenate([[0], np.cumsum(x)]) for x in (*(saved >= k for k in SAVINGS), (saved == 0) & (every >= PLAIN))]
     return np.stack([np.diff(rows), *(s[rows[1:]] - s[rows[:-1]] for s in sums)], axis=1)
 
 
+#: Columns of ``counted``.
+COUNTS = 2 + len(SAVINGS)
+
+
 def inputs(table: np.ndarray) -> np.ndarray:
-    """What the logistic function takes of ``counted``: share and number of hits, on log scales, at each saving, and 1."""
+    """What the logistic function takes of ``counted``: share and number of hits, on log scales, of each kind, and 1."""
     n = np.maximum(table[:, 0], 1)
     return np.stack([f for h in table[:, 1:].T for f in (np.log(h / n + 2e-3), np.log1p(h))] + [np.ones(len(table))], axis=1)
 
@@ -315,7 +352,7 @@ def fit(rows: DataFrame) -> Model:
     n_toxic, n_ordinary = totals.get((1, False), 0), totals.get((0, False), 0)
     every = [sum(n for (t, _), n in totals.items() if t == k) for k in (0, 1)]
     rate = math.log((every[1] + 0.5) / (every[0] + 0.5))
-    nothing = Model(b"", b"", (*[0.0] * 2 * len(SAVINGS), rate))
+    nothing = Model(b"", b"", (*[0.0] * 2 * (COUNTS - 1), rate))
     if not n_toxic or not n_ordinary:
         return nothing
     train = rows.where("not calibrates")
@@ -332,7 +369,7 @@ def fit(rows: DataFrame) -> Model:
     y = np.array([r.toxic for r in seen], float)
     if not y.size or y.all() or not y.any():
         return nothing
-    table = np.array([r.counts for r in seen], np.int64).reshape(-1, 1 + len(SAVINGS))
+    table = np.array([r.counts for r in seen], np.int64).reshape(-1, COUNTS)
     return Model(ordinary, toxic, tuple(float(x) for x in fitted(inputs(table), y)))
 
 
@@ -352,7 +389,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for data, offsets, batch in pieces(batches):
-            table = counted(data, offsets, model.ordinary, model.toxic) if model.toxic else np.zeros((len(batch), 1 + len(SAVINGS)), np.int64)
+            table = counted(data, offsets, model.ordinary, model.toxic) if model.toxic else np.zeros((len(batch), COUNTS), np.int64)
             scores = logistic(inputs(table), model.weights)
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array(scores, pa.float64()), pa.array(table[:, 0], pa.int64()), pa.array(table[:, 1], pa.int64())], names=["id", "score", "n_windows", "n_hits"])
 

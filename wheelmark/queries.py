@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,9 +10,10 @@ from pyspark.sql import functions as F
 
 from wheelmark import oracles
 from wheelmark.functions.exprs import rounded
-from wheelmark.functions.tables import kept
+from wheelmark.functions.tables import kept, shared_folder
 from wheelmark.operators import calibration, channels, classify, estimators, fusion, learned, quality, signals, smoothing, softmax, timebase, validation
 from wheelmark.oracles import CTES, project, position_at, sql, velocity_at
+from wheelmark.plans import files
 from wheelmark.plans import landing as plans
 from wheelmark.plans.landing import Landing
 from wheelmark.sources import raw, readers, synth
@@ -538,6 +540,31 @@ def runway_supplement(spark, d):
     return readers.supplement(raw.runway_rows(spark, d)).select("airport", "runway", "heading_deg")
 
 
+def _files(spark: SparkSession, d: str) -> files.Corpus:
+    folder = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    at = raw.write_files(spark, d, folder)
+    feeds = [files.Feed(at["aireon.csv"], "aireon"), files.Feed(at["fr24.parquet"], "fr24", readers.RawUnits("m", "m"))]
+    return files.read_corpus(spark, feeds, at["runways.csv"], at["recorders.parquet"])
+
+
+@query(f"""SELECT f.flight_id, f.source, p.n AS n_positions, v.n AS n_velocities, {rounded('f.length_m', 3)} AS length_m, {rounded('f.thr_lat', 6)} AS thr_lat, {rounded('p.high', 4)} AS mean_geo_alt, {rounded('p.baro', 4)} AS mean_baro_alt, {rounded('v.gs', 4)} AS mean_gs,
+  CASE WHEN r.k IS NULL OR r.late THEN 'unmatched' ELSE 'matched' END AS outcome, CASE WHEN NOT r.late THEN {rounded('r.landing_time', 4)} END AS recorded_t, CASE WHEN NOT r.late THEN {rounded('r.gs_touchdown', 4)} END AS recorded_kt
+  FROM flights f JOIN (SELECT flight_id, count(*) AS n, avg(geo_alt) AS high, avg(baro_alt) AS baro FROM pos GROUP BY flight_id) p ON f.flight_id = p.flight_id JOIN (SELECT flight_id, count(gs_kt) AS n, avg(gs_kt) AS gs FROM vel GROUP BY flight_id) v ON f.flight_id = v.flight_id
+  LEFT JOIN (SELECT k, {', '.join(x for x in raw.RECORDED if x.rsplit(' ', 1)[-1] in ('landing_time', 'gs_touchdown'))}, k % 11 <> 0 AND abs((k % 7 - 3) * 2e0 + CASE WHEN k % 41 = 0 THEN 1e3 ELSE 0e0 END - k % 5) > 3e2 AS late FROM flights WHERE {raw.RECORDED_WHERE}) r ON f.k = r.k""")
+def files_corpus(spark, d):
+    """Two feeds' files (CSV in feet, Parquet in metres), runways and recorders, written, read and joined."""
+    corpus = _files(spark, d)
+    means = corpus.positions.groupBy("flight_id").agg(F.avg("geo_alt").alias("mean_geo_alt"), F.avg("baro_alt").alias("mean_baro_alt")).join(corpus.velocities.groupBy("flight_id").agg(F.avg("gs_kt").alias("mean_gs")), "flight_id")
+    rows = corpus.flights.where("skip_reason IS NULL").join(means, "flight_id").join(corpus.outcomes, "flight_id")
+    return out(rows, "flight_id", "source", "n_positions", "n_velocities", "length_m:3", "thr_lat:6", "mean_geo_alt:4", "mean_baro_alt:4", "mean_gs:4", "outcome", "recorded_t:4", "recorded_kt:4")
+
+
+@query()
+def files_results(spark, d):
+    """From the files to each flight's touchdown, beside its recorder's."""
+    return files.results(_files(spark, d))
+
+
 # --- learned and streaming --------------------------------------------------------------------------------------
 
 

@@ -196,9 +196,9 @@ CTES["gaps"] = f"SELECT flight_id, coalesce({_MED.format('gap')}, 0e0) AS region
 CTES["gcad"] = f"SELECT flight_id, coalesce({_MED.format('step')}, 0e0) AS cadence FROM (SELECT flight_id, t - lag(t) OVER ({_W}) AS step FROM pos WHERE geo_alt IS NOT NULL) GROUP BY flight_id"
 CTES["knee_e"] = f"""SELECT f.flight_id, 'decel_knee' AS method, t_knee AS t_td, {_sigma('rms / greatest(abs(slope_drop), 5e-2)')} AS sigma_t, CASE WHEN t_knee IS NULL THEN 'failed' WHEN v_knee BETWEEN 25 AND 95 AND abs(slope_after) BETWEEN 6e-1 AND 45e-1 THEN 'normal' ELSE 'low-confidence' END AS confidence,
   CASE WHEN t_knee IS NULL THEN 'insufficient_samples' WHEN v_knee BETWEEN 25 AND 95 AND abs(slope_after) BETWEEN 6e-1 AND 45e-1 THEN NULL ELSE 'estimator_disagreement' END AS reason_code FROM flights f LEFT JOIN knees k ON f.flight_id = k.flight_id LEFT JOIN vcad d ON f.flight_id = d.flight_id"""
-CTES["raw_est"] = "SELECT * FROM knee_e UNION ALL SELECT * FROM glrt UNION ALL SELECT * FROM flare UNION ALL SELECT * FROM jerk"
+CTES["raw_est"] = "SELECT * FROM knee_e UNION ALL SELECT * FROM glrt UNION ALL SELECT * FROM flare UNION ALL SELECT * FROM jerk UNION ALL SELECT * FROM cusum UNION ALL SELECT * FROM pelt"
 CTES["est"] = "SELECT flight_id, method, t_td - moved AS t_td, sqrt(pow(sigma_t, 2) + pow(moved, 2)) AS sigma_t, confidence, reason_code FROM (SELECT e.*, CASE WHEN t_td >= on_ground_t THEN t_td - (on_ground_t - 1e-3) ELSE 0e0 END AS moved FROM raw_est e LEFT JOIN transit t ON e.flight_id = t.flight_id)"
-CTES["elig"] = "SELECT flight_id, m AS estimator, NOT (m IN ('flare_crossing', 'imm_rts') AND source = 'fr24') AS eligible, CASE WHEN m IN ('flare_crossing', 'imm_rts') AND source = 'fr24' THEN 'geometric_alt_unavailable' END AS excluded_reason FROM flights, (VALUES ('decel_knee'), ('flare_crossing'), ('imm_rts'), ('glrt'), ('jerk_onset')) v(m)"
+CTES["elig"] = "SELECT flight_id, m AS estimator, NOT (m IN ('flare_crossing', 'imm_rts') AND source = 'fr24') AS eligible, CASE WHEN m IN ('flare_crossing', 'imm_rts') AND source = 'fr24' THEN 'geometric_alt_unavailable' END AS excluded_reason FROM flights, (VALUES ('decel_knee'), ('flare_crossing'), ('imm_rts'), ('glrt'), ('jerk_onset'), ('cusum'), ('pelt')) v(m)"
 CTES["combined"] = "SELECT e.flight_id, sum(t_td / (sigma_t * sigma_t)) / sum(1e0 / (sigma_t * sigma_t)) AS t_td, sqrt(1e0 / sum(1e0 / (sigma_t * sigma_t))) AS sigma_t, count(*) AS n FROM est e JOIN elig g ON e.flight_id = g.flight_id AND e.method = g.estimator AND g.eligible WHERE confidence <> 'failed' AND t_td IS NOT NULL AND sigma_t > 0 GROUP BY e.flight_id"
 
 

@@ -20,7 +20,7 @@ from wheelmark.sources import raw, readers, synth
 from wheelmark.streaming.cusum import replay
 
 _FOUND: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
-SIMPLE = ("decel_knee", "glrt", "flare_crossing", "jerk_onset")
+SIMPLE = ("decel_knee", "glrt", "flare_crossing", "jerk_onset", "cusum", "pelt")
 
 
 def query(select: str | None = None):
@@ -79,7 +79,7 @@ def interpolate_position(spark, d):
     return out(timebase.position_at(synth.positions(spark, d), synth.velocities(spark, d), at), "flight_id", "o", "degraded", "lat:7", "lon:7")
 
 
-@query()
+@query(f"SELECT flight_id, o, degraded, {rounded('lat', 7)} AS lat, {rounded('lon', 7)} AS lon FROM {position_at('q')}")
 def interpolate_position_all(spark, d):
     """Every query time, those far outside the samples too."""
     return out(timebase.position_at(synth.positions(spark, d), synth.velocities(spark, d), _queries_at(spark, d)), "flight_id", "o", "degraded", "lat:7", "lon:7")
@@ -196,7 +196,7 @@ def sufficiency(spark, d):
 
 @query("SELECT * FROM elig")
 def estimator_gating(spark, d):
-    return Landing.synthetic(spark, d).eligible(("decel_knee", "flare_crossing", "imm_rts", "glrt", "jerk_onset"))
+    return Landing.synthetic(spark, d).eligible()
 
 
 # --- signals and estimators -------------------------------------------------------------------------------------
@@ -297,7 +297,7 @@ def on_ground_bound(spark, d):
 @query(f"SELECT {sel('flight_id', 't_td:4', 'sigma_t:4', 'n')} FROM combined")
 def combine_estimates(spark, d):
     corpus = Landing.synthetic(spark, d)
-    return out(fusion.combine(corpus.estimates(SIMPLE), corpus.eligible(("decel_knee", "flare_crossing", "imm_rts", "glrt", "jerk_onset"))), "flight_id", "t_td:4", "sigma_t:4", "n")
+    return out(fusion.combine(corpus.estimates(SIMPLE), corpus.eligible()), "flight_id", "t_td:4", "sigma_t:4", "n")
 
 
 _FUSED = ("flight_id", "t_td:4", "sigma_t:4", "ci_low:4", "ci_high:4", "confidence", "reason_code", "n", "between_s:4", "contributing", "excluded")

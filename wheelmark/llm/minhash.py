@@ -236,20 +236,34 @@ def _leftover(stars: DataFrame, full: DataFrame, found: DataFrame, least: float,
 
     rows = with_sets(open_, full).select("a", "b", "component", "x", "y").mapInArrow(differences, "a bigint, b bigint, component bigint, first bigint, n bigint, lacking bigint, diff binary")
     rows = written(rows, "differences")
-    held = rows.groupBy("a").agg(F.count("*").alias("size"), F.sum(F.octet_length("diff")).alias("bytes"))
-    parts = F.least(F.ceil(F.col("size") / min(block, SMALL_BLOCK)), F.greatest(F.lit(MANY_BLOCKS), F.ceil(F.col("size") / block)))
-    held = written(held.select("a", "size", F.greatest(parts, F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("parts")), "blocks")
+    # Classes of one component need no comparison: each of the group's largest component (main) meets those of the others
+    # (rest) in a grid of two sides, and the rest meet each other in a triangle. Where few stand aside, as in most groups,
+    # a class of the largest component is repeated once.
+    parts = lambda m: F.least(F.ceil(m / min(block, SMALL_BLOCK)), F.greatest(F.lit(MANY_BLOCKS), F.ceil(m / block)))
+    by = rows.groupBy("a", "component").agg(F.count("*").alias("m"), F.sum(F.octet_length("diff")).alias("bytes"))
+    held = by.groupBy("a").agg(F.max_by(F.struct("component", "m", "bytes"), F.struct("m", -F.col("component"))).alias("most"), F.sum("m").alias("size"), F.sum("bytes").alias("bytes"))
+    held = held.select("a", "size", F.col("most.component").alias("main"), F.col("most.m").alias("m"), F.col("most.bytes").alias("main_bytes"), (F.col("size") - F.col("most.m")).alias("rest"), (F.col("bytes") - F.col("most.bytes")).alias("rest_bytes"))
+    heavy = lambda c: F.ceil(F.col(c) / BLOCK_BYTES)
+    grids = {"main_parts": (parts(F.col("m")), "main_bytes"), "rest_parts": (F.ceil(F.col("rest") / block), "rest_bytes"), "own_parts": (parts(F.col("rest")), "rest_bytes")}
+    held = written(held.select("a", "size", "main", *[F.greatest(n, heavy(c), F.lit(1)).cast("int").alias(name) for name, (n, c) in grids.items()]), "blocks")
     rows = join_hot(rows, held, "a", "size")
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")}).drop("parts", "other", "size")
+    place = lambda n: F.pmod(F.xxhash64("b"), F.col(n)).cast("int")
+    cell = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    rows = rows.withColumns({"is_main": F.col("component") == F.col("main"), "part": place("own_parts"), "main_at": place("main_parts"), "rest_at": place("rest_parts")})
+    one = F.transform(upto("rest_parts"), lambda r: cell(1, F.col("main_at"), r))
+    other = F.concat(F.transform(upto("main_parts"), lambda p: cell(1, p, F.col("rest_at"))), F.transform(upto("own_parts"), lambda o: cell(0, F.least(F.col("part"), o), F.greatest(F.col("part"), o))))
+    rows = rows.withColumn("cell", F.explode(F.when(F.col("is_main"), one).otherwise(other)))
+    rows = rows.select("a", "b", "component", "first", "n", "lacking", "diff", "is_main", "part", "cell.*")
 
     def compare(key, table):
-        i, j = key[1].as_py(), key[2].as_py()
+        kind, i, j = (k.as_py() for k in key[1:])
         ids, names, part = table["b"].to_pylist(), table["component"].to_pylist(), table["part"].to_numpy()
         n, lacking, first = table["n"].to_numpy(), table["lacking"].to_numpy(), table["first"][0].as_py()
         common = first - lacking[:, None] - lacking[None, :] + _overlaps([np.frombuffer(d, np.uint64) for d in table["diff"].to_pylist()])
         linked = 100 * common >= round(100 * least) * (n[:, None] + n[None, :] - common)
-        linked &= (part[:, None] == i) & (part[None, :] == j)
+        main = table["is_main"].to_numpy(zero_copy_only=False)
+        linked &= main[:, None] & ~main[None, :] if kind else (part[:, None] == i) & (part[None, :] == j)
         root = {c: c for c in names}
 
         def top(c):
@@ -266,7 +280,7 @@ def _leftover(stars: DataFrame, full: DataFrame, found: DataFrame, least: float,
                 out.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
         return pa.table({"a": pa.array([p[0] for p in out], table.schema.field("b").type), "b": pa.array([p[1] for p in out], table.schema.field("b").type)})
 
-    return rows.groupBy("a", "i", "j").applyInArrow(compare, "a bigint, b bigint").distinct()
+    return rows.groupBy("a", "kind", "i", "j").applyInArrow(compare, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8, n_bands: int = BANDS, n_rows: int = ROWS, block: int = BLOCK, carry: tuple[str, ...] = ()) -> DataFrame:

@@ -125,3 +125,51 @@ def test_every_window_is_compressed_with_both_dictionaries(spark):
     at = np.array([rnd.randrange(len(text) - 24) for _ in range(1500)])
     assert own.savings(text, at, at + 24).tolist() == [len(light[0].compress(toxicity.BEFORE + text[a : a + 24] + toxicity.BEHIND)) - len(light[1].compress(toxicity.BEFORE + text[a : a + 24] + toxicity.BEHIND)) for a in at.tolist()]
     assert zstandard.__version__
+
+
+def test_grids_of_near_duplicates_lose_no_link(spark, monkeypatch):
+    """Groups with one large component and others beside it, in blocks of every size: the same components as brute force."""
+    from wheelmark.llm import minhash
+
+    monkeypatch.setattr(minhash, "SMALL_BLOCK", 2)
+    monkeypatch.setattr(minhash, "MANY_BLOCKS", 3)
+    rnd = random.Random(12)
+    base = [f"w{k}" for k in range(40)]
+    texts = []
+    for group in range(3):
+        own = [f"g{group}{w}" for w in base]
+        for _ in range(14):
+            words = list(own)
+            for at in rnd.sample(range(40), rnd.choice([1, 1, 2, 3])):
+                words[at] = f"x{rnd.randrange(10**6)}"
+            texts.append(" ".join(words))
+    docs = list(enumerate(texts))
+    sets = [{tuple(t.split()[k : k + 4]) for k in range(37)} for t in texts]
+    part = list(range(len(texts)))
+    for _ in texts:
+        for i, x in enumerate(sets):
+            for j, y in enumerate(sets):
+                if 100 * len(x & y) >= 80 * len(x | y):
+                    part[i] = part[j] = min(part[i], part[j])
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    # Two bands of two rows give groups whose members the first class does not join: the grids have to find those links.
+    full = minhash.near_duplicates(table, size=4, least=0.8)
+    assert {r.doc_id: r.component_id for r in full.collect()} == dict(enumerate(part)) and len(set(part)) > 5
+    stars = spark.createDataFrame([(0, j) for j in range(1, 14)], "a long, b long")
+    marked = [(i, sorted(hash(g) & (2**63 - 1) for g in s)) for i, s in enumerate(sets)]
+    nodes = spark.createDataFrame([(i, b"".join(v.to_bytes(8, "little") for v in sorted(set(x)))) for i, x in marked], "node long, set binary")
+    want = {(i, j) for i in range(1, 14) for j in range(i + 1, 14) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    for big in ([], [3, 5, 6, 7, 9, 11]):  # nothing found yet, or one large component already
+        found = spark.createDataFrame([(k, 3) for k in big] or [(99, 99)], "id long, component long")
+        for block in (1, 3, 600):
+            links = {(r.a, r.b) for r in minhash._leftover(stars, nodes, found, 0.8, block).collect()}
+            root = {k: 3 if k in big else k for k in range(1, 14)}
+            for edges in (links, want):
+                own = dict(root)
+                for _ in range(14):
+                    for x, y in edges:
+                        low = min(own[x], own[y])
+                        own = {k: low if v in (own[x], own[y]) else v for k, v in own.items()}
+                if edges is links:
+                    got = own
+            assert got == own and links <= want, block

@@ -125,7 +125,7 @@ def test_settings_change_results(spark):
     }
     assert {"confidence", "reason_code", "groundspeed_at_touchdown_kt"} <= changed("fusion")
     assert {"time_ci_90_lower", "distance_ci_90_upper_ft"} <= changed("uncertainty") and "touchdown_time" not in changed("uncertainty")
-    assert changed("output") == {"groundspeed_at_touchdown_kt"}
+    assert changed("output") == {"groundspeed_at_touchdown_kt", "speed_ci_90_lower_kt", "speed_ci_90_upper_kt"}
 
 
 def test_clock_rule(spark):

@@ -9,11 +9,12 @@ derivative off it through the kernel's derivatives.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wheelmark.functions.exprs import KT_TO_MPS, Steps, with_steps
+from wheelmark.functions.flights import BLOCK, in_flights, numbers
 
 #: Length scales beyond which a sample has no weight, the order of kernel-weighted polynomials, samples that a reliable
 #: window needs.
@@ -97,55 +98,69 @@ def local(velocities: DataFrame, method: str = "savgol", window: int = 7, order:
 
 
 def solved(t: np.ndarray, v: np.ndarray, at: np.ndarray, length: float, noise: float) -> tuple[np.ndarray, ...]:
-    """Mean, first and second derivative of the process at times ``at``, and their variances.
+    """Mean, first and second derivative of the process at times ``at``, and their variances; rows are stretches of equal
+    size, solved together.
 
     Squared-exponential kernel around a line through the samples; the signal's variance is that of what the line leaves,
     less the noise, and a tenth of it at least.
     """
-    mid = t.mean()
+    n = t.shape[1]
+    mid, mean = t.mean(axis=1, keepdims=True), v.mean(axis=1, keepdims=True)
     u, w = t - mid, at - mid
-    slope = float(u @ (v - v.mean()) / (u @ u)) if len(t) > 1 and u @ u > 0 else 0.0
-    rest = v - v.mean() - slope * u
-    power = max(float(rest @ rest) / len(t) - noise, 0.1 * noise, 1e-12)
-    kernel = power * np.exp(-(((u[:, None] - u[None, :]) / length) ** 2) / 2)
-    low = np.linalg.cholesky(kernel + noise * np.eye(len(t)))
-    alpha = np.linalg.solve(low.T, np.linalg.solve(low, rest))
-    d = w[:, None] - u[None, :]
+    uu = (u * u).sum(axis=1, keepdims=True)
+    slope = np.where(uu > 0, (u * (v - mean)).sum(axis=1, keepdims=True) / np.where(uu > 0, uu, 1.0), 0.0)
+    rest = v - mean - slope * u
+    power = np.maximum(np.maximum((rest * rest).sum(axis=1) / n - noise, 0.1 * noise), 1e-12)[:, None, None]
+    kernel = power * np.exp(-(((u[:, :, None] - u[:, None, :]) / length) ** 2) / 2)
+    low = np.linalg.cholesky(kernel + noise * np.eye(n))
+    inverse = np.linalg.solve(low, np.broadcast_to(np.eye(n), low.shape))
+    alpha = np.swapaxes(inverse, 1, 2) @ (inverse @ rest[:, :, None])
+    d = w[:, :, None] - u[:, None, :]
     k0 = power * np.exp(-((d / length) ** 2) / 2)
     k1, k2 = -d / length**2 * k0, (d**2 / length**4 - 1 / length**2) * k0
     prior = (power, power / length**2, 3 * power / length**4)
-    var = [np.maximum(p - (np.linalg.solve(low, k.T) ** 2).sum(axis=0), 0.0) for p, k in zip(prior, (k0, k1, k2), strict=True)]
-    return v.mean() + slope * w + k0 @ alpha, slope + k1 @ alpha, k2 @ alpha, *var
+    var = [np.maximum(p[:, :, 0] - ((k @ np.swapaxes(inverse, 1, 2)) ** 2).sum(axis=2), 0.0) for p, k in zip(prior, (k0, k1, k2), strict=True)]
+    mean_at = [(k @ alpha)[:, :, 0] for k in (k0, k1, k2)]
+    return mean + slope * w + mean_at[0], slope + mean_at[1], mean_at[2], *var
 
 
 def process(velocities: DataFrame, length_s: float = 8.0, noise: float = 0.5, knees: DataFrame | None = None) -> DataFrame:
     """COLUMNS from a Gaussian process over each side of each flight (weight: 0; n: samples that took part).
 
     A side of more than STRETCH samples is solved stretch by stretch, each with its neighbours within HALO length scales,
-    so that no system grows with a flight.
+    so that no system grows with a flight. Stretches of equal size in a batch of flights are solved together.
     """
     rows = _samples(velocities, knees)
 
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["t", "i"])
-        t, v = group.t.to_numpy(), group.v.to_numpy()
-        parts = []
-        for a in range(0, len(t), STRETCH):
-            b = min(a + STRETCH, len(t))
-            x, y = np.searchsorted(t, t[a] - HALO * length_s), np.searchsorted(t, t[b - 1] + HALO * length_s, "right")
-            if y - x < 2:
-                parts.append(np.column_stack([v[a:b], *[np.full(b - a, np.nan)] * 5, np.full(b - a, y - x)]))
-            else:
-                parts.append(np.column_stack([*solved(t[x:y], v[x:y], t[a:b], length_s, noise), np.full(b - a, y - x)]))
-        found = np.concatenate(parts)
-        out = pd.DataFrame(found, columns=["value", "decel", "jerk", "value_var", "decel_var", "jerk_var", "n"])
-        out.insert(0, "t", t)
-        out.insert(0, "i", group.i.to_numpy())
-        out.insert(0, "flight_id", group.flight_id.to_numpy())
-        return out.astype({"n": int}).assign(weight=0.0)
-
-    found = rows.groupBy("flight_id", "side").applyInPandas(fit, "flight_id string, i int, t double, value double, decel double, jerk double, value_var double, decel_var double, jerk_var double, n int, weight double")
-    return found.select("flight_id", "i", "t", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in COLUMNS[3:9]], "n", "weight")
+    def run(batch: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
+        t, v, side = numbers(batch, "t"), numbers(batch, "v"), numbers(batch, "side")
+        starts = np.union1d(starts, np.flatnonzero(side[1:] != side[:-1]) + 1)
+        sizes = np.diff(np.append(starts, len(t)))
+        first = np.concatenate([np.arange(a, a + n, STRETCH) for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)])
+        last = np.minimum(first + STRETCH, np.append(first[1:], len(t)))
+        low, high = first.copy(), last.copy()
+        for k in np.flatnonzero(np.repeat(sizes, -(-sizes // STRETCH)) > STRETCH).tolist():  # only these have neighbours
+            p = np.searchsorted(starts, first[k], "right") - 1
+            own = t[starts[p] : starts[p] + sizes[p]]
+            low[k] = starts[p] + np.searchsorted(own, t[first[k]] - HALO * length_s)
+            high[k] = starts[p] + np.searchsorted(own, t[last[k] - 1] + HALO * length_s, "right")
+        found = np.full((7, len(t)), np.nan)
+        found[6] = np.repeat(high - low, last - first)
+        found[0] = v
+        shapes = (high - low) * (STRETCH + 1) + (last - first)
+        for shape in np.unique(shapes[high - low >= 2]).tolist():
+            same = np.flatnonzero(shapes == shape)
+            n = int(high[same[0]] - low[same[0]])
+            for some in np.array_split(same, -(-len(same) * n * n // BLOCK)):
+                if len(some):
+                    at = first[some, None] + np.arange(last[some[0]] - first[some[0]])
+                    x = low[some, None] + np.arange(n)
+                    for row, values in enumerate(solved(t[x], v[x], t[at], length_s, noise)):
+                        found[row, at] = values
+        made = [pa.array(x, pa.float64(), mask=np.isnan(x)) for x in found[:6]]
+        return pa.RecordBatch.from_arrays([batch["flight_id"], batch["i"], batch["t"], *made, pa.array(found[6].astype(np.int32)), pa.array(np.zeros(len(t)))], names=list(COLUMNS))
+
+    return in_flights(rows, [F.col("side"), F.col("t"), F.col("i")], run, "flight_id string, i int, t double, value double, decel double, jerk double, value_var double, decel_var double, jerk_var double, n int, weight double")
 
 
 def smoothed_derivatives(velocities: DataFrame, method: str = "savgol", window: int = 7, order: int = 3, length_s: float = 8.0, noise: float = 0.5, knees: DataFrame | None = None) -> DataFrame:

@@ -58,3 +58,32 @@ def test_geodesics_in_batches_are_those_of_the_expressions(spark):
         assert [v is None for v in old] == [v is None for v in new]
         assert [v for v in new if v is not None] == pytest.approx([v for v in old if v is not None], rel=1e-11, abs=1e-7)
     assert "ArrowEvalPython" in plan(fusion.project(synth.positions(spark, SF).select("flight_id", "lat", "lon"), synth.flights(spark, SF)))
+
+
+def test_flights_cut_by_batches_stay_whole(spark):
+    import pyarrow as pa
+
+    from wheelmark.functions.flights import in_flights, numbers
+
+    def run(batch, starts):
+        ends = [*starts[1:].tolist(), batch.num_rows]
+        t = numbers(batch, "t")
+        return pa.RecordBatch.from_arrays([batch["flight_id"].take(pa.array(starts)), pa.array([b - a for a, b in zip(starts.tolist(), ends)], pa.int64()), pa.array([bool((np.diff(t[a:b]) > 0).all()) for a, b in zip(starts.tolist(), ends)])], names=["flight_id", "n", "up"])
+
+    rows = spark.range(400).selectExpr("CASE WHEN id < 100 THEN 'a' WHEN id < 103 THEN NULL WHEN id = 103 THEN '' ELSE concat('f', id % 7) END AS flight_id", "CAST(400 - id AS DOUBLE) AS t").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "9")
+    try:
+        found = sorted(((str(r.flight_id), r.n, r.up) for r in in_flights(rows, [F.col("t")], run, "flight_id string, n long, up boolean").collect()), key=str)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    counts = {f"f{k}": sum(i % 7 == k for i in range(104, 400)) for k in range(7)}
+    assert sorted(f"{f} {n}" for f, n, _ in found) == sorted(f"{f} {n}" for f, n in ({"a": 100, "None": 3, "": 1} | counts).items())
+    assert all(up for *_, up in found)
+
+
+@pytest.mark.parametrize("name", ["kinematic_gates", "knee_3seg", "smoothed_process", "clock_offsets", "estimator_imm"])
+def test_no_group_has_a_call_of_its_own(spark, name):
+    import __spark_entry__ as entry
+
+    text = plan(entry.queries()[name](spark, SF))
+    assert "MapInArrow" in text and "FlatMapGroups" not in text and "FlatMapCoGroups" not in text

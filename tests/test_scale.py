@@ -87,3 +87,14 @@ def test_no_group_has_a_call_of_its_own(spark, name):
 
     text = plan(entry.queries()[name](spark, SF))
     assert "MapInArrow" in text and "FlatMapGroups" not in text and "FlatMapCoGroups" not in text
+
+
+def test_local_sums_are_taken_in_batches(spark):
+    v = synth.velocities(spark, SF)
+    assert "MapInArrow" in plan(signals.derivatives(v))
+    rows = spark.createDataFrame([("a", 0, 0.0, 0.0), ("a", 1, 1.0, 3.0), ("a", 2, 1.5, 9.0), ("a", 3, 5.0, 2.0), ("b", 0, 0.0, 5.0), ("b", 1, 2.0, 1.0), ("b", 2, 4.0, 5.0)], "flight_id string, seq int, t double, gs_kt double")
+    found = {(r.flight_id, r.i): r for r in signals.derivatives(rows, 3).collect()}
+    assert {k: r.n for k, r in found.items()} == {(f, i): 3 for f, m in (("a", 4), ("b", 3)) for i in range(m)}
+    assert found["b", 1].jerk == pytest.approx(2 * 1852 / 3600) and found["b", 1].decel == pytest.approx(0)
+    three = np.polyfit(np.array([0.0, 1.0, 1.5]) - 1.0, np.array([0.0, 3.0, 9.0]) * 1852 / 3600, 2)
+    assert (found["a", 1].jerk, found["a", 1].decel) == pytest.approx((2 * three[0], three[1]))

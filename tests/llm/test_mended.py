@@ -173,3 +173,25 @@ def test_grids_of_near_duplicates_lose_no_link(spark, monkeypatch):
                 if edges is links:
                     got = own
             assert got == own and links <= want, block
+
+
+def test_grams_of_few_documents_are_picked_before_they_are_sorted(monkeypatch):
+    """Codes of no interest are ruled out first; what is left is each document's own, once."""
+    import numpy as np
+    import pyarrow as pa
+
+    from wheelmark.llm import toxicity
+
+    texts = ["some vile words here, vile words", "some words", "", "vile words and more words", "n\u00e4r vile"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    every = list(toxicity.grams_by_document([batch]))
+    wanted = np.unique(np.concatenate(every))[::3]
+    sizes = []
+    real = toxicity.mixed
+    monkeypatch.setattr(toxicity, "mixed", lambda x: sizes.append(len(x)) or real(x))
+    own = list(toxicity.grams_by_document([batch], wanted))
+    assert [sorted(x) for x in own] == [sorted(x[np.isin(x, wanted)]) for x in every] and min(sizes) < 40
+    codes = np.random.default_rng(1).integers(0, 2**64, 5000, np.uint64)
+    some = np.sort(codes[::7])
+    assert toxicity.among(codes, some).tolist() == np.flatnonzero(np.isin(codes, some)).tolist()
+    assert toxicity.among(codes, some[:0]).tolist() == []

@@ -133,3 +133,12 @@ def test_clock_rule(spark):
     got = {r.flight_id: (r.quality, r.excluded, r.drift_exceeded) for r in validation.judged(facts).collect()}
     assert got == {"a": ("good", False, False), "b": ("failed", True, False), "c": ("degraded", False, False), "d": ("degraded", True, True), "e": ("failed", True, False), "f": ("good", False, False)}
     assert validation.judged(facts).where(F.col("excluded") != F.col("reason").isNotNull()).isEmpty()
+
+
+def test_calibration_estimates_its_flights_once_and_no_others(spark, monkeypatch):
+    seen = []
+    real = plans._estimated
+    monkeypatch.setattr(plans, "_estimated", lambda *a: seen.append(a) or real(*a))
+    made = plans.milestone_fit(plans.Landing.synthetic(spark, SMALL), ("decel_knee", "glrt"))
+    assert len(seen) == 1 and made["state"].where("kind = 'stacking'").count() == 2
+    assert made["ids"].join(made["calibrated_on"], "flight_id").count() == 0

@@ -98,3 +98,14 @@ def test_local_sums_are_taken_in_batches(spark):
     assert found["b", 1].jerk == pytest.approx(2 * 1852 / 3600) and found["b", 1].decel == pytest.approx(0)
     three = np.polyfit(np.array([0.0, 1.0, 1.5]) - 1.0, np.array([0.0, 3.0, 9.0]) * 1852 / 3600, 2)
     assert (found["a", 1].jerk, found["a", 1].decel) == pytest.approx((2 * three[0], three[1]))
+
+
+def test_skip_cascade_makes_no_row_for_each_column(spark):
+    from wheelmark.sources import raw, readers
+
+    made = plan(readers.flights_of(raw.adsb(spark, SF), raw.runways(spark, SF)))
+    assert "Expand" not in made
+    assert raw.adsb(spark, SF).rdd.getNumPartitions() == 4  # one file, and several tasks
+    rows = raw.adsb(spark, SF).where("flight_id = 'F00000001'").drop("landing_latitude", "lda_day").selectExpr("*", "CASE WHEN input_pos % 10 = 0 THEN NULL WHEN input_pos % 10 = 1 THEN -0e0 ELSE 0e0 END AS landing_latitude", "CAST(input_pos % 10 AS DOUBLE) AS lda_day")
+    found = readers.flights_of(rows, raw.runways(spark, SF)).first()
+    assert (found.skip_reason, found.skip_detail) == ("inconsistent_per_flight_constant", "lda_day")

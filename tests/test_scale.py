@@ -109,3 +109,30 @@ def test_skip_cascade_makes_no_row_for_each_column(spark):
     rows = raw.adsb(spark, SF).where("flight_id = 'F00000001'").drop("landing_latitude", "lda_day").selectExpr("*", "CASE WHEN input_pos % 10 = 0 THEN NULL WHEN input_pos % 10 = 1 THEN -0e0 ELSE 0e0 END AS landing_latitude", "CAST(input_pos % 10 AS DOUBLE) AS lda_day")
     found = readers.flights_of(rows, raw.runways(spark, SF)).first()
     assert (found.skip_reason, found.skip_detail) == ("inconsistent_per_flight_constant", "lda_day")
+
+
+def test_what_change_points_start_from_is_made_once(spark, monkeypatch):
+    from wheelmark.operators import estimators
+    from wheelmark.plans.landing import Landing
+
+    made = []
+    own = estimators.signal
+    monkeypatch.setattr(estimators, "signal", lambda v: made.append(v) or own(v))
+    rows = Landing.synthetic(spark, SF).estimates(("glrt", "cusum", "pelt", "jerk_onset"))
+    assert len(made) == 1 and rows.count() == 4 * synth.flights(spark, SF).count()
+
+
+def test_changes_of_flights_side_by_side_are_those_of_each(monkeypatch):
+    from wheelmark.operators import estimators
+
+    random = np.random.default_rng(3)
+    for n in (4, 5, 21, 60):
+        x = random.normal(size=(30, n)) + np.where(np.arange(n) > n // 2, 3.0, 0.0) * random.integers(0, 2, (30, 1))
+        penalty = random.uniform(0.5, 6.0, 30)
+        last = estimators.last_changes(x, penalty)
+        for f in range(30):
+            cuts, at = [], last[f, n]
+            while at > 0:
+                cuts.append(int(at))
+                at = last[f, at]
+            assert cuts[::-1] == estimators.optimal_cuts(x[f], float(penalty[f]))

@@ -136,3 +136,13 @@ def test_changes_of_flights_side_by_side_are_those_of_each(monkeypatch):
                 cuts.append(int(at))
                 at = last[f, at]
             assert cuts[::-1] == estimators.optimal_cuts(x[f], float(penalty[f]))
+
+
+def test_few_queries_look_through_their_flights_samples(spark):
+    from wheelmark.operators import timebase
+
+    assert "Window" not in plan(timebase.position_at(synth.positions(spark, SF), synth.velocities(spark, SF), synth.flights(spark, SF).selectExpr("flight_id", "t_true AS q"), few=True))
+    samples = spark.createDataFrame([("a", 0, 1.0, 5.0), ("a", 1, 2.0, None), ("a", 2, 2.0, 7.0), ("a", 3, None, 9.0), ("b", 0, None, 1.0), ("d", 0, 4.0, 1.0)], "flight_id string, seq int, t double, y double")
+    at = spark.createDataFrame([(f, q, i) for f in "abcd" for i, q in enumerate((None, 0.5, 1.0, 1.5, 2.0, 2.5, 4.0))], "flight_id string, q double, k int")
+    rows = lambda few: sorted(map(repr, timebase.bracket(samples, at, ["y"], few=few).collect()))
+    assert rows(True) == rows(False) and len(rows(True)) == 28

@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wheelmark.llm.shared import LOWERED, UPPER, chunks, field, mixed, picked, pieces, token_hashes, written
+from wheelmark.llm.shared import LOWERED, UPPER, chunks, field, lanes, mixed, picked, pieces, token_hashes, written
 
 #: Bytes of a window, and from one window's start to the next one's.
 WIDTH, STRIDE = 24, 8
@@ -115,13 +115,21 @@ class Scorer:
     def savings(self, text: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Bytes saved on each window, whatever it holds."""
         out = np.zeros(len(starts), np.int64)
-        for at in range(0, len(starts), TOGETHER):
-            part = slice(at, at + TOGETHER)
-            whole = [BEFORE + text[a:b] + BEHIND for a, b in zip(starts[part].tolist(), ends[part].tolist(), strict=True)]
-            first, second = (_lengths(c, whole) for c in self.light)
-            out[part] = first - second
+        eight = lanes(np.frombuffer(text, np.uint8))
+        full = ends - starts == WIDTH
+        short = np.flatnonzero(~full)
+        if len(short):
+            out[short] = self._saved([BEFORE + text[a:b] + BEHIND for a, b in zip(starts[short].tolist(), ends[short].tolist(), strict=True)])
+        whole = np.flatnonzero(full)
+        for first in range(0, len(whole), TOGETHER):
+            part = whole[first : first + TOGETHER]
+            out[part] = self._saved(_framed(eight[starts[part][:, None] + np.arange(0, WIDTH, 8)]))
         return out
 
+    def _saved(self, inputs) -> np.ndarray:
+        first, second = (_lengths(c, inputs) for c in self.light)
+        return first - second
+
     def deep(self, data: np.ndarray, text: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Bytes saved on windows with a telling piece (GRAM bytes that only the toxic dictionary has); 0 for others."""
         codes, out = grams(data), np.zeros(len(starts), np.int64)
@@ -148,8 +156,20 @@ def _compressor(content: bytes, level: int, shared: bool) -> zstandard.ZstdCompr
     return zstandard.ZstdCompressor(dict_data=dictionary, level=level, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
-def _lengths(compressor: zstandard.ZstdCompressor, inputs: list[bytes]) -> np.ndarray:
-    """Compressed lengths of many short inputs, by one call where the library has it."""
+def _framed(window: np.ndarray):
+    """Whole windows (of eight bytes each, side by side) between BEFORE and BEHIND, as ``_lengths`` takes them."""
+    size = len(BEFORE) + WIDTH + len(BEHIND)
+    rows = np.empty((len(window), size), np.uint8)
+    rows[:, : len(BEFORE)], rows[:, -len(BEHIND) :] = np.frombuffer(BEFORE, np.uint8), np.frombuffer(BEHIND, np.uint8)
+    rows[:, len(BEFORE) : len(BEFORE) + WIDTH] = np.ascontiguousarray(window).view(np.uint8)
+    if not hasattr(zstandard, "BufferWithSegments"):
+        return [row.tobytes() for row in rows]
+    at = np.stack([np.arange(len(rows)) * size, np.full(len(rows), size)], axis=1).astype(np.uint64)
+    return zstandard.BufferWithSegments(rows.tobytes(), at.tobytes())
+
+
+def _lengths(compressor: zstandard.ZstdCompressor, inputs) -> np.ndarray:
+    """Compressed lengths of many short inputs (bytes, or segments of a buffer), by one call where the library has it."""
     if hasattr(compressor, "multi_compress_to_buffer"):
         return np.fromiter(map(len, compressor.multi_compress_to_buffer(inputs)), np.int64, len(inputs))
     return np.fromiter((len(compressor.compress(x)) for x in inputs), np.int64, len(inputs))
@@ -167,7 +187,10 @@ def counted(data: np.ndarray, offsets: np.ndarray, ordinary: bytes, toxic: bytes
     own, low = _SCORERS[ordinary, toxic], LOWERED[data]
     text = low.tobytes()
     starts, ends, rows = windows(offsets)
-    every, saved = own.savings(text, starts, ends), own.deep(low, text, starts, ends)
+    # What saves something at the high level is no plain hit, whatever it saves at the low one.
+    saved, every = own.deep(low, text, starts, ends), np.zeros(len(starts), np.int64)
+    rest = np.flatnonzero(saved == 0)
+    every[rest] = own.savings(text, starts[rest], ends[rest])
     sums = [np.concatenate([[0], np.cumsum(x)]) for x in (*(saved >= k for k in SAVINGS), (saved == 0) & (every >= PLAIN))]
     return np.stack([np.diff(rows), *(s[rows[1:]] - s[rows[:-1]] for s in sums)], axis=1)
 

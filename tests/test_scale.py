@@ -146,3 +146,13 @@ def test_few_queries_look_through_their_flights_samples(spark):
     at = spark.createDataFrame([(f, q, i) for f in "abcd" for i, q in enumerate((None, 0.5, 1.0, 1.5, 2.0, 2.5, 4.0))], "flight_id string, q double, k int")
     rows = lambda few: sorted(map(repr, timebase.bracket(samples, at, ["y"], few=few).collect()))
     assert rows(True) == rows(False) and len(rows(True)) == 28
+
+
+def test_runways_are_not_sent_through_the_driver(spark):
+    # Small by Spark's estimate; there is one for each flight all the same.
+    text = plan(fusion.project(synth.positions(spark, SF), synth.flights(spark, SF)))
+    assert "Broadcast" not in text and text.count("REPARTITION_BY_NUM") == 1 and "SortMergeJoin" in text
+    rows = spark.createDataFrame([("a", 50.0, 8.0), ("a", None, 8.0), ("b", 50.0, 8.001), ("c", 1.0, 1.0), (None, 1.0, 1.0)], "flight_id string, lat double, lon double")
+    runways = spark.createDataFrame([("a", 50.0, 8.0, 90.0), ("b", 50.0, 8.0, 90.0), ("d", 0.0, 0.0, 0.0), (None, 1.0, 1.0, 0.0)], "flight_id string, thr_lat double, thr_lon double, heading double")
+    found = sorted((r.flight_id, r.lat is None, None if r.p_along is None else round(r.p_along, 1)) for r in fusion.project(rows, runways).collect())
+    assert [x[:2] for x in found] == [("a", False), ("a", True), ("b", False)] and found[0][2] == 0.0 and found[1][2] is None and found[2][2] == pytest.approx(71.7, abs=0.1)

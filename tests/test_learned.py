@@ -175,3 +175,33 @@ def test_quantiles_of_shares_are_exact_and_passes_do_not_shuffle(spark):
         spark.sparkContext.setJobGroup("", "")
     # Two passes for a tree's levels and two for its leaves, each a job of one stage.
     assert sum(n == 1 for n in stages) >= 24 and sum(n > 1 for n in stages) < 12
+
+
+def test_edges_are_exact_and_shares_change_nothing(spark, monkeypatch):
+    a, b, c, y = rows_of(900)
+    a[1::50], a[2::50] = -0.0, -1e300
+    fit = lambda parts: boosting.fit(frame(spark, a, b, c, y).repartition(parts), ["a", "b", "c"], "y", ["c"], trees=3, depth=3)
+    model = fit(1)
+    for x, edge in zip((a, b), model.edges[:2], strict=True):
+        known = np.sort(x[~np.isnan(x)])
+        assert edge.tolist() == np.unique(known[(len(known) - 1) * np.arange(1, boosting.BINS - 1) // (boosting.BINS - 1)]).tolist()
+    assert model.start == pytest.approx([np.quantile(y, q) for q in model.quantiles], abs=1e-12)
+    monkeypatch.setattr(boosting, "SHARE", 100)
+    monkeypatch.setattr(boosting, "LEAST_SHARE", 100)
+    other = fit(7)
+    assert all(np.array_equal(x, z) for x, z in zip(model.edges, other.edges, strict=True)) and model.start == other.start
+    for one, two in zip(model.trees, other.trees, strict=True):
+        assert all(np.array_equal(s.feature, t.feature) and np.array_equal(s.left, t.left) and np.array_equal(s.value, t.value) for s, t in zip(one, two, strict=True))
+    assert [e.tolist() for e in boosting.fit(frame(spark, a, b, c, y).limit(0), ["a", "b", "c"], "y", ["c"], trees=1).edges] == [[], [], []]
+
+
+def test_models_are_fitted_on_every_flight(spark, monkeypatch):
+    """More flights than the sample had that models were once fitted on."""
+    seen = {}
+    flights = spark.range(0, 64_000, 1, 4).selectExpr("concat('f', id) AS flight_id", "'completed' AS kind", "CAST(id % 7 AS DOUBLE) AS t_true")
+    want = flights.where(~learned._held_out()).count()
+    assert 50_000 < want < 64_000
+    own = boosting.fit
+    monkeypatch.setattr(boosting, "fit", lambda rows, *a, **k: seen.update(trees=rows.count()) or own(rows.limit(50), *a, **k | {"trees": 1}))
+    features = flights.selectExpr("flight_id", "t_true AS target", *[f"CAST(pmod(xxhash64(flight_id), 11) AS DOUBLE) AS {c}" for c in learned.FEATURES])
+    assert learned.boosted(features, "target").count() == 64_000 and seen["trees"] == want

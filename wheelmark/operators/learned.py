@@ -97,10 +97,10 @@ CATEGORIES = ["type_code", "source_code"]
 
 def boosted(features: DataFrame, target: str, **options) -> DataFrame | None:
     """``features`` with ``ends`` (the 0.05, 0.5 and 0.95 quantiles of ``target``, in order) and ``crossed``: three
-    boosters, fitted on TRAIN_ROWS flights at most that have a target and are not held out; None where they are too few.
+    boosters, fitted on all flights that have a target and are not held out; None where they are too few.
     """
     rows = kept(features, "features")
-    train = kept(_sample(rows.where(F.col(target).isNotNull() & ~_held_out()), TRAIN_ROWS), "training")
+    train = rows.where(F.col(target).isNotNull() & ~_held_out())
     if train.count() < LEAST_ROWS:
         return None
     model = boosting.fit(train, list(FEATURES), target, CATEGORIES, **{"trees": 60, "least": 10} | options)

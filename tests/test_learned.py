@@ -205,3 +205,48 @@ def test_models_are_fitted_on_every_flight(spark, monkeypatch):
     monkeypatch.setattr(boosting, "fit", lambda rows, *a, **k: seen.update(trees=rows.count()) or own(rows.limit(50), *a, **k | {"trees": 1}))
     features = flights.selectExpr("flight_id", "t_true AS target", *[f"CAST(pmod(xxhash64(flight_id), 11) AS DOUBLE) AS {c}" for c in learned.FEATURES])
     assert learned.boosted(features, "target").count() == 64_000 and seen["trees"] == want
+
+
+def test_sequence_model_is_fitted_on_every_flight(spark, monkeypatch):
+    seen = {}
+    flights = spark.range(0, 64_000, 1, 4).selectExpr("concat('f', id) AS flight_id", "'completed' AS kind", "50e0 AS t_true")
+    want = flights.where(~learned._held_out()).count()
+    assert 50_000 < want
+    monkeypatch.setattr(softmax, "fit", lambda rows, inputs, *a, **k: (np.zeros((1, inputs.size)), [seen.update(n=rows.count())]))
+    names = [c for c, _ in learned.SEQUENCE_INPUTS.channels]
+    rows = flights.selectExpr("flight_id", "explode(sequence(0, 1)) AS i").selectExpr("flight_id", "i", "50e0 + i AS t", *[f"CAST(i AS DOUBLE) AS {c}" for c in names])
+    assert learned.sequence_model(flights, rows)[0].count() == 64_000 and seen["n"] == want
+
+
+def test_surroundings_of_samples(spark, monkeypatch):
+    """Against windows over the samples, with nulls, flights of one sample, and flights that a block cuts between."""
+    from pyspark.sql import Window
+
+    rng = np.random.default_rng(4)
+    made = [(f"f{f}", i, 10.0 * i, None if rng.random() < 0.2 else float(rng.normal(70, 9)), None if f == 3 else float(i % 3)) for f, n in enumerate((1, 5, 9, 4, 2)) for i in range(n)]
+    rows = spark.createDataFrame(made, "flight_id string, i int, t double, a double, b double").repartition(3)
+    inputs = softmax.Inputs((("a", (-3, -1, 0, 2)), ("b", (0, 1))))
+    flights = softmax.by_flight(rows, inputs)
+    order = Window.partitionBy("flight_id").orderBy("i")
+    beside = [F.col(c) if not k else F.coalesce((F.lag if k < 0 else F.lead)(c, abs(k)).over(order), F.col(c)) for c, offsets in inputs.channels for k in offsets]
+    want = {(r.flight_id, r.i): np.array(r.x, float) for r in rows.select("flight_id", "i", F.array(*beside).alias("x")).collect()}
+    every = np.array(list(want.values()))
+    means, widths = np.nanmean(every, axis=0), np.nanstd(every, axis=0)
+    told = []
+    for size in (1 << 14, 6):
+        monkeypatch.setattr(softmax, "BLOCK", size)
+        found = inputs.measured(flights)
+        assert found.means == pytest.approx(means) and found.widths == pytest.approx(widths)
+        parts = list(softmax.blocks(flights.toArrow().to_batches()))
+        assert size > 6 or len(parts) > 2
+        for batch, sizes in parts:
+            x, at = found.vectors(batch, sizes), 0
+            for f, n in zip(batch["flight_id"].to_pylist(), sizes.tolist(), strict=True):
+                z = np.nan_to_num(np.clip((np.array([want[f, i] for i in range(n)]) - means) / widths, -4, 4))
+                assert np.allclose(x[at : at + n], np.column_stack([z, z * z]))
+                at += n
+        labelled = softmax.soft_labels(flights, rows.groupBy("flight_id").agg(F.max("t").alias("t_true")), 5.0).withColumn("often", F.array(F.lit(1.0), F.lit(2.0))).drop("flight_id")
+        told.append(softmax.evaluated(labelled, found, np.linspace(-1, 1, 2 * found.size).reshape(2, -1), np.arange(2)))
+    assert all(np.allclose(x, y) for x, y in zip(*told, strict=True)) and told[0][2].tolist() == [5.0, 10.0]
+    empty = inputs.measured(flights.limit(0))
+    assert empty.means == (0.0,) * 6 and empty.widths == (1.0,) * 6

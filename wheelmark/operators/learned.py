@@ -78,20 +78,14 @@ FEATURE_SQL = f"""SELECT f.flight_id, {rounded('v.hi', 4)} AS gs_max, {rounded('
   JOIN (SELECT flight_id, count(*) AS n, count(geo_alt) AS g, quantile_cont(s, 0.5) AS dt FROM (SELECT *, t - lag(t) OVER (PARTITION BY flight_id ORDER BY t, seq) AS s FROM pos) GROUP BY flight_id) p ON f.flight_id = p.flight_id"""
 
 OUT = ("flight_id", "method", "t_td", "sigma_t", "confidence", "reason_code")
-#: Flights that a model is fitted on, at most, and the least it takes.
-TRAIN_ROWS, LEAST_ROWS = 50_000, 5
+#: Flights that a model is fitted on, at least.
+LEAST_ROWS = 5
 
 
 def _held_out(column: str = "flight_id"):
     return F.pmod(F.xxhash64(column), F.lit(5)) == 0
 
 
-def _sample(rows: DataFrame, most: int) -> DataFrame:
-    """About ``most`` of the rows at most, whole flights, chosen by a hash of the flight's id: the same at every run."""
-    share = int(1_000_000 * min(1.0, most / max(rows.count(), 1)))
-    return rows.where(F.pmod(F.xxhash64(F.lit("train"), "flight_id"), F.lit(1_000_000)) < share)
-
-
 CATEGORIES = ["type_code", "source_code"]
 
 
@@ -161,17 +155,16 @@ MEMBERS = (11, 12, 13, 14, 15)
 
 def sequence_model(flights: DataFrame, rows: DataFrame, label_sigma_s: float = 2.5, seeds: tuple[int, ...] = MEMBERS, steps: int = 40) -> tuple[DataFrame, list]:
     """Distributions over the samples of ``rows`` (see ``channels.sequence_input``): softmax.predict's rows for all their
-    flights, and the members' losses. Fitted on TRAIN_ROWS flights at most, those with a true time that aren't held out.
+    flights, and the members' losses. Fitted on all flights with a true time that aren't held out.
     """
     truth = flights.where("kind = 'completed'").select("flight_id", "t_true")
-    shifted = kept(SEQUENCE_INPUTS.shifted(rows), "sequence")
-    inputs = SEQUENCE_INPUTS.measured(shifted)
-    every = kept(softmax.by_flight(shifted, inputs), "sequence_flights")
-    train = kept(softmax.soft_labels(_sample(every.where(~_held_out()), TRAIN_ROWS), truth, label_sigma_s), "sequence_training")
+    every = kept(softmax.by_flight(rows, SEQUENCE_INPUTS), "sequence_flights")
+    inputs = SEQUENCE_INPUTS.measured(every)
+    train = kept(softmax.soft_labels(every.where(~_held_out()), truth, label_sigma_s), "sequence_training")
     if train.count() < LEAST_ROWS:
-        return softmax.predict(every, np.zeros((1, inputs.size))).where("false"), []
-    weights, seen = softmax.fit(train, inputs.size, seeds, steps)
-    return softmax.predict(every, weights), seen
+        return softmax.predict(every, inputs, np.zeros((1, inputs.size))).where("false"), []
+    weights, seen = softmax.fit(train, inputs, seeds, steps)
+    return softmax.predict(every, inputs, weights), seen
 
 
 def sequence(flights: DataFrame, positions: DataFrame, velocities: DataFrame, label_sigma_s: float = 2.5) -> DataFrame:

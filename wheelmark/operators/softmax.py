@@ -1,7 +1,8 @@
 """A distribution over each flight's samples: a softmax of scores, trained by cross-entropy against soft labels.
 
-Training rows hold one flight each: its samples' inputs and labels as arrays, so that the normaliser never leaves a row.
-A step is one aggregation: tasks work out, for several candidate weights of each ensemble member at once, the loss and its
+Every flight with a label counts. Rows hold one flight each: its samples' channels and labels as arrays, so that the
+normaliser never leaves a row; what a sample's surroundings are is worked out from them in each pass, some flights at a
+time. A step is one aggregation: tasks work out, for several candidate weights of each ensemble member at once, the loss and its
 gradient over their flights; Spark adds them up, and the driver, which holds weights alone, takes the best candidate and
 finds the next direction (limited-memory BFGS). Only a candidate with a smaller loss is taken, so that the loss falls
 with each step. Members differ by how often each flight counts: Poisson weights by a seeded hash of its id.
@@ -17,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Samples whose surroundings a task holds at once, unless one flight has more.
+BLOCK = 1 << 14
 #: Shares of the step that are tried at once, steps that the direction remembers, and the ridge on weights.
 STEPS, MEMORY, RIDGE = (1.0, 0.3, 0.05), 8, 1e-3
 #: Cumulated probabilities of a Poisson number with mean 1.
@@ -31,38 +34,87 @@ class Inputs:
     means: tuple[float, ...] = ()
     widths: tuple[float, ...] = ()
 
-    def columns(self) -> list[str]:
-        return [f"{c}_{k + 50}" for c, offsets in self.channels for k in offsets]
-
-    def shifted(self, rows: DataFrame) -> DataFrame:
-        """flight_id, i, t and the channels at their offsets; beyond a flight's ends the end's value stands."""
-        order = Window.partitionBy("flight_id").orderBy("i")
-        moved = [(F.col(c) if not k else F.coalesce((F.lag if k < 0 else F.lead)(c, abs(k)).over(order), F.col(c))).cast("double").alias(f"{c}_{k + 50}") for c, offsets in self.channels for k in offsets]
-        return rows.select("flight_id", "i", "t", *moved)
-
-    def measured(self, shifted: DataFrame) -> Inputs:
-        found = shifted.agg(*[f(c).alias(f"{n}_{c}") for c in self.columns() for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
-        return Inputs(self.channels, tuple(found[f"m_{c}"] or 0.0 for c in self.columns()), tuple(found[f"s_{c}"] or 1.0 for c in self.columns()))
-
-    def vector(self):
-        """An array column: standardised values (null: 0, beyond four widths held there), their squares, and 1."""
-        z = [F.coalesce(F.greatest(F.least((F.col(c) - m) / (s if s > 1e-9 else 1.0), F.lit(4.0)), F.lit(-4.0)), F.lit(0.0)) for c, m, s in zip(self.columns(), self.means, self.widths, strict=True)]
-        return F.array(*z, *[x * x for x in z])
-
     @property
     def size(self) -> int:
-        return 2 * len(self.columns())
-
-
-def by_flight(shifted: DataFrame, inputs: Inputs) -> DataFrame:
-    """flight_id, t (array), x (array of arrays): one row for each flight, samples in order."""
-    rows = shifted.select("flight_id", F.struct("i", "t", inputs.vector().alias("x")).alias("s"))
-    return rows.groupBy("flight_id").agg(F.array_sort(F.collect_list("s")).alias("s")).select("flight_id", F.col("s.t").alias("t"), F.col("s.x").alias("x"))
+        return 2 * sum(len(offsets) for _, offsets in self.channels)
+
+    def shifted(self, batch: pa.RecordBatch, sizes: np.ndarray) -> np.ndarray:
+        """(channels at their offsets) x samples, NaN for null: beyond a flight's ends, and for null, the sample's own value."""
+        ends = np.cumsum(sizes)
+        first, last, at = np.repeat(ends - sizes, sizes), np.repeat(ends, sizes), np.arange(ends[-1])
+        inside = {k: (at + k >= first) & (at + k < last) for k in {k for _, offsets in self.channels for k in offsets}}
+        out = np.empty((self.size // 2, len(at)))
+        for row, (name, k) in zip(out, [(c, k) for c, offsets in self.channels for k in offsets], strict=True):
+            own = batch[name].flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+            row[:] = own
+            if k:
+                beside = np.roll(own, -k)
+                np.copyto(row, beside, where=inside[k] & ~np.isnan(beside))
+        return out
+
+    def measured(self, flights: DataFrame) -> Inputs:
+        """With the mean and the width of each channel at each offset over all samples."""
+        half = self.size // 2
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((3, half))
+            for batch, sizes in blocks(batches):
+                x = self.shifted(batch, sizes)
+                known = ~np.isnan(x)
+                n = known.sum(axis=1)
+                mean = np.where(known, x, 0.0).sum(axis=1) / np.maximum(n, 1)
+                total = joined(total, np.stack([n, mean, (np.where(known, x - mean[:, None], 0.0) ** 2).sum(axis=1)]))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in total], names=["n", "mean", "squares"])
+
+        found, total = flights.mapInArrow(run, "n double, mean double, squares double").collect(), np.zeros((3, half))
+        for k in range(0, len(found), half):
+            total = joined(total, np.array(found[k : k + half]).T)
+        widths = np.sqrt(total[2] / np.maximum(total[0], 1))
+        return Inputs(self.channels, tuple(total[1].tolist()), tuple(np.where(widths > 1e-9, widths, 1.0).tolist()))
+
+    def vectors(self, batch: pa.RecordBatch, sizes: np.ndarray) -> np.ndarray:
+        """samples x size: standardised values (null: 0, beyond four widths held there) and their squares."""
+        z = self.shifted(batch, sizes)
+        z -= np.array(self.means)[:, None]
+        z /= np.array(self.widths)[:, None]
+        np.nan_to_num(np.clip(z, -4.0, 4.0, out=z), copy=False, nan=0.0)
+        return np.concatenate([z, z * z]).T
+
+
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Counts, means and sums of squares around them (rows) of two sets as those of both."""
+    n = np.maximum(a[0] + b[0], 1)
+    off = b[1] - a[1]
+    return np.stack([a[0] + b[0], a[1] + off * b[0] / n, a[2] + b[2] + off * off * a[0] * b[0] / n])
+
+
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """The batches' flights with samples, BLOCK samples at a time (one flight at least), and how many samples each has."""
+    for batch in batches:
+        ends = np.cumsum(np.asarray(batch["t"].value_lengths().fill_null(0)))
+        at = 0
+        while at < len(ends):
+            before = ends[at - 1] if at else 0
+            to = max(int(np.searchsorted(ends, before + BLOCK, "right")), at + 1)
+            sizes = np.diff(ends[at:to], prepend=before)
+            part, at = batch.slice(at, to - at), to
+            if not sizes.all():
+                part, sizes = part.filter(pa.array(sizes > 0)), sizes[sizes > 0]
+            if len(sizes):
+                yield part, sizes
+
+
+def by_flight(rows: DataFrame, inputs: Inputs) -> DataFrame:
+    """flight_id, t and the channels, each an array: one row for each flight, samples in order."""
+    names = [c for c, _ in inputs.channels]
+    samples = rows.select("flight_id", F.struct("i", "t", *[F.col(c).cast("double").alias(c) for c in names]).alias("s"))
+    return samples.groupBy("flight_id").agg(F.array_sort(F.collect_list("s")).alias("s")).select("flight_id", *[F.col(f"s.{c}").alias(c) for c in ("t", *names)])
 
 
 def soft_labels(flights: DataFrame, truth: DataFrame, sigma_s: float) -> DataFrame:
     """Adds y: a normal curve around the true time (flight_id, t_true), normalised over the flight's samples."""
-    rows = flights.join(truth.where("t_true IS NOT NULL"), "flight_id")
+    # A row for each flight is too much to be broadcast, however small Spark takes it to be.
+    rows = flights.join(truth.where("t_true IS NOT NULL").hint("merge"), "flight_id")
     # The nearest sample's exponent is taken off first, so that one sample always counts.
     rows = rows.withColumn("e", F.expr(f"transform(t, u -> pow((u - t_true) / {float(sigma_s)}, 2) / 2e0)")).withColumn("e", F.expr("transform(e, v -> exp(array_min(e) - v))"))
     return rows.withColumn("y", F.expr("transform(e, v -> v / aggregate(e, 0e0, (a, b) -> a + b))")).drop("e", "t_true")
@@ -93,25 +145,16 @@ def often(seed: int):
     return out.cast("double")
 
 
-def _arrays(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Inputs of all samples of the batch, and the flights' sizes."""
-    sizes = np.asarray(batch["t"].value_lengths())
-    return batch["x"].flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, size), sizes
-
-
-def evaluated(rows: DataFrame, weights: np.ndarray, member: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Losses, gradients and total counts of all models in one aggregation over ``rows`` (x, y, t, often)."""
-    models = len(weights)
+def evaluated(rows: DataFrame, inputs: Inputs, weights: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Losses, gradients and total counts of all models in one aggregation over ``rows`` (t, the channels, y, often)."""
+    models, size = len(weights), inputs.size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((models, size + 2))
-        for batch in batches:
-            if not len(batch):
-                continue
-            x, sizes = _arrays(batch, size)
+        for batch, sizes in blocks(batches):
             y = batch["y"].flatten().to_numpy(zero_copy_only=False)
             counts = batch["often"].flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)[:, member]
-            loss, gradient = losses(x, y, sizes, weights, counts)
+            loss, gradient = losses(inputs.vectors(batch, sizes), y, sizes, weights, counts)
             total += np.column_stack([loss, counts.sum(axis=0), gradient])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["k", "v"])
 
@@ -137,12 +180,13 @@ def direction(gradient: np.ndarray, history: list[tuple[np.ndarray, np.ndarray]]
     return -q
 
 
-def fit(rows: DataFrame, size: int, seeds: tuple[int, ...], steps: int = 40, ridge: float = RIDGE) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Weights of each member, and its losses step by step. ``rows`` (flight_id, t, x, y) are read once a step."""
-    rows = rows.withColumn("often", F.array(*[often(s) for s in seeds])).select("t", "x", "y", "often")
-    members = len(seeds)
+def fit(rows: DataFrame, inputs: Inputs, seeds: tuple[int, ...], steps: int = 40, ridge: float = RIDGE) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Weights of each member, and its losses step by step. ``rows`` (``by_flight`` with ``soft_labels``) are read once a
+    step, all of them."""
+    rows = rows.withColumn("often", F.array(*[often(s) for s in seeds])).drop("flight_id")
+    members, size = len(seeds), inputs.size
     at = np.stack([np.random.default_rng(s).normal(0, 0.01, size) for s in seeds])
-    loss, gradient, n = evaluated(rows, at, np.arange(members), size)
+    loss, gradient, n = evaluated(rows, inputs, at, np.arange(members))
     n = np.maximum(n, 1)
     with_ridge = lambda w, x, g, m: (x / n[m] + ridge / 2 * (w * w).sum(axis=1), g / n[m][:, None] + ridge * w)
     loss, gradient = with_ridge(at, loss, gradient, np.arange(members))
@@ -157,7 +201,7 @@ def fit(rows: DataFrame, size: int, seeds: tuple[int, ...], steps: int = 40, rid
             ways = {m: w / max(np.linalg.norm(w), 1e-12) for m, w in ways.items()}
         tried = np.concatenate([[at[m] + s * ways[m] for s in STEPS] for m in which])
         member = np.repeat(which, len(STEPS))
-        found = with_ridge(tried, *evaluated(rows, tried, member, size)[:2], member)
+        found = with_ridge(tried, *evaluated(rows, inputs, tried, member)[:2], member)
         for k, m in enumerate(which):
             own = slice(k * len(STEPS), (k + 1) * len(STEPS))
             best = k * len(STEPS) + int(np.argmin(found[0][own]))
@@ -172,20 +216,16 @@ def fit(rows: DataFrame, size: int, seeds: tuple[int, ...], steps: int = 40, rid
     return at, seen
 
 
-def predict(flights: DataFrame, weights: np.ndarray) -> DataFrame:
+def predict(flights: DataFrame, inputs: Inputs, weights: np.ndarray) -> DataFrame:
     """flight_id, n (samples), t_td (the mean of the members' mean distribution) and sigma_t (that distribution's width,
     and the spread between the members' means)."""
-    size = weights.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            x, sizes = _arrays(batch, size)
-            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        for batch, sizes in blocks(batches):
+            starts = np.cumsum(sizes) - sizes
             t = batch["t"].flatten().to_numpy(zero_copy_only=False)
             u = t - np.repeat(t[starts], sizes)
-            p = softmax(x @ weights.T, starts, sizes)
+            p = softmax(inputs.vectors(batch, sizes) @ weights.T, starts, sizes)
             mean = np.add.reduceat(p * u[:, None], starts, axis=0)
             var = np.add.reduceat(p * (u[:, None] - np.repeat(mean, sizes, axis=0)) ** 2, starts, axis=0)
             yield pa.RecordBatch.from_arrays([batch["flight_id"], pa.array(sizes, pa.int32()), pa.array(t[starts] + mean.mean(axis=1)), pa.array(np.sqrt(var.mean(axis=1) + 2 * mean.var(axis=1)))], names=["flight_id", "n", "t_td", "sigma_t"])
